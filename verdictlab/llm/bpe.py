@@ -33,7 +33,7 @@ class Encoder:
     ``limit`` bounds the entries of each dictionary; a full one is emptied, which costs time but changes no result.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 250_000):
         cpu_threads_off()
         from tokenizers import Tokenizer
 

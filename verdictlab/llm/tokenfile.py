@@ -31,7 +31,7 @@ from .common import fresh, ready, staged, text_or_empty
 MAGIC = b"VLTOKEN1"
 BLOCK_IDS = 4096
 #: A segment is closed once it has so many ids.
-SEGMENT_IDS = 2_000_000
+SEGMENT_IDS = 1_000_000
 END_ID = 0
 
 
