@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, tokenizer_path
+from .fertility import fertility_rules
 from .packing import best_fit_packing
+from .simhash import near_duplicates
 from .tokenfile import token_files
 
-BYTE_BPE = "byte_bpe_50k.json"
+BYTE_BPE, FALLBACK_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+def op1_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility_rules(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), tokenizer_path(FALLBACK_BPE))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +27,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
 
 
+def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
