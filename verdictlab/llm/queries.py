@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing
 from .common import table, tokenizer_path
 from .fertility import fertility_rules
 from .packing import best_fit_packing
+from .pii import personal_data
 from .simhash import near_duplicates
 from .tokenfile import token_files
 
@@ -23,6 +25,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), 2048)
 
 
+def op5_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.raked_mixture(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
 
@@ -31,9 +37,13 @@ def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_raked_mixture": mixing.sql()}
