@@ -184,6 +184,15 @@ def bands(measured: DataFrame, *by: str) -> DataFrame:
     return out.select(*by, *ends)
 
 
+#: Band tables of so many rows are sent to all executors; larger ones are joined by their keys.
+SENT_ROWS = 20_000
+
+
+def _small(bands_: DataFrame) -> DataFrame:
+    bands_ = staged(bands_, "bands")
+    return F.broadcast(bands_) if bands_.count() <= SENT_ROWS else bands_
+
+
 def fertility_rules(docs: DataFrame, byte_bpe: str, fallback_bpe: str) -> DataFrame:
     """One row a document: the measures, base_failed and kept.
 
@@ -191,9 +200,9 @@ def fertility_rules(docs: DataFrame, byte_bpe: str, fallback_bpe: str) -> DataFr
     Repeated rows are each judged, with the same verdict. An empty table gives no row. Columns besides doc_id, text and lang are left out.
     """
     measured = staged(measure(docs, byte_bpe, fallback_bpe), "fertility")
-    own, script = bands(measured, "lang", "script"), bands(measured, "script")
+    own, script = _small(bands(measured, "lang", "script")), _small(bands(measured, "script"))
     ends = [f"{end}_{m}" for m in BANDED for end in ("low", "high")]
-    script = script.select("script", *[F.col(e).alias(f"s_{e}") for e in ends])
+    script = script.withColumnsRenamed({e: f"s_{e}" for e in ends})
     out = measured.join(own, ["lang", "script"], "left").join(script, "script", "left")
     inside = F.lit(True)
     for m in BANDED:
