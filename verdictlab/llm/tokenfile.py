@@ -98,7 +98,7 @@ class Segment:
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write every document's ids and ``END_ID`` to ``path`` in ascending ``id_col`` order (null first; equal ids by text).
+    """Write every document's ids and ``END_ID`` to ``path`` in ascending ``id_col`` order (null first; equal ids by their texts' CRC-32, then text).
 
     A null text is empty. Range partitions are sorted and written one by one, so no task holds more than one segment.
     """
@@ -125,7 +125,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
         if n:
             yield flush()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    # the sample that sets the ranges goes to the driver, so it holds checksums instead of texts
+    rows = rows.withColumn("check", F.crc32(F.col("text").cast("binary"))).repartitionByRange("doc_id", "check").sortWithinPartitions("doc_id", "check", "text").select("doc_id", "text")
     packed = rows.mapInArrow(run, "segment binary")
     packed.select(F.col("segment").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
