@@ -139,3 +139,20 @@ def g7(c: Cell) -> DataFrame:
 @query("g7_metrics_copeland", S.sql("SELECT * FROM copeland_metrics"))
 def g7_copeland(c: Cell) -> DataFrame:
     return ranking.evaluate(c.copeland, c.qrels)
+
+
+# ---- axioms
+
+
+@query("x_axiom_preferences", S.sql("SELECT * FROM axioms"))
+def x_axioms(c: Cell) -> DataFrame:
+    from verdictlab.operators.axioms import axiom_preferences
+
+    return axiom_preferences(c.pool, c.pairs, c.topics, c.corpus)
+
+
+@query("x23_semantic_axioms", S.sql(S.SEMANTIC))
+def x_semantic(c: Cell) -> DataFrame:
+    from verdictlab.operators.axioms import semantic_preferences
+
+    return semantic_preferences(c.pool, c.pairs, c.topics, c.corpus)

@@ -76,3 +76,61 @@ def sql(select: str, **more: str) -> str:
                 todo.append(steps[name])
     need = [n for n in steps if n in seen]
     return f"WITH {', '.join(f'{n} AS MATERIALIZED ({steps[n]})' for n in need)} {select}" if need else select
+
+
+def close(a: str, b: str, rel: float) -> str:
+    return f"(abs({a} - {b}) <= {rel} * greatest(abs({a}), abs({b})))"
+
+
+# ---- axioms, a row a pair and query term
+
+STEPS |= {
+    "qt": f"SELECT qid, term, qtf, round(coalesce(idf, ln(1 + ((SELECT count(*) FROM corpus) + 0.5) / 0.5)), 9) AS idf FROM qterms LEFT JOIN idf USING (term)",
+    "ends": "SELECT qid, docno FROM (SELECT qid, doc_id_1 AS docno FROM pairs UNION SELECT qid, doc_id_2 FROM pairs)",
+    "dt": "SELECT e.qid, e.docno, q.term, q.qtf, q.idf, coalesce(t.tf, 0) AS tf, t.first FROM ends e JOIN qt q ON q.qid = e.qid LEFT JOIN tf t ON t.docno = e.docno AND t.term = q.term",
+    "hit": "SELECT e.qid, e.docno, p.term, p.pos FROM ends e JOIN qt q ON q.qid = e.qid JOIN postings p ON p.docno = e.docno AND p.term = q.term",
+    "span": "SELECT qid, docno, s, max(e) AS e FROM (SELECT a.qid, a.docno, a.pos AS s, b.term, min(b.pos) AS e FROM hit a JOIN hit b ON a.qid = b.qid AND a.docno = b.docno AND b.pos >= a.pos GROUP BY ALL) x GROUP BY qid, docno, s HAVING count(*) = (SELECT count(*) FROM qt WHERE qt.qid = x.qid)",
+    "win": "SELECT w.qid, w.docno, w.s, w.e - w.s + 1 AS n, count(DISTINCT h.pos) AS inside FROM span w JOIN hit h ON h.qid = w.qid AND h.docno = w.docno AND h.pos BETWEEN w.s AND w.e GROUP BY ALL",
+    "best_win": "SELECT qid, docno, n - inside AS other FROM (SELECT *, row_number() OVER (PARTITION BY qid, docno ORDER BY n, n - inside) AS k FROM win) WHERE k = 1",
+    "mean_win": "SELECT qid, docno, round(avg(n), 9) AS mean FROM win GROUP BY ALL",
+    "phrase": "SELECT qid, docno, CASE WHEN strpos(d, q) > 0 THEN len(str_split(substr(d, 1, strpos(d, q) - 1), ' ')) - 1 END AS phrase_at FROM (SELECT qid, docno, ' ' || array_to_string(words, ' ') || ' ' AS d, ' ' || array_to_string(regexp_extract_all(lower(query), '[a-z0-9]+'), ' ') || ' ' AS q FROM ends JOIN lists USING (docno) JOIN topics USING (qid))",
+    "d": "SELECT x.qid, x.docno, any_value(dl) AS dl, any_value(n_unique) AS n_unique, any_value(score) AS score, sum(tf) AS total, count(*) FILTER (tf > 0) AS n_cov, count(*) AS n, string_agg(CASE WHEN tf > 0 THEN '1' ELSE '0' END, '' ORDER BY term) AS mask, coalesce(sum(first), 0) AS firsts, any_value(phrase_at) AS phrase_at, any_value(other) AS other, any_value(mean) AS mean FROM dt x JOIN lengths USING (docno) JOIN pool p ON p.qid = x.qid AND p.docno = x.docno LEFT JOIN phrase f ON f.qid = x.qid AND f.docno = x.docno LEFT JOIN best_win b ON b.qid = x.qid AND b.docno = x.docno LEFT JOIN mean_win m ON m.qid = x.qid AND m.docno = x.docno GROUP BY x.qid, x.docno",
+    "pt": "SELECT p.*, a.term, a.qtf, a.idf, a.tf AS t1, b.tf AS t2, a.first AS f1, b.first AS f2, x.dl AS l1, y.dl AS l2 FROM pairs p JOIN dt a ON a.qid = p.qid AND a.docno = doc_id_1 JOIN dt b ON b.qid = p.qid AND b.docno = doc_id_2 AND b.term = a.term JOIN lengths x ON x.docno = doc_id_1 JOIN lengths y ON y.docno = doc_id_2",
+    "by_term": f"""SELECT qid, doc_id_1, doc_id_2, bool_and({close('t1', 't2', 0.1)}) AS near, bool_or(t1 <> t2) AS differ,
+ count(*) FILTER (l1 - t1 = l2 - t2 AND t1 > t2) - count(*) FILTER (l1 - t1 = l2 - t2 AND t1 < t2) AS lnc,
+ count(*) FILTER ({close('(l1 - t1)', '(l2 - t2)', 0.1)} AND t1 > t2) - count(*) FILTER ({close('(l1 - t1)', '(l2 - t2)', 0.1)} AND t1 < t2) AS lnc_r,
+ count(*) FILTER (t1 > 0 AND t2 = 0) - count(*) FILTER (t2 > 0 AND t1 = 0) AS one_sided FROM pt GROUP BY ALL""",
+    "two": "SELECT a.qid, a.doc_id_1, a.doc_id_2, a.idf AS ia, b.idf AS ib, a.qtf AS qa, b.qtf AS qb, a.t1 AS a1, a.t2 AS a2, b.t1 AS b1, b.t2 AS b2, a.f1 AS fa1, b.f1 AS fb1, a.f2 AS fa2, b.f2 AS fb2, a.term < b.term AS ordered FROM pt a JOIN pt b ON a.qid = b.qid AND a.doc_id_1 = b.doc_id_1 AND a.doc_id_2 = b.doc_id_2 AND a.term <> b.term",
+    "by_two": f"""SELECT qid, doc_id_1, doc_id_2,
+ count(*) FILTER (ok AND a1 > a2) - count(*) FILTER (ok AND a1 < a2) AS tdc,
+ sum(CASE WHEN ordered AND fa1 IS NOT NULL AND fb1 IS NOT NULL THEN greatest(abs(fa1 - fb1) - 1, 0) ELSE 0 END) AS near1, sum(CASE WHEN ordered AND fa2 IS NOT NULL AND fb2 IS NOT NULL THEN greatest(abs(fa2 - fb2) - 1, 0) ELSE 0 END) AS near2,
+ count(*) FILTER (even AND a1 > 0 AND b1 > 0 AND a2 = a1 + b1 AND b2 = 0) - count(*) FILTER (even AND a2 > 0 AND b2 > 0 AND a1 = a2 + b2 AND b1 = 0) AS tfc3
+ FROM (SELECT *, ia > ib AND NOT {close('ia', 'ib', 1e-9)} AND (a1 = b2 AND b1 = a2 OR qa >= qb) AS ok, {close('ia', 'ib', 1e-9)} AS even FROM two) GROUP BY ALL""",
+    "axioms": f"""SELECT p.qid, p.doc_id_1, p.doc_id_2,
+ CASE WHEN {close('a.dl', 'b.dl', 0.1)} THEN sign(a.total - b.total) ELSE 0 END::INT AS "TFC1",
+ CASE WHEN {close('a.dl', 'b.dl', 0.2)} THEN sign(a.total - b.total) ELSE 0 END::INT AS "TFC1_len0_2",
+ CASE WHEN {close('a.dl', 'b.dl', 0.1)} THEN sign(coalesce(tfc3, 0)) ELSE 0 END::INT AS "TFC3",
+ CASE WHEN a.total = b.total AND differ THEN sign(coalesce(tdc, 0)) ELSE 0 END::INT AS "M_TDC",
+ CASE WHEN {close('a.total', 'b.total', 0.1)} AND differ THEN sign(coalesce(tdc, 0)) ELSE 0 END::INT AS "M_TDC_R",
+ CASE WHEN near THEN sign(b.dl - a.dl) ELSE 0 END::INT AS "LNC1", sign(lnc)::INT AS "TF_LNC", sign(lnc_r)::INT AS "TF_LNC_R",
+ CASE WHEN a.mask = b.mask THEN sign(coalesce(near2 - near1, 0)) ELSE 0 END::INT AS "PROX1",
+ CASE WHEN a.mask = b.mask THEN sign(b.firsts - a.firsts) ELSE 0 END::INT AS "PROX2",
+ sign(coalesce(b.phrase_at, 1e15) - coalesce(a.phrase_at, 1e15))::INT AS "PROX3",
+ CASE WHEN a.n_cov = a.n AND b.n_cov = b.n THEN sign(coalesce(b.other - a.other, 0)) ELSE 0 END::INT AS "PROX4",
+ CASE WHEN a.n_cov = a.n AND b.n_cov = b.n THEN sign(coalesce(b.mean - a.mean, 0)) ELSE 0 END::INT AS "PROX5",
+ ((a.n_cov = a.n)::INT - (b.n_cov = b.n)::INT)::INT AS "AND_",
+ sign(round(b.n_cov / (b.n + b.n_unique - b.n_cov), 9) - round(a.n_cov / (a.n + a.n_unique - a.n_cov), 9))::INT AS "DIV",
+ CASE WHEN {close('a.score', 'b.score', 0.1)} THEN sign(one_sided) ELSE 0 END::INT AS "LB1",
+ CASE WHEN a.mask = b.mask THEN sign(a.dl - b.dl) ELSE 0 END::INT AS "VERB",
+ CASE WHEN {close('a.n_cov', 'b.n_cov', 0.1)} THEN sign(a.dl - b.dl) ELSE 0 END::INT AS "VERB_R",
+ sign(a.n_cov - b.n_cov)::INT AS "QCOV"
+ FROM pairs p JOIN d a ON a.qid = p.qid AND a.docno = p.doc_id_1 JOIN d b ON b.qid = p.qid AND b.docno = p.doc_id_2
+ JOIN by_term t ON t.qid = p.qid AND t.doc_id_1 = p.doc_id_1 AND t.doc_id_2 = p.doc_id_2 LEFT JOIN by_two u ON u.qid = p.qid AND u.doc_id_1 = p.doc_id_1 AND u.doc_id_2 = p.doc_id_2""",
+    "grams": "SELECT term, list_distinct(list_transform(range(1, len(term) + 1), lambda i: substr('#' || term || '#', i, 3))) AS g FROM (SELECT term FROM qterms UNION SELECT DISTINCT p.term FROM ends e JOIN postings p USING (docno))",
+    "near_terms": "SELECT a.qid, a.term, round(avg(len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)))), 9) AS s FROM qterms a JOIN qterms b ON a.qid = b.qid AND a.term <> b.term JOIN grams x ON x.term = a.term JOIN grams y ON y.term = b.term GROUP BY ALL",
+    "reg": "SELECT qid, arg_min(term, (s, term)) AS least, arg_min(term, (-s, term)) AS most FROM near_terms GROUP BY qid",
+    "sims": "SELECT qid, docno, round(avg(s), 9) AS mean, count(*) FILTER (s = 1) AS exact, count(*) FILTER (s >= 0.4 AND s < 1) AS similar FROM (SELECT e.qid, e.docno, len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) AS s FROM (SELECT DISTINCT qid, docno, term FROM ends JOIN postings USING (docno)) e JOIN qterms q ON q.qid = e.qid JOIN grams x ON x.term = q.term JOIN grams y ON y.term = e.term) GROUP BY ALL",
+    "sem": "SELECT s.*, coalesce(a.tf, 0) AS least, coalesce(b.tf, 0) AS most FROM sims s LEFT JOIN reg r USING (qid) LEFT JOIN tf a ON a.docno = s.docno AND a.term = r.least LEFT JOIN tf b ON b.docno = s.docno AND b.term = r.most",
+}
+AXIOM_NAMES = ["TFC1", "TFC1_len0_2", "TFC3", "M_TDC", "M_TDC_R", "LNC1", "TF_LNC", "TF_LNC_R", "PROX1", "PROX2", "PROX3", "PROX4", "PROX5", "AND_", "DIV", "LB1", "VERB", "VERB_R", "QCOV"]
+SEMANTIC = """SELECT p.qid, p.doc_id_1, p.doc_id_2, sign(a.mean - b.mean)::INT AS "STMC1", CASE WHEN a.exact > 0 AND b.exact = 0 AND b.similar > 0 THEN 1 WHEN b.exact > 0 AND a.exact = 0 AND a.similar > 0 THEN -1 ELSE 0 END AS "STMC2", sign(a.least - b.least)::INT AS "REG", sign(a.most - b.most)::INT AS "ANTI_REG" FROM pairs p JOIN sem a ON a.qid = p.qid AND a.docno = doc_id_1 JOIN sem b ON b.qid = p.qid AND b.docno = doc_id_2"""
