@@ -26,10 +26,10 @@ def query_side(topics: DataFrame, corpus: DataFrame) -> DataFrame:
     return rows.join(words, "qid").select("qid", F.col("t.term").alias("terms"), F.col("t.qtf").alias("qtf"), F.col("t.idf").alias("idf"), "phrase")
 
 
-def document_side(pool: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
+def document_side(pool: DataFrame, queries: DataFrame, corpus: DataFrame, windows: bool = True) -> DataFrame:
     """qid, docno, d: dl, n_unique, score, tf and first position (-1: none) by the query's terms, total, n_cov, mask, phrase_at, other, mean.
 
-    Positions come from the postings of the pool's documents, gathered once by query and document.
+    Positions come from the postings of the pool's documents, gathered once by query and document. ``windows`` off leaves other and mean null.
     """
     texts = corpus.join(pool.select("docno").distinct(), "docno", "left_semi")
     terms = queries.select("qid", F.explode("terms").alias("term"))
@@ -37,7 +37,11 @@ def document_side(pool: DataFrame, queries: DataFrame, corpus: DataFrame) -> Dat
     each = pool.select("qid", "docno", "score").join(terms, "qid").join(found, ["docno", "term"], "left")
     entry = F.struct("term", F.coalesce("tf", F.lit(0)).cast("long").alias("tf"), F.coalesce("first", F.lit(-1)).cast("long").alias("first"))
     docs = each.groupBy("qid", "docno").agg(F.first("score").alias("score"), F.sort_array(F.collect_list(entry)).alias("t"))
-    docs = docs.select("qid", "docno", "score", F.col("t.tf").alias("tf"), F.col("t.first").alias("first")).join(cover(found, each.select("qid", "docno", "term"), terms), ["qid", "docno"], "left")
+    docs = docs.select("qid", "docno", "score", F.col("t.tf").alias("tf"), F.col("t.first").alias("first"))
+    if windows:
+        docs = docs.join(cover(found, each.select("qid", "docno", "term"), terms), ["qid", "docno"], "left")
+    else:
+        docs = docs.withColumns({"other": F.lit(None).cast("long"), "mean": F.lit(None).cast("double")})
     shape = texts.select("docno", tokens(F.col("text")).alias("words")).select("docno", F.size("words").cast("long").alias("dl"), F.size(F.array_distinct("words")).cast("long").alias("n_unique"), F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("joined"))
     docs = docs.join(shape, "docno").join(queries.select("qid", "phrase"), "qid")
     at = F.expr("locate(phrase, joined)")
@@ -166,11 +170,11 @@ def with_margin(name: str, margin: float) -> str:
     raise ValueError(f"{name} has no margin")
 
 
-def axiom_frame(pool: DataFrame, pairs: DataFrame, topics: DataFrame, corpus: DataFrame) -> DataFrame:
+def axiom_frame(pool: DataFrame, pairs: DataFrame, topics: DataFrame, corpus: DataFrame, windows: bool = True) -> DataFrame:
     """qid, doc_id_1, doc_id_2 with both descriptions and the query's arrays."""
     queries = query_side(topics, corpus)
     used = pairs.select("qid", F.col("doc_id_1").alias("docno")).union(pairs.select("qid", F.col("doc_id_2").alias("docno"))).distinct()
-    docs = document_side(pool.join(used, ["qid", "docno"], "left_semi"), queries, corpus).persist()  # read for both sides; its size follows the pool
+    docs = document_side(pool.join(used, ["qid", "docno"], "left_semi"), queries, corpus, windows).persist()  # read for both sides; its size follows the pool
     one = docs.select("qid", F.col("docno").alias("doc_id_1"), F.col("d").alias("d1"))
     two = docs.select("qid", F.col("docno").alias("doc_id_2"), F.col("d").alias("d2"))
     return pairs.join(one, ["qid", "doc_id_1"]).join(two, ["qid", "doc_id_2"]).join(queries, "qid")
@@ -178,7 +182,7 @@ def axiom_frame(pool: DataFrame, pairs: DataFrame, topics: DataFrame, corpus: Da
 
 def axiom_preferences(pool: DataFrame, pairs: DataFrame, topics: DataFrame, corpus: DataFrame, names: list[str] | None = None) -> DataFrame:
     """qid, doc_id_1, doc_id_2 and a column an axiom."""
-    frame = axiom_frame(pool, pairs, topics, corpus)
+    frame = axiom_frame(pool, pairs, topics, corpus, windows=not names or bool({"PROX4", "PROX5"} & set(names)))
     unknown = set(names or ()) - set(AXIOMS)
     if unknown:
         raise ValueError(f"unknown axioms: {sorted(unknown)}")

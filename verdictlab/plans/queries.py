@@ -156,3 +156,103 @@ def x_semantic(c: Cell) -> DataFrame:
     from verdictlab.operators.axioms import semantic_preferences
 
     return semantic_preferences(c.pool, c.pairs, c.topics, c.corpus)
+
+
+# ---- agreement
+
+
+def merged(c: Cell) -> DataFrame:
+    from verdictlab.operators import analysis
+    from verdictlab.operators.axioms import axiom_preferences
+
+    axioms = axiom_preferences(c.pool, c.pairs, c.topics, c.corpus, S.USED)
+    return analysis.attach_rank_gap(analysis.merge_pairs(c.verdicts, axioms), c.pool).persist()
+
+
+def judged(c: Cell) -> DataFrame:
+    """Decisive pairs with their covariates; what BM25's order predicts stands for a model's predictions."""
+    from verdictlab.operators import analysis
+
+    m = analysis.attach_rank_gap(c.verdicts, c.pool)
+    right = F.signum(F.col("rank_2") - F.col("rank_1")) == F.col("model_pref")
+    rows = analysis.attach_pool(c.verdicts, c.pool, "score").join(m.select(*analysis.KEY, "rank_1", "rank_2"), analysis.KEY)
+    cov = analysis.covariates(c.verdicts.select(*analysis.KEY), c.pool, c.topics, c.corpus, c.stored)
+    return rows.filter("model_pref <> 0").select(*analysis.KEY, (F.col("model_pref") > 0).alias("y_true"), right.alias("oof_correct"), (F.col("rank_2") - F.col("rank_1")).alias("margin"), "score_1", "score_2").join(cov, analysis.KEY)
+
+
+@query("j1_merged_pairs", S.sql("SELECT query_id, doc_id_1, doc_id_2, model_pref, n_presentations, position_consistent, collapse_reason, " + ", ".join(f'"{n}"' for n in S.USED) + ", CAST(rank_1 AS INTEGER) AS rank_1, CAST(rank_2 AS INTEGER) AS rank_2, CAST(rank_gap AS INTEGER) AS rank_gap FROM merged"))
+def j1(c: Cell) -> DataFrame:
+    return merged(c)
+
+
+@query("a3_agreement", S.sql("SELECT * FROM agreement"))
+def a3(c: Cell) -> DataFrame:
+    from verdictlab.operators.analysis import agreement_table
+
+    return agreement_table(merged(c), S.USED)
+
+
+@query("a5_agreement_intervals", S.sql("SELECT * FROM intervals"))
+def a5(c: Cell) -> DataFrame:
+    from verdictlab.operators.analysis import agreement_intervals
+
+    return agreement_intervals(merged(c), S.USED)
+
+
+@query("d10_covariates", S.sql("SELECT * FROM covariates"))
+def d10(c: Cell) -> DataFrame:
+    from verdictlab.operators import analysis
+
+    return analysis.covariates(c.verdicts.select(*analysis.KEY), c.pool, c.topics, c.corpus, c.stored)
+
+
+@query("a8_gap_gradient", S.sql("SELECT * FROM gradient"))
+def a8(c: Cell) -> DataFrame:
+    from verdictlab.operators.analysis import gap_gradient
+
+    return gap_gradient(merged(c), S.USED, bins=4, max_integer=3)
+
+
+PROFILED = ["rank_gap", "d_score", "len_ratio", "query_len", "conf_margin_prob"]
+
+
+@query("a9_residual_profiles", S.sql(" UNION ALL ".join(f"({S.profile(n)})" for n in PROFILED)))
+def a9(c: Cell) -> DataFrame:
+    from verdictlab.operators.analysis import profiles
+
+    return profiles(judged(c).persist(), PROFILED)
+
+
+@query("m16_auc", S.sql("SELECT count(*) FILTER (y_true) AS n_positive, count(*) FILTER (NOT y_true) AS n_negative, round((sum(r) FILTER (y_true) - count(*) FILTER (y_true) * (count(*) FILTER (y_true) + 1) / 2) / (count(*) FILTER (y_true) * count(*) FILTER (NOT y_true)), 6) AS auc FROM (SELECT y_true, rank() OVER (ORDER BY margin) + (count(*) OVER (PARTITION BY margin) - 1) / 2 AS r FROM judged)"))
+def m16(c: Cell) -> DataFrame:
+    from verdictlab.operators.analysis import auc
+
+    return auc(judged(c), "margin", "y_true")
+
+
+@query("m7_information", S.sql(f"SELECT n, round(a, 6) AS null_log_loss, round(b, 6) AS model_log_loss, round(a - b, 6) AS gain, round(CASE WHEN a > 0 THEN 1 - b / a END, 6) AS pseudo_r2 FROM (SELECT count(*) AS n, {S.entropy('y_true', 'base')} AS a, {S.entropy('y_true', 'p')} AS b FROM (SELECT y_true, 1 / (1 + exp(-margin / 10)) AS p, avg(CAST(y_true AS INTEGER)) OVER () AS base FROM judged))"))
+def m7(c: Cell) -> DataFrame:
+    from verdictlab.operators.analysis import information
+
+    j = judged(c).persist()
+    base = j.agg(F.avg(F.col("y_true").cast("int"))).first()[0]
+    return information(j.select("y_true", (1 / (1 + F.exp(-F.col("margin") / 10))).alias("p"), F.lit(base).alias("base")), "y_true", "p", "base")
+
+
+@query("m8_sensitivity", S.sql("SELECT query_id, round(CASE WHEN x IS NULL THEN NULL WHEN x <= 0.5 THEN 0.5 ELSE 0.5 * (1 + sqrt(2 * x - 1)) END, 6) AS sensitivity FROM (SELECT query_id, avg(CAST(position_consistent AS INTEGER)) AS x FROM verdicts GROUP BY query_id)"))
+def m8(c: Cell) -> DataFrame:
+    from verdictlab.operators.analysis import single_order_sensitivity
+
+    return c.verdicts.groupBy("query_id").agg(F.avg(F.col("position_consistent").cast("int")).alias("x")).select("query_id", F.round(single_order_sensitivity(F.col("x")), 6).alias("sensitivity"))
+
+
+@query("m15_regression_fidelity", S.sql("SELECT count(*) AS n, round(corr(rs, rp), 6) AS spearman, round(avg(abs(score_1 - score_2)), 6) AS mae, round(1 - sum((score_1 - score_2) * (score_1 - score_2)) / (var_pop(score_1) * count(*)), 6) AS r2 FROM (SELECT score_1, score_2, rank() OVER (ORDER BY score_1) + (count(*) OVER (PARTITION BY score_1) - 1) / 2 AS rs, rank() OVER (ORDER BY score_2) + (count(*) OVER (PARTITION BY score_2) - 1) / 2 AS rp FROM judged)"))
+def m15(c: Cell) -> DataFrame:
+    from verdictlab.operators.analysis import regression_fidelity
+
+    return regression_fidelity(judged(c).persist(), "score_1", "score_2")
+
+
+@query("g10_bm25_predictor", S.sql("SELECT query_id, count(*) AS n, round(avg(CAST(oof_correct AS INTEGER)), 6) AS accuracy FROM judged GROUP BY query_id"))
+def g10(c: Cell) -> DataFrame:
+    return judged(c).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.avg(F.col("oof_correct").cast("int")), 6).alias("accuracy"))

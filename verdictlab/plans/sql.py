@@ -134,3 +134,40 @@ STEPS |= {
 }
 AXIOM_NAMES = ["TFC1", "TFC1_len0_2", "TFC3", "M_TDC", "M_TDC_R", "LNC1", "TF_LNC", "TF_LNC_R", "PROX1", "PROX2", "PROX3", "PROX4", "PROX5", "AND_", "DIV", "LB1", "VERB", "VERB_R", "QCOV"]
 SEMANTIC = """SELECT p.qid, p.doc_id_1, p.doc_id_2, sign(a.mean - b.mean)::INT AS "STMC1", CASE WHEN a.exact > 0 AND b.exact = 0 AND b.similar > 0 THEN 1 WHEN b.exact > 0 AND a.exact = 0 AND a.similar > 0 THEN -1 ELSE 0 END AS "STMC2", sign(a.least - b.least)::INT AS "REG", sign(a.most - b.most)::INT AS "ANTI_REG" FROM pairs p JOIN sem a ON a.qid = p.qid AND a.docno = doc_id_1 JOIN sem b ON b.qid = p.qid AND b.docno = doc_id_2"""
+
+
+# ---- agreement
+
+USED = ["TFC1", "TF_LNC_R", "PROX1", "AND_", "DIV", "VERB", "QCOV"]
+_rate = lambda a, b: f"round(CASE WHEN {b} > 0 THEN {a} / {b} END, 6)"
+STEPS |= {
+    "merged": "SELECT v.*, " + ", ".join(f'"{n}"' for n in USED) + ", p.rank AS rank_1, q.rank AS rank_2, p.score AS score_1, q.score AS score_2, abs(p.rank - q.rank) AS rank_gap FROM verdicts v JOIN axioms a ON a.qid = query_id AND a.doc_id_1 = v.doc_id_1 AND a.doc_id_2 = v.doc_id_2 JOIN pool p ON p.qid = query_id AND p.docno = v.doc_id_1 JOIN pool q ON q.qid = query_id AND q.docno = v.doc_id_2",
+    "long": "SELECT query_id, rank_gap, model_pref, unnest([" + ", ".join(f"'{n}'" for n in USED) + "]) AS axiom, unnest([" + ", ".join(f'"{n}"' for n in USED) + "]) AS pref FROM merged",
+    "by_query": "SELECT axiom, query_id, count(*) FILTER (pref <> 0 AND model_pref <> 0) AS e, count(*) FILTER (pref <> 0 AND pref = model_pref) AS a FROM long GROUP BY ALL",
+    "agreement": f"SELECT axiom, count(*) AS n_pairs, round(avg(CAST(pref <> 0 AS INTEGER)), 6) AS coverage, count(*) FILTER (pref <> 0 AND model_pref <> 0) AS n_evaluable, {_rate('count(*) FILTER (pref <> 0 AND pref = model_pref)', 'count(*) FILTER (pref <> 0 AND model_pref <> 0)')} AS agreement FROM long GROUP BY axiom",
+    "slots_q": "SELECT query_id, row_number() OVER (ORDER BY query_id) - 1 AS slot FROM (SELECT DISTINCT query_id FROM merged)",
+    "agreement_draws": f"SELECT axiom, draw, sum(a) / nullif(sum(e), 0) AS r FROM ({slots('(SELECT count(*) FROM slots_q)', 200)}) JOIN slots_q USING (slot) JOIN by_query USING (query_id) GROUP BY ALL",
+    "intervals": "SELECT g.*, n AS n_evaluable_queries, lo AS ci_lo, hi AS ci_hi FROM agreement g JOIN (SELECT axiom, count(*) FILTER (e > 0) AS n FROM by_query GROUP BY axiom) USING (axiom) LEFT JOIN (SELECT axiom, round(quantile_cont(r, 0.025), 6) AS lo, round(quantile_cont(r, 0.975), 6) AS hi FROM agreement_draws WHERE r IS NOT NULL GROUP BY axiom) USING (axiom)",
+    "qset": "SELECT qid AS query_id, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS q, strpos(query, '?') > 0 OR coalesce(regexp_extract_all(lower(query), '[a-z0-9]+')[1] IN ('who', 'what', 'when', 'where', 'why', 'how', 'which', 'whom', 'whose', 'is', 'are', 'do', 'does', 'can', 'could', 'should', 'would', 'will'), false) AS question FROM topics",
+    "shape": "SELECT e.qid AS query_id, e.docno, CAST(len(words) AS DOUBLE) AS l, CASE WHEN len(q) > 0 THEN len(list_intersect(q, words)) / len(q) ELSE 0 END AS c FROM ends e JOIN lists USING (docno) JOIN qset s ON s.query_id = e.qid",
+    "conf": "SELECT query_id, least(doc_id_a, doc_id_b) AS doc_id_1, greatest(doc_id_a, doc_id_b) AS doc_id_2, round(avg(abs(prob_a - 0.5)), 6) AS conf_margin_prob, round(avg(abs(score_a - score_b)), 6) AS conf_margin_score FROM stored GROUP BY ALL",
+    "covariates": """SELECT m.query_id, m.doc_id_1, m.doc_id_2, CAST(rank_1 - rank_2 AS DOUBLE) AS d_rank, round(score_1 - score_2, 6) AS d_score, a.l - b.l AS d_len, round(a.c - b.c, 6) AS d_qcov, CAST(rank_gap AS DOUBLE) AS rank_gap, round(abs(score_1 - score_2), 6) AS score_gap, greatest(a.l, b.l) AS len_max, round(greatest(a.l, b.l) / greatest(least(a.l, b.l), 1), 6) AS len_ratio,
+ CAST(len(q) AS DOUBLE) AS query_len, CAST(question AS DOUBLE) AS query_is_question, CAST(greatest(rank_1, rank_2) AS DOUBLE) AS rank_max, greatest(score_1, score_2) AS score_max, conf_margin_prob, conf_margin_score
+ FROM merged m JOIN shape a ON a.query_id = m.query_id AND a.docno = m.doc_id_1 JOIN shape b ON b.query_id = m.query_id AND b.docno = m.doc_id_2 JOIN qset s ON s.query_id = m.query_id JOIN conf c ON c.query_id = m.query_id AND c.doc_id_1 = m.doc_id_1 AND c.doc_id_2 = m.doc_id_2""",
+    # bins by four quantiles of the gap, whose edges are distinct
+    "edges": "SELECT list_sort(list_distinct(list_transform(quantile_cont(rank_gap, [0, 0.25, 0.5, 0.75, 1]), lambda x: CAST(x AS DOUBLE)))) AS e FROM merged",
+    "binned": "SELECT m.*, CAST(trunc(list_min(list_filter(list_slice(e, 2, 9), lambda x: x >= rank_gap))) AS INTEGER) AS gap_bin FROM merged m, edges",
+    "gradient": f"SELECT c.*, axiom, n_evaluable, agreement FROM (SELECT gap_bin, count(*) AS n_pairs, round(avg(CAST(model_pref <> 0 AS INTEGER)), 6) AS decisive_rate, round(avg(CAST(position_consistent AS INTEGER)) FILTER (n_presentations >= 2), 6) AS position_consistency, {_rate('count(*) FILTER (model_pref <> 0 AND sign(rank_2 - rank_1) = model_pref)', 'count(*) FILTER (model_pref <> 0)')} AS bm25_accuracy FROM binned GROUP BY gap_bin) c JOIN (SELECT gap_bin, axiom, count(*) FILTER (pref <> 0 AND model_pref <> 0) AS n_evaluable, {_rate('count(*) FILTER (pref <> 0 AND pref = model_pref)', 'count(*) FILTER (pref <> 0 AND model_pref <> 0)')} AS agreement FROM (SELECT gap_bin, model_pref, unnest([" + ", ".join(f"'{n}'" for n in USED) + "]) AS axiom, unnest([" + ", ".join(f'"{n}"' for n in USED) + "]) AS pref FROM binned) GROUP BY ALL) USING (gap_bin)",
+    "judged": "SELECT c.*, model_pref > 0 AS y_true, sign(rank_2 - rank_1) = model_pref AS oof_correct, rank_2 - rank_1 AS margin, m.score_1, m.score_2 FROM covariates c JOIN merged m USING (query_id, doc_id_1, doc_id_2) WHERE model_pref <> 0",
+}
+
+
+def profile(name: str, bins: int = 5) -> str:
+    edge = f"(SELECT list_sort(list_distinct(list_transform(quantile_cont(CAST({name} AS DOUBLE), [{', '.join(str(i / bins) for i in range(bins + 1))}]), lambda x: x))) FROM judged)"
+    label = f"CASE WHEN (SELECT count(DISTINCT {name}) FROM judged) <= {bins} THEN CAST({name} AS DOUBLE) ELSE list_min(list_filter(list_slice({edge}, 2, 99), lambda x: x >= {name})) END"
+    return f"SELECT '{name}' AS covariate, round(b, 3) AS bin, count(*) AS n_pairs, round(avg(CAST(oof_correct AS INTEGER)), 6) AS oof_accuracy, round(avg(CAST(NOT oof_correct AS INTEGER)), 6) AS residual_rate, round(avg(2 * CAST(y_true AS INTEGER) - 1), 6) AS mean_signed_verdict FROM (SELECT *, {label} AS b FROM judged WHERE {name} IS NOT NULL) GROUP BY b"
+
+
+def entropy(y: str, p: str) -> str:
+    q = f"least(greatest({p}, 1e-12), 1 - 1e-12)"
+    return f"avg(-CASE WHEN {y} THEN ln({q}) ELSE ln(1 - {q}) END)"
