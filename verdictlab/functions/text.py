@@ -20,7 +20,7 @@ def tokens(text: Column, pattern: str = WORD) -> Column:
 
 def sentences(text: Column) -> Column:
     """Trimmed, non-empty sentences."""
-    return F.filter(F.transform(F.split(text, SENTENCE_END), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, SENTENCE_END), lambda s: F.btrim(s, F.lit(" \t\n\r\f\x0b"))), lambda s: s != "")
 
 
 def content_terms(text: Column, stop: tuple[str, ...]) -> Column:

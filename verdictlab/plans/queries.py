@@ -256,3 +256,44 @@ def m15(c: Cell) -> DataFrame:
 @query("g10_bm25_predictor", S.sql("SELECT query_id, count(*) AS n, round(avg(CAST(oof_correct AS INTEGER)), 6) AS accuracy FROM judged GROUP BY query_id"))
 def g10(c: Cell) -> DataFrame:
     return judged(c).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.avg(F.col("oof_correct").cast("int")), 6).alias("accuracy"))
+
+
+# ---- intents and answers
+
+
+@query("q1_query_intents", S.sql("SELECT qid, intent, array_to_string(anchors, ' ') AS anchors, numeric_type, numeric_unit FROM intents"))
+def q1(c: Cell) -> DataFrame:
+    from verdictlab.functions.intent import normal, parse_query
+
+    f = c.topics.select("qid", parse_query(normal(F.col("query"))).alias("f"))
+    return f.select("qid", "f.intent", F.array_join("f.anchors", " ").alias("anchors"), "f.numeric_type", "f.numeric_unit")
+
+
+@query("q9_boilerplate", S.sql("SELECT * FROM stock"))
+def q9(c: Cell) -> DataFrame:
+    from verdictlab.functions.intent import boilerplate_score
+    from verdictlab.functions.text import sentences
+
+    return c.corpus.select("docno", boilerplate_score(F.col("text"), sentences(F.col("text"))).alias("boilerplate"))
+
+
+@query("f5_sentences", S.sql("SELECT docno, CAST(len(ss) AS INTEGER) AS n_sentences, md5(array_to_string(ss, '|')) AS digest FROM split"))
+def f5(c: Cell) -> DataFrame:
+    from verdictlab.functions.text import sentences
+
+    s = sentences(F.col("text"))
+    return c.corpus.select("docno", F.size(s).alias("n_sentences"), F.md5(F.array_join(s, "|")).alias("digest"))
+
+
+@query("x7_answer_axioms")
+def x7(c: Cell) -> DataFrame:
+    from verdictlab.operators.answers import answer_preferences
+
+    return answer_preferences(c.pairs, c.topics, c.corpus)
+
+
+@query("q4_answer_evidence")
+def q4(c: Cell) -> DataFrame:
+    from verdictlab.operators.answers import answer_evidence
+
+    return answer_evidence(c.pairs, c.topics, c.corpus)

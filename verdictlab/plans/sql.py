@@ -171,3 +171,24 @@ def profile(name: str, bins: int = 5) -> str:
 def entropy(y: str, p: str) -> str:
     q = f"least(greatest({p}, 1e-12), 1 - 1e-12)"
     return f"avg(-CASE WHEN {y} THEN ln({q}) ELSE ln(1 - {q}) END)"
+
+
+# ---- intents
+
+from verdictlab.functions import intent as _i  # noqa: E402
+
+A = "[a-z0-9]+(?:''[a-z]+)?"
+_in = lambda words: ", ".join(f"'{w}'" for w in words)
+_terms = lambda x, more=(): f"list_sort(list_distinct(list_filter(regexp_extract_all({x}, '{A}'), lambda t: t NOT IN ({_in(_i.STOP + more)}))))"
+# this engine's word boundary knows ASCII only
+_verb = _i.FINITE_VERB.replace("\\b(", "(?:^|[^\\p{L}\\p{N}_])(", 1)[: -len("\\b")] + "(?:$|[^\\p{L}\\p{N}_])"
+_low = "lower(s)"
+STEPS |= {
+    "lower_q": f"SELECT qid, query, array_to_string(regexp_extract_all(lower(query), '{A}'), ' ') AS l FROM topics",
+    "kinds": """SELECT *, CASE WHEN regexp_matches(l, '^difference between (.+?) and (.+?)(?: is)?$') THEN 'comparison' WHEN regexp_matches(l, '^(define |definition of |meaning of )') OR (l LIKE 'what does %' AND (l LIKE '% mean' OR l LIKE '% stand for')) THEN 'definition' WHEN regexp_matches(l, '^how (much|many|long|old) ') THEN 'numeric' ELSE 'unknown' END AS intent,
+ CASE WHEN l LIKE 'how much %' AND regexp_matches(l, 'money|cost|earn|make') THEN 'money' WHEN l LIKE 'how much %' OR l LIKE 'how many %' THEN 'count' WHEN l LIKE 'how long %' THEN 'duration' WHEN l LIKE 'how old %' THEN 'age' END AS kind FROM lower_q""",
+    "intents": f"""SELECT qid, intent, CASE intent WHEN 'comparison' THEN list_sort(list_distinct(list_concat({_terms("regexp_extract(l, '^difference between (.+?) and (.+?)(?: is)?$', 1)")}, {_terms("regexp_extract(l, '^difference between (.+?) and (.+?)(?: is)?$', 2)")}))) WHEN 'definition' THEN {_terms('l', _i.DEFINITION_CUES)} WHEN 'numeric' THEN {_terms('l', _i.NUMERIC_CUES)} ELSE [] END AS anchors,
+ CASE WHEN intent = 'numeric' THEN kind END AS numeric_type, CASE WHEN intent = 'numeric' AND kind = 'count' THEN list_filter(regexp_extract_all(regexp_replace(l, '^how many ', ''), '{A}'), lambda t: t NOT IN ({_in(_i.STOP + _i.NUMERIC_CUES)}))[1] END AS numeric_unit FROM kinds""",
+    "split": "SELECT docno, text, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '[\\r\\n]+'), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: s <> '') AS ss FROM corpus",
+    "stock": f"SELECT docno, CAST(2 * ({' + '.join(f'CAST(contains(lower(text), {chr(39)}{c}{chr(39)}) AS INTEGER)' for c in _i.BOILERPLATE)}) + least(len(regexp_extract_all(lower(text), 'http://|https://|www\\.')), 2) + least(len(regexp_extract_all(text, '{_i.LIST_ITEM}')), 2) + least(len(ss) - len(list_distinct(list_transform(ss, lambda s: array_to_string(regexp_extract_all({_low}, '{A}'), ' ')))), 2) + CASE WHEN len(ss) > 0 AND len(list_filter(ss, lambda s: regexp_matches({_low}, '{_verb}'))) = 0 THEN 1 ELSE 0 END AS INTEGER) AS boilerplate FROM split",
+}
