@@ -230,3 +230,19 @@ def semantic_preferences(pool: DataFrame, pairs: DataFrame, topics: DataFrame, c
     matched = lambda a, b: (F.col(f"{a}.exact") > 0) & (F.col(f"{b}.exact") == 0) & (F.col(f"{b}.similar") > 0)
     stmc2 = F.when(matched("d1", "d2"), 1).when(matched("d2", "d1"), -1).otherwise(0)
     return pairs.join(one, ["qid", "doc_id_1"]).join(two, ["qid", "doc_id_2"]).select("qid", "doc_id_1", "doc_id_2", sign("mean").alias("STMC1"), stmc2.alias("STMC2"), sign("least").alias("REG"), sign("most").alias("ANTI_REG"))
+
+
+def add_missing(existing: DataFrame, names: list[str], pool: DataFrame, topics: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``existing`` axiom preferences with the columns of ``names`` that they lack; rows and old columns stay as they are."""
+    from verdictlab.operators.pairs import PAIR, exact_join
+
+    lacking = [n for n in names if n not in existing.columns]
+    if not lacking:
+        return existing
+    new = axiom_preferences(pool, existing.select(*PAIR), topics, corpus, lacking)
+    return exact_join(existing, new, list(PAIR)).select(*existing.columns, *lacking)
+
+
+def majority(names: list[str]) -> Column:
+    """The sign of the sum of axiom columns."""
+    return F.signum(sum((F.col(n) for n in names[1:]), F.col(names[0]))).cast("int")

@@ -297,3 +297,180 @@ def q4(c: Cell) -> DataFrame:
     from verdictlab.operators.answers import answer_evidence
 
     return answer_evidence(c.pairs, c.topics, c.corpus)
+
+
+# ---- store, gates, decoding
+
+
+@query("s5_first_write", S.sql("SELECT query_id, doc_id_a, doc_id_b, prompt_version, verdict, created_at, round(prob_a, 6) AS prob_a FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id_a, doc_id_b ORDER BY created_at) AS n FROM writes) WHERE n = 1"))
+def s5(c: Cell) -> DataFrame:
+    return _writes(c, F.col("created_at"))
+
+
+@query("w4_last_write", S.sql("SELECT query_id, doc_id_a, doc_id_b, prompt_version, verdict, created_at, round(prob_a, 6) AS prob_a FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id_a, doc_id_b ORDER BY created_at DESC) AS n FROM writes) WHERE n = 1"))
+def w4(c: Cell) -> DataFrame:
+    return _writes(c, F.desc("created_at"))
+
+
+def _writes(c: Cell, order) -> DataFrame:
+    from verdictlab.sources.store import keep_one
+
+    plain = pairs.mock_verdicts(pairs.presentations(c.pairs), c.topics, c.corpus).withColumn("created_at", F.lit("2024-01-02"))
+    rows = c.stored.withColumn("created_at", F.when(F.substring("doc_id_a", 8, 1) < "5", "2024-01-01").otherwise("2024-01-03")).unionByName(plain).withColumn("prompt_version", F.lit("v0"))
+    return keep_one(rows, ["query_id", "doc_id_a", "doc_id_b", "prompt_version"], order).select("query_id", "doc_id_a", "doc_id_b", "prompt_version", "verdict", "created_at", F.round("prob_a", 6).alias("prob_a"))
+
+
+@query("s16_pool_documents", S.sql("SELECT DISTINCT qid, docno FROM pool WHERE rank < 20 UNION SELECT qid, doc_id_1 FROM pairs UNION SELECT qid, doc_id_2 FROM pairs"))
+def s16(c: Cell) -> DataFrame:
+    sides = c.pairs.select("qid", F.col("doc_id_1").alias("docno")).union(c.pairs.select("qid", F.col("doc_id_2").alias("docno")))
+    return c.pool.filter("rank < 20").select("qid", "docno").union(sides).distinct()
+
+
+@query("s15_pooled_collections", f"SELECT collection, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens, max(n) AS longest FROM (SELECT 'documents' AS collection, len(regexp_extract_all(lower(coalesce(text, '')), '{S.W}')) AS n FROM documents UNION ALL SELECT 'conversations', len(regexp_extract_all(lower(coalesce(text, '')), '{S.W}')) FROM conversations) GROUP BY collection")
+def s15(c: Cell) -> DataFrame:
+    from verdictlab.functions.text import tokens
+
+    one = lambda t: c.spark.read.parquet(f"{c.dir}/{t}.parquet").select(F.lit(t).alias("collection"), F.size(tokens(F.coalesce("text", F.lit("")))).cast("long").alias("n"))
+    return one("documents").unionByName(one("conversations")).groupBy("collection").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"), F.max("n").alias("longest"))
+
+
+@query("z3_gates", S.sql("SELECT qid, docno, CASE WHEN r < 0.4 THEN 0 WHEN e < 0.65 THEN 1 ELSE 3 END AS score, r >= 0.4 AS relevant, r >= 0.4 AND e >= 0.65 AS answers, r >= 0.4 AND e >= 0.65 AS constrained, round(r, 6) AS relevance, round(CASE WHEN r >= 0.4 THEN e END, 6) AS entailment FROM gate_signals"))
+def z3(c: Cell) -> DataFrame:
+    from verdictlab.functions.text import hash_score
+    from verdictlab.operators.axioms import similarity
+    from verdictlab.operators.gates import gated
+
+    docs = c.pool.filter("rank < 10").join(c.topics, "qid").join(c.corpus, "docno").select("qid", "query", "docno", "text")
+    best = lambda constraint, words: F.coalesce(F.array_max(F.transform(words, lambda w: similarity(constraint, w))), F.lit(0.0))
+    out = gated(docs, hash_score, hash_score, best, html=False)
+    return out.select("qid", "docno", "score", "relevant", "answers", "constrained", F.round("relevance", 6).alias("relevance"), F.round("entailment", 6).alias("entailment"))
+
+
+def _entries(c: Cell) -> DataFrame:
+    pair = lambda t, x: F.struct(F.lit(t).alias("token"), x.alias("logprob"))
+    a, b = F.log(F.col("score_a") + 0.01), F.log(F.col("score_b") + 0.01)
+    entries = F.array(pair("A", a), pair("x", F.lit(0.0)), F.when(F.col("verdict") == "a", pair(" a", F.log(F.col("score_a") + 0.02))), F.when(F.col("verdict") != "tie", pair("b ", b)))
+    return c.stored.select("query_id", "doc_id_a", "doc_id_b", F.filter(entries, lambda e: e.isNotNull()).alias("entries"))
+
+
+@query("r4_label_verdicts", S.sql("SELECT query_id, doc_id_a, doc_id_b, CASE WHEN b IS NULL OR a > b THEN 'a' WHEN a < b THEN 'b' ELSE 'tie' END AS verdict, round(CASE WHEN b IS NULL THEN 1.0 ELSE 1 / (1 + exp(b - a)) END, 6) AS prob_a FROM answers"))
+def r4(c: Cell) -> DataFrame:
+    from verdictlab.operators.gates import label_verdict
+
+    return _entries(c).select("query_id", "doc_id_a", "doc_id_b", label_verdict(F.col("entries")).alias("v")).select("query_id", "doc_id_a", "doc_id_b", "v.verdict", F.round("v.prob_a", 6).alias("prob_a"))
+
+
+@query("r5_adequacy", S.sql("SELECT query_id, doc_id_a, doc_id_b, round((p1 + 3 * p3) / (p1 + p3), 6) AS adequacy, CASE WHEN p1 >= p3 THEN 1 ELSE 3 END AS argmax, CASE WHEN b1 IS NULL THEN 1 ELSE 2 END AS n_label_logprobs FROM (SELECT *, exp(a1) AS p1, coalesce(exp(b1), 0) AS p3 FROM logprobs)"))
+def r5(c: Cell) -> DataFrame:
+    from verdictlab.operators.gates import adequacy
+
+    digits = F.transform(F.filter("entries", lambda e: e["token"].isin("A", "b ")), lambda e: F.struct(F.when(e["token"] == "A", " 1").otherwise("3").alias("token"), e["logprob"].alias("logprob")))
+    return _entries(c).select("query_id", "doc_id_a", "doc_id_b", adequacy(digits).alias("v")).select("query_id", "doc_id_a", "doc_id_b", F.round("v.adequacy", 6).alias("adequacy"), "v.argmax", "v.n_label_logprobs")
+
+
+@query("f8_clean_pages")
+def f8(c: Cell) -> DataFrame:
+    from verdictlab.functions.markup import clean_passage
+
+    return c.spark.read.parquet(f"{c.dir}/pages.parquet").select("page_id", clean_passage("html").alias("passage"))
+
+
+@query("f9_prepared_queries")
+def f9(c: Cell) -> DataFrame:
+    from verdictlab.functions.markup import prepared_query
+
+    asked = c.topics.withColumn("query", F.concat("query", F.lit(" in Python lang:python site:docs.example")))
+    return asked.select("qid", prepared_query(F.col("query")).alias("p")).select("qid", "p.text", F.array_join("p.constraints", "|").alias("constraints"))
+
+
+# ---- models and runs
+
+
+@query("m1_query_folds")
+def m1(c: Cell) -> DataFrame:
+    from verdictlab.operators.models import assign_folds
+
+    return assign_folds(c.verdicts)
+
+
+@query("m3_joint_fit")
+def m3(c: Cell) -> DataFrame:
+    from verdictlab.operators.models import joint_fit
+
+    return joint_fit(merged(c), S.USED)[0]
+
+
+@query("m4_surrogate")
+def m4(c: Cell) -> DataFrame:
+    from verdictlab.operators.models import surrogate
+
+    return surrogate(merged(c), S.USED)[0]
+
+
+@query("a12_surrogate_fidelity")
+def a12(c: Cell) -> DataFrame:
+    from verdictlab.operators.models import fidelity, surrogate
+
+    return fidelity(surrogate(merged(c), S.USED)[0])
+
+
+@query("a20_feature_zero")
+def a20(c: Cell) -> DataFrame:
+    from verdictlab.operators.models import feature_zero_effect, surrogate
+
+    predicted, found = surrogate(merged(c), S.USED)
+    return feature_zero_effect(predicted, S.USED, found["fits"])
+
+
+@query("a10_residual_clusters")
+def a10(c: Cell) -> DataFrame:
+    from verdictlab.operators.models import residual_clusters
+
+    return residual_clusters(judged(c).filter("NOT oof_correct"), ["d_len", "d_qcov", "score_gap", "len_ratio"])
+
+
+@query("m12_ridge")
+def m12(c: Cell) -> DataFrame:
+    from verdictlab.functions.text import tokens
+    from verdictlab.operators.models import ridge_out_of_fold
+
+    grades = c.qrels.select(F.col("query_id").alias("qid"), F.col("doc_id").alias("docno"), F.col("relevance").cast("double").alias("grade"))
+    docs = c.pool.join(c.corpus.select("docno", F.log1p(F.size(tokens(F.col("text"))).cast("double")).alias("log_length")), "docno").join(grades, ["qid", "docno"], "left").withColumn("place", F.col("rank").cast("double"))
+    return ridge_out_of_fold(docs, ["score", "place", "log_length"], "grade").select("qid", "docno", "fold", F.round("predicted", 6).alias("predicted"))
+
+
+def _runs(c: Cell) -> dict[str, DataFrame]:
+    from verdictlab.operators.axioms import majority
+
+    vote = merged(c).withColumn("model_pref", majority(S.USED))
+    runs = {"bm25": c.pool, "llm": c.copeland, "oracle": ranking.oracle_rerank(c.pool, c.qrels, 50), "vote": ranking.copeland(vote, c.pool)}
+    return {name: ranking.evaluate(run, c.qrels) for name, run in runs.items()}
+
+
+@query("g12_run_means", S.sql("SELECT run, count(*) AS n_queries, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(ap), 6) AS ap FROM run_metrics GROUP BY run"))
+def g12(c: Cell) -> DataFrame:
+    from verdictlab.operators.reversals import run_means
+
+    return run_means(_runs(c))
+
+
+@query("a24_metric_by_run", S.sql("SELECT query_id, " + ", ".join(f"max(ndcg_10) FILTER (run = '{r}') AS {r}" for r in ("bm25", "llm", "oracle", "vote")) + " FROM run_metrics GROUP BY query_id"))
+def a24(c: Cell) -> DataFrame:
+    from verdictlab.operators.reversals import by_run
+
+    return by_run(_runs(c), "ndcg_10")
+
+
+@query("g6_vote_run", S.sql("SELECT qid, docno, CAST(rank AS INTEGER) AS rank, score FROM vote_run"))
+def g6(c: Cell) -> DataFrame:
+    from verdictlab.operators.axioms import majority
+
+    return ranking.copeland(merged(c).withColumn("model_pref", majority(S.USED)), c.pool)
+
+
+@query("g11_reversals", S.sql("SELECT * FROM reversed"))
+def g11(c: Cell) -> DataFrame:
+    from verdictlab.operators.axioms import majority
+    from verdictlab.operators.reversals import reversals
+
+    return reversals(merged(c).withColumn("pred", majority(S.USED)), S.USED, c.pool, c.copeland, c.qrels)

@@ -192,3 +192,23 @@ STEPS |= {
     "split": "SELECT docno, text, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '[\\r\\n]+'), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: s <> '') AS ss FROM corpus",
     "stock": f"SELECT docno, CAST(2 * ({' + '.join(f'CAST(contains(lower(text), {chr(39)}{c}{chr(39)}) AS INTEGER)' for c in _i.BOILERPLATE)}) + least(len(regexp_extract_all(lower(text), 'http://|https://|www\\.')), 2) + least(len(regexp_extract_all(text, '{_i.LIST_ITEM}')), 2) + least(len(ss) - len(list_distinct(list_transform(ss, lambda s: array_to_string(regexp_extract_all({_low}, '{A}'), ' ')))), 2) + CASE WHEN len(ss) > 0 AND len(list_filter(ss, lambda s: regexp_matches({_low}, '{_verb}'))) = 0 THEN 1 ELSE 0 END AS INTEGER) AS boilerplate FROM split",
 }
+
+
+# ---- the rest
+
+_sum = " + ".join(f'"{n}"' for n in USED)
+STEPS |= {
+    "writes": "SELECT *, 'v0' AS prompt_version, CASE WHEN substr(doc_id_a, 8, 1) < '5' THEN '2024-01-01' ELSE '2024-01-03' END AS created_at FROM stored UNION ALL SELECT *, 'v0', '2024-01-02' FROM plain",
+    "voted": f"SELECT m.*, CAST(sign({_sum}) AS INTEGER) AS pred FROM merged m",
+    "vote_won": "SELECT query_id AS qid, doc AS docno, sum(w) AS won FROM (SELECT query_id, doc_id_1 AS doc, pred AS w FROM voted UNION ALL SELECT query_id, doc_id_2, -pred FROM voted) GROUP BY ALL",
+    "vote_run": "SELECT p.qid, p.docno, row_number() OVER (PARTITION BY p.qid ORDER BY (won IS NULL), won DESC, rank) - 1 AS rank, CAST(1 - row_number() OVER (PARTITION BY p.qid ORDER BY (won IS NULL), won DESC, rank) AS DOUBLE) AS score FROM pool p LEFT JOIN vote_won USING (qid, docno)",
+    "oracle_run": "SELECT qid, docno, CAST(-row_number() OVER (PARTITION BY qid ORDER BY rank >= 50, CASE WHEN rank < 50 THEN coalesce(relevance, 0) END DESC NULLS LAST, rank) AS DOUBLE) AS score FROM pool p LEFT JOIN qrels q ON q.query_id = qid AND q.doc_id = docno",
+    "vote_metrics": metrics("vote_run"),
+    "oracle_metrics": metrics("oracle_run"),
+    "run_metrics": " UNION ALL ".join(f"SELECT '{n}' AS run, * FROM {m}" for n, m in (("bm25", "bm25_metrics"), ("llm", "copeland_metrics"), ("oracle", "oracle_metrics"), ("vote", "vote_metrics"))),
+    "sided": "SELECT query_id, CASE WHEN pred > 0 THEN doc_id_1 ELSE doc_id_2 END AS winner_doc, CASE WHEN pred > 0 THEN doc_id_2 ELSE doc_id_1 END AS loser_doc, " + ", ".join(f'pred * "{n}" AS "{n}"' for n in USED) + " FROM voted WHERE pred <> 0",
+    "reversed": "SELECT s.*, CAST(a.rank AS INTEGER) AS bm25_winner, c.rank AS llm_winner, coalesce(e.relevance, 0) AS rel_winner, CAST(b.rank AS INTEGER) AS bm25_loser, d.rank AS llm_loser, coalesce(f.relevance, 0) AS rel_loser, CAST(" + " + ".join(f'("{n}" > 0)::INT' for n in USED) + " AS INTEGER) AS n_supporting FROM sided s JOIN pool a ON a.qid = s.query_id AND a.docno = winner_doc JOIN pool b ON b.qid = s.query_id AND b.docno = loser_doc JOIN copeland c ON c.qid = s.query_id AND c.docno = winner_doc JOIN copeland d ON d.qid = s.query_id AND d.docno = loser_doc LEFT JOIN qrels e ON e.query_id = s.query_id AND e.doc_id = winner_doc LEFT JOIN qrels f ON f.query_id = s.query_id AND f.doc_id = loser_doc WHERE a.rank > b.rank AND c.rank < d.rank AND coalesce(e.relevance, 0) > coalesce(f.relevance, 0)",
+    "gate_signals": "SELECT p.qid, p.docno, CAST(CAST('0x' || substr(sha256(query || chr(0) || text), 1, 16) AS UBIGINT) AS DOUBLE) / 18446744073709551616.0 AS r, CAST(CAST('0x' || substr(sha256(text || chr(0) || query), 1, 16) AS UBIGINT) AS DOUBLE) / 18446744073709551616.0 AS e FROM pool p JOIN topics USING (qid) JOIN corpus USING (docno) WHERE rank < 10",
+    "logprobs": "SELECT query_id, doc_id_a, doc_id_b, ln(score_a + 0.01) AS a1, CASE WHEN verdict = 'a' THEN ln(score_a + 0.02) END AS a2, CASE WHEN verdict <> 'tie' THEN ln(score_b + 0.01) END AS b1 FROM stored",
+    "answers": "SELECT query_id, doc_id_a, doc_id_b, coalesce(greatest(a1, a2), a1) AS a, b1 AS b FROM logprobs",
+}
