@@ -7,12 +7,9 @@ from pyspark.sql import functions as F
 
 from verdictlab.functions.text import hash_index
 
-BY_QUERY = Window.partitionBy("qid")
-
-
 def ranked(df: DataFrame, *order: Column) -> DataFrame:
     """qid, docno, rank from 0, score = -rank by an order within the query."""
-    place = F.row_number().over(BY_QUERY.orderBy(*order)) - 1
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(*order)) - 1
     return df.select("qid", "docno", place.alias("rank"), (-place).cast("double").alias("score"))
 
 
@@ -47,7 +44,7 @@ def oracle_rerank(pool: DataFrame, qrels: DataFrame, depth: int) -> DataFrame:
 
 def evaluate(run: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     """query_id, ndcg_10 (linear gain), ap of every judged query; a query that the run misses has zeros. Equal scores rank by descending docno."""
-    place = F.row_number().over(BY_QUERY.orderBy(F.desc("score"), F.desc("docno")))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("docno")))
     got = run.select(F.col("qid").alias("query_id"), F.col("docno").alias("doc_id"), place.alias("place")).join(qrels, ["query_id", "doc_id"]).filter("relevance > 0")
     hits = F.row_number().over(Window.partitionBy("query_id").orderBy("place"))
     got = got.withColumn("precision", hits / F.col("place"))
