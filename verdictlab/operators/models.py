@@ -59,14 +59,14 @@ def probability(features: list[str], fits: dict[int, np.ndarray]) -> Column:
 
 
 def fold_fits(rows: DataFrame, features: list[str]) -> tuple[dict[int, np.ndarray], dict[int, float], np.ndarray]:
-    """(fit without each fold, share of positives without each fold, fit of all) over rows with fold and y (boolean)."""
-    counts = rows.groupBy("fold", "y", *features).agg(F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
+    """(fit without each fold, share of positives without each fold, fit of all) over rows with fold and _y (boolean)."""
+    counts = rows.groupBy("fold", "_y", *features).agg(F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(counts) > MAX_PATTERNS:
         raise ValueError("too many feature patterns for a fit by counts")
     if not counts:
         raise ValueError("no decisive pair")
     counts.sort(key=lambda r: tuple(r))
-    fold, y, n = (np.array([r[c] for r in counts]) for c in ("fold", "y", "n"))
+    fold, y, n = (np.array([r[c] for r in counts]) for c in ("fold", "_y", "n"))
     x = np.array([[float(r[f]) for f in features] for r in counts])
     fits, nulls = {}, {}
     for k in sorted(set(fold.tolist())):
@@ -85,14 +85,14 @@ def joint_fit(merged: DataFrame, features: list[str], folds: int = 5) -> tuple[D
     """
     if not features:
         raise ValueError("a fit needs features")
-    decisive = merged.filter("model_pref <> 0").withColumn("y", F.col("model_pref") > 0)
+    decisive = merged.filter("model_pref <> 0").withColumn("_y", F.col("model_pref") > 0)
     rows = decisive.join(F.broadcast(assign_folds(decisive, "query_id", folds)), "query_id").persist()  # a row a query
     fits, nulls, full = fold_fits(rows, features)
     null = F.lit(None).cast("double")
     for k, v in nulls.items():
         null = F.when(F.col("fold") == k, F.lit(v)).otherwise(null)
     votes = sum((F.col(f) for f in features[1:]), F.col(features[0]))
-    scored = rows.select(*KEY, "fold", F.col("y").alias("y_true"), probability(features, fits).alias("oof_prob"), null.alias("oof_null_prob"), votes.alias("votes"))
+    scored = rows.select(*KEY, "fold", F.col("_y").alias("y_true"), probability(features, fits).alias("oof_prob"), null.alias("oof_null_prob"), votes.alias("votes"))
     right = lambda p: (F.col(p) >= 0.5) == F.col("y_true")
     vote = F.when(F.col("votes") == 0, F.col("oof_null_prob") >= 0.5).otherwise(F.col("votes") > 0)
     out = scored.select(*KEY, "fold", "y_true", "oof_prob", right("oof_prob").alias("oof_correct"), "oof_null_prob", right("oof_null_prob").alias("oof_null_correct"), (vote == F.col("y_true")).alias("vote_correct"))
@@ -101,7 +101,7 @@ def joint_fit(merged: DataFrame, features: list[str], folds: int = 5) -> tuple[D
 
 def surrogate(merged: DataFrame, features: list[str], folds: int = 5) -> tuple[DataFrame, dict]:
     """Predictions for all pairs by fits on the decisive pairs of the other folds: fold, target_pref, surrogate_prob, surrogate_pref, correct_on_decisive (null on ties)."""
-    rows = merged.withColumn("y", F.col("model_pref") > 0).join(F.broadcast(assign_folds(merged, "query_id", folds)), "query_id").persist()
+    rows = merged.withColumn("_y", F.col("model_pref") > 0).join(F.broadcast(assign_folds(merged, "query_id", folds)), "query_id").persist()
     fits, _, full = fold_fits(rows.filter("model_pref <> 0"), features)
     out = rows.withColumn("surrogate_prob", probability(features, fits)).withColumn("surrogate_pref", F.signum(F.round(F.col("surrogate_prob") - 0.5, 12)).cast("int"))
     right = F.when(F.col("model_pref") != 0, F.col("surrogate_pref") == F.col("model_pref"))
