@@ -99,27 +99,26 @@ def base_measures(text: str) -> tuple[int, int, int, int, int, list[bytes]]:
 class Pieces:
     """Tokens and byte-fallback tokens of a word under a BPE with byte fallback, memoised (a full memo is emptied)."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 400_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.byte = np.array([self.model.IsByte(i) for i in range(self.model.get_piece_size())])
+        self.byte = {i for i in range(self.model.get_piece_size()) if self.model.IsByte(i)}
         self.known: dict[bytes, complex] = {}
         self.limit = limit
 
-    def counts(self, words: list[bytes]) -> tuple[int, int]:
-        known = self.known
-        got = list(map(known.get, words))
-        if None in got:
-            if len(known) > self.limit:
-                known.clear()
-            new = [w for w, g in zip(words, got, strict=True) if g is None]
-            fresh = list(dict.fromkeys(new))
-            for w, ids in zip(fresh, self.model.encode([w.decode("utf-8", "replace") for w in fresh], num_threads=1), strict=True):
-                known[w] = complex(len(ids), int(self.byte[ids].sum()))
-            got = [known[w] if g is None else g for w, g in zip(words, got, strict=True)]
-        total = sum(got)
-        return int(total.real), int(total.imag)
+    def counts(self, texts: list[list[bytes]]) -> list[tuple[int, int]]:
+        """(tokens, byte tokens) of each text's words; the words that aren't known go to the library at once."""
+        known, is_byte = self.known, self.byte.__contains__
+        if len(known) > self.limit:
+            known.clear()
+        new = list({w for words in texts for w in words if w not in known})
+        for i in range(0, len(new), 50_000):
+            part = new[i : i + 50_000]
+            for w, ids in zip(part, self.model.encode([w.decode("utf-8", "replace") for w in part], num_threads=1), strict=True):
+                known[w] = complex(len(ids), sum(map(is_byte, ids)))
+        totals = [sum(map(known.__getitem__, words)) for words in texts]
+        return [(int(x.real), int(x.imag)) for x in totals]
 
 
 _pieces: dict[str, Pieces] = {}
@@ -150,12 +149,11 @@ def measure(docs: DataFrame, byte_bpe: str, fallback_bpe: str, carry: str | None
         kinds = [types[f.strip().split()[1]] for f in schema.split(",")]
         for b in batches:
             texts = b.column(1).to_pylist()
-            rows = []
-            for doc_id, text, raw, lang in zip(b.column(0).to_pylist(), texts, enc.encode(texts), b.column(2).to_pylist(), strict=True):
-                *base, words = base_measures(text)
+            rows, base_rows = [], [base_measures(t) for t in texts]
+            counted = pieces.counts([r[-1] for r in base_rows])
+            for doc_id, text, raw, lang, (*base, _), (n_pieces, n_bytes) in zip(b.column(0).to_pylist(), texts, enc.encode(texts), b.column(2).to_pylist(), base_rows, counted, strict=True):
                 n_words, n_repeat = base[0], base[4]
                 ids = np.frombuffer(raw, "<u4")
-                n_pieces, n_bytes = pieces.counts(words)
                 bits = entropy(ids)
                 failed = n_words < MIN_WORDS or 100 * n_repeat > MAX_REPEAT_PERCENT * n_words
                 rows.append((doc_id, *base, failed, lang, script_of(text), len(ids), len(text) / len(ids) if len(ids) else None, n_bytes / n_pieces if n_pieces else None, bits, bits / math.log2(len(ids)) if len(ids) > 1 else None))
