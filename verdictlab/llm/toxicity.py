@@ -75,47 +75,63 @@ def vector(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Index:
-    """Exact nearest examples by cosine."""
+    """Exact nearest examples by cosine.
+
+    The blocks with the greatest bounds are scored one by one until there are enough neighbours; what can then still hold a nearer example is scored together,
+    a term at a time.
+    """
+
+    FIRST = 3
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
         self.n, self.block = len(vectors), block
-        blocks = max(1, -(-self.n // block))
-        self.most = np.zeros((n_terms, blocks))
-        self.postings: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
-        for d, (ids, w) in enumerate(vectors):
-            k = d // block
-            for t, x in zip(ids.tolist(), w.tolist(), strict=True):
-                at = self.postings.setdefault((t, k), ([], []))
-                at[0].append(d - k * block)
-                at[1].append(x)
-                self.most[t, k] = max(self.most[t, k], x)
-        self.arrays = {key: (np.array(i), np.array(x)) for key, (i, x) in self.postings.items()}
-        del self.postings
+        self.blocks = max(1, -(-self.n // block))
+        self.most = np.zeros((n_terms, self.blocks))
+        terms = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
+        docs = np.repeat(np.arange(self.n), [len(v[0]) for v in vectors]) if vectors else np.zeros(0, np.int64)
+        weights = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
+        np.maximum.at(self.most, (terms, docs // block), weights)
+        order = np.lexsort((docs, terms))
+        ends = np.searchsorted(terms[order], np.arange(n_terms + 1))
+        self.docs = [docs[order[a:b]] for a, b in zip(ends, ends[1:], strict=False)]
+        self.weights = [weights[order[a:b]] for a, b in zip(ends, ends[1:], strict=False)]
+        starts = np.arange(self.blocks + 1) * block
+        self.cuts = [np.searchsorted(d, starts).tolist() for d in self.docs]
         self.visited = 0
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the ``k`` nearest with a cosine over zero, nearest first, then by number."""
+        best_d, best_x = np.zeros(0, np.int64), np.zeros(0)
         if not len(ids):
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = weights @ self.most[ids]
-        order = np.argsort(-bound, kind="stable")
-        best_d, best_x, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in order.tolist():
-            if bound[b] <= 0 or len(best_d) == k and bound[b] + 1e-9 < kth:
-                break
-            self.visited += 1
-            score = np.zeros(self.block)
-            for t, w in zip(ids.tolist(), weights.tolist(), strict=True):
-                if got := self.arrays.get((t, b)):
-                    score[got[0]] += w * got[1]
-            hit = np.flatnonzero(score > 0)
-            d, x = hit + b * self.block, np.round(score[hit], 9)
-            if without >= 0:
-                x, d = x[d != without], d[d != without]
-            best_d, best_x = np.concatenate([best_d, d]), np.concatenate([best_x, x])
+            return best_d, best_x
+        bound = weights @ self.most[ids] + 1e-9
+        left, kth = np.argsort(-bound, kind="stable"), 0.0
+        left = left[bound[left] > 1e-9]
+        terms = list(zip(ids.tolist(), weights.tolist(), strict=True))
+        score = np.zeros(self.n)
+        while len(left):
+            some, left = (left[: self.FIRST], left[self.FIRST :]) if len(best_d) < k else (left, left[:0])
+            self.visited += len(some)
+            if len(some) <= self.FIRST:
+                for b in some.tolist():
+                    for t, w in terms:
+                        i, j = self.cuts[t][b : b + 2]
+                        if i < j:
+                            score[self.docs[t][i:j]] += w * self.weights[t][i:j]
+                hit = np.concatenate([np.arange(b * self.block, min(self.n, (b + 1) * self.block)) for b in some.tolist()])
+            else:
+                rest = np.zeros(self.n)
+                for t, w in terms:
+                    rest[self.docs[t]] += w * self.weights[t]
+                hit = np.flatnonzero(np.isin(np.arange(self.n) // self.block, some) if len(some) < self.blocks else rest > 0)
+                score[hit] = rest[hit]
+            x = np.round(score[hit], 9)
+            ok = (x > 0) & (x >= kth) & (hit != without)
+            best_d, best_x = np.concatenate([best_d, hit[ok]]), np.concatenate([best_x, x[ok]])
             keep = np.lexsort((best_d, -best_x))[:k]
             best_d, best_x = best_d[keep], best_x[keep]
             kth = float(best_x[-1]) if len(best_x) == k else 0.0
+            left = left[bound[left] >= kth]
         return best_d, best_x
 
 
