@@ -187,3 +187,57 @@ def regression_fidelity(df: DataFrame, target: str, predicted: str) -> DataFrame
     t, p = F.col(target), F.col(predicted)
     out = ranked.agg(F.count("*").alias("n"), F.corr(f"r_{target}", f"r_{predicted}").alias("c"), F.avg(F.abs(t - p)).alias("e"), F.sum((t - p) * (t - p)).alias("res"), F.var_pop(target).alias("v"))
     return out.select("n", F.round("c", 6).alias("spearman"), F.round("e", 6).alias("mae"), F.round(F.when(F.col("v") > 0, 1 - F.col("res") / (F.col("v") * F.col("n"))), 6).alias("r2"))
+
+
+def candidate_agreement(merged: DataFrame, names: list[str], eligible: DataFrame | None = None) -> DataFrame:
+    """Per axiom: eligible and active queries, pairs of eligible queries, coverage there, positives and negatives, and agreement. ``eligible``: query_id, axiom."""
+    long = by_axiom(merged, names)
+    if eligible is not None:
+        long = long.join(eligible.select("query_id", "axiom").distinct(), ["query_id", "axiom"], "left_semi")
+    active = F.col("pref") != 0
+    out = long.groupBy("axiom").agg(
+        F.count_distinct("query_id").alias("n_eligible_queries"), F.count_distinct(F.when(active, F.col("query_id"))).alias("n_active_queries"), F.count("*").alias("n_pairs"),
+        F.count_if(active).alias("n_active"), F.count_if(F.col("pref") > 0).alias("n_positive"), F.count_if(F.col("pref") < 0).alias("n_negative"), F.count_if(_evaluable()).alias("n_evaluable"), F.count_if(_agrees()).alias("agree"),
+    )
+    return out.select("axiom", "n_eligible_queries", "n_active_queries", "n_pairs", share(F.col("n_active"), F.col("n_pairs")).alias("conditional_coverage"), "n_positive", "n_negative", "n_evaluable", share(F.col("agree"), F.col("n_evaluable")).alias("agreement"))
+
+
+def incremental_fidelity(df: DataFrame, p_base: str, p_more: str, label: str = "y_true", n_bootstrap: int = 200, seed: int = 42) -> DataFrame:
+    """What a second model adds in accuracy and log-loss over the same pairs, with 95 % intervals over resampled queries. Queries are resampled as sums and counts."""
+    spark = df.sparkSession
+    y = F.col(label)
+
+    def loss(p: str):
+        q = F.least(F.greatest(F.col(p), F.lit(1e-12)), F.lit(1 - 1e-12))
+        return -F.when(y, F.log(q)).otherwise(F.log(1 - q))
+
+    right = lambda p: ((F.col(p) >= 0.5) == y).cast("int")
+    each = df.groupBy("query_id").agg(F.count("*").alias("n"), F.sum(right(p_more) - right(p_base)).alias("accuracy"), F.sum(loss(p_base) - loss(p_more)).alias("log_loss"))
+    rows, n = numbered(each, "query_id")
+    long = rows.select("slot", "n", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.round(m, 9).alias("v")) for m in ("accuracy", "log_loss")])).alias("x")).select("slot", "n", "x.measure", "x.v")
+    boot = draws(spark, n, n_bootstrap, seed).join(long, "slot").groupBy("measure", "draw").agg((F.sum("v") / F.sum("n")).alias("r"))
+    ci = boot.groupBy("measure").agg(F.percentile("r", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    lift = long.groupBy("measure").agg(F.round(F.sum("v") / F.sum("n"), 6).alias("lift"))
+    return lift.join(ci, "measure").select("measure", "lift", F.round(F.col("q")[0], 6).alias("ci_lo"), F.round(F.col("q")[1], 6).alias("ci_hi"))
+
+
+def adequacy_evaluation(df: DataFrame, one: str, two: str, verdict: str = "model_pref", dead_band: float = 0.10) -> DataFrame:
+    """How two pointwise scores tell the verdict: pairs, decisive ones, the share outside the dead band, and there the agreement of signs."""
+    gap = F.col(one) - F.col(two)
+    decisive = F.col(verdict) != 0
+    clear = decisive & (F.abs(gap) > dead_band)
+    some = df.filter(F.col(one).isNotNull() & F.col(two).isNotNull())
+    out = some.agg(F.count("*").alias("n_pairs"), F.count_if(decisive).alias("n_decisive"), F.count_if(clear).alias("n_clear"), F.count_if(clear & (F.signum(gap) == F.col(verdict))).alias("agree"))
+    return out.select("n_pairs", "n_decisive", share(F.col("n_clear"), F.col("n_decisive")).alias("discriminating_coverage"), share(F.col("agree"), F.col("n_clear")).alias("sign_agreement"))
+
+
+def residual_lift(df: DataFrame, axioms: list[str], covariates_: list[str], folds: int = 5, n_bootstrap: int = 200, seed: int = 42) -> DataFrame:
+    """What covariates add to axioms in out-of-fold accuracy and log-loss over the same folds. Covariates enter as the sign of their deviation from the mean, so that fits run on counts."""
+    from verdictlab.operators.models import joint_fit
+
+    means = df.agg(*[F.avg(c).alias(c) for c in covariates_]).first()
+    signs = {f"s_{c}": F.coalesce(F.signum(F.col(c) - F.lit(means[c])), F.lit(0.0)).cast("int") for c in covariates_}
+    rows = df.withColumns(signs)
+    base = joint_fit(rows, axioms, folds)[0].select(*KEY, "y_true", F.col("oof_prob").alias("p_base"))
+    more = joint_fit(rows, [*axioms, *signs], folds)[0].select(*KEY, F.col("oof_prob").alias("p_more"))
+    return incremental_fidelity(exact_join(base, more, KEY), "p_base", "p_more", n_bootstrap=n_bootstrap, seed=seed)

@@ -474,3 +474,42 @@ def g11(c: Cell) -> DataFrame:
     from verdictlab.operators.reversals import reversals
 
     return reversals(merged(c).withColumn("pred", majority(S.USED)), S.USED, c.pool, c.copeland, c.qrels)
+
+
+@query("a11_candidate_agreement", S.sql("SELECT axiom, count(DISTINCT query_id) AS n_eligible_queries, count(DISTINCT query_id) FILTER (pref <> 0) AS n_active_queries, count(*) AS n_pairs, round(avg(CAST(pref <> 0 AS INTEGER)), 6) AS conditional_coverage, count(*) FILTER (pref > 0) AS n_positive, count(*) FILTER (pref < 0) AS n_negative, count(*) FILTER (pref <> 0 AND model_pref <> 0) AS n_evaluable, round(CASE WHEN count(*) FILTER (pref <> 0 AND model_pref <> 0) > 0 THEN count(*) FILTER (pref <> 0 AND pref = model_pref) / count(*) FILTER (pref <> 0 AND model_pref <> 0) END, 6) AS agreement FROM long WHERE query_id IN (SELECT qid FROM kinds WHERE intent <> 'unknown') GROUP BY axiom"))
+def a11(c: Cell) -> DataFrame:
+    from verdictlab.functions.intent import normal, parse_query
+    from verdictlab.operators.analysis import candidate_agreement
+
+    # kept, so that the long expression of the intent isn't copied into the plans above
+    intents = c.topics.select(F.col("qid").alias("query_id"), parse_query(normal(F.col("query")))["intent"].alias("intent")).persist()
+    asked = intents.filter("intent <> 'unknown'").select("query_id", F.explode(F.array(*map(F.lit, S.USED))).alias("axiom"))
+    return candidate_agreement(merged(c), S.USED, asked)
+
+
+@query("m23_incremental_fidelity", S.sql("SELECT measure, round(sum(v) / sum(n), 6) AS lift, any_value(ci_lo) AS ci_lo, any_value(ci_hi) AS ci_hi FROM lift_long JOIN lift_ci USING (measure) GROUP BY measure"))
+def m23(c: Cell) -> DataFrame:
+    from verdictlab.operators.analysis import incremental_fidelity
+
+    j = judged(c).select("query_id", "y_true", (1 / (1 + F.exp(-(F.col("margin") - 2) / 10))).alias("p1"), (1 / (1 + F.exp(-F.col("margin") / 5))).alias("p2")).persist()
+    return incremental_fidelity(j, "p1", "p2")
+
+
+@query("a14_adequacy_evaluation", S.sql("SELECT count(*) AS n_pairs, count(*) FILTER (model_pref <> 0) AS n_decisive, round(count(*) FILTER (model_pref <> 0 AND abs(one - two) > 0.1) / count(*) FILTER (model_pref <> 0), 6) AS discriminating_coverage, round(count(*) FILTER (model_pref <> 0 AND abs(one - two) > 0.1 AND sign(one - two) = model_pref) / count(*) FILTER (model_pref <> 0 AND abs(one - two) > 0.1), 6) AS sign_agreement FROM clear"))
+def a14(c: Cell) -> DataFrame:
+    from verdictlab.functions.text import hash_score
+    from verdictlab.operators.analysis import adequacy_evaluation
+
+    docs = c.pool.filter("rank < 10").join(c.topics, "qid").join(c.corpus, "docno").select(F.col("qid").alias("query_id"), "docno", hash_score(F.col("query"), F.col("text")).alias("s")).persist()
+    v = c.verdicts
+    for side, name in (("1", "one"), ("2", "two")):
+        v = v.join(docs.select("query_id", F.col("docno").alias(f"doc_id_{side}"), F.col("s").alias(name)), ["query_id", f"doc_id_{side}"])
+    return adequacy_evaluation(v, "one", "two")
+
+
+@query("m10_residual_lift")
+def m10(c: Cell) -> DataFrame:
+    from verdictlab.operators import analysis
+
+    cov = analysis.covariates(c.verdicts.select(*analysis.KEY), c.pool, c.topics, c.corpus, c.stored).select(*analysis.KEY, "d_len", "d_qcov")
+    return analysis.residual_lift(analysis.exact_join(merged(c), cov, analysis.KEY), S.USED, ["d_len", "d_qcov"])

@@ -212,3 +212,9 @@ STEPS |= {
     "logprobs": "SELECT query_id, doc_id_a, doc_id_b, ln(score_a + 0.01) AS a1, CASE WHEN verdict = 'a' THEN ln(score_a + 0.02) END AS a2, CASE WHEN verdict <> 'tie' THEN ln(score_b + 0.01) END AS b1 FROM stored",
     "answers": "SELECT query_id, doc_id_a, doc_id_b, coalesce(greatest(a1, a2), a1) AS a, b1 AS b FROM logprobs",
 }
+STEPS |= {
+    "lifts": f"SELECT query_id, row_number() OVER (ORDER BY query_id) - 1 AS slot, count(*) AS n, round(CAST(sum(((p2 >= 0.5) = y_true)::INT - ((p1 >= 0.5) = y_true)::INT) AS DOUBLE), 9) AS accuracy, round(sum(-CASE WHEN y_true THEN ln(p1) ELSE ln(1 - p1) END + CASE WHEN y_true THEN ln(p2) ELSE ln(1 - p2) END), 9) AS log_loss FROM (SELECT query_id, y_true, 1 / (1 + exp(-(margin - 2) / 10)) AS p1, 1 / (1 + exp(-margin / 5)) AS p2 FROM judged) GROUP BY query_id",
+    "lift_long": "SELECT slot, n, unnest(['accuracy', 'log_loss']) AS measure, unnest([accuracy, log_loss]) AS v FROM lifts",
+    "lift_ci": f"SELECT measure, round(quantile_cont(r, 0.025), 6) AS ci_lo, round(quantile_cont(r, 0.975), 6) AS ci_hi FROM (SELECT measure, draw, sum(v) / sum(n) AS r FROM ({slots('(SELECT count(*) FROM lifts)', 200)}) JOIN lift_long USING (slot) GROUP BY ALL) GROUP BY measure",
+    "clear": "SELECT m.model_pref, a.s AS one, b.s AS two FROM verdicts m JOIN hashes a ON a.qid = m.query_id AND a.docno = m.doc_id_1 JOIN hashes b ON b.qid = m.query_id AND b.docno = m.doc_id_2",
+}
