@@ -131,3 +131,12 @@ def test_ridge_against_numpy(spark):
         beta = np.linalg.solve(z.T @ z + np.eye(2), z.T @ (y - y.mean()))
         want = float(np.clip(y.mean() + ((np.array([r["a"], r["b"]]) - m) / s) @ beta, 0, 3))
         assert r["predicted"] == pytest.approx(want, abs=1e-8)
+
+
+def test_lifts(spark):
+    df = feature_frame(spark).withColumn("c", F.col("X").cast("double"))
+    got = {r["measure"]: r for r in analysis.residual_lift(df.drop("X"), ["Y"], ["c"], n_bootstrap=20).collect()}
+    assert got["accuracy"]["lift"] > 0.4 and got["accuracy"]["ci_lo"] > 0 and got["log_loss"]["lift"] > 0
+    oof = spark.createDataFrame([(f"q{i}", True, 0.6, 0.9) for i in range(4)], "query_id string, y_true boolean, a double, b double")
+    rows = {r["measure"]: (r["lift"], r["ci_lo"], r["ci_hi"]) for r in analysis.incremental_fidelity(oof, "a", "b", n_bootstrap=10).collect()}
+    assert rows["accuracy"] == (0.0, 0.0, 0.0) and len(set(rows["log_loss"])) == 1

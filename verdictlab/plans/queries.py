@@ -505,11 +505,3 @@ def a14(c: Cell) -> DataFrame:
     for side, name in (("1", "one"), ("2", "two")):
         v = v.join(docs.select("query_id", F.col("docno").alias(f"doc_id_{side}"), F.col("s").alias(name)), ["query_id", f"doc_id_{side}"])
     return adequacy_evaluation(v, "one", "two")
-
-
-@query("m10_residual_lift")
-def m10(c: Cell) -> DataFrame:
-    from verdictlab.operators import analysis
-
-    cov = analysis.covariates(c.verdicts.select(*analysis.KEY), c.pool, c.topics, c.corpus, c.stored).select(*analysis.KEY, "d_len", "d_qcov")
-    return analysis.residual_lift(analysis.exact_join(merged(c), cov, analysis.KEY), S.USED, ["d_len", "d_qcov"])
