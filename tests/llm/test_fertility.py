@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from verdictlab.llm import fertility
@@ -70,3 +71,16 @@ def test_copies_do_not_squeeze_a_band(spark):
     other = " ".join(f"another{i} thing{i * 3}" for i in range(60))
     rows = fertility.fertility_rules(documents(spark, [text] * 200 + [other] * 3), *PATHS).collect()
     assert all(r["kept"] for r in rows)
+
+
+def test_junk_that_passes_the_base_rule_is_rejected(spark):
+    words = "the other house is there with some water under every window before morning".split()
+    rng = np.random.default_rng(3)
+    clean = [" ".join(rng.choice(words, 80 + i)) for i in range(120)]
+    junk = [" ".join(w + "%$&*"[rng.integers(4)] * 3 for w in rng.choice(words, 100 + i)) for i in range(5)]
+    # copies of one text must not narrow the band of the others
+    docs = documents(spark, clean + junk + [clean[0]] * 300)
+    rows = {r["doc_id"]: r for r in fertility.fertility_rules(docs, *PATHS).collect()}
+    assert not any(rows[120 + i]["base_failed"] for i in range(5))
+    assert not any(rows[120 + i]["kept"] for i in range(5))
+    assert all(r["kept"] for d, r in rows.items() if not 120 <= d < 125)

@@ -2,8 +2,8 @@
 
 Every whole text is measured with two public vocabularies: a byte-level BPE gives characters per token and the entropy of its tokens,
 a BPE with byte fallback gives the share of byte tokens. A text is rejected where a measure leaves the band of its language and script.
-The bands come from quantiles over all documents of a language and script: three interquartile ranges beyond the quartiles,
-and never narrower than FLOOR around the median, so that a large group of copies can't squeeze a band.
+The bands come from quantiles over all distinct texts of a language and script, so that copies can't squeeze a band: three interquartile ranges
+beyond the quartiles, which are taken SURE standard errors outwards, as a small group knows them badly. A band that judges texts of other languages is also never narrower than FLOOR around the median.
 """
 
 from __future__ import annotations
@@ -23,11 +23,13 @@ SYMBOLS = b"#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A band reaches so many interquartile ranges beyond the quartiles, and at least from median * (1 - FLOOR) to median * (1 + FLOOR).
+#: A band reaches so many interquartile ranges beyond the quartiles; a script's, whose languages differ, at least from median * (1 - FLOOR) to median * (1 + FLOOR).
 REACH, FLOOR = 3.0, 0.4
+#: The lower quartile of n texts is read at the level 0.25 - SURE * sqrt(0.25 * 0.75 / n) in whole hundredths, the upper one likewise.
+SURE = 3.0
 #: The band of byte fallback reaches at least so far above the median.
 FALLBACK_FLOOR = 0.1
-#: A language with fewer documents uses the band of its script; a script with fewer has none.
+#: A language with fewer distinct texts uses the band of its script; a script with fewer has none.
 MIN_DOCS = 50
 
 #: Unicode blocks by script (fixed values of the standard): first and last code points.
@@ -134,7 +136,7 @@ def entropy(ids: np.ndarray) -> float:
     return float(math.log2(n) - (counts * np.log2(counts)).sum() / n)
 
 
-MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lang string, script string, n_tokens long, chars_per_token double, byte_fallback double, token_entropy double, evenness double"
+MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lang string, script string, n_tokens long, chars_per_token double, byte_fallback double, token_entropy double, evenness double, text_key long"
 
 
 def measure(docs: DataFrame, byte_bpe: str, fallback_bpe: str, carry: str | None = None) -> DataFrame:
@@ -151,34 +153,40 @@ def measure(docs: DataFrame, byte_bpe: str, fallback_bpe: str, carry: str | None
             texts = b.column(1).to_pylist()
             rows, base_rows = [], [base_measures(t) for t in texts]
             counted = pieces.counts([r[-1] for r in base_rows])
-            for doc_id, text, raw, lang, (*base, _), (n_pieces, n_bytes) in zip(b.column(0).to_pylist(), texts, enc.encode(texts), b.column(2).to_pylist(), base_rows, counted, strict=True):
+            for doc_id, text, raw, lang, key, (*base, _), (n_pieces, n_bytes) in zip(b.column(0).to_pylist(), texts, enc.encode(texts), b.column(2).to_pylist(), b.column(3).to_pylist(), base_rows, counted, strict=True):
                 n_words, n_repeat = base[0], base[4]
                 ids = np.frombuffer(raw, "<u4")
                 bits = entropy(ids)
                 failed = n_words < MIN_WORDS or 100 * n_repeat > MAX_REPEAT_PERCENT * n_words
-                rows.append((doc_id, *base, failed, lang, script_of(text), len(ids), len(text) / len(ids) if len(ids) else None, n_bytes / n_pieces if n_pieces else None, bits, bits / math.log2(len(ids)) if len(ids) > 1 else None))
+                rows.append((doc_id, *base, failed, lang, script_of(text), len(ids), len(text) / len(ids) if len(ids) else None, n_bytes / n_pieces if n_pieces else None, bits, bits / math.log2(len(ids)) if len(ids) > 1 else None, key))
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     schema = MEASURES
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).mapInArrow(run, schema)
 
 
 BANDED = ("chars_per_token", "evenness", "byte_fallback")
 
 
-def bands(measured: DataFrame, *by: str) -> DataFrame:
-    """The quartiles and median of every banded measure, for each group with MIN_DOCS documents or more."""
-    quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 1000).alias(f"q_{m}") for m in BANDED]
-    out = measured.groupBy(*by).agg(F.count("*").alias("n_docs"), *quartiles).filter(F.col("n_docs") >= MIN_DOCS)
+def distinct_texts(measured: DataFrame) -> DataFrame:
+    """The banded measures of every text of a language and script once."""
+    return measured.groupBy("lang", "script", "text_key").agg(*[F.first(m).alias(m) for m in BANDED])
+
+
+def bands(texts: DataFrame, *by: str, floor: float = 0.0) -> DataFrame:
+    """The ends of every banded measure's band, for each group with MIN_DOCS distinct texts or more."""
+    levels = [F.percentile_approx(m, [k / 100 for k in range(101)], 1000).alias(f"q_{m}") for m in BANDED]
+    out = texts.groupBy(*by).agg(F.count("*").alias("n_docs"), *levels).filter(F.col("n_docs") >= MIN_DOCS)
+    down = F.greatest(F.lit(0), F.floor(25 - 100 * SURE * F.sqrt(0.1875 / F.col("n_docs")))).cast("int")
     ends = []
     for m in BANDED:
-        low, mid, high = (F.col(f"q_{m}")[i] for i in range(3))
+        low, mid, high = (F.col(f"q_{m}")[i] for i in (down, F.lit(50), 100 - down))
         width = REACH * (high - low)
         if m == "byte_fallback":
             ends += [F.lit(0.0).alias(f"low_{m}"), F.greatest(high + width, mid + FALLBACK_FLOOR).alias(f"high_{m}")]
         else:
-            ends += [F.least(low - width, mid * (1 - FLOOR)).alias(f"low_{m}"), F.greatest(high + width, mid * (1 + FLOOR)).alias(f"high_{m}")]
+            ends += [F.least(low - width, mid * (1 - floor)).alias(f"low_{m}"), F.greatest(high + width, mid * (1 + floor)).alias(f"high_{m}")]
     return out.select(*by, *ends)
 
 
@@ -198,7 +206,8 @@ def fertility_rules(docs: DataFrame, byte_bpe: str, fallback_bpe: str) -> DataFr
     Repeated rows are each judged, with the same verdict. An empty table gives no row. Columns besides doc_id, text and lang are left out.
     """
     measured = staged(measure(docs, byte_bpe, fallback_bpe), "fertility")
-    own, script = _small(bands(measured, "lang", "script")), _small(bands(measured, "script"))
+    texts = staged(distinct_texts(measured), "texts")
+    own, script = _small(bands(texts, "lang", "script")), _small(bands(texts, "script", floor=FLOOR))
     ends = [f"{end}_{m}" for m in BANDED for end in ("low", "high")]
     script = script.withColumnsRenamed({e: f"s_{e}" for e in ends})
     out = measured.join(own, ["lang", "script"], "left").join(script, "script", "left")
