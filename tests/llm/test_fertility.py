@@ -84,3 +84,15 @@ def test_junk_that_passes_the_base_rule_is_rejected(spark):
     assert not any(rows[120 + i]["base_failed"] for i in range(5))
     assert not any(rows[120 + i]["kept"] for i in range(5))
     assert all(r["kept"] for d, r in rows.items() if not 120 <= d < 125)
+
+
+def test_no_text_goes_unjudged(spark):
+    words = "alpha beta gamma delta epsilon zeta theta lambda".split()
+    clean = [" ".join(f"{words[(i + j) % 8]} {words[(i * j) % 8]} w{(i * 31 + j * 17) % 97}" for j in range(60 + i)) for i in range(80)]
+    odd = [" ".join(f"ꙮ{chr(0xA640 + (i * 7 + j) % 40)}ꙮ{j}" for j in range(70)) for i in range(3)]
+    # beside many others, and alone in a table too small for any band of MIN_DOCS
+    for texts in (clean + odd, clean[:4] + odd, odd):
+        rows = {r["doc_id"]: r for r in fertility.fertility_rules(documents(spark, texts), *PATHS).collect()}
+        n = len(texts) - 3
+        assert not any(rows[n + i]["base_failed"] or rows[n + i]["kept"] for i in range(3))
+        assert all(rows[i]["kept"] for i in range(n))

@@ -29,8 +29,10 @@ REACH, FLOOR = 3.0, 0.4
 SURE = 3.0
 #: The band of byte fallback reaches at least so far above the median.
 FALLBACK_FLOOR = 0.1
-#: A language with fewer distinct texts uses the band of its script; a script with fewer has none.
+#: A language with fewer distinct texts uses the band of its script; a script with fewer uses that of all documents, however few these are.
 MIN_DOCS = 50
+#: Without a band of its own language, a text is also rejected with a greater share of byte tokens.
+MAX_FALLBACK = 0.5
 
 #: Unicode blocks by script (fixed values of the standard): first and last code points.
 SCRIPTS = {
@@ -174,10 +176,10 @@ def distinct_texts(measured: DataFrame) -> DataFrame:
     return measured.groupBy("lang", "script", "text_key").agg(*[F.first(m).alias(m) for m in BANDED])
 
 
-def bands(texts: DataFrame, *by: str, floor: float = 0.0) -> DataFrame:
-    """The ends of every banded measure's band, for each group with MIN_DOCS distinct texts or more."""
+def bands(texts: DataFrame, *by: str, floor: float = 0.0, least: int = MIN_DOCS) -> DataFrame:
+    """The ends of every banded measure's band, for each group with ``least`` distinct texts or more."""
     levels = [F.percentile_approx(m, [k / 100 for k in range(101)], 1000).alias(f"q_{m}") for m in BANDED]
-    out = texts.groupBy(*by).agg(F.count("*").alias("n_docs"), *levels).filter(F.col("n_docs") >= MIN_DOCS)
+    out = texts.groupBy(*by).agg(F.count("*").alias("n_docs"), *levels).filter(F.col("n_docs") >= least)
     down = F.greatest(F.lit(0), F.floor(25 - 100 * SURE * F.sqrt(0.1875 / F.col("n_docs")))).cast("int")
     ends = []
     for m in BANDED:
@@ -203,17 +205,21 @@ def fertility_rules(docs: DataFrame, byte_bpe: str, fallback_bpe: str) -> DataFr
     """One row a document: the measures, base_failed and kept.
 
     A null or empty text has no word and fails the base rule; a null language counts as "und". A measure that a text doesn't have can't reject it.
+    A text is judged by the band of its language and script, or else of its script, or else of all documents.
     Repeated rows are each judged, with the same verdict. An empty table gives no row. Columns besides doc_id, text and lang are left out.
     """
     measured = staged(measure(docs, byte_bpe, fallback_bpe), "fertility")
     texts = staged(distinct_texts(measured), "texts")
     own, script = _small(bands(texts, "lang", "script")), _small(bands(texts, "script", floor=FLOOR))
+    whole = (bands(texts, floor=FLOOR, least=1).collect() or [None])[0]
     ends = [f"{end}_{m}" for m in BANDED for end in ("low", "high")]
     script = script.withColumnsRenamed({e: f"s_{e}" for e in ends})
     out = measured.join(own, ["lang", "script"], "left").join(script, "script", "left")
     inside = F.lit(True)
     for m in BANDED:
-        low, high = (F.coalesce(F.col(f"{e}_{m}"), F.col(f"s_{e}_{m}")) for e in ("low", "high"))
+        low, high = (F.coalesce(F.col(f"{e}_{m}"), F.col(f"s_{e}_{m}"), F.lit(whole[f"{e}_{m}"] if whole else None)) for e in ("low", "high"))
+        if m == "byte_fallback":
+            high = F.when(F.col(f"high_{m}").isNull(), F.least(high, F.lit(MAX_FALLBACK))).otherwise(high)
         inside = inside & F.coalesce((F.col(m) >= low) & (F.col(m) <= high), F.lit(True))
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return out.select(*first, (~F.col("base_failed") & inside).alias("kept"), "lang", "script", "n_tokens", "chars_per_token", "byte_fallback", "token_entropy", "evenness")
