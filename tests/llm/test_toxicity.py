@@ -70,3 +70,14 @@ def test_accuracy_on_held_out_rows(spark):
 def test_terms():
     assert toxicity.terms_of_word("Réeuxment,!!") == ("réeuxment", "^rée", "^réeu", "^réeux", "^réeuxm")
     assert toxicity.terms_of_word("%%% 12") == ()
+
+
+def test_every_text_has_neighbours_of_both_labels(spark):
+    docs, labels = labelled(spark)
+    rows = [r for r in toxicity.toxicity(docs, labels).collect() if r["doc_id"] is not None and 0 <= r["doc_id"] < 400]
+    # clean texts hold no term that goes with the toxic label, and are looked up all the same
+    assert all(r["evidence"].count(":") == 6 for r in rows)
+    assert all(x.endswith(":0") for r in rows if r["doc_id"] % 5 for x in r["evidence"].split(","))
+    sample, _ = toxicity.fit_sample(labels)
+    terms = set(toxicity.choose_terms(docs, sample))
+    assert {"then", "^the", "scumly", "^scu"} <= terms

@@ -1,9 +1,11 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found in a block-max inverted index.
 
 Terms are words and the starts of words (three to six letters, written with a leading ^), so that compounds share terms with their kin.
-The vocabulary holds the terms that go with the label most clearly among the examples. Document frequencies count all documents.
-The index keeps each term's weights by blocks of examples, with the greatest weight of every block. A text's blocks are visited by the bound
-that these give, until no block can hold a nearer example: the neighbours are exact, ties going to the lesser document id.
+The vocabulary holds every term of the examples, whatever its label or frequency; terms that no example has can't bring one nearer and don't count.
+Terms that go with label 1 weigh more, none weighs less than its TF-IDF.
+Document frequencies count all documents. The index keeps the commonest terms' weights as a matrix with the greatest weight of every block of examples,
+the others' as postings. A text's blocks are visited by the bound that these give, until no block can hold a nearer example: the neighbours are exact,
+ties going to the lesser document id.
 """
 
 from __future__ import annotations
@@ -20,13 +22,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, staged
+from .common import ready
 
 #: At most so many examples of each label, by a hash of their ids: the bound of the sample that the classifier is fitted on.
 MAX_EXAMPLES = 2500
-#: At most so many terms, each in MIN_DF examples or more, MIN_SHARE of them (weighed to the labels' true shares) toxic, and with a chi-squared of MIN_CHI or more.
-MAX_TERMS, MIN_DF, MIN_SHARE, MIN_CHI = 2000, 4, 0.85, 20.0
 NEIGHBOURS, BLOCK = 11, 64
+#: A term counts 1 + chi-squared / CHI times its TF-IDF, with the chi-squared of its going with label 1 among the examples (with Yates' correction).
+CHI = 20.0
+#: So many of the commonest terms are kept as a matrix, and so many texts are looked up together.
+DENSE, TOGETHER = 2048, 256
+#: More than single precision can be wrong by in a cosine.
+SLACK = 2e-5
 #: What the prior weighs against the neighbours' votes.
 PRIOR_WEIGHT = 0.1
 THRESHOLD = 0.7
@@ -77,62 +83,105 @@ def vector(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Index:
     """Exact nearest examples by cosine.
 
-    The blocks with the greatest bounds are scored one by one until there are enough neighbours; what can then still hold a nearer example is scored together,
-    a term at a time.
+    The scores of the rarer terms come first, by their postings; a block's bound is the greatest of these and the greatest weights of the common terms.
+    The blocks with the greatest bounds are scored until there are enough neighbours, then those that can still hold a nearer example.
+    These scores are of single precision: whatever they can't tell from the last neighbour is scored anew in double.
     """
 
     FIRST = 3
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
-        self.n, self.block = len(vectors), block
-        self.blocks = max(1, -(-self.n // block))
-        self.most = np.zeros((n_terms, self.blocks))
-        terms = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
-        docs = np.repeat(np.arange(self.n), [len(v[0]) for v in vectors]) if vectors else np.zeros(0, np.int64)
+        ids = np.concatenate([v[0] for v in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32)
         weights = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
-        np.maximum.at(self.most, (terms, docs // block), weights)
-        order = np.lexsort((docs, terms))
-        ends = np.searchsorted(terms[order], np.arange(n_terms + 1))
-        self.docs = [docs[order[a:b]] for a, b in zip(ends, ends[1:], strict=False)]
-        self.weights = [weights[order[a:b]] for a, b in zip(ends, ends[1:], strict=False)]
-        starts = np.arange(self.blocks + 1) * block
-        self.cuts = [np.searchsorted(d, starts).tolist() for d in self.docs]
         self.visited = 0
+        self.__setstate__((ids, weights, np.cumsum([0, *[len(v[0]) for v in vectors]]), n_terms, block))
+
+    def __getstate__(self) -> tuple:
+        return self.ids, self.weights, self.ends, self.n_terms, self.block
+
+    def __setstate__(self, state: tuple) -> None:
+        self.ids, self.weights, self.ends, self.n_terms, self.block = state
+        self.n, self.visited = len(self.ends) - 1, 0
+        self.blocks = max(1, -(-self.n // self.block))
+        docs = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.ends))
+        common = np.argsort(-np.bincount(self.ids, minlength=self.n_terms), kind="stable")[:DENSE]
+        self.column = np.full(self.n_terms, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        at = self.column[self.ids]
+        self.matrix = np.zeros((self.n, len(common)), np.float32)
+        self.matrix[docs[at >= 0], at[at >= 0]] = self.weights[at >= 0]
+        self.starts = np.arange(self.blocks) * self.block
+        self.most = np.maximum.reduceat(self.matrix, self.starts, axis=0).T if self.n else np.zeros((len(common), 1), np.float32)
+        rare = np.flatnonzero(at < 0)
+        rare = rare[np.argsort(self.ids[rare], kind="stable")]
+        self.post_docs, self.post_weights = docs[rare], self.weights[rare]
+        self.post_ends = np.searchsorted(self.ids[rare], np.arange(self.n_terms + 1))
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the ``k`` nearest with a cosine over zero, nearest first, then by number."""
-        best_d, best_x = np.zeros(0, np.int64), np.zeros(0)
-        if not len(ids):
-            return best_d, best_x
-        bound = weights @ self.most[ids] + 1e-9
-        left, kth = np.argsort(-bound, kind="stable"), 0.0
-        left = left[bound[left] > 1e-9]
-        terms = list(zip(ids.tolist(), weights.tolist(), strict=True))
-        score = np.zeros(self.n)
-        while len(left):
-            some, left = (left[: self.FIRST], left[self.FIRST :]) if len(best_d) < k else (left, left[:0])
-            self.visited += len(some)
-            if len(some) <= self.FIRST:
-                for b in some.tolist():
-                    for t, w in terms:
-                        i, j = self.cuts[t][b : b + 2]
-                        if i < j:
-                            score[self.docs[t][i:j]] += w * self.weights[t][i:j]
-                hit = np.concatenate([np.arange(b * self.block, min(self.n, (b + 1) * self.block)) for b in some.tolist()])
-            else:
-                rest = np.zeros(self.n)
-                for t, w in terms:
-                    rest[self.docs[t]] += w * self.weights[t]
-                hit = np.flatnonzero(np.isin(np.arange(self.n) // self.block, some) if len(some) < self.blocks else rest > 0)
-                score[hit] = rest[hit]
-            x = np.round(score[hit], 9)
-            ok = (x > 0) & (x >= kth) & (hit != without)
-            best_d, best_x = np.concatenate([best_d, hit[ok]]), np.concatenate([best_x, x[ok]])
-            keep = np.lexsort((best_d, -best_x))[:k]
-            best_d, best_x = best_d[keep], best_x[keep]
-            kth = float(best_x[-1]) if len(best_x) == k else 0.0
-            left = left[bound[left] >= kth]
-        return best_d, best_x
+        return self.nearest_of_all([(ids, weights)], k, [without])[0]
+
+    def nearest_of_all(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of every text."""
+        out = []
+        for i in range(0, len(texts), TOGETHER):
+            out += self._together(texts[i : i + TOGETHER], k, without[i : i + TOGETHER] if without else [-1] * TOGETHER)
+        return out
+
+    def _together(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        if not self.n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(texts)
+        common = np.zeros((len(texts), self.matrix.shape[1]), np.float32)
+        rare = np.zeros((len(texts), self.n), np.float32)
+        for q, (ids, weights) in enumerate(texts):
+            at = self.column[ids]
+            common[q, at[at >= 0]] = weights[at >= 0]
+            t, w = ids[at < 0], weights[at < 0]
+            first, many = self.post_ends[t], self.post_ends[t + 1] - self.post_ends[t]
+            if many.sum():
+                here = np.arange(many.sum()) + np.repeat(first - (np.cumsum(many) - many), many)
+                rare[q] = np.bincount(self.post_docs[here], np.repeat(w, many) * self.post_weights[here], self.n)
+        bound = common @ self.most + np.maximum.reduceat(rare, self.starts, axis=1)
+        score = np.full(rare.shape, -1, np.float32)
+        left = np.zeros(bound.shape, bool)
+        np.put_along_axis(left, np.argsort(-bound, axis=1, kind="stable")[:, : self.FIRST], True, axis=1)
+        done = ~(bound > 0)
+        for _ in range(2):
+            left &= ~done
+            self.visited += int(left.sum())
+            for b in np.flatnonzero(left.any(axis=0)).tolist():
+                rows, span = np.flatnonzero(left[:, b]), slice(b * self.block, (b + 1) * self.block)
+                score[rows, span] = common[rows] @ self.matrix[span].T + rare[rows, span]
+            for q, d in enumerate(without[: len(texts)]):
+                if d >= 0:
+                    score[q, d] = -1
+            done |= left
+            kth = -np.partition(-score, k - 1, axis=1)[:, k - 1] if self.n >= k else np.zeros(len(texts), np.float32)
+            left = bound >= np.maximum(kth, 0)[:, None] - SLACK
+        found, whole = [], np.zeros(self.n_terms)
+        for q, (ids, weights) in enumerate(texts):
+            near = np.flatnonzero((score[q] > 0) & (score[q] >= kth[q] - SLACK))
+            whole[ids] = weights
+            x = np.round([float(whole[self.ids[a:b]] @ self.weights[a:b]) for a, b in zip(self.ends[near].tolist(), self.ends[near + 1].tolist(), strict=True)], 9)
+            whole[ids] = 0
+            near, x = near[x > 0], x[x > 0]
+            order = np.lexsort((near, -x))[:k]
+            found.append((near[order], x[order]))
+        return found
+
+
+def emphasis(labels: np.ndarray, counts: list[dict[int, int]], n_terms: int) -> np.ndarray:
+    """What every term's TF-IDF is multiplied by: one, and more for terms that go with label 1."""
+    n, toxic = np.zeros(n_terms), np.zeros(n_terms)
+    for y, c in zip(labels.tolist(), counts, strict=True):
+        ids = np.fromiter(c, np.int64, len(c))
+        n[ids] += 1
+        toxic[ids] += y
+    m = float(len(labels))
+    m1 = float(labels.sum())
+    off = np.maximum(np.abs(toxic * m - n * m1) - m / 2, 0)
+    chi = m * off * off / np.maximum(m1 * (m - m1) * n * (m - n), 1)
+    return 1 + np.where(toxic * m > n * m1, chi, 0) / CHI
 
 
 class Model:
@@ -144,22 +193,24 @@ class Model:
         n0 = max(1.0, float(len(labels) - self.labels.sum()))
         self.weight = np.where(self.labels > 0, true_counts[1] / n1, true_counts[0] / n0)
         self.prior = (true_counts[1] + 0.5) / (sum(true_counts) + 1)
-        self.vectors = [vector(c, idf) for c in counts]
-        self.index = Index(self.vectors, len(vocabulary))
+        vectors = [vector(c, idf) for c in counts]
+        self.index = Index(vectors, len(vocabulary))
         self.a, self.b = 1.0, 0.0
-        without = np.array([len(v[0]) == 0 for v in self.vectors], bool)
+        without = np.array([len(v[0]) == 0 for v in vectors], bool)
         w = self.weight[without]
         self.bare = float((w * self.labels[without]).sum() + self.prior) / float(w.sum() + 1) if len(labels) else self.prior
-        raw = [(self.vote(*v, without=d)[0], d) for d, v in enumerate(self.vectors) if len(v[0])]
+        some = [d for d, v in enumerate(vectors) if len(v[0])]
+        near = self.index.nearest_of_all([vectors[d] for d in some], NEIGHBOURS, some)
+        raw = [(self.vote(*n), d) for n, d in zip(near, some, strict=True)]
         if raw:
             self._calibrate(np.array([x for x, _ in raw]), self.labels[[d for _, d in raw]], self.weight[[d for _, d in raw]])
 
-    def vote(self, ids: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        d, x = self.index.nearest(ids, weights, NEIGHBOURS, without)
+    def vote(self, d: np.ndarray, x: np.ndarray) -> float:
+        """The log odds of label 1 by the neighbours ``d`` at cosines ``x``."""
         w = x * x * self.weight[d] if len(d) else x
         scale = float(self.weight.mean()) if len(self.weight) else 1.0
         p = (float((w * self.labels[d]).sum()) + PRIOR_WEIGHT * scale * self.prior) / (float(w.sum()) + PRIOR_WEIGHT * scale)
-        return math.log(p / (1 - p)), d, x
+        return math.log(p / (1 - p))
 
     def _calibrate(self, raw: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
         """A logistic curve of the examples' own votes (each without itself), by damped Newton steps with a pull to slope one."""
@@ -176,14 +227,14 @@ class Model:
         if theta[0] > 0:
             self.a, self.b = float(theta[0]), float(theta[1])
 
-    def score(self, counts: dict[int, int]) -> tuple[float, str]:
-        """(the probability of label 1, the three nearest examples as id:cosine:label)."""
-        ids, weights = vector(counts, self.idf)
-        if not len(ids) or not weights.any():
-            return self.bare, ""
-        raw, d, x = self.vote(ids, weights)
-        p = 1 / (1 + math.exp(-max(-30.0, min(30.0, self.a * raw + self.b))))
-        return p, ",".join(f"{self.ids[i]}:{c:.4f}:{int(self.labels[i])}" for i, c in zip(d[:3].tolist(), x[:3].tolist(), strict=True))
+    def scores(self, counts: list[dict[int, int]]) -> list[tuple[float, str]]:
+        """(the probability of label 1, the three nearest examples as id:cosine:label) of every text."""
+        vectors = [vector(c, self.idf) for c in counts]
+        out = []
+        for (ids, _), (d, x) in zip(vectors, self.index.nearest_of_all(vectors, NEIGHBOURS), strict=True):
+            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, self.a * self.vote(d, x) + self.b)))) if len(ids) else self.bare
+            out.append((p, ",".join(f"{self.ids[i]}:{c:.4f}:{int(self.labels[i])}" for i, c in zip(d[:3].tolist(), x[:3].tolist(), strict=True))))
+        return out
 
 
 def held_out(doc_id: Column) -> Column:
@@ -210,100 +261,113 @@ def fit_sample(labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> tuple[dic
     return sample, (counts.get(0, 0), counts.get(1, 0))
 
 
-def choose_terms(docs: DataFrame, sample: dict[int, int], true_counts: tuple[int, int]) -> list[str]:
-    """The vocabulary, most clearly toxic first."""
+def choose_terms(docs: DataFrame, sample: dict[int, int]) -> list[str]:
+    """The vocabulary: every term of the examples, in order. Its size follows the sample, not the documents."""
     spark = docs.sparkSession
     if not sample:
         return []
-    chosen = spark.createDataFrame(list(sample.items()), "doc_id long, toxic int")
+    chosen = spark.createDataFrame([(d,) for d in sample], "doc_id long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                terms = list({t for w in set((text or "").split()) for t in terms_of_word(w)})
-                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([y] * len(terms), pa.int32())], ["term", "toxic"])
+            words = {w for text in b.column(0).to_pylist() for w in (text or "").split()}
+            yield pa.RecordBatch.from_arrays([pa.array(list({t for w in words for t in terms_of_word(w)}), pa.string())], ["term"])
 
     # at most two times max_examples ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    by_term = texts.mapInArrow(run, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("n1"), F.count("*").alias("n"))
-    m1, m0 = max(1, sum(sample.values())), max(1, len(sample) - sum(sample.values()))
-    w1, w0 = true_counts[1] / m1, true_counts[0] / m0
-    a, c = F.col("n1").cast("double"), (F.col("n") - F.col("n1")).cast("double")
-    b, d = F.lit(float(m1)) - a, F.lit(float(m0)) - c
-    chi = (m1 + m0) * F.pow(a * d - b * c, 2) / ((a + b) * (c + d) * (a + c) * F.greatest(b + d, F.lit(1.0)))
-    share = a * w1 / (a * w1 + c * w0)
-    good = by_term.filter(F.col("n") >= MIN_DF).withColumn("chi", chi).filter((F.col("chi") >= MIN_CHI) & (a * m0 > c * m1) & (share >= MIN_SHARE))
-    return [r["term"] for r in good.orderBy(F.desc("chi"), "term").limit(MAX_TERMS).collect()]
-
-
-def read_counts(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """Every row's counts over the vocabulary: doc_id, terms, counts."""
-    spark = ready(docs.sparkSession)
-    shared = spark.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})  # at most MAX_TERMS
-    name = hashlib.md5("\n".join(vocabulary).encode()).hexdigest()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text")
+    return sorted(r["term"] for r in texts.mapInArrow(run, "term string").distinct().collect())
+
+
+def _bytes(found: list[list[tuple[int, int]]], k: int) -> pa.Array:
+    return pa.array([np.array([x[k] for x in f], "<i4").tobytes() for f in found], pa.binary())
+
+
+def example_counts(docs: DataFrame, sample: dict[int, int], vocabulary: list[str]) -> list[tuple[int, dict[int, int]]]:
+    """(id, counts) of the examples in order of their ids. Of rows that share an id, the one with the least counts stands for it."""
+    spark = docs.sparkSession
+    if not sample:
+        return []
+    chosen = spark.createDataFrame([(d,) for d in sample], "doc_id long")
+    shared = spark.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})  # the terms of at most two times max_examples texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _reader(name, shared.value)
+        reader = Reader(shared.value)
         for b in batches:
             found = [sorted(reader.counts(t or "").items()) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[i for i, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[n for _, n in f] for f in found], pa.list_(pa.int64()))], ["doc_id", "terms", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _bytes(found, 0), _bytes(found, 1)], ["doc_id", "terms", "counts"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, terms array<int>, counts array<long>")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    rows = texts.mapInArrow(run, "doc_id long, terms binary, counts binary").collect()
+    read = sorted((r["doc_id"], *[tuple(np.frombuffer(r[c], "<i4").tolist()) for c in ("terms", "counts")]) for r in rows)
+    return [(d, dict(zip(t, n, strict=True))) for i, (d, t, n) in enumerate(read) if i == 0 or d != read[i - 1][0]]
+
+
+def frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, np.ndarray]:
+    """The number of rows, and of those that hold each term of the vocabulary."""
+    spark = ready(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(vocabulary)
+    name, size = hashlib.md5("\n".join(vocabulary).encode()).hexdigest(), len(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, seen, n = _reader(name, shared.value), np.zeros(size, np.int64), 0
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                n += 1
+                ids = reader.counts(text or "")
+                seen[np.fromiter(ids, np.int64, len(ids))] += 1
+        held = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *held.tolist()], pa.int32()), pa.array([n, *seen[held].tolist()], pa.int64())], ["term", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    out, n_docs = np.zeros(size, np.int64), 0
+    for r in rows:
+        if r["term"] < 0:
+            n_docs = r["n"]
+        else:
+            out[r["term"]] = r["n"]
+    return n_docs, out
 
 
 _last: tuple[str, Reader] | None = None
 
 
-def _reader(name: str, vocabulary: dict[str, int]) -> Reader:
+def _reader(name: str, vocabulary: list[str]) -> Reader:
     global _last
     if _last is None or _last[0] != name:
-        _last = (name, Reader(vocabulary))
+        _last = (name, Reader({t: i for i, t in enumerate(vocabulary)}))
     return _last[1]
 
 
-def fitted(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> tuple[Model, DataFrame]:
-    """The model, and every row's counts (written out once). Of rows that share an example's id, the one with the least counts stands for it."""
-    spark = ready(docs.sparkSession)
+def fitted(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
+    """The model of the examples."""
+    ready(docs.sparkSession)
     sample, true_counts = fit_sample(labels, max_examples)
-    vocabulary = choose_terms(docs, sample, true_counts)
-    counts = staged(read_counts(docs, vocabulary), "term-counts")
-    n_docs = counts.count()
-    df = {r["term"]: r["n"] for r in counts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
-    idf = np.array([math.log((1 + n_docs) / (1 + df.get(i, 0))) + 1 for i in range(len(vocabulary))])
-    rows: list = []
-    if sample:
-        chosen = spark.createDataFrame([(d,) for d in sample], "doc_id long")
-        rows = sorted((r["doc_id"], tuple(r["terms"]), tuple(r["counts"])) for r in counts.join(F.broadcast(chosen), "doc_id").collect())
-    rows = [r for i, r in enumerate(rows) if i == 0 or r[0] != rows[i - 1][0]]
-    model = Model([r[0] for r in rows], np.array([sample[r[0]] for r in rows], float), [dict(zip(r[1], r[2], strict=True)) for r in rows], vocabulary, idf, true_counts)
-    return model, counts
+    vocabulary = choose_terms(docs, sample)
+    n_docs, df = frequencies(docs, vocabulary) if vocabulary else (0, np.zeros(0))
+    rows = example_counts(docs, sample, vocabulary)
+    y, counts = np.array([sample[d] for d, _ in rows], float), [c for _, c in rows]
+    weights = (np.log((1 + n_docs) / (1 + df)) + 1) * emphasis(y, counts, len(vocabulary))
+    return Model([d for d, _ in rows], y, counts, vocabulary, weights, true_counts)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """One row a document: doc_id, held_out, score, predicted (1 from a score of 0.7 on), evidence.
 
-    Nothing but the text enters a score. A text without any term of the vocabulary (null, empty, or clean) gets the share of toxic examples among such texts.
+    Nothing but the text enters a score. A text without any term of the examples (null, empty, or of words that none holds) gets the share of toxic examples among such texts.
     Equal texts have equal scores; repeated rows are each scored; an empty table gives no row, and without labels every score is the prior.
     """
     spark = docs.sparkSession
-    model, counts = fitted(docs, labels, max_examples)
-    shared = spark.sparkContext.broadcast(model)  # at most two times max_examples vectors over MAX_TERMS terms
+    model = fitted(docs, labels, max_examples)
+    shared = spark.sparkContext.broadcast(model)  # the vectors of at most two times max_examples texts, and their terms
+    name = hashlib.md5("\n".join(model.vocabulary).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, memo = shared.value, {}
+        m = shared.value
+        reader = _reader(name, m.vocabulary)
         for b in batches:
-            scores, evidence, predicted = [], [], []
-            for terms, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                key = (*terms, -1, *n)
-                if key not in memo:
-                    if len(memo) > 50_000:
-                        memo.clear()
-                    memo[key] = m.score(dict(zip(terms, n, strict=True)))
-                p, why = memo[key]
-                scores.append(p)
-                evidence.append(why)
-                predicted.append(int(p >= THRESHOLD))
+            found = m.scores([reader.counts(t or "") for t in b.column(1).to_pylist()])
+            p = [x for x, _ in found]
             held = [is_held_out(d) for d in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held), pa.array(scores, pa.float64()), pa.array(predicted, pa.int32()), pa.array(evidence, pa.string())], ["doc_id", "held_out", "score", "predicted", "evidence"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held), pa.array(p, pa.float64()), pa.array([int(x >= THRESHOLD) for x in p], pa.int32()), pa.array([why for _, why in found], pa.string())], ["doc_id", "held_out", "score", "predicted", "evidence"])
 
-    return counts.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence string")
