@@ -74,8 +74,13 @@ class Reader:
 
 def vector(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(terms in order, weights of length one)."""
-    ids = np.array(sorted(counts), np.int64)
-    w = (1 + np.log(np.array([counts[i] for i in ids.tolist()], float))) * idf[ids] if len(ids) else np.zeros(0)
+    ids = np.array(sorted(counts), np.int32)
+    return weighed(ids, np.array([counts[i] for i in ids.tolist()], np.int32), idf)
+
+
+def weighed(ids: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``vector`` of terms in order and their counts."""
+    w = (1 + np.log(counts.astype(float))) * idf[ids]
     norm = math.sqrt(float((w * w).sum()))
     return ids, w / norm if norm else w
 
@@ -170,11 +175,10 @@ class Index:
         return found
 
 
-def emphasis(labels: np.ndarray, counts: list[dict[int, int]], n_terms: int) -> np.ndarray:
+def emphasis(labels: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> np.ndarray:
     """What every term's TF-IDF is multiplied by: one, and more for terms that go with label 1."""
     n, toxic = np.zeros(n_terms), np.zeros(n_terms)
-    for y, c in zip(labels.tolist(), counts, strict=True):
-        ids = np.fromiter(c, np.int64, len(c))
+    for y, (ids, _) in zip(labels.tolist(), counts, strict=True):
         n[ids] += 1
         toxic[ids] += y
     m = float(len(labels))
@@ -187,13 +191,13 @@ def emphasis(labels: np.ndarray, counts: list[dict[int, int]], n_terms: int) ->
 class Model:
     """Votes of the nearest examples, weighed by the square of their cosine and by how far the sample thins their label, then calibrated."""
 
-    def __init__(self, ids: list[int], labels: np.ndarray, counts: list[dict[int, int]], vocabulary: list[str], idf: np.ndarray, true_counts: tuple[int, int]):
+    def __init__(self, ids: list[int], labels: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], vocabulary: list[str], idf: np.ndarray, true_counts: tuple[int, int]):
         self.ids, self.labels, self.vocabulary, self.idf = ids, labels.astype(float), vocabulary, idf
         n1 = max(1.0, float(self.labels.sum()))
         n0 = max(1.0, float(len(labels) - self.labels.sum()))
         self.weight = np.where(self.labels > 0, true_counts[1] / n1, true_counts[0] / n0)
         self.prior = (true_counts[1] + 0.5) / (sum(true_counts) + 1)
-        vectors = [vector(c, idf) for c in counts]
+        vectors = [weighed(*c, idf) for c in counts]
         self.index = Index(vectors, len(vocabulary))
         self.a, self.b = 1.0, 0.0
         without = np.array([len(v[0]) == 0 for v in vectors], bool)
@@ -275,15 +279,15 @@ def choose_terms(docs: DataFrame, sample: dict[int, int]) -> list[str]:
 
     # at most two times max_examples ids
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text")
-    return sorted(r["term"] for r in texts.mapInArrow(run, "term string").distinct().collect())
+    return sorted(texts.mapInArrow(run, "term string").distinct().toArrow().column(0).to_pylist())
 
 
 def _bytes(found: list[list[tuple[int, int]]], k: int) -> pa.Array:
     return pa.array([np.array([x[k] for x in f], "<i4").tobytes() for f in found], pa.binary())
 
 
-def example_counts(docs: DataFrame, sample: dict[int, int], vocabulary: list[str]) -> list[tuple[int, dict[int, int]]]:
-    """(id, counts) of the examples in order of their ids. Of rows that share an id, the one with the least counts stands for it."""
+def example_counts(docs: DataFrame, sample: dict[int, int], vocabulary: list[str]) -> list[tuple[int, tuple[np.ndarray, np.ndarray]]]:
+    """(id, (terms, counts)) of the examples in order of their ids. Of rows that share an id, the one whose terms and counts are the least as bytes stands for it."""
     spark = docs.sparkSession
     if not sample:
         return []
@@ -298,8 +302,8 @@ def example_counts(docs: DataFrame, sample: dict[int, int], vocabulary: list[str
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     rows = texts.mapInArrow(run, "doc_id long, terms binary, counts binary").collect()
-    read = sorted((r["doc_id"], *[tuple(np.frombuffer(r[c], "<i4").tolist()) for c in ("terms", "counts")]) for r in rows)
-    return [(d, dict(zip(t, n, strict=True))) for i, (d, t, n) in enumerate(read) if i == 0 or d != read[i - 1][0]]
+    read = sorted((r["doc_id"], bytes(r["terms"]), bytes(r["counts"])) for r in rows)
+    return [(d, (np.frombuffer(t, "<i4"), np.frombuffer(n, "<i4"))) for i, (d, t, n) in enumerate(read) if i == 0 or d != read[i - 1][0]]
 
 
 def frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, np.ndarray]:
@@ -318,14 +322,11 @@ def frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, np.ndarray
         held = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *held.tolist()], pa.int32()), pa.array([n, *seen[held].tolist()], pa.int64())], ["term", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    out, n_docs = np.zeros(size, np.int64), 0
-    for r in rows:
-        if r["term"] < 0:
-            n_docs = r["n"]
-        else:
-            out[r["term"]] = r["n"]
-    return n_docs, out
+    rows = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = (rows.column(c).to_numpy() for c in ("term", "n"))
+    out = np.zeros(size, np.int64)
+    out[term[term >= 0]] = n[term >= 0]
+    return int(n[term < 0].sum()), out
 
 
 _last: tuple[str, Reader] | None = None
