@@ -2,7 +2,9 @@
 
 An ARC file starts with a version block, whose body names the version and the fields of the header lines that follow;
 each record is a header line, as many bytes as its last field declares, and a line feed. A WARC record is a block of named fields, then as many bytes
-as Content-Length declares, then two line ends. Spark's text writer commits the files (a record a row, the record's end as line separator), gzip-compressed.
+as Content-Length declares, then two line ends. Spark's text writer commits the files (a file a row, the last record's end as line separator), gzip-compressed.
+
+Which record is a response is decided on light rows (file, place, page, digest). Blocks stay where they are: every ARC file is then converted with its own decisions.
 """
 
 from __future__ import annotations
@@ -11,7 +13,6 @@ import base64
 import hashlib
 import io
 import uuid
-import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
 from gzip import GzipFile
@@ -22,15 +23,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, ready
+from .common import fresh, ready, staged
 
 #: Fields of a header line by version (fixed values of the format).
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
-#: Records a file, the version block included.
-FILE_RECORDS = 2000
+#: A file ends with so many records or so many bytes (a longer record has a file of its own), since readers hold a file at a time.
+FILE_RECORDS, FILE_BYTES = 2000, 16 << 20
+#: So many revisits are sent to all executors (some 20 MB); more are joined to their files.
+SENT_REVISITS = 200_000
 CRLF = b"\r\n"
 EPOCH = "20000101000000"
 
@@ -134,78 +137,127 @@ def read_warc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes
         yield fields, block
 
 
+def _files(rows: DataFrame, path: str, line_end: str) -> None:
+    """Write each row's bytes (column ``content``) as a gzip file that ends in ``line_end``."""
+    out = rows.select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", 1)
+    out.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", line_end).text(path)
+
+
+class _Roll:
+    """Gathers records into files."""
+
+    def __init__(self, between: bytes):
+        self.between, self.held, self.size = between, [], 0
+
+    def full(self, record: int) -> bool:
+        """Whether a record of so many bytes begins a new file."""
+        return bool(self.held) and (len(self.held) >= FILE_RECORDS or self.size + record > FILE_BYTES)
+
+    def add(self, record: bytes) -> None:
+        self.held.append(record)
+        self.size += len(record) + len(self.between)
+
+    def close(self) -> pa.RecordBatch:
+        data, self.held, self.size = self.between.join(self.held), [], 0
+        return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["content"])
+
+
 def write_arc_files(pages: DataFrame, path: str) -> None:
     """Write page_id, url, html as ARC files, version 1 and 2 by turns of the partitions. Null html is empty, a null url unknown."""
     ready(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n, offset = TaskContext.get().partitionId(), 0, 0
-        version, name = 1 + part % 2, f"part-{part}.arc"
+        part, roll, files = TaskContext.get().partitionId(), _Roll(b"\n"), 0
+        version = 1 + part % 2
+        name = f"part-{part}-0.arc"
         for b in batches:
-            out = []
             for page, url, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if n % FILE_RECORDS == 0:
-                    out.append(arc_version_block(version, name)[:-1])  # the writer ends it
-                    n, offset = n + 1, len(out[-1]) + 1
                 headers = {"Content-Type": "text/html; charset=utf-8"} | ({} if page is None else {"X-Page-Id": str(page)})
-                out.append(arc_record(version, url or "", "0.0.0.0", EPOCH, "text/html", http_block((html or "").encode("utf-8", "surrogatepass"), headers), offset, name))
-                n, offset = n + 1, offset + len(out[-1]) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+                block = http_block((html or "").encode("utf-8", "surrogatepass"), headers)
+                if roll.full(len(block)):
+                    yield roll.close()
+                    files += 1
+                    name = f"part-{part}-{files}.arc"
+                if not roll.held:
+                    roll.add(arc_version_block(version, name)[:-1])
+                roll.add(arc_record(version, url or "", "0.0.0.0", EPOCH, "text/html", block, roll.size, name))
+        if roll.held:
+            yield roll.close()
+
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    _files(rows.mapInArrow(run, "content binary"), path, "\n")
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, "record binary")
-    rows.select(F.col("record").cast("string").alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
+def _arc_files(spark: SparkSession, path: str) -> DataFrame:
+    """file (its name), content."""
+    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 
-def arc_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of ARC files: file, ordinal, page_id, url, ip, date, mime, digest, payload_bytes, block_z (the block, deflated for its way to the writer)."""
+
+def _arc_rows(file: str, content: pa.Scalar) -> Iterator[tuple[int, int | None, str, dict[str, str], bytes, int]]:
+    """(ordinal, page, record id, fields, block, where the payload begins) of the records of a gzip-compressed ARC file."""
+    for k, (fields, block) in enumerate(read_arc(GzipFile(fileobj=io.BytesIO(content.as_buffer())))):
+        headers, payload = split_http(block)
+        page = headers.get("X-Page-Id")
+        page = None if page is None else int(page)
+        yield k, page, record_id(page, file, k), fields, block, len(block) - len(payload)
+
+
+def arc_entries(spark: SparkSession, path: str) -> DataFrame:
+    """What tells the records of ARC files apart: file, ordinal, page_id, record_id, digest, payload_bytes."""
     ready(spark)
-    schema = "file string, ordinal long, page_id long, url string, ip string, date string, mime string, digest string, payload_bytes long, block_z binary"
-    names = [x.split()[0] for x in schema.split(", ")]
+    names = ["file", "ordinal", "page_id", "record_id", "digest", "payload_bytes"]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                file, rows = b.column(0)[i].as_py(), []
-                for k, (f, block) in enumerate(read_arc(GzipFile(fileobj=io.BytesIO(b.column(1)[i].as_buffer())))):
-                    headers, payload = split_http(block)
-                    page = headers.get("X-Page-Id")
-                    rows.append((file, k, int(page) if page else None, f["URL"], f["IP-address"], f["Archive-date"], f["Content-type"], digest32(payload), len(payload), zlib.compress(block, 1)))
-                    if len(rows) == 256:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) if n not in ("page_id", "block_z") else pa.array(c, pa.int64() if n == "page_id" else pa.binary()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) if n not in ("page_id", "block_z") else pa.array(c, pa.int64() if n == "page_id" else pa.binary()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names)
+            for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                rows = [(file, k, page, rid, digest32(block[at:]), len(block) - at) for k, page, rid, _, block, at in _arc_rows(file, content)]
+                columns = list(zip(*rows, strict=True)) or [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+    return _arc_files(spark, path).mapInArrow(run, "file string, ordinal int, page_id long, record_id string, digest string, payload_bytes long")
+
+
+def revisits(entries: DataFrame) -> DataFrame:
+    """file, of (ordinal, the response's page and record id, for every record of the file that revisits another).
+
+    Of equal payloads the record with the least page_id (then file and place) is the response. Both sides of the join are read from files,
+    so that Spark can deal out the rows of a payload that very many records share.
+    """
+    place = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "file", "ordinal", "record_id")
+    firsts = entries.groupBy("digest", "payload_bytes").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    joined = entries.join(staged(firsts, "firsts"), ["digest", "payload_bytes"]).filter(F.col("record_id") != F.col("first.record_id"))
+    # a file has FILE_RECORDS records at most
+    return joined.groupBy("file").agg(F.collect_list(F.struct("ordinal", F.col("first.page_id").alias("page_id"), F.col("first.record_id").alias("record_id"))).alias("of"))
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
-    """Write the records of ARC files as WARC. Of equal payloads the record with the least page_id (then file and place) is a response, others revisit it."""
-    records = arc_records(spark, arc_path)
-    place = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "file", "ordinal")
-    firsts = records.groupBy("digest", "payload_bytes").agg(F.min(place).alias("first"))
-    joined = records.join(firsts, ["digest", "payload_bytes"]).withColumn("is_first", place.eqNullSafe(F.col("first")))
+    """Write the records of ARC files as WARC, a file for a file: responses with their blocks, revisits with their headers only."""
+    entries = staged(arc_entries(spark, arc_path), "entries")
+    decided = staged(revisits(entries), "revisits")
+    few = (decided.agg(F.sum(F.size("of"))).first()[0] or 0) <= SENT_REVISITS
+    files = _arc_files(spark, arc_path).join(F.broadcast(decided) if few else decided, "file", "left").select("file", "content", "of.ordinal", "of.page_id", "of.record_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                if n % FILE_RECORDS == 0:
-                    info = b"software: verdictlab\r\nformat: WARC File Format 1.1\r\n"
-                    out.append(warc_record({"WARC-Type": "warcinfo", "WARC-Date": warc_date(EPOCH), "WARC-Record-ID": record_id("info", r["file"], r["ordinal"]), "Content-Type": "application/warc-fields"}, info))
-                    n += 1
-                n += 1
-                block, first = zlib.decompress(r["block_z"]), r["first"]
-                fields = {"WARC-Type": "response" if r["is_first"] else "revisit", "WARC-Record-ID": record_id(r["page_id"], r["file"].rsplit("/", 1)[-1], r["ordinal"]), "WARC-Date": warc_date(r["date"]), "WARC-Target-URI": r["url"], "WARC-IP-Address": r["ip"], "WARC-Payload-Digest": f"sha1:{r['digest']}", "X-Page-Id": r["page_id"], "X-Payload-Length": r["payload_bytes"], "Content-Type": "application/http; msgtype=response"}
-                if not r["is_first"]:
-                    fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(first["page_id"], first["file"].rsplit("/", 1)[-1], first["ordinal"]), "X-Refers-To-Page-Id": first["page_id"]}
-                    block = block[: len(block) - r["payload_bytes"]]
-                out.append(warc_record(fields | {"WARC-Block-Digest": f"sha1:{digest32(block)}"}, block))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
-
-    rows = joined.select("file", "ordinal", "page_id", "url", "ip", "date", "digest", "payload_bytes", "block_z", "is_first", "first").mapInArrow(run, "record binary")
-    rows.select(F.col("record").cast("string").alias("value")).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(warc_path)
+            for file, content, *of in zip(b.column(0).to_pylist(), b.column(1), *(c.to_pylist() for c in b.columns[2:]), strict=True):
+                first = {k: (page, rid) for k, page, rid in zip(*(x or [] for x in of), strict=True)}
+                roll = _Roll(CRLF + CRLF)
+                for k, page, rid, f, block, at in _arc_rows(file, content):
+                    if roll.full(len(block)):
+                        yield roll.close()
+                    if not roll.held:
+                        info = b"software: verdictlab\r\nformat: WARC File Format 1.1\r\n"
+                        roll.add(warc_record({"WARC-Type": "warcinfo", "WARC-Date": warc_date(EPOCH), "WARC-Record-ID": record_id("info", file, k), "Content-Type": "application/warc-fields"}, info))
+                    fields = {"WARC-Type": "revisit" if k in first else "response", "WARC-Record-ID": rid, "WARC-Date": warc_date(f["Archive-date"]), "WARC-Target-URI": f["URL"], "WARC-IP-Address": f["IP-address"], "WARC-Payload-Digest": f"sha1:{digest32(block[at:])}", "X-Page-Id": page, "X-Payload-Length": len(block) - at, "Content-Type": "application/http; msgtype=response"}
+                    if k in first:
+                        fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": first[k][1], "X-Refers-To-Page-Id": first[k][0]}
+                        block = block[:at]
+                    roll.add(warc_record(fields | {"WARC-Block-Digest": f"sha1:{digest32(block)}"}, block))
+                if roll.held:
+                    yield roll.close()
+
+    _files(files.mapInArrow(run, "content binary"), warc_path, "\r\n\r\n")
 
 
 def warc_records(spark: SparkSession, path: str) -> DataFrame:
@@ -243,6 +295,7 @@ def archived(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write ``pages`` as ARC, convert that to WARC, and read the WARC files: a row a page.
 
     Null html is empty; empty payloads are equal to each other. Repeated rows are records of their own, of which one is the response.
+    A long page is one record, in a file of its own from FILE_BYTES on, which a task holds whole.
     An empty table gives no file and no row. Columns besides page_id, url and html are left out.
     """
     spark = pages.sparkSession

@@ -3,25 +3,30 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import tempfile
 import uuid
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch. Documents average a few KB and reach some 100 KB, so that a batch stays within some tens of MB.
-BATCH_ROWS = 512
+#: An Arrow batch ends at so many rows or so many bytes; a longer text is a batch of its own, so that a worker holds a few MB beside its longest text.
+BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches and let Python workers import this package.
+    """Bound Arrow batches (never beyond what the session asks for) and let Python workers import this package.
 
     A cluster normally gets the package by ``--py-files`` or an image; in local runs the workers learn its place here.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub("[^0-9-]", "", spark.conf.get(f"spark.sql.execution.arrow.{name}")) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     env = spark.sparkContext.environment
     paths = [p for p in (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in paths:
@@ -30,10 +35,12 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a session on one machine has a temporary folder, and a cluster an error."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or (sc._jsc.sc().getCheckpointDir().get() if sc._jsc.sc().getCheckpointDir().isDefined() else None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="verdictlab-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
@@ -55,6 +62,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+def unused(df: DataFrame, start: str = "x_") -> str:
+    """A prefix that no column of ``df`` begins with."""
+    while any(c.lower().startswith(start) for c in df.columns):
+        start += "_"
+    return start
+
+
+def numbered(df: DataFrame, name: str = "rows") -> tuple[DataFrame, str]:
+    """``df`` with a column that tells its rows apart, whatever they hold, and the column's name.
+
+    Rows of Parquet files are known by file and place there; others are written to the shared folder first, as a number given in flight could change when a task runs again.
+    """
+    x = unused(df) + "row"
+    try:
+        return df.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias(x)), x
+    except AnalysisException:
+        return staged(df.select("*", F.monotonically_increasing_id().alias(x)), name), x
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
