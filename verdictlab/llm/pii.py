@@ -1,8 +1,8 @@
 """Personal data by fixed patterns and a character-level bidirectional LSTM with CRF transitions, trained in numpy.
 
 The patterns find the plain forms of e-mail addresses, IP addresses, card numbers and phone numbers. The model, trained from labelled spans
-(written out by ``examples`` from a seed), adds forms that no pattern takes: phone numbers without a plus sign, masked addresses, cards with other separators.
-It reads overlapping windows; each is decoded by Viterbi, and the windows' spans are reconciled over the whole text:
+(written out by ``examples`` from a seed), knows the plain forms and others that no pattern takes: phone numbers without a plus sign, masked addresses, cards with other separators.
+What it finds is only held to what the kind is (``sane``), not to a form. It reads overlapping windows; each is decoded by Viterbi, and the windows' spans are reconciled over the whole text:
 spans of a kind that a window's edge cut are joined, and of spans that overlap the set with the greatest total score stays.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -73,7 +73,7 @@ def written(spans: list[Span]) -> str:
 # ---- the model
 
 WINDOW, STRIDE = 96, 48
-HIDDEN, EXAMPLES, EPOCHS, BATCH = 16, 3000, 8, 150
+HIDDEN, EXAMPLES, EPOCHS, BATCH = 24, 4000, 6, 64
 TAGS = 1 + 2 * len(KINDS)  # outside, then first and later characters by kind
 #: 0 pads; printable ASCII; other white space; other letters; all else.
 CLASSES = 99
@@ -125,15 +125,15 @@ def examples(n: int = EXAMPLES, seed: int = 9) -> list[tuple[str, list[Span]]]:
         text, spans = "", []
         while len(text) < WINDOW:
             kind = rng.random()
-            if kind < 0.07:
+            if kind < 0.2:
                 what, label = personal()
                 spans.append((len(text), len(text) + len(what), label))
-            elif kind < 0.2:
+            elif kind < 0.4:
                 what = plain()
             else:
                 what = word() + pick(["", "", "", "", ",", ".", ".\n"])
                 what = what.capitalize() if rng.random() < 0.1 else what
-            text += what + (pick(["", ".", ","]) if kind < 0.2 else "") + " "
+            text += what + (pick(["", "", "", "", "", ".", ",", ")", "$$$", "!!"]) if kind < 0.4 else "") + " "
         at = int(rng.integers(0, 12))
         out.append((text[at : at + WINDOW], [(max(0, s - at), min(WINDOW, e - at), k) for s, e, k in spans if e > at and s < at + WINDOW]))
     return out
@@ -270,34 +270,34 @@ def viterbi(e: np.ndarray, tr: np.ndarray) -> np.ndarray:
 
 
 _TRIGGER = re.compile(r"[0-9@]|\(at\)|\[at\]")
-_MASKED = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]+(?:(?: ?(?:\.|\[dot\]|\(dot\)) ?)[A-Za-z0-9-]+)+")
-_MASKED_IP = re.compile(r"[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\.)[0-9]{1,3}){3}")
-_OTHER_CARD = re.compile(r"[0-9](?:[ ._/-]?[0-9])+")
-_OTHER_PHONE = re.compile(r"\(?[0-9][0-9 ().-]+[0-9]")
+_AT = re.compile(r"@|\(at\)|\[at\]")
+_NUMBER = re.compile("[0-9]+")
 
 
-def plausible(text: str, start: int, end: int, kind: str) -> bool:
-    """Whether a span of the model can be of its kind at all. Each kind needs a digit, an at sign or its mask."""
+def sane(text: str, start: int, end: int, kind: str) -> bool:
+    """Whether a span of the model can be of its kind at all: an address has one at sign or its mask between two parts, an IP address is four numbers
+    up to 255, a card number has 12 to 19 digits that pass Luhn, a phone number 9 to 15; none begins or ends within a word or number."""
     s = text[start:end]
     if start and text[start - 1].isalnum() and s[0].isalnum() or end < len(text) and text[end].isalnum() and s[-1].isalnum():
         return False
     if kind == "email":
-        return bool(_MASKED.fullmatch(s))
+        parts = _AT.split(s)
+        return len(parts) == 2 and all(any(c.isalnum() for c in p) for p in parts)
     if kind == "ip":
-        return bool(_MASKED_IP.fullmatch(s)) and all(int(x) <= 255 for x in re.findall("[0-9]+", s))
+        parts = _NUMBER.findall(s)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
     d = _digits(s)
-    if kind == "card":
-        return bool(_OTHER_CARD.fullmatch(s)) and 12 <= len(d) <= 19 and luhn(d)
-    return bool(_OTHER_PHONE.fullmatch(s)) and (len(d) == 10 and len(s) > 10 or 10 < len(d) <= 15 and s.startswith("00"))
+    return 12 <= len(d) <= 19 and luhn(d) if kind == "card" else 9 <= len(d) <= 15
 
 
-def window_starts(text: str) -> list[int]:
-    """The windows that hold a trigger; in others every span would be implausible."""
+def window_starts(text: str) -> set[int]:
+    """The windows that hold a trigger, and their neighbours. A sane span holds a digit, an at sign or its mask, so that it begins in one of these."""
     out: set[int] = set()
+    last = max(0, -(-(len(text) - WINDOW) // STRIDE)) * STRIDE
     for m in _TRIGGER.finditer(text):
         k = m.start() // STRIDE
-        out.update((k * STRIDE, max(0, k - 1) * STRIDE))
-    return sorted(out)
+        out.update(min(last, max(0, k + d) * STRIDE) for d in (-2, -1, 0, 1))
+    return out
 
 
 def reconcile(found: list[tuple[int, int, str, float, bool]]) -> list[Span]:
@@ -327,10 +327,8 @@ def reconcile(found: list[tuple[int, int, str, float, bool]]) -> list[Span]:
     return out[::-1]
 
 
-def model_spans(p: dict, texts: list[str], rows: int = 1024) -> list[list[Span]]:
-    """The model's plausible spans of each text."""
-    where = [(k, s) for k, t in enumerate(texts) for s in window_starts(t)]
-    found: list[list] = [[] for _ in texts]
+def _read(p: dict, texts: list[str], where: list[tuple[int, int]], rows: int) -> Iterator[tuple[int, int, int, int, str, float]]:
+    """(text, window, first character, end, kind, score) of the model's spans in windows."""
     for i in range(0, len(where), rows):
         part = where[i : i + rows]
         x = np.zeros((len(part), WINDOW), np.int64)
@@ -339,23 +337,37 @@ def model_spans(p: dict, texts: list[str], rows: int = 1024) -> list[list[Span]]
             x[r, : len(c)] = c
         e = _emissions(p, x)[0]
         tags = viterbi(e, p["tr"])
-        for r, (k, s) in enumerate(part):
-            if not tags[r].any():
-                continue
-            n = min(WINDOW, len(texts[k]) - s)
-            t = 0
+        for r in np.flatnonzero(tags.any(axis=1)).tolist():
+            k, s = part[r]
+            n, t = min(WINDOW, len(texts[k]) - s), 0
             while t < n:
                 if tag := int(tags[r, t]):
                     kind, first = (tag - 1) // 2, t
                     t += 1
                     while t < n and tags[r, t] == 2 * kind + 2:
                         t += 1
-                    score = float((e[r, np.arange(first, t), tags[r, first:t]] - e[r, first:t, 0]).sum())
-                    cut = first == 0 and s > 0 or t == WINDOW and s + t < len(texts[k])
-                    found[k].append((s + first, s + t, KINDS[kind], score, cut))
+                    yield k, s, first, t, KINDS[kind], float((e[r, np.arange(first, t), tags[r, first:t]] - e[r, first:t, 0]).sum())
                 else:
                     t += 1
-    return [[x for x in reconcile(f) if plausible(t, *x)] if f else [] for t, f in zip(texts, found, strict=True)]
+
+
+def model_spans(p: dict, texts: list[str], rows: int = 1024, starts: Callable[[str], set[int]] = window_starts) -> list[list[Span]]:
+    """The model's sane spans of each text. Where a window's edge cuts a span, the next window is read too, however far that leads."""
+    found: list[list] = [[] for _ in texts]
+    seen: set[tuple[int, int]] = set()
+    todo = {(k, s) for k, t in enumerate(texts) for s in starts(t)}
+    while todo:
+        seen |= todo
+        further: set[tuple[int, int]] = set()
+        for k, s, first, t, kind, score in _read(p, texts, sorted(todo), rows):
+            left, right = first == 0 and s > 0, t == WINDOW and s + t < len(texts[k])
+            if left:
+                further.add((k, s - STRIDE))
+            if right:
+                further.add((k, s + STRIDE))
+            found[k].append((s + first, s + t, kind, score, left or right))
+        todo = further - seen
+    return [[x for x in reconcile(f) if sane(t, *x)] if f else [] for t, f in zip(texts, found, strict=True)]
 
 
 def spans_of(p: dict, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
@@ -372,7 +384,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, the patterns' counts by kind, the SHA-256 of their spans, and all spans as kind:start:end.
 
     A null text is empty. Equal texts have equal results, repeated rows are each read, an empty table gives no row; other columns are left out.
-    The model's few thousand parameters go to the executors with the task.
+    Long texts are read whole, window by window, in linear time. The model's few thousand parameters go to the executors with the task.
     """
     ready(docs.sparkSession)
     p = trained()
