@@ -11,6 +11,9 @@ import json
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from .common import cpu_threads_off
@@ -23,6 +26,8 @@ _PLAIN = re.compile("[\x20-\x7e\n\xa1-ɏ]*")
 #: Byte-level BPE writes each byte as a printable character: bytes that are printable in Latin-1 as themselves, the others from U+0100 on (a fixed rule of that tokenizer).
 _SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _STAND_IN = {b: b if b in _SHOWN else 0x100 + sum(x not in _SHOWN for x in range(b)) for b in range(256)}
+#: Letters of the Latin blocks; a pre-token of letters ends before any other character but a letter.
+_LETTERS = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+")
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
@@ -30,10 +35,10 @@ class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
     A text that holds the string of a special token goes to the library whole, as do parts with characters outside the Latin blocks.
-    ``limit`` bounds the entries of each dictionary; a full one is emptied, which costs time but changes no result.
+    ``limit`` bounds the entries of each dictionary; a full one makes way, and its words are taken over or found anew when they come again.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 200_000):
         cpu_threads_off()
         from tokenizers import Tokenizer
 
@@ -47,6 +52,7 @@ class Encoder:
         self.vocab_size = self.tok.get_vocab_size(with_added_tokens=True)
         self.limit = limit
         self.after_space: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _library(self, text: str) -> bytes:
@@ -71,50 +77,74 @@ class Encoder:
 
     def _chunk(self, c: str) -> bytes:
         """The ids of a space and then ``c``."""
-        core = c.rstrip(".,")
-        if core.isalpha() and (core.isascii() or _PLAIN.fullmatch(core)):
-            got = self.after_space.get(core)
-            if got is None:
-                got = self.after_space[core] = self._piece(" " + core)
-            if len(core) == len(c):
-                return got
-            end = c[len(core) :]
-            return got + (self.pieces.get(end) or self._part(end))
         return b"".join(map(self._part, _PARTS.findall(" " + c)))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        tail, out, tokenize = self.after_space, [], self.model.tokenize
-        for t in texts:
-            if len(tail) > self.limit:
-                tail.clear()
-            if len(self.pieces) > self.limit:
-                self.pieces.clear()
-            if any(s in t for s in self.special):
-                out.append(self._library(t))
+    def _slow(self, text: str) -> bytes:
+        """The ids of a text that holds a special token, or white space before a space."""
+        if any(s in text for s in self.special):
+            return self._library(text)
+        first, *rest = _CUT.split(text)
+        return b"".join([*map(self._part, _PARTS.findall(first)), *(self._chunk(x[1:]) for x in rest)])
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of a space and then each of ``words``."""
+        if len(self.after_space) > self.limit:
+            self.older, self.after_space = self.after_space, {}
+        if len(self.pieces) > self.limit:
+            self.pieces.clear()
+        tail, older, pieces, tokenize = self.after_space, self.older, self.pieces, self.model.tokenize
+        out = list(map(tail.get, words))
+        if None not in out:
+            return out
+        for i in [i for i, got in enumerate(out) if got is None]:
+            c = words[i]
+            m = _LETTERS.match(c)
+            n = m.end() if m else 0
+            if not n or n < len(c) and c[n].isalpha():  # none, or letters beyond the Latin blocks
+                out[i] = self._chunk(c)
                 continue
-            if _LED.search(t):
-                first, *rest = _CUT.split(t)
-                rest = [x[1:] for x in rest]
-            else:
-                first, *rest = t.split(" ")
-                if not first and rest:  # the text starts with a space
-                    first, rest = " " + rest[0], rest[1:]
-            ids = list(map(tail.get, rest))
-            if None in ids:
-                for i in [i for i, got in enumerate(ids) if got is None]:
-                    c = rest[i]
-                    got = tail.get(c)
-                    if got is None:
-                        if c.isalpha() and c.isascii():
-                            got = tail[c] = array("I", [t.id for t in tokenize("Ġ" + c)]).tobytes()
-                        else:
-                            got = self._chunk(c)
-                            if "\n" not in c:  # chunks that run over lines rarely recur
-                                tail[c] = got
-                    ids[i] = got
-            out.append(b"".join([*map(self._part, _PARTS.findall(first)), *ids]))
+            # a pre-token ends where its letters end
+            core = c if n == len(c) else c[:n]
+            got = tail.get(core)
+            if got is None:
+                got = older.get(core)
+                if got is None:
+                    got = array("I", [t.id for t in tokenize("Ġ" + core)]).tobytes() if core.isascii() else self._piece(" " + core)
+                tail[core] = got
+            if n < len(c):
+                end = c[n:]
+                more = pieces.get(end)
+                got += more if more is not None else self._part(end)
+            out[i] = got
         return out
 
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts one after another, where each text's begin, with the end of the last).
+
+        A text is cut at its spaces. The chunks of all texts are numbered, each distinct one is looked up once, and the ids are gathered by numbers.
+        """
+        slow = {i: self._slow(t) for i, t in enumerate(texts) if _LED.search(t) or any(s in t for s in self.special)}
+        plain = ["" if i in slow else t for i, t in enumerate(texts)] if slow else texts
+        cut = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        of = cut.flatten().dictionary_encode()
+        codes, ends = of.indices.to_numpy().astype(np.int64), cut.offsets.to_numpy().astype(np.int64)
+        ids = self._known(of.dictionary.to_pylist())
+        # what begins a text has no space before it
+        n = len(ids)
+        ids += [slow[i] if i in slow else b"".join(map(self._part, _PARTS.findall(t.partition(" ")[0]))) for i, t in enumerate(texts)]
+        codes[ends[:-1]] = np.arange(n, n + len(texts))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        each = sizes[codes]
+        stops = np.cumsum(each)
+        flat = table[np.repeat(starts[codes] - (stops - each), each) + np.arange(stops[-1] if len(stops) else 0)]
+        return flat, np.concatenate(([0], stops))[ends]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        flat, ends = self.encode_flat(texts)
+        raw = memoryview(flat).cast("B") if len(flat) else b""
+        return [bytes(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
 
 _made: dict[str, Encoder] = {}
 
