@@ -134,3 +134,20 @@ def test_search_empties_a_bin():
 
 def test_fresh_paths_differ(spark):
     assert fresh(spark, "x") != fresh(spark, "x")
+
+
+def test_search_beyond_many_classes():
+    """Every underfull class takes part, however many there are, and the result stays a packing of the same pieces."""
+    rng = np.random.default_rng(1)
+    lengths = np.clip(np.exp(rng.normal(6.3, 0.6, 20_000)).astype(int), 1, 2048)
+    hist = {int(n): int(c) for n, c in zip(*np.unique(lengths, return_counts=True), strict=True)}
+    first = packing.best_fit(hist, 2048)
+    assert sum(sum(b) < 2048 for b in first) > 200
+    better, cut = packing.improve(first, 2048), packing.improve(first, 2048, max_exchanges=40)
+    for found in (better, cut):
+        assert sorted(n for b, c in found.items() for n in b * c) == sorted(lengths.tolist()) and max(map(sum, found)) <= 2048
+    squares = lambda classes: sum(sum(b) ** 2 * c for b, c in classes.items())
+    least = -(-int(lengths.sum()) // 2048)
+    assert squares(first) < squares(cut) <= squares(better)
+    # at least half of what best-fit wastes beyond the bound goes
+    assert sum(better.values()) - least <= (sum(first.values()) - least) / 2
