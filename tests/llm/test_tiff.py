@@ -34,6 +34,101 @@ def test_known_codes():
     assert tiff.unlzw(tiff.lzw(bytes([7, 7, 7, 8, 8, 7, 7, 6, 6]))) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
 
 
+def plain_unlzw(data):
+    """A reader of its own, bit by bit: codes grow when the table's next code would not fit less one."""
+    bits, at, out = "".join(f"{b:08b}" for b in data), 0, b""
+    table, last = {}, None
+    while True:
+        width = next(w for w in range(9, 13) if len(table) < 2**w - 1 or w == 12)
+        code, at = int(bits[at : at + width] or "0", 2), at + width
+        if code == 257:
+            return out
+        if code == 256:
+            table, last = {i: bytes([i]) for i in range(256)} | {256: None, 257: None}, None
+            continue
+        new = table[code] if code in table else last + last[:1]
+        if last is not None:
+            table[len(table)] = last + new[:1]
+        out, last = out + new, new
+
+
+def plain_samples(media):
+    """Independent decoding of what ``stored`` writes: little-endian, one plane, three samples."""
+    word = lambda at, n: int.from_bytes(media[at : at + n], "little")
+    at, out = word(4, 4), b""
+    while at:
+        n, tags = word(at, 2), {}
+        for e in range(at + 2, at + 2 + 12 * n, 12):
+            size, many = {3: 2, 4: 4}[word(e + 2, 2)], word(e + 4, 4)
+            place = e + 8 if size * many <= 4 else word(e + 8, 4)
+            tags[word(e, 2)] = [word(place + size * i, size) for i in range(many)]
+        width, height = tags[256][0], tags[257][0]
+        tiled = 324 in tags
+        page = np.zeros((height, width, 3), np.uint8)
+        h, w = (tags[323][0], tags[322][0]) if tiled else (tags[278][0], width)
+        corners = [(y, x) for y in range(0, height, h) for x in range(0, width, w)]
+        for (y, x), o, c in zip(corners, tags[324 if tiled else 273], tags[325 if tiled else 279], strict=True):
+            data, how = media[o : o + c], tags[259][0]
+            if how == 5:
+                raw = plain_unlzw(data)
+            elif how == 8:
+                raw = zlib.decompress(data)
+            else:
+                raw, i = b"", 0
+                while i < len(data):
+                    k = data[i]
+                    raw, i = (raw + data[i + 1 : i + 2 + k], i + 2 + k) if k < 128 else (raw + data[i + 1 : i + 2] * (257 - k), i + 2)
+            block = np.frombuffer(raw, np.uint8).reshape(-1, w, 3).copy()
+            if tags[317][0] == 2:
+                for col in range(1, w):
+                    block[:, col] += block[:, col - 1]
+            page[y : y + h, x : x + w] = block[: height - y, : width - x]
+        out += page.tobytes()
+        at = word(at + 2 + 12 * n, 4)
+    return out
+
+
+def test_stored_form_by_another_reader():
+    rng, seen = random.Random(3), set()
+    for n in [1, 2, 5, 40, 300, 2049] * 6:
+        payload = "".join(rng.choice(["the ", "on ", "êa ", "\n", "%%% ", "word"]) for _ in range(192 * n)).encode()[: 192 * n]
+        media = tiff.stored(payload)
+        assert plain_samples(media) == payload
+        seen.update((p.compression, p.predictor, p.tiled) for p in tiff.read_tiff(media))
+    assert seen == {(how, predictor, tile is not None) for how, predictor, tile, _ in tiff.LAYOUTS}
+
+
+def test_lzw_without_clear_codes():
+    data = np.random.default_rng(5).integers(0, 4, 60_000, dtype=np.uint8).tobytes()
+    table, codes, prefix = {bytes([i]): i for i in range(256)}, [256], b""
+    for i in range(len(data)):
+        longer = prefix + data[i : i + 1]
+        if longer not in table:
+            codes.append(table[prefix])
+            if len(table) + 2 < 4096:
+                table[longer] = len(table) + 2
+            longer = data[i : i + 1]
+        prefix = longer
+    codes += [table[prefix], 257]
+    widths = [9, *(next(w for w in range(9, 13) if 258 + k < 2**w or w == 12) for k in range(len(codes) - 1))]
+    bits = "".join(f"{c:0{w}b}" for c, w in zip(codes, widths, strict=True))
+    assert tiff.unlzw(int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")) == data
+
+
+def test_forged_sizes(spark):
+    page = np.zeros((8, 8, 3), np.uint8)
+    files = []
+    for how in (tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS):
+        for tag in (tiff.WIDTH, tiff.LENGTH, tiff.ROWS_PER_STRIP):
+            data = bytearray(tiff.write_tiff([page], how))
+            at = int.from_bytes(data[4:8], "little")
+            entry = next(e for e in range(at + 2, len(data), 12) if int.from_bytes(data[e : e + 2], "little") == tag)
+            data[entry + 8 : entry + 12] = (2**31 - 1).to_bytes(4, "little")
+            files.append(data)
+    rows = tiff.tiff_pages(spark.createDataFrame(list(enumerate(files)), "id int, content binary"), "id", "content").collect()
+    assert all((r["error"] is None) == (r["id"] % 3 == 2) for r in rows) and len(rows) == len(files)
+
+
 @pytest.mark.parametrize("order", ["<", ">"])
 @pytest.mark.parametrize("planar", [False, True])
 @pytest.mark.parametrize("tile", [None, (16, 32)])

@@ -79,74 +79,105 @@ def unpackbits(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+#: A table is full at so many codes beyond the first 258, after which the writer clears it; codes grow from 9 to 12 bits one code early, as the format has it.
+_FULL = 4095 - 258
+
+
+def _widths(n: int) -> np.ndarray:
+    """The bits of the first ``n`` codes after a clear code."""
+    k = np.arange(n)
+    return 9 + (k >= 254).astype(np.int64) + (k >= 766) + (k >= 1790)
+
+
+def _written(codes: np.ndarray, widths: np.ndarray) -> bytes:
+    """Codes, most significant bit first, padded to whole bytes."""
+    out = []
+    for i in range(0, len(codes), 8192):  # a multiple of eight codes, so that every part but the last ends with a byte
+        c, w = codes[i : i + 8192], widths[i : i + 8192]
+        bits = (c[:, None] >> (w[:, None] - 1 - np.arange(12)).clip(0)) & 1
+        out.append(bits[np.arange(12) < w[:, None]].astype(np.uint8))
+    return np.packbits(np.concatenate(out)).tobytes() if out else b""
+
+
 def lzw(data: bytes) -> bytes:
-    """Variable-width codes, most significant bit first; a code's width grows one code early, as the format has it."""
-    table = {bytes((i,)): i for i in range(256)}
-    out, acc, bits, width, free = bytearray(), CLEAR, 9, 9, 258
-    prefix = b""
-    for i in range(len(data)):
-        longer = prefix + data[i : i + 1]
-        if longer in table:
-            prefix = longer
+    """The table is keyed by (code of the prefix, byte) as one number; codes are gathered first and written together."""
+    parts: list[list[int]] = []
+    table: dict[int, int] = {}
+    codes: list[int] = []
+    get, free = table.get, 258
+    it = iter(data)
+    prefix = next(it, -1)
+    for byte in it:
+        key = prefix << 8 | byte
+        code = get(key)
+        if code is not None:
+            prefix = code
             continue
-        acc = acc << width | table[prefix]
-        bits += width
-        table[longer] = free
+        codes.append(prefix)
+        table[key] = free
         free += 1
+        prefix = byte
         if free == 4095:
-            acc = acc << width | CLEAR
-            bits += width
-            table = {bytes((k,)): k for k in range(256)}
-            width, free = 9, 258
-        elif free == 1 << width:
-            width += 1
-        while bits >= 8:
-            bits -= 8
-            out.append(acc >> bits & 255)
-        acc &= (1 << bits) - 1
-        prefix = data[i : i + 1]
-    if prefix:
-        acc, bits, free = acc << width | table[prefix], bits + width, free + 1
-        if free == 1 << width and width < 12:
-            width += 1
-    acc, bits = acc << width | END, bits + width
-    pad = -bits % 8
-    return bytes(out) + (acc << pad).to_bytes((bits + pad) // 8, "big")
+            parts.append(codes)
+            codes, free = [], 258
+            table.clear()
+    if prefix >= 0:
+        codes.append(prefix)
+    parts.append([*codes, END])
+    every, widths = [[CLEAR]], [np.array([9])]
+    for k, part in enumerate(parts):
+        # the clear code that ends a full part has the width of the next code
+        closed = part if k == len(parts) - 1 else [*part, CLEAR]
+        every.append(closed)
+        widths.append(_widths(len(closed)))
+    return _written(np.concatenate([np.array(x, np.int64) for x in every]), np.concatenate(widths))
+
+
+def _codes(data: np.ndarray, at: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Up to ``n`` codes that follow a clear code which ends at bit ``at``, and where each ends; bits past the data are zero."""
+    widths = _widths(n)
+    ends = at + np.cumsum(widths)
+    n = int(np.searchsorted(ends, 8 * (len(data) - 3), "right"))  # three bytes of zeros follow the data
+    ends, widths = ends[:n], widths[:n]
+    first = (ends - widths) >> 3
+    word = data[first].astype(np.int64) << 16 | data[first + 1].astype(np.int64) << 8 | data[first + 2]
+    return word >> (24 - widths - ((ends - widths) & 7)) & ((1 << widths) - 1), ends
 
 
 def unlzw(data: bytes) -> bytes:
+    """Codes are read by runs from one clear code to the next, where their widths are known from the start."""
+    raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)])
     out: list[bytes] = []
-    table, acc, bits, width, last = [], 0, 0, 9, b""
-    for byte in data:
-        acc, bits = acc << 8 | byte, bits + 8
-        if bits < width:
-            continue
-        bits -= width
-        code = acc >> bits
-        acc &= (1 << bits) - 1
-        if code == CLEAR:
-            table, width, last = [bytes((i,)) for i in range(256)] + [b"", b""], 9, b""
-            continue
-        if code == END:
-            break
-        if not table:
+    at, started = 0, False
+    first = [bytes((i,)) for i in range(256)]
+    while True:
+        codes, ends = _codes(raw, at, _FULL + 2)
+        stop = np.flatnonzero((codes == CLEAR) | (codes == END))
+        if not len(stop) and len(codes) == _FULL + 2:  # a writer that never clears goes on at twelve bits
+            codes, ends = _codes(raw, at, 8 * len(data) // 9)
+            stop = np.flatnonzero((codes == CLEAR) | (codes == END))
+        if not len(codes):
+            return b"".join(out)
+        n = int(stop[0]) if len(stop) else len(codes)
+        if n and not started:
             raise ValueError("LZW data begins without a clear code")
-        if not last:
-            last = table[code]
-            out.append(last)
-            continue
-        if code < len(table):
-            new = table[code]
-        elif code == len(table):
-            new = last + last[:1]
-        else:
-            raise ValueError("an LZW code is beyond the table")
-        out.append(new)
-        table.append(last + new[:1])
-        last = new
-        if len(table) + 1 >= 1 << width and width < 12:
-            width += 1
-    return b"".join(out)
+        table = [*first, b"", b""]
+        add = table.append
+        last = b""
+        for code in codes[:n].tolist():
+            if code < len(table):
+                new = table[code]
+            elif code == len(table) and last:
+                new = last + last[:1]
+            else:
+                raise ValueError("an LZW code is beyond the table")
+            out.append(new)
+            if last and len(table) < 4096:
+                add(last + new[:1])
+            last = new
+        if not len(stop) or codes[n] == END:
+            return b"".join(out)
+        at, started = int(ends[n]), True
 
 
 def compress(data: bytes, how: int) -> bytes:
@@ -169,6 +200,10 @@ def decompress(data: bytes, how: int, size: int) -> bytes:
     raise ValueError(f"compression {how} isn't supported")
 
 
+#: The most bytes that a byte of data can stand for, by coding (fixed by the codings: runs of 128 in two bytes, deflate's 1032, a string of 3838 bytes in a twelve-bit code).
+EXPANSION = {NONE: 1, PACKBITS: 64, DEFLATE: 1033, OLD_DEFLATE: 1033, LZW: 2560}
+
+
 def _blocks(height: int, width: int, tile: tuple[int, int] | None, rows: int) -> list[tuple[int, int, int, int]]:
     """(first row, rows, first column, columns) of the tiles, or of the strips."""
     if tile:
@@ -249,6 +284,11 @@ def read_tiff(data: bytes) -> Iterator[Page]:
             raise ValueError(f"predictor {predictor} isn't supported")
         tile = (one(TILE_LENGTH), one(TILE_WIDTH)) if TILE_OFFSETS in f else None
         offsets, counts = (f[TILE_OFFSETS], f[TILE_COUNTS]) if tile else (f[STRIP_OFFSETS], f[STRIP_COUNTS])
+        if min(height, width, samples) < 1 or tile and min(tile) < 1 or how not in EXPANSION:
+            raise ValueError(f"a page of {height} x {width} x {samples} with coding {how}")
+        held = sum(max(0, min(c, len(data) - o)) for o, c in zip(offsets, counts, strict=True))
+        if height * width * samples > EXPANSION[how] * held or tile and tile[0] * tile[1] * samples * len(offsets) > EXPANSION[how] * held * (samples if planar else 1):
+            raise ValueError("the page claims more than its data can hold")
         blocks = _blocks(height, width, tile, min(one(ROWS_PER_STRIP, height), max(height, 1)))
         out = np.zeros((height, width, samples), np.uint8)
         for k, (offset, count) in enumerate(zip(offsets, counts, strict=True)):
@@ -282,7 +322,7 @@ def tiff_pages(files: DataFrame, key: str, content: str) -> DataFrame:
             for i in range(b.num_rows):
                 try:
                     rows = [(p.number, p.samples.shape[1], p.samples.shape[0], p.samples.shape[2], NAMES[p.compression], p.predictor, p.tiled, p.samples.tobytes(), None) for p in read_tiff(b.column(1)[i].as_py() or b"")]
-                except (ValueError, KeyError, TypeError, struct.error, zlib.error, IndexError) as e:
+                except (ValueError, KeyError, TypeError, struct.error, zlib.error, IndexError, MemoryError) as e:
                     rows = [(None,) * 8 + (f"{type(e).__name__}: {e}",)]
                 key_col = pa.concat_arrays([b.column(0).slice(i, 1)] * len(rows)) if rows else b.column(0).slice(i, 0)
                 columns = list(zip(*rows, strict=True)) or [[]] * 9
@@ -292,19 +332,26 @@ def tiff_pages(files: DataFrame, key: str, content: str) -> DataFrame:
 
 
 ROW, PAGE_ROWS = 192, 2048
+#: (coding, predictor, tile, rows a strip) by the payload's checksum.
+LAYOUTS = [
+    (LZW, 1, None, 64),
+    (DEFLATE, 2, None, PAGE_ROWS),
+    (PACKBITS, 1, None, PAGE_ROWS),
+    (DEFLATE, 1, (128, 64), PAGE_ROWS),
+    (LZW, 2, None, PAGE_ROWS),
+    (PACKBITS, 1, (16, 64), PAGE_ROWS),
+]
 
 
 def stored(payload: bytes) -> bytes:
     """A payload of whole rows of 192 bytes as a TIFF of 64 columns in three samples, PAGE_ROWS rows a page.
 
-    The payload alone picks the layout: LZW for short ones, whose coding in Python is slow, else deflate or PackBits by its checksum, in strips or tiles.
+    The payload's checksum alone picks the coding (LZW, deflate or PackBits), the predictor, and strips or tiles, at every length.
     """
     rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW // 3, 3)
     pages = [rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)]
-    turn = zlib.crc32(payload) % 4
-    if len(payload) <= 5 * ROW:
-        return write_tiff(pages, LZW, predictor=1 + turn % 2, rows=2 if turn < 2 else PAGE_ROWS)
-    return write_tiff(pages, (DEFLATE, DEFLATE, PACKBITS, DEFLATE)[turn], predictor=(2, 1, 1, 1)[turn], tile=(None, (128, 64), None, None)[turn], rows=PAGE_ROWS)
+    how, predictor, tile, strip = LAYOUTS[zlib.crc32(payload) % len(LAYOUTS)]
+    return write_tiff(pages, how, predictor=predictor, tile=tile, rows=strip)
 
 
 def features(pages: list[Page]) -> str:
@@ -320,6 +367,7 @@ def text_media(docs: DataFrame) -> DataFrame:
     """Every text's payload (its UTF-8, filled with spaces to whole rows of 192 bytes, one at least) stored as TIFF and read back.
 
     A null text is empty. Equal texts have equal values, repeated rows are each stored, an empty table gives no row; other columns are left out.
+    A long text has several pages of PAGE_ROWS rows; a task holds one text's file and pages at a time.
     """
     ready(docs.sparkSession)
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
