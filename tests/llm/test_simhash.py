@@ -85,6 +85,24 @@ def test_links_lose_nothing(spark, seed, cell_rows):
     assert {frozenset(g) for g in groups.values()} == brute_roots(fps)
 
 
+def test_links_among_equal_counts(spark):
+    """Every segment has one bit set, so that counts can't tell these apart and cells are cut by bits."""
+    rng, out = random.Random(9), set()
+    for _ in range(40):
+        x = rng.getrandbits(32)
+        for _ in range(12):
+            out.add(sum((1 << (x >> k & 1)) << 2 * k for k in range(32)))
+            x ^= 1 << rng.randrange(32)
+            x ^= (1 << rng.randrange(32)) * (rng.random() < 0.4)
+    fps = np.array(sorted(out), "<u8")
+    assert len(np.unique(simhash.counts_of(fps))) == 1
+    df = spark.createDataFrame([(int(x),) for x in fps.view("<i8")], "fp long").repartition(3)
+    groups = {}
+    for r in simhash.components(simhash.links(df, 100)).collect():
+        groups.setdefault(r["root"], set()).add(r["node"] & (2**64 - 1))
+    assert {frozenset(g) for g in groups.values()} == brute_roots(fps)
+
+
 def test_manhattan_is_a_lower_bound():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 2**64, (2, 5000), dtype=np.uint64)

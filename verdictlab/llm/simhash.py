@@ -5,6 +5,8 @@ and the Manhattan distance of two points is a lower bound of the Hamming distanc
 The segments are dealt over six blocks. Points within distance 3 differ in three segments at most, hence in three blocks at most,
 so they agree in three blocks: for each choice of three blocks, a point falls in the grid cell of its counts there, and only points of a cell are compared,
 first by Manhattan distance, then exactly. A cell gives a spanning forest of its links, never all pairs.
+A cell of too many points is dealt anew by the segments that it leaves free, and one that shares nearly all counts by the bits themselves, in the same way,
+until every cell is small: at the latest where all but three bits agree.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from .common import ready, staged
 MAX_BITS = 3
 #: Cells with more fingerprints are cut again by counts of the segments that the cell leaves free.
 CELL_ROWS = 4096
-#: So many times at most; what is left then shares nearly all counts.
-LEVELS = 3
+#: So many times by counts, then by bits.
+COUNT_LEVELS = 3
 _LOW = np.uint64(0x5555555555555555)
 _ONE = np.uint64(1)
 
@@ -49,16 +51,17 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+def fingerprints(docs: DataFrame, *carry: str) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and the columns to carry of every row."""
     ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t or "") for t in b.column(1).to_pylist()], "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], ["doc_id", "fp", *carry])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    schema = "doc_id long, fp long" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry).mapInArrow(run, schema)
 
 
 def counts_of(fps: np.ndarray) -> np.ndarray:
@@ -67,8 +70,8 @@ def counts_of(fps: np.ndarray) -> np.ndarray:
     return (low | high) | ((low & high) << _ONE)
 
 
-def _masks(free: np.ndarray) -> list[tuple[np.uint64, np.ndarray]]:
-    """For each choice of three of six blocks of the free segments: a mask of their bits, and the segments still free.
+def _masks(free: np.ndarray, width: int = 2) -> list[tuple[np.uint64, np.ndarray]]:
+    """For each choice of three of six blocks of the free segments (of ``width`` bits): a mask of their bits, and the segments still free.
 
     Of fewer than six free segments each is a block, and all but three (or none) are chosen.
     """
@@ -76,15 +79,15 @@ def _masks(free: np.ndarray) -> list[tuple[np.uint64, np.ndarray]]:
     out = []
     for chosen in combinations(range(len(blocks)), max(0, len(blocks) - MAX_BITS)):
         taken = [int(s) for k in chosen for s in blocks[k]]
-        out.append((np.uint64(sum(3 << 2 * s for s in taken)), np.array([s for s in free if s not in taken])))
+        out.append((np.uint64(sum(((1 << width) - 1) << width * s for s in taken)), np.array([s for s in free if s not in taken])))
     return out
 
 
-def cells(fps: np.ndarray, free: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cells(fps: np.ndarray, free: np.ndarray, parent: np.ndarray, width: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, fingerprint, choice) of each fingerprint in each grid cell below its parent's. Keys that collide only cause comparisons."""
-    points = counts_of(fps)
+    points = counts_of(fps) if width == 2 else fps
     keys, choice = [], []
-    for k, (mask, _) in enumerate(_masks(free)):
+    for k, (mask, _) in enumerate(_masks(free, width)):
         x = (points & mask) ^ (parent * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64((k + 1) * 0xD1B54A32D192ED03 & (2**64 - 1))
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         keys.append((x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB))
@@ -150,13 +153,17 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view("<i8"), pa.int64())
 
 
-def _free(path: int) -> np.ndarray:
-    """The segments that the choices of a path (two decimal digits each, from one) leave free."""
-    digits, free = str(path) if path else "", np.arange(32)
+def _free(path: int) -> tuple[np.ndarray, int]:
+    """The segments that the choices of a path (two decimal digits each, from one) leave free, and their width: two bits, and one after COUNT_LEVELS choices."""
+    digits = str(path) if path else ""
     digits = digits.zfill(len(digits) + len(digits) % 2)
-    for i in range(0, len(digits), 2):
-        free = _masks(free)[int(digits[i : i + 2]) - 1][1]
-    return free
+    free, width = np.arange(32), 2
+    for level in range(len(digits) // 2 + 1):
+        if level == COUNT_LEVELS:
+            free, width = np.arange(64), 1
+        if level < len(digits) // 2:
+            free = _masks(free, width)[int(digits[2 * level : 2 * level + 2]) - 1][1]
+    return free, width
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +172,8 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths = batch.column(2).to_numpy()
         for path in np.unique(paths).tolist():
             at = np.flatnonzero(paths == path)
-            key, of, choice = cells(fp[at], _free(path), parent[at])
+            free, width = _free(path)
+            key, of, choice = cells(fp[at], free, parent[at], width)
             yield pa.RecordBatch.from_arrays([_signed(key), _signed(of), pa.array(path * 100 + choice + 1)], ["key", "fp", "path"])
 
 
@@ -208,31 +216,33 @@ def _compare(batches: Iterator[pa.RecordBatch], cell_rows: float) -> Iterator[pa
 def links(fps: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Links (a, b) over distinct fingerprints ``fp`` whose components are those of all pairs within MAX_BITS.
 
-    A task holds ``cell_rows`` fingerprints of a cell at most; those of larger cells are dealt anew over smaller cells, LEVELS - 1 times.
+    A task compares ``cell_rows`` fingerprints of a cell at most; those of larger cells are dealt anew over smaller cells, until none is larger.
+    Eight levels end at cells that agree in all but three bits, which hold eight fingerprints.
     """
     ready(fps.sparkSession)
-    rows, out = fps.select("fp", F.lit(0).cast("long").alias("parent"), F.lit(0).cast("long").alias("path")), None
-    for level in range(LEVELS):
-        most = float("inf") if level == LEVELS - 1 else cell_rows
+    rows, out, cell_rows = fps.select("fp", F.lit(0).cast("long").alias("parent"), F.lit(0).cast("long").alias("path")), None, max(cell_rows, 8)
+    while True:
         dealt = rows.mapInArrow(_spread, "key long, fp long, path long").repartition("key").sortWithinPartitions("key")
-        got = staged(dealt.mapInArrow(lambda batches, most=most: _compare(batches, most), "a long, b long, path long"), "links")
+        got = staged(dealt.mapInArrow(lambda batches: _compare(batches, cell_rows), "a long, b long, path long"), "links")
         found = got.filter("path = 0").select("a", "b")
         out = found if out is None else out.union(found)
         rows = got.filter("path > 0").select(F.col("a").alias("fp"), F.col("b").alias("parent"), "path").distinct()
         if rows.isEmpty():
-            break
-    return out.distinct()
+            return out.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node with an edge, root the least node reachable, by alternating large and small stars until nothing changes."""
+    """(node, root) of every node with an edge, root the least node reachable, by alternating large and small stars until nothing changes.
+
+    The least neighbours are staged, so that both sides of each join are read from files and Spark can split the rows of a node with very many edges.
+    """
     edges = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = staged(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
+        least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         edges = staged(small, "stars")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -241,16 +251,19 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, carry: str | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id (the least doc_id reachable over links of at most MAX_BITS bits) of every row.
 
-    Null, empty and white texts have fingerprint zero and are linked like others. Repeated rows give repeated results.
-    A null doc_id is never a component's least unless it has no other. An empty table gives no row; columns besides doc_id and text are left out.
+    Null, empty and white texts have fingerprint zero and are linked like others. Repeated rows give repeated results. A long text is hashed whole, in parts.
+    A null doc_id is never a component's least unless it has no other. An empty table gives no row; columns besides doc_id and text are left out,
+    but for ``carry``, a column by which rows can be told apart; with it comes ``root``, which tells components apart that have null doc_ids only.
     """
-    marked = staged(fingerprints(docs), "fingerprints")
+    more = [carry] if carry else []
+    marked = staged(fingerprints(docs, *more), "fingerprints")
     distinct = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct.select("fp")))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(whole, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = staged(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    whole = staged(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+    named = staged(rooted.select("fp", "root").join(whole, "root").select("fp", "component_id", "root"), "named")
+    columns = ["doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"]
+    return marked.join(named, "fp").select(*columns, *(["root", carry] if carry else []))
