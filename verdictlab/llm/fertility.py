@@ -1,9 +1,11 @@
 """Quality rules by tokeniser fertility, on top of a base rule over words, repeats and lines.
 
 Every whole text is measured with two public vocabularies: a byte-level BPE gives characters per token and the entropy of its tokens,
-a BPE with byte fallback gives the share of byte tokens. A text is rejected where a measure leaves the band of its language and script.
-The bands come from quantiles over all distinct texts of a language and script, so that copies can't squeeze a band: three interquartile ranges
-beyond the quartiles, which are taken SURE standard errors outwards, as a small group knows them badly. A band that judges texts of other languages is also never narrower than FLOOR around the median.
+a BPE with byte fallback gives the share of byte tokens. A text is rejected where a measure leaves the band of its language and script;
+as entropy rises with length, its band is that of the texts with as many tokens, by powers of two.
+The bands come from exact quantiles, on a grid of 1 / GRID, over all distinct texts of a language and script, so that copies can't squeeze a band and partitions
+change nothing: three interquartile ranges beyond the quartiles, which are taken SURE standard errors outwards, as a small group knows them badly.
+A band that judges texts of other languages is also never narrower than FLOOR around the median.
 """
 
 from __future__ import annotations
@@ -13,11 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import ready, staged
+from .common import ready, staged, text_or_empty
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -29,8 +31,10 @@ REACH, FLOOR = 3.0, 0.4
 SURE = 3.0
 #: The band of byte fallback reaches at least so far above the median.
 FALLBACK_FLOOR = 0.1
-#: A language with fewer distinct texts uses the band of its script; a script with fewer uses that of all documents, however few these are.
+#: A language with fewer distinct texts (of a length, for entropy) uses the band of its script; a script with fewer uses that of all documents, however few these are.
 MIN_DOCS = 50
+#: Quantiles are exact over measures in whole steps of one by GRID.
+GRID = 10_000
 #: Without a band of its own language, a text is also rejected with a greater share of byte tokens.
 MAX_FALLBACK = 0.5
 
@@ -138,58 +142,68 @@ def entropy(ids: np.ndarray) -> float:
     return float(math.log2(n) - (counts * np.log2(counts)).sum() / n)
 
 
-MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lang string, script string, n_tokens long, chars_per_token double, byte_fallback double, token_entropy double, evenness double, text_key long"
+MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lang string, script string, n_tokens long, chars_per_token double, byte_fallback double, token_entropy double, text_key long"
 
 
 def measure(docs: DataFrame, byte_bpe: str, fallback_bpe: str, carry: str | None = None) -> DataFrame:
-    """One row a document with the base measures and those of the vocabularies. ``carry`` names a column to keep as a long beside them."""
+    """One row a document with the base measures and those of the vocabularies. ``carry`` names a column to keep beside them."""
     ready(docs.sparkSession)
+    names = [f.split()[0] for f in MEASURES.split(", ")]
+    types = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+    kinds = [types[f.split()[1]] for f in MEASURES.split(", ")]
+    more = [carry] if carry else []
+    schema = MEASURES + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(byte_bpe)
-        pieces = _pieces.setdefault(fallback_bpe, Pieces(fallback_bpe)) if fallback_bpe not in _pieces else _pieces[fallback_bpe]
-        names = [f.strip().split()[0] for f in schema.split(",")]
-        types = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
-        kinds = [types[f.strip().split()[1]] for f in schema.split(",")]
+        pieces = _pieces[fallback_bpe] if fallback_bpe in _pieces else _pieces.setdefault(fallback_bpe, Pieces(fallback_bpe))
         for b in batches:
             texts = b.column(1).to_pylist()
-            rows, base_rows = [], [base_measures(t) for t in texts]
+            base_rows = [base_measures(t) for t in texts]
             counted = pieces.counts([r[-1] for r in base_rows])
-            for doc_id, text, raw, lang, key, (*base, _), (n_pieces, n_bytes) in zip(b.column(0).to_pylist(), texts, enc.encode(texts), b.column(2).to_pylist(), b.column(3).to_pylist(), base_rows, counted, strict=True):
-                n_words, n_repeat = base[0], base[4]
-                ids = np.frombuffer(raw, "<u4")
-                bits = entropy(ids)
+            ids, ends = enc.encode_flat(texts)
+            rows = []
+            for i, (doc_id, text, lang, key, (*base, _), (n_pieces, n_bytes)) in enumerate(zip(b.column(0).to_pylist(), texts, b.column(2).to_pylist(), b.column(3).to_pylist(), base_rows, counted, strict=True)):
+                n_words, n_repeat, n = base[0], base[4], int(ends[i + 1] - ends[i])
                 failed = n_words < MIN_WORDS or 100 * n_repeat > MAX_REPEAT_PERCENT * n_words
-                rows.append((doc_id, *base, failed, lang, script_of(text), len(ids), len(text) / len(ids) if len(ids) else None, n_bytes / n_pieces if n_pieces else None, bits, bits / math.log2(len(ids)) if len(ids) > 1 else None, key))
+                rows.append((doc_id, *base, failed, lang, script_of(text), n, len(text) / n if n else None, n_bytes / n_pieces if n_pieces else None, entropy(ids[ends[i] : ends[i + 1]]), key))
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), *b.columns[4:]], [*names, *more])
 
-    schema = MEASURES
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).mapInArrow(run, schema)
+    text = text_or_empty()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.xxhash64(text).alias("text_key"), *more).mapInArrow(run, schema)
 
 
-BANDED = ("chars_per_token", "evenness", "byte_fallback")
+BANDED = ("chars_per_token", "byte_fallback", "token_entropy")
+GROUP = ("lang", "script", "octave")
 
 
-def distinct_texts(measured: DataFrame) -> DataFrame:
-    """The banded measures of every text of a language and script once."""
-    return measured.groupBy("lang", "script", "text_key").agg(*[F.first(m).alias(m) for m in BANDED])
+def octave(n_tokens: Column) -> Column:
+    """The power of two that the tokens reach."""
+    return F.when(n_tokens > 0, F.floor(F.log2(n_tokens.cast("double")))).otherwise(0).cast("int")
 
 
-def bands(texts: DataFrame, *by: str, floor: float = 0.0, least: int = MIN_DOCS) -> DataFrame:
-    """The ends of every banded measure's band, for each group with ``least`` distinct texts or more."""
-    levels = [F.percentile_approx(m, [k / 100 for k in range(101)], 1000).alias(f"q_{m}") for m in BANDED]
-    out = texts.groupBy(*by).agg(F.count("*").alias("n_docs"), *levels).filter(F.col("n_docs") >= least)
-    down = F.greatest(F.lit(0), F.floor(25 - 100 * SURE * F.sqrt(0.1875 / F.col("n_docs")))).cast("int")
-    ends = []
-    for m in BANDED:
-        low, mid, high = (F.col(f"q_{m}")[i] for i in (down, F.lit(50), 100 - down))
-        width = REACH * (high - low)
-        if m == "byte_fallback":
-            ends += [F.lit(0.0).alias(f"low_{m}"), F.greatest(high + width, mid + FALLBACK_FLOOR).alias(f"high_{m}")]
-        else:
-            ends += [F.least(low - width, mid * (1 - floor)).alias(f"low_{m}"), F.greatest(high + width, mid * (1 + floor)).alias(f"high_{m}")]
-    return out.select(*by, *ends)
+def histogram(measured: DataFrame) -> DataFrame:
+    """lang, script, octave (-1 for measures that don't depend on length), measure, v (in steps of the grid), n: how many distinct texts."""
+    texts = measured.groupBy("lang", "script", "text_key").agg(F.first("n_tokens").alias("n_tokens"), *[F.first(m).alias(m) for m in BANDED])
+    each = [F.struct(F.lit(m).alias("measure"), (octave(F.col("n_tokens")) if m == "token_entropy" else F.lit(-1)).alias("octave"), F.round(F.col(m) * GRID).cast("long").alias("v")) for m in BANDED]
+    return texts.select("lang", "script", F.explode(F.array(*each)).alias("x")).select("lang", "script", "x.*").filter("v IS NOT NULL").groupBy(*GROUP, "measure", "v").agg(F.count("*").alias("n"))
+
+
+def bands(hist: DataFrame, *by: str, floor: float = 0.0, least: int = MIN_DOCS) -> DataFrame:
+    """The ends of every measure's band (a column of structs), for each group with ``least`` distinct texts or more. Groups are rows of the grid, whatever their texts."""
+    keys = [*by, "octave", "measure"]
+    counts = hist.groupBy(*keys, "v").agg(F.sum("n").alias("n"))
+    so_far, whole = Window.partitionBy(*keys).orderBy("v"), Window.partitionBy(*keys)
+    counts = counts.select(*keys, "v", F.sum("n").over(so_far).alias("upto"), F.sum("n").over(whole).alias("total")).filter(F.col("total") >= least)
+    down = F.greatest(F.lit(0.0), F.floor(25 - 100 * SURE * F.sqrt(0.1875 / F.col("total"))) / 100)
+    at = lambda level: F.min(F.when(F.col("upto") >= F.greatest(F.lit(1.0), F.ceil(F.round(level * F.col("total"), 6))), F.col("v") / GRID))
+    out = counts.groupBy(*keys).agg(at(down).alias("low"), at(F.lit(0.5)).alias("mid"), at(1 - down).alias("high"))
+    width = REACH * (F.col("high") - F.col("low"))
+    fallback = F.col("measure") == "byte_fallback"
+    low = F.when(fallback, 0.0).otherwise(F.least(F.col("low") - width, F.col("mid") * (1 - floor)))
+    high = F.when(fallback, F.greatest(F.col("high") + width, F.col("mid") + FALLBACK_FLOOR)).otherwise(F.greatest(F.col("high") + width, F.col("mid") * (1 + floor)))
+    return out.select(*keys, F.struct(low.alias("low"), high.alias("high")).alias("band"))
 
 
 #: Band tables of so many rows are sent to all executors; larger ones are joined by their keys.
@@ -201,25 +215,30 @@ def _small(bands_: DataFrame) -> DataFrame:
     return F.broadcast(bands_) if bands_.count() <= SENT_ROWS else bands_
 
 
-def fertility_rules(docs: DataFrame, byte_bpe: str, fallback_bpe: str) -> DataFrame:
-    """One row a document: the measures, base_failed and kept.
+def fertility_rules(docs: DataFrame, byte_bpe: str, fallback_bpe: str, carry: str | None = None) -> DataFrame:
+    """One row a document: the measures, base_failed and kept. ``carry`` names one more column of ``docs`` to keep, by which rows can be told apart.
 
     A null or empty text has no word and fails the base rule; a null language counts as "und". A measure that a text doesn't have can't reject it.
     A text is judged by the band of its language and script, or else of its script, or else of all documents.
     Repeated rows are each judged, with the same verdict. An empty table gives no row. Columns besides doc_id, text and lang are left out.
+    A long text is measured whole; a task holds it and its tokens.
     """
-    measured = staged(measure(docs, byte_bpe, fallback_bpe), "fertility")
-    texts = staged(distinct_texts(measured), "texts")
-    own, script = _small(bands(texts, "lang", "script")), _small(bands(texts, "script", floor=FLOOR))
-    whole = (bands(texts, floor=FLOOR, least=1).collect() or [None])[0]
-    ends = [f"{end}_{m}" for m in BANDED for end in ("low", "high")]
-    script = script.withColumnsRenamed({e: f"s_{e}" for e in ends})
-    out = measured.join(own, ["lang", "script"], "left").join(script, "script", "left")
+    measured = staged(measure(docs, byte_bpe, fallback_bpe, carry), "fertility")
+    hist = staged(histogram(measured), "histogram")
+    out = measured.withColumn("octave", octave(F.col("n_tokens")))
+    levels = []
+    for k, (by, floor, least) in enumerate(((("lang", "script"), 0.0, MIN_DOCS), (("script",), FLOOR, MIN_DOCS), ((), FLOOR, 1))):
+        found = _small(bands(hist, *by, floor=floor, least=least))
+        columns = {}
+        for m in BANDED:
+            columns[m], keys = f"band{k}_{m}", [*by, *(["octave"] if m == "token_entropy" else [])]
+            some = found.filter(F.col("measure") == m).select(*keys, F.col("band").alias(columns[m]))
+            out = out.join(some, keys, "left") if keys else out.join(F.broadcast(some), F.lit(True), "left")  # one row
+        levels.append(columns)
     inside = F.lit(True)
     for m in BANDED:
-        low, high = (F.coalesce(F.col(f"{e}_{m}"), F.col(f"s_{e}_{m}"), F.lit(whole[f"{e}_{m}"] if whole else None)) for e in ("low", "high"))
-        if m == "byte_fallback":
-            high = F.when(F.col(f"high_{m}").isNull(), F.least(high, F.lit(MAX_FALLBACK))).otherwise(high)
-        inside = inside & F.coalesce((F.col(m) >= low) & (F.col(m) <= high), F.lit(True))
+        band, own = F.coalesce(*[F.col(c[m]) for c in levels]), F.col(levels[0][m])
+        high = F.when(own.isNull(), F.least(band["high"], F.lit(MAX_FALLBACK))).otherwise(band["high"]) if m == "byte_fallback" else band["high"]
+        inside = inside & F.coalesce((F.col(m) >= band["low"] - 0.5 / GRID) & (F.col(m) <= high + 0.5 / GRID), F.lit(True))
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return out.select(*first, (~F.col("base_failed") & inside).alias("kept"), "lang", "script", "n_tokens", "chars_per_token", "byte_fallback", "token_entropy", "evenness")
+    return out.select(*first, (~F.col("base_failed") & inside).alias("kept"), "lang", "script", "n_tokens", "chars_per_token", "byte_fallback", "token_entropy", *([carry] if carry else []))
