@@ -1,24 +1,25 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found in a block-max inverted index.
 
-Terms are words and the starts of words (three to six letters, written with a leading ^), so that compounds share terms with their kin.
-The vocabulary holds every term of the examples, whatever its label or frequency; terms that no example has can't bring one nearer and don't count.
-Terms that go with label 1 weigh more, none weighs less than its TF-IDF.
+Terms are the runs of letters of a text, in lower case. The vocabulary holds every term of the examples, whatever its label or frequency;
+terms that no example has can't bring one nearer and don't count. A term's TF-IDF is multiplied by a supervised weight: terms that go with label 1 weigh more, none weighs less.
 Document frequencies count all documents. The index keeps the commonest terms' weights as a matrix with the greatest weight of every block of examples,
 the others' as postings. A text's blocks are visited by the bound that these give, until no block can hold a nearer example: the neighbours are exact,
 ties going to the lesser document id.
+
+What the votes are calibrated on are scores of examples by the examples of other folds, weights included, so that no example has a part in its own score.
+The constants were chosen in the same way, by five folds over the labelled rows of sf0.1 that may be learned from.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +27,9 @@ from .common import ready
 
 #: At most so many examples of each label, by a hash of their ids: the bound of the sample that the classifier is fitted on.
 MAX_EXAMPLES = 2500
-NEIGHBOURS, BLOCK = 11, 64
+NEIGHBOURS, BLOCK = 25, 64
 #: A term counts 1 + chi-squared / CHI times its TF-IDF, with the chi-squared of its going with label 1 among the examples (with Yates' correction).
-CHI = 20.0
+CHI = 5.0
 #: So many of the commonest terms are kept as a matrix, and so many texts are looked up together.
 DENSE, TOGETHER = 2048, 256
 #: More than single precision can be wrong by in a cosine.
@@ -36,50 +37,64 @@ SLACK = 2e-5
 #: What the prior weighs against the neighbours' votes.
 PRIOR_WEIGHT = 0.1
 THRESHOLD = 0.7
-STARTS = (3, 4, 5, 6)
+FOLDS = 5
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: Terms in order with what goes with each (counts or weights).
+Vector = tuple[np.ndarray, np.ndarray]
 
 
-def terms_of_word(word: str) -> tuple[str, ...]:
+def terms_of_word(word: str) -> list[str]:
     """The terms of a piece of text without white space."""
-    out: list[str] = []
-    for w in _LETTERS.findall(word.lower()):
-        if 2 <= len(w) <= 40:
-            out.append(w)
-            out += [f"^{w[:n]}" for n in STARTS if len(w) > n]
-    return tuple(out)
+    return _LETTERS.findall(word.lower())
+
+
+class Words:
+    """The distinct words of a batch of texts: ``words``, and for every text in order (text, word, count)."""
+
+    def __init__(self, texts: list[str]):
+        cut = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+        of = cut.flatten().dictionary_encode()
+        self.words: list[str] = of.dictionary.to_pylist()
+        n = max(1, len(self.words))
+        owner = np.repeat(np.arange(len(texts)), np.diff(cut.offsets.to_numpy().astype(np.int64)))
+        key, self.count = np.unique(owner * n + of.indices.to_numpy(), return_counts=True)
+        self.text, self.word = key // n, key % n
 
 
 class Reader:
-    """A text's counts over a vocabulary; what a word gives is kept (and emptied when full)."""
+    """Texts' counts over a vocabulary; what a word gives is kept (and emptied when full)."""
 
-    def __init__(self, vocabulary: dict[str, int], limit: int = 300_000):
-        self.vocabulary, self.limit = vocabulary, limit
+    def __init__(self, vocabulary: list[str], limit: int = 300_000):
+        self.vocabulary, self.limit = {t: i for i, t in enumerate(vocabulary)}, limit
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def counts(self, text: str) -> dict[int, int]:
-        words, known = Counter(text.split()), self.known
+    def counts(self, texts: list[str]) -> list[Vector]:
+        """(terms in order, counts) of every text."""
+        found, known, vocabulary = Words(texts), self.known, self.vocabulary
         if len(known) > self.limit:
             known.clear()
-        out: dict[int, int] = {}
-        for w, n in words.items():
-            ids = known.get(w)
-            if ids is None:
-                ids = known[w] = tuple(self.vocabulary[t] for t in terms_of_word(w) if t in self.vocabulary)
-            for i in ids:
-                out[i] = out.get(i, 0) + n
-        return out
-
-
-def vector(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids = []
+        for w in found.words:
+            got = known.get(w)
+            if got is None:
+                got = known[w] = tuple(vocabulary[t] for t in terms_of_word(w) if t in vocabulary)
+            ids.append(got)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((i for got in ids for i in got), np.int64, int(sizes.sum()))
+        starts, each = np.cumsum(sizes) - sizes, sizes[found.word]
+        ends = np.cumsum(each)
+        term = flat[np.repeat(starts[found.word] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        n = max(1, len(vocabulary))
+        key, at = np.unique(np.repeat(found.text, each) * n + term, return_inverse=True)
+        counts = np.bincount(at, np.repeat(found.count, each), len(key)).astype(np.int32)
+        cuts = np.searchsorted(key, np.arange(len(texts) + 1) * n)
+        term = (key % n).astype(np.int32)
+        return [(term[a:b], counts[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+def weighed(ids: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> Vector:
     """(terms in order, weights of length one)."""
-    ids = np.array(sorted(counts), np.int32)
-    return weighed(ids, np.array([counts[i] for i in ids.tolist()], np.int32), idf)
-
-
-def weighed(ids: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``vector`` of terms in order and their counts."""
     w = (1 + np.log(counts.astype(float))) * idf[ids]
     norm = math.sqrt(float((w * w).sum()))
     return ids, w / norm if norm else w
@@ -133,19 +148,18 @@ class Index:
             out += self._together(texts[i : i + TOGETHER], k, without[i : i + TOGETHER] if without else [-1] * TOGETHER)
         return out
 
-    def _together(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def _together(self, texts: list[Vector], k: int, without: list[int]) -> list[Vector]:
         if not self.n:
             return [(np.zeros(0, np.int64), np.zeros(0))] * len(texts)
+        q = np.repeat(np.arange(len(texts)), [len(t[0]) for t in texts])
+        ids, weights = np.concatenate([t[0] for t in texts]), np.concatenate([t[1] for t in texts])
+        at = self.column[ids]
         common = np.zeros((len(texts), self.matrix.shape[1]), np.float32)
-        rare = np.zeros((len(texts), self.n), np.float32)
-        for q, (ids, weights) in enumerate(texts):
-            at = self.column[ids]
-            common[q, at[at >= 0]] = weights[at >= 0]
-            t, w = ids[at < 0], weights[at < 0]
-            first, many = self.post_ends[t], self.post_ends[t + 1] - self.post_ends[t]
-            if many.sum():
-                here = np.arange(many.sum()) + np.repeat(first - (np.cumsum(many) - many), many)
-                rare[q] = np.bincount(self.post_docs[here], np.repeat(w, many) * self.post_weights[here], self.n)
+        common[q[at >= 0], at[at >= 0]] = weights[at >= 0]
+        q, t, w = q[at < 0], ids[at < 0], weights[at < 0]
+        first, many = self.post_ends[t], self.post_ends[t + 1] - self.post_ends[t]
+        here = np.arange(many.sum()) + np.repeat(first - (np.cumsum(many) - many), many)
+        rare = np.bincount(np.repeat(q, many) * self.n + self.post_docs[here], np.repeat(w, many) * self.post_weights[here], len(texts) * self.n).astype(np.float32).reshape(len(texts), self.n)
         bound = common @ self.most + np.maximum.reduceat(rare, self.starts, axis=1)
         score = np.full(rare.shape, -1, np.float32)
         left = np.zeros(bound.shape, bool)
@@ -157,15 +171,15 @@ class Index:
             for b in np.flatnonzero(left.any(axis=0)).tolist():
                 rows, span = np.flatnonzero(left[:, b]), slice(b * self.block, (b + 1) * self.block)
                 score[rows, span] = common[rows] @ self.matrix[span].T + rare[rows, span]
-            for q, d in enumerate(without[: len(texts)]):
+            for i, d in enumerate(without[: len(texts)]):
                 if d >= 0:
-                    score[q, d] = -1
+                    score[i, d] = -1
             done |= left
             kth = -np.partition(-score, k - 1, axis=1)[:, k - 1] if self.n >= k else np.zeros(len(texts), np.float32)
             left = bound >= np.maximum(kth, 0)[:, None] - SLACK
         found, whole = [], np.zeros(self.n_terms)
-        for q, (ids, weights) in enumerate(texts):
-            near = np.flatnonzero((score[q] > 0) & (score[q] >= kth[q] - SLACK))
+        for i, (ids, weights) in enumerate(texts):
+            near = np.flatnonzero((score[i] > 0) & (score[i] >= kth[i] - SLACK))
             whole[ids] = weights
             x = np.round([float(whole[self.ids[a:b]] @ self.weights[a:b]) for a, b in zip(self.ends[near].tolist(), self.ends[near + 1].tolist(), strict=True)], 9)
             whole[ids] = 0
@@ -175,7 +189,7 @@ class Index:
         return found
 
 
-def emphasis(labels: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> np.ndarray:
+def emphasis(labels: np.ndarray, counts: list[Vector], n_terms: int, chi: float = CHI) -> np.ndarray:
     """What every term's TF-IDF is multiplied by: one, and more for terms that go with label 1."""
     n, toxic = np.zeros(n_terms), np.zeros(n_terms)
     for y, (ids, _) in zip(labels.tolist(), counts, strict=True):
@@ -184,40 +198,58 @@ def emphasis(labels: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], n_
     m = float(len(labels))
     m1 = float(labels.sum())
     off = np.maximum(np.abs(toxic * m - n * m1) - m / 2, 0)
-    chi = m * off * off / np.maximum(m1 * (m - m1) * n * (m - n), 1)
-    return 1 + np.where(toxic * m > n * m1, chi, 0) / CHI
+    squared = m * off * off / np.maximum(m1 * (m - m1) * n * (m - n), 1)
+    return 1 + np.where(toxic * m > n * m1, squared, 0) / chi
 
 
-class Model:
-    """Votes of the nearest examples, weighed by the square of their cosine and by how far the sample thins their label, then calibrated."""
+class Voters:
+    """Examples with their labels, what each stands for, and the index over their weighted vectors."""
 
-    def __init__(self, ids: list[int], labels: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], vocabulary: list[str], idf: np.ndarray, true_counts: tuple[int, int]):
-        self.ids, self.labels, self.vocabulary, self.idf = ids, labels.astype(float), vocabulary, idf
+    def __init__(self, labels: np.ndarray, counts: list[Vector], idf: np.ndarray, true_counts: tuple[int, int], chi: float = CHI):
+        self.labels = labels.astype(float)
         n1 = max(1.0, float(self.labels.sum()))
         n0 = max(1.0, float(len(labels) - self.labels.sum()))
         self.weight = np.where(self.labels > 0, true_counts[1] / n1, true_counts[0] / n0)
+        self.scale = float(self.weight.mean()) if len(labels) else 1.0
         self.prior = (true_counts[1] + 0.5) / (sum(true_counts) + 1)
-        vectors = [weighed(*c, idf) for c in counts]
-        self.index = Index(vectors, len(vocabulary))
+        self.idf = idf * emphasis(self.labels, counts, len(idf), chi)
+        self.index = Index([weighed(*c, self.idf) for c in counts], len(idf))
+
+    def votes(self, counts: list[Vector]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """(log odds of label 1, nearest examples, cosines) of texts: neighbours vote by the square of their cosine and by what they stand for."""
+        out = []
+        for d, x in self.index.nearest_of_all([weighed(*c, self.idf) for c in counts], NEIGHBOURS):
+            w = x * x * self.weight[d] if len(d) else x
+            p = (float((w * self.labels[d]).sum()) + PRIOR_WEIGHT * self.scale * self.prior) / (float(w.sum()) + PRIOR_WEIGHT * self.scale)
+            out.append((math.log(p / (1 - p)), d, x))
+        return out
+
+
+def crossed(labels: np.ndarray, counts: list[Vector], idf: np.ndarray, true_counts: tuple[int, int], chi: float = CHI) -> np.ndarray:
+    """The log odds of every example by the examples of the other folds, dealt by turns."""
+    raw, fold = np.zeros(len(labels)), np.arange(len(labels)) % FOLDS
+    for f in range(min(FOLDS, len(labels))):
+        rest, here = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+        voters = Voters(labels[rest], [counts[i] for i in rest], idf, true_counts, chi)
+        raw[here] = [v for v, _, _ in voters.votes([counts[i] for i in here])]
+    return raw
+
+
+class Model:
+    """The examples, and the logistic curve that makes their votes probabilities."""
+
+    def __init__(self, ids: list[int], labels: np.ndarray, counts: list[Vector], vocabulary: list[str], idf: np.ndarray, true_counts: tuple[int, int]):
+        self.ids, self.vocabulary = ids, vocabulary
+        self.voters = Voters(labels, counts, idf, true_counts)
         self.a, self.b = 1.0, 0.0
-        without = np.array([len(v[0]) == 0 for v in vectors], bool)
-        w = self.weight[without]
-        self.bare = float((w * self.labels[without]).sum() + self.prior) / float(w.sum() + 1) if len(labels) else self.prior
-        some = [d for d, v in enumerate(vectors) if len(v[0])]
-        near = self.index.nearest_of_all([vectors[d] for d in some], NEIGHBOURS, some)
-        raw = [(self.vote(*n), d) for n, d in zip(near, some, strict=True)]
-        if raw:
-            self._calibrate(np.array([x for x, _ in raw]), self.labels[[d for _, d in raw]], self.weight[[d for _, d in raw]])
-
-    def vote(self, d: np.ndarray, x: np.ndarray) -> float:
-        """The log odds of label 1 by the neighbours ``d`` at cosines ``x``."""
-        w = x * x * self.weight[d] if len(d) else x
-        scale = float(self.weight.mean()) if len(self.weight) else 1.0
-        p = (float((w * self.labels[d]).sum()) + PRIOR_WEIGHT * scale * self.prior) / (float(w.sum()) + PRIOR_WEIGHT * scale)
-        return math.log(p / (1 - p))
+        bare = np.array([len(c[0]) == 0 for c in counts], bool)
+        w = self.voters.weight[bare]
+        self.bare = float((w * self.voters.labels[bare]).sum() + self.voters.prior) / float(w.sum() + 1) if len(labels) else self.voters.prior
+        if not bare.all():
+            self._calibrate(crossed(labels, counts, idf, true_counts)[~bare], self.voters.labels[~bare], self.voters.weight[~bare])
 
     def _calibrate(self, raw: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
-        """A logistic curve of the examples' own votes (each without itself), by damped Newton steps with a pull to slope one."""
+        """A logistic curve of the examples' own votes, by damped Newton steps with a pull to slope one."""
         x = np.stack([raw, np.ones_like(raw)], axis=1)
         theta, pull, w = np.array([1.0, 0.0]), np.array([1.0, 0.1]), w / w.mean()
         for _ in range(50):
@@ -231,13 +263,12 @@ class Model:
         if theta[0] > 0:
             self.a, self.b = float(theta[0]), float(theta[1])
 
-    def scores(self, counts: list[dict[int, int]]) -> list[tuple[float, str]]:
+    def scores(self, counts: list[Vector]) -> list[tuple[float, str]]:
         """(the probability of label 1, the three nearest examples as id:cosine:label) of every text."""
-        vectors = [vector(c, self.idf) for c in counts]
         out = []
-        for (ids, _), (d, x) in zip(vectors, self.index.nearest_of_all(vectors, NEIGHBOURS), strict=True):
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, self.a * self.vote(d, x) + self.b)))) if len(ids) else self.bare
-            out.append((p, ",".join(f"{self.ids[i]}:{c:.4f}:{int(self.labels[i])}" for i, c in zip(d[:3].tolist(), x[:3].tolist(), strict=True))))
+        for (ids, _), (vote, d, x) in zip(counts, self.voters.votes(counts), strict=True):
+            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, self.a * vote + self.b)))) if len(ids) else self.bare
+            out.append((p, ",".join(f"{self.ids[i]}:{c:.4f}:{int(self.voters.labels[i])}" for i, c in zip(d[:3].tolist(), x[:3].tolist(), strict=True))))
         return out
 
 
@@ -265,60 +296,41 @@ def fit_sample(labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> tuple[dic
     return sample, (counts.get(0, 0), counts.get(1, 0))
 
 
-def choose_terms(docs: DataFrame, sample: dict[int, int]) -> list[str]:
-    """The vocabulary: every term of the examples, in order. Its size follows the sample, not the documents."""
-    spark = docs.sparkSession
+def examples(docs: DataFrame, sample: dict[int, int]) -> list[tuple[int, dict[str, int]]]:
+    """(id, terms and their counts) of the examples in order of their ids. Of rows that share an id, the one whose terms and counts are the least as text stands for it."""
     if not sample:
         return []
-    chosen = spark.createDataFrame([(d,) for d in sample], "doc_id long")
+    chosen = docs.sparkSession.createDataFrame([(d,) for d in sample], "doc_id long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = {w for text in b.column(0).to_pylist() for w in (text or "").split()}
-            yield pa.RecordBatch.from_arrays([pa.array(list({t for w in words for t in terms_of_word(w)}), pa.string())], ["term"])
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            found = Words(texts)
+            counts: list[dict[str, int]] = [{} for _ in texts]
+            for t, w, n in zip(found.text.tolist(), found.word.tolist(), found.count.tolist(), strict=True):
+                for term in terms_of_word(found.words[w]):
+                    counts[t][term] = counts[t].get(term, 0) + n
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([" ".join(f"{t} {n}" for t, n in sorted(c.items())) for c in counts], pa.string())], ["doc_id", "terms"])
 
     # at most two times max_examples ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text")
-    return sorted(texts.mapInArrow(run, "term string").distinct().toArrow().column(0).to_pylist())
-
-
-def _bytes(found: list[list[tuple[int, int]]], k: int) -> pa.Array:
-    return pa.array([np.array([x[k] for x in f], "<i4").tobytes() for f in found], pa.binary())
-
-
-def example_counts(docs: DataFrame, sample: dict[int, int], vocabulary: list[str]) -> list[tuple[int, tuple[np.ndarray, np.ndarray]]]:
-    """(id, (terms, counts)) of the examples in order of their ids. Of rows that share an id, the one whose terms and counts are the least as bytes stands for it."""
-    spark = docs.sparkSession
-    if not sample:
-        return []
-    chosen = spark.createDataFrame([(d,) for d in sample], "doc_id long")
-    shared = spark.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})  # the terms of at most two times max_examples texts
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(shared.value)
-        for b in batches:
-            found = [sorted(reader.counts(t or "").items()) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), _bytes(found, 0), _bytes(found, 1)], ["doc_id", "terms", "counts"])
-
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    rows = texts.mapInArrow(run, "doc_id long, terms binary, counts binary").collect()
-    read = sorted((r["doc_id"], bytes(r["terms"]), bytes(r["counts"])) for r in rows)
-    return [(d, (np.frombuffer(t, "<i4"), np.frombuffer(n, "<i4"))) for i, (d, t, n) in enumerate(read) if i == 0 or d != read[i - 1][0]]
+    out: dict[int, str] = {}
+    for r in texts.mapInArrow(run, "doc_id long, terms string").toLocalIterator():
+        out[r["doc_id"]] = min(out.get(r["doc_id"], r["terms"]), r["terms"])
+    pairs = lambda x: dict(zip(x[::2], map(int, x[1::2]), strict=True))
+    return [(d, pairs(out[d].split())) for d in sorted(out)]
 
 
-def frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, np.ndarray]:
-    """The number of rows, and of those that hold each term of the vocabulary."""
-    spark = ready(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(vocabulary)
-    name, size = hashlib.md5("\n".join(vocabulary).encode()).hexdigest(), len(vocabulary)
+def frequencies(docs: DataFrame, shared) -> tuple[int, np.ndarray]:
+    """The number of rows, and of those that hold each term of the vocabulary (a broadcast list)."""
+    size = len(shared.value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, seen, n = _reader(name, shared.value), np.zeros(size, np.int64), 0
+        reader, seen, n = _reader(shared.id, shared.value), np.zeros(size, np.int64), 0
         for b in batches:
-            for text in b.column(0).to_pylist():
-                n += 1
-                ids = reader.counts(text or "")
-                seen[np.fromiter(ids, np.int64, len(ids))] += 1
+            found = reader.counts([t or "" for t in b.column(0).to_pylist()])
+            n += len(found)
+            seen += np.bincount(np.concatenate([ids for ids, _ in found]), minlength=size) if found else 0
         held = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *held.tolist()], pa.int32()), pa.array([n, *seen[held].tolist()], pa.int64())], ["term", "n"])
 
@@ -329,46 +341,66 @@ def frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, np.ndarray
     return int(n[term < 0].sum()), out
 
 
-_last: tuple[str, Reader] | None = None
+_last: tuple[int, Reader] | None = None
 
 
-def _reader(name: str, vocabulary: list[str]) -> Reader:
+def _reader(name: int, vocabulary: list[str]) -> Reader:
+    """One reader a worker process, for the vocabulary it was last asked for."""
     global _last
     if _last is None or _last[0] != name:
-        _last = (name, Reader({t: i for i, t in enumerate(vocabulary)}))
+        _last = (name, Reader(vocabulary))
     return _last[1]
 
 
+class _Broadcast:
+    """A broadcast with a number by which workers know it."""
+
+    def __init__(self, spark, value):
+        self._held = spark.sparkContext.broadcast(value)
+        self.id = self._held._jbroadcast.id()
+
+    def __getstate__(self):
+        return self._held, self.id
+
+    def __setstate__(self, state):
+        self._held, self.id = state
+
+    @property
+    def value(self):
+        return self._held.value
+
+
 def fitted(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
-    """The model of the examples."""
-    ready(docs.sparkSession)
+    """The model of the examples. Its size, and that of what is broadcast and collected, follows the examples' texts, not the documents."""
+    spark = ready(docs.sparkSession)
     sample, true_counts = fit_sample(labels, max_examples)
-    vocabulary = choose_terms(docs, sample)
-    n_docs, df = frequencies(docs, vocabulary) if vocabulary else (0, np.zeros(0))
-    rows = example_counts(docs, sample, vocabulary)
-    y, counts = np.array([sample[d] for d, _ in rows], float), [c for _, c in rows]
-    weights = (np.log((1 + n_docs) / (1 + df)) + 1) * emphasis(y, counts, len(vocabulary))
-    return Model([d for d, _ in rows], y, counts, vocabulary, weights, true_counts)
+    rows = examples(docs, sample)
+    vocabulary = sorted({t for _, c in rows for t in c})
+    n_docs, df = frequencies(docs, _Broadcast(spark, vocabulary)) if vocabulary else (0, np.zeros(0))
+    number, counts = {t: i for i, t in enumerate(vocabulary)}, []
+    for _, c in rows:
+        found = sorted((number[t], n) for t, n in c.items())
+        counts.append((np.array([i for i, _ in found], np.int32), np.array([n for _, n in found], np.int32)))
+    idf = np.log((1 + n_docs) / (1 + df)) + 1
+    return Model([d for d, _ in rows], np.array([sample[d] for d, _ in rows], float), counts, vocabulary, idf, true_counts)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """One row a document: doc_id, held_out, score, predicted (1 from a score of 0.7 on), evidence.
 
     Nothing but the text enters a score. A text without any term of the examples (null, empty, or of words that none holds) gets the share of toxic examples among such texts.
-    Equal texts have equal scores; repeated rows are each scored; an empty table gives no row, and without labels every score is the prior.
+    Equal texts have equal scores; repeated rows are each scored; an empty table gives no row, and without labels every score is the prior. Long texts are read whole.
     """
     spark = docs.sparkSession
-    model = fitted(docs, labels, max_examples)
-    shared = spark.sparkContext.broadcast(model)  # the vectors of at most two times max_examples texts, and their terms
-    name = hashlib.md5("\n".join(model.vocabulary).encode()).hexdigest()
+    shared = _Broadcast(spark, fitted(docs, labels, max_examples))  # the vectors of at most two times max_examples texts, and their terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        reader = _reader(name, m.vocabulary)
+        reader = _reader(shared.id, m.vocabulary)
         for b in batches:
-            found = m.scores([reader.counts(t or "") for t in b.column(1).to_pylist()])
+            found = m.scores(reader.counts([t or "" for t in b.column(1).to_pylist()]))
             p = [x for x, _ in found]
             held = [is_held_out(d) for d in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held), pa.array(p, pa.float64()), pa.array([int(x >= THRESHOLD) for x in p], pa.int32()), pa.array([why for _, why in found], pa.string())], ["doc_id", "held_out", "score", "predicted", "evidence"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.bool_()), pa.array(p, pa.float64()), pa.array([int(x >= THRESHOLD) for x in p], pa.int32()), pa.array([why for _, why in found], pa.string())], ["doc_id", "held_out", "score", "predicted", "evidence"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence string")
