@@ -9,16 +9,47 @@ from .fixtures import ODD_ROWS, SCHEMA, TEXTS, documents
 
 def test_rake_meets_margins():
     rng = np.random.default_rng(0)
-    s, l, t = (rng.integers(0, k, 200) for k in (6, 4, 3))
+    strata = [rng.integers(0, k, 200) for k in (6, 4, 3)]
     tokens = rng.integers(1, 1000, 200).astype(float)
-    w = mixing.rake(tokens, [s, l, t], [0.7, 0.7, 0.85], rounds=200)
-    for of, power in ((s, 0.7), (l, 0.7), (t, 0.85)):
-        share = np.bincount(of, tokens) ** power
-        assert np.bincount(of, tokens * w) / tokens.sum() == pytest.approx(share / share.sum(), rel=1e-6)
+    shares = [mixing.tempered(tokens, of, power) for of, power in zip(strata, (0.7, 0.7, 0.85), strict=True)]
+    w = mixing.rake(tokens, strata, shares, rounds=200)
+    for of, share in zip(strata, shares, strict=True):
+        assert np.bincount(of, tokens * w) / tokens.sum() == pytest.approx(share, rel=1e-6)
+
+
+def test_weights_at_the_most_are_made_up_for():
+    """A cell that may not be kept more than whole: the others of its strata take what it lacks, and all shares hold."""
+    tokens, strata = np.array([10.0, 90, 100, 300]), [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])]
+    shares = [np.array([0.35, 0.65]), np.array([0.3, 0.7])]
+    free, held = (mixing.rake(tokens, strata, shares, 400, most) for most in (np.inf, 2.0))
+    assert free.max() > 2.5 and held.max() == 2
+    for of, share in zip(strata, shares, strict=True):
+        assert np.bincount(of, tokens * held) / tokens.sum() == pytest.approx(share, rel=1e-3)
 
 
 def test_rake_without_tokens():
-    assert mixing.rake(np.array([0.0, 5.0]), [np.array([0, 1]), np.array([0, 0])], [0.7, 0.7]).tolist() == [1.0, 1.0]
+    tokens, strata = np.array([0.0, 5.0]), [np.array([0, 1]), np.array([0, 0])]
+    assert mixing.rake(tokens, strata, [mixing.tempered(tokens, of, 0.7) for of in strata]).tolist() == [1.0, 1.0]
+
+
+def test_given_targets(spark):
+    rows = [(i if i % 7 else None, f"w{i} " * 50, ("en", "de", None)[i % 3], "big" if i % 4 else "small", 0, 0, "", "") for i in range(6000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    targets = {"source": {"big": 2, "small": 1}, "lang": {"en": 0.5, "de": 0.25, None: 0.25}, "topic": {"even": 0.5, "odd": 0.5}}
+    topic = lambda text, n: mixing.F.when(mixing.F.substring(text, 2, 1).cast("int") % 2 == 0, "even").otherwise("odd")
+    out, x = mixing.mixed(docs, 0.4, targets=targets, topic=topic)
+    assert x == "x_"
+    rows = out.select("source", "lang", "x_topic", "x_tokens", "x_probability", "x_sampled").collect()
+    for axis, at in (("source", 0), ("lang", 1), ("topic", 2)):
+        total = sum(r[3] * r[4] for r in rows)
+        for k, v in targets[axis].items():
+            share = v / sum(targets[axis].values())
+            assert sum(r[3] * r[4] for r in rows if r[at] == k) / total == pytest.approx(share, rel=1e-4)
+            assert sum(r[3] for r in rows if r[at] == k and r[5]) / sum(r[3] for r in rows if r[5]) == pytest.approx(share, abs=0.04)
+    assert total == pytest.approx(0.4 * 6000 * 50, rel=1e-4)
+    for bad in ({"source": {"big": 1}}, {"source": {"big": -1, "small": 2}}, {"color": {"red": 1}}):
+        with pytest.raises(ValueError, match="target|axes"):
+            mixing.mixed(docs, 0.4, targets=bad)
 
 
 def test_mixture_equals_sql(spark, tmp_path):
