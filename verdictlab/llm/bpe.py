@@ -127,7 +127,7 @@ class Encoder:
         plain = ["" if i in slow else t for i, t in enumerate(texts)] if slow else texts
         cut = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
         of = cut.flatten().dictionary_encode()
-        codes, ends = of.indices.to_numpy().astype(np.int64), cut.offsets.to_numpy().astype(np.int64)
+        codes, ends = of.indices.to_numpy().copy(), cut.offsets.to_numpy()
         ids = self._known(of.dictionary.to_pylist())
         # what begins a text has no space before it
         n = len(ids)
@@ -137,8 +137,11 @@ class Encoder:
         table, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
         each = sizes[codes]
         stops = np.cumsum(each)
-        flat = table[np.repeat(starts[codes] - (stops - each), each) + np.arange(stops[-1] if len(stops) else 0)]
-        return flat, np.concatenate(([0], stops))[ends]
+        # places in the table, by steps of 32 bits while they fit
+        kind = np.int32 if max(len(table), int(stops[-1]) if len(stops) else 0) < 2**31 else np.int64
+        at = np.repeat((starts[codes] - (stops - each)).astype(kind), each)
+        at += np.arange(len(at), dtype=kind)
+        return table[at], np.concatenate(([0], stops))[ends]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         flat, ends = self.encode_flat(texts)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: An Arrow batch ends at so many rows or so many bytes; a longer text is a batch of its own, so that a worker holds a few MB beside its longest text.
-BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
 ROOT = str(Path(__file__).resolve().parents[2])
 
 

@@ -105,22 +105,28 @@ def base_measures(text: str) -> tuple[int, int, int, int, int, list[bytes]]:
 
 
 class Pieces:
-    """Tokens and byte-fallback tokens of a word under a BPE with byte fallback, memoised (a full memo is emptied)."""
+    """Tokens and byte-fallback tokens of a word under a BPE with byte fallback, memoised (a full memo makes way for a new one)."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 120_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.byte = {i for i in range(self.model.get_piece_size()) if self.model.IsByte(i)}
         self.known: dict[bytes, complex] = {}
+        self.older: dict[bytes, complex] = {}
         self.limit = limit
 
     def counts(self, texts: list[list[bytes]]) -> list[tuple[int, int]]:
         """(tokens, byte tokens) of each text's words; the words that aren't known go to the library at once."""
-        known, is_byte = self.known, self.byte.__contains__
-        if len(known) > self.limit:
-            known.clear()
-        new = list({w for words in texts for w in words if w not in known})
+        if len(self.known) > self.limit:
+            self.older, self.known = self.known, {}
+        known, older, is_byte = self.known, self.older, self.byte.__contains__
+        new = []
+        for w in {w for words in texts for w in words if w not in known}:
+            if w in older:
+                known[w] = older[w]
+            else:
+                new.append(w)
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
             for w, ids in zip(part, self.model.encode([w.decode("utf-8", "replace") for w in part], num_threads=1), strict=True):
@@ -159,11 +165,14 @@ def measure(docs: DataFrame, byte_bpe: str, fallback_bpe: str, carry: str | None
         pieces = _pieces[fallback_bpe] if fallback_bpe in _pieces else _pieces.setdefault(fallback_bpe, Pieces(fallback_bpe))
         for b in batches:
             texts = b.column(1).to_pylist()
-            base_rows = [base_measures(t) for t in texts]
-            counted = pieces.counts([r[-1] for r in base_rows])
+            base_rows, counted = [], []
+            for i in range(0, len(texts), 256):  # words by words take many times the room of the text
+                some = [base_measures(t) for t in texts[i : i + 256]]
+                counted += pieces.counts([r[-1] for r in some])
+                base_rows += [r[:-1] for r in some]
             ids, ends = enc.encode_flat(texts)
             rows = []
-            for i, (doc_id, text, lang, key, (*base, _), (n_pieces, n_bytes)) in enumerate(zip(b.column(0).to_pylist(), texts, b.column(2).to_pylist(), b.column(3).to_pylist(), base_rows, counted, strict=True)):
+            for i, (doc_id, text, lang, key, base, (n_pieces, n_bytes)) in enumerate(zip(b.column(0).to_pylist(), texts, b.column(2).to_pylist(), b.column(3).to_pylist(), base_rows, counted, strict=True)):
                 n_words, n_repeat, n = base[0], base[4], int(ends[i + 1] - ends[i])
                 failed = n_words < MIN_WORDS or 100 * n_repeat > MAX_REPEAT_PERCENT * n_words
                 rows.append((doc_id, *base, failed, lang, script_of(text), n, len(text) / n if n else None, n_bytes / n_pieces if n_pieces else None, entropy(ids[ends[i] : ends[i + 1]]), key))
@@ -233,7 +242,11 @@ def fertility_rules(docs: DataFrame, byte_bpe: str, fallback_bpe: str, carry: st
         for m in BANDED:
             columns[m], keys = f"band{k}_{m}", [*by, *(["octave"] if m == "token_entropy" else [])]
             some = found.filter(F.col("measure") == m).select(*keys, F.col("band").alias(columns[m]))
-            out = out.join(some, keys, "left") if keys else out.join(F.broadcast(some), F.lit(True), "left")  # one row
+            if keys:
+                out = out.join(some, keys, "left")
+            else:  # one band
+                ends = some.first() or ((None, None),)
+                out = out.withColumn(columns[m], F.struct(*[F.lit(e).cast("double").alias(n) for e, n in zip(ends[0], ("low", "high"), strict=True)]))
         levels.append(columns)
     inside = F.lit(True)
     for m in BANDED:
