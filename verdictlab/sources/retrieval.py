@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdictlab.functions.text import tokens
+from verdictlab.sources.index import SENT_TERMS, Index
 
 K1, B = 1.2, 0.75
 #: What is put before a topic's words, by its number modulo eight, so that every query intent occurs.
@@ -31,42 +34,33 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id is not null").select(F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("docno"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def query_terms(topics_: DataFrame) -> DataFrame:
+def query_terms(topics_: DataFrame, tokenize: Callable[[Column], Column] = tokens) -> DataFrame:
     """qid, term, qtf."""
-    return topics_.select("qid", F.explode(tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-
-
-def matches(corpus_: DataFrame, terms: DataFrame) -> DataFrame:
-    """docno, term, dl, tf, first (position), places (positions) of every term of ``terms`` (a column ``term``) in every document."""
-    postings = corpus_.select("docno", tokens(F.col("text")).alias("words")).select("docno", F.size("words").cast("long").alias("dl"), F.posexplode("words").alias("pos", "term"))
-    wanted = terms.select("term").distinct()
-    return postings.join(wanted, "term", "left_semi").groupBy("docno", "term").agg(F.max("dl").alias("dl"), F.count("*").alias("tf"), F.min("pos").cast("long").alias("first"), F.sort_array(F.collect_list("pos")).alias("places"))
-
-
-def collection_size(corpus_: DataFrame) -> tuple[int, float]:
-    """(documents, mean length): two numbers for the driver."""
-    row = corpus_.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("mean")).first()
-    return row["n"], row["mean"] or 1.0
+    return topics_.select("qid", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
-def term_idf(found: DataFrame, n_docs: int) -> DataFrame:
-    """term, df, idf from ``matches``."""
-    return found.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-
-
-def bm25_scores(corpus_: DataFrame, topics_: DataFrame) -> DataFrame:
+def bm25_scores(index: Index, topics_: DataFrame) -> DataFrame:
     """qid, docno, score (rounded to six places) of every document that shares a term with the query."""
-    n, mean = collection_size(corpus_)
-    terms = query_terms(topics_)
-    found = matches(corpus_, terms).drop("places", "first")
+    _, mean = index.size
+    terms = query_terms(topics_, index.tokenize)
     weight = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
-    return found.join(term_idf(found, n), "term").join(terms, "term").groupBy("qid", "docno").agg(F.round(F.sum(weight), 6).alias("score"))
+    weighted = terms.join(index.idf(), "term")
+    # a row a query and term: sent to the postings, which stay where they are, while they are few
+    if weighted.limit(SENT_TERMS + 1).count() <= SENT_TERMS:
+        weighted = F.broadcast(weighted)
+    return index.postings.select("docno", "term", "tf", "dl").join(weighted, "term").groupBy("qid", "docno").agg(F.round(F.sum(weight), 6).alias("score"))
 
 
-def bm25_pool(corpus_: DataFrame, topics_: DataFrame, depth: int = 100) -> DataFrame:
+def bm25_pool(index: Index, topics_: DataFrame, depth: int = 100) -> DataFrame:
     """qid, docno, rank (from 0), score: the ``depth`` best documents of each query; ties by docno.
 
     The rank's limit is pushed below the shuffle, so that a query that matches everything moves only ``depth`` rows a task.
     """
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "docno")
-    return bm25_scores(corpus_, topics_).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= depth).select("qid", "docno", (F.col("place") - 1).alias("rank"), "score")
+    return bm25_scores(index, topics_).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= depth).select("qid", "docno", (F.col("place") - 1).alias("rank"), "score")
+
+
+def checked_pool(pool: DataFrame, depth: int) -> DataFrame:
+    """``pool``, failing in flight where a query has more than ``depth`` documents."""
+    n = F.count("*").over(Window.partitionBy("qid"))
+    return pool.withColumn("_n", n).filter(F.when(F.col("_n") <= depth, True).otherwise(F.raise_error(F.concat(F.lit(f"more than {depth} documents for query "), "qid")).cast("boolean"))).drop("_n")
