@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from verdictlab.functions.text import coverage, is_question, tokens
 from verdictlab.operators.pairs import exact_join
-from verdictlab.operators.ranking import draws, numbered
+from verdictlab.operators.ranking import interval, resampled
+from verdictlab.sources.staging import staged
 
 KEY = ["query_id", "doc_id_1", "doc_id_2"]
 
@@ -22,16 +23,21 @@ def merge_pairs(verdicts: DataFrame, axioms: DataFrame) -> DataFrame:
     return exact_join(verdicts, axioms.withColumnRenamed("qid", "query_id"), KEY)
 
 
-def attach_pool(pairs: DataFrame, pool: DataFrame, *columns: str) -> DataFrame:
-    """Columns of the pool for both documents, as name_1 and name_2."""
+def attach_pool(pairs: DataFrame, pool: DataFrame, *columns: str, strict: bool = False) -> DataFrame:
+    """Columns of the pool for both documents, as name_1 and name_2. ``strict`` fails in flight where a document isn't in the pool."""
     for side in ("1", "2"):
-        p = pool.select(F.col("qid").alias("query_id"), F.col("docno").alias(f"doc_id_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+        value = lambda c: F.when(F.col("docno").isNotNull() & F.col(c).isNotNull(), F.col(c))
+        p = pool.select(F.col("qid").alias("query_id"), F.col("docno").alias(f"doc_id_{side}"), *[value(c).alias(f"{c}_{side}") for c in columns])
         pairs = pairs.join(p, ["query_id", f"doc_id_{side}"], "left")
+        if strict:
+            lost = F.raise_error(F.concat(F.lit("not in the pool: "), "query_id", F.lit(" "), f"doc_id_{side}"))
+            pairs = pairs.withColumns({f"{c}_{side}": F.coalesce(F.col(f"{c}_{side}"), lost.cast(pool.schema[c].dataType)) for c in columns})
     return pairs
 
 
 def attach_rank_gap(pairs: DataFrame, pool: DataFrame) -> DataFrame:
-    return attach_pool(pairs, pool, "rank").withColumn("rank_gap", F.abs(F.col("rank_1") - F.col("rank_2")))
+    """Both documents' ranks and their distance; a document without a rank is an error."""
+    return attach_pool(pairs, pool, "rank", strict=True).withColumn("rank_gap", F.abs(F.col("rank_1") - F.col("rank_2")))
 
 
 def by_axiom(merged: DataFrame, names: list[str]) -> DataFrame:
@@ -39,8 +45,6 @@ def by_axiom(merged: DataFrame, names: list[str]) -> DataFrame:
     return merged.select(*[c for c in merged.columns if c not in names], F.explode(F.array(*[F.struct(F.lit(n).alias("axiom"), F.col(n).alias("pref")) for n in names])).alias("x")).select("*", "x.axiom", "x.pref").drop("x")
 
 
-
-
 def _evaluable() -> Column:
     return (F.col("pref") != 0) & (F.col("model_pref") != 0)
 
@@ -54,16 +58,17 @@ def agreement_table(merged: DataFrame, names: list[str]) -> DataFrame:
     return out.select("axiom", "n_pairs", share(F.col("n_active"), F.col("n_pairs")).alias("coverage"), "n_evaluable", share(F.col("agree"), F.col("n_evaluable")).alias("agreement"))
 
 
-def agreement_intervals(merged: DataFrame, names: list[str], n_bootstrap: int = 200, seed: int = 42, min_clusters: int = 1) -> DataFrame:
+def agreement_intervals(merged: DataFrame, names: list[str], n_bootstrap: int = 2_000, seed: int = 42, min_clusters: int = 1) -> DataFrame:
     """The table with the 95 % interval over resampled queries. Queries are resampled as counts, with one set of draws for all axioms; draws without an evaluable pair don't count."""
-    spark = merged.sparkSession
-    long = by_axiom(merged, names)
-    each = long.groupBy("axiom", "query_id").agg(F.count_if(_evaluable()).alias("e"), F.count_if(_agrees()).alias("a"))
-    slots, n = numbered(merged.select("query_id").distinct(), "query_id")
-    boot = draws(spark, n, n_bootstrap, seed).join(slots, "slot").join(each, "query_id").groupBy("axiom", "draw").agg((F.sum("a") / F.nullif(F.sum("e"), F.lit(0))).alias("r"))
-    ci = boot.filter("r is not null").groupBy("axiom").agg(F.percentile("r", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    clusters = each.groupBy("axiom").agg(F.count_if(F.col("e") > 0).alias("n_evaluable_queries"))
-    out = agreement_table(merged, names).join(clusters, "axiom").join(ci, "axiom", "left")
+    sign = lambda n: F.col(n) * F.col("model_pref")  # noqa: E731  # 1 agrees, -1 disagrees, 0 can't be evaluated
+    counts = [x for i, n in enumerate(names) for x in (F.count_if(sign(n) != 0).alias(f"e{i}"), F.count_if(sign(n) > 0).alias(f"a{i}"))]
+    each = staged(merged.groupBy("query_id").agg(*counts), "by-query")
+    rate = lambda i: F.sum(F.col(f"a{i}") * F.col("times")) / F.nullif(F.sum(F.col(f"e{i}") * F.col("times")), F.lit(0))
+    boot = resampled(each, "query_id", {f"r{i}": rate(i) for i in range(len(names))}, n_bootstrap, seed)
+    ends = boot.agg(*[interval(F.col(f"r{i}")).alias(f"q{i}") for i in range(len(names))])
+    spread = lambda df, **columns: df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("axiom"), *[F.col(f"{c}{i}").alias(k) for k, c in columns.items()]) for i, n in enumerate(names)])).alias("x")).select("x.*")
+    clusters = spread(each.agg(*[F.count_if(F.col(f"e{i}") > 0).alias(f"n{i}") for i in range(len(names))]), n_evaluable_queries="n")
+    out = agreement_table(merged, names).join(clusters, "axiom").join(spread(ends, q="q"), "axiom", "left")
     end = lambda i: F.round(F.when(F.col("n_evaluable_queries") >= min_clusters, F.col("q")[i]), 6)
     return out.select("axiom", "n_pairs", "coverage", "n_evaluable", "agreement", "n_evaluable_queries", end(0).alias("ci_lo"), end(1).alias("ci_hi"))
 
@@ -94,10 +99,42 @@ def covariates(pairs: DataFrame, pool: DataFrame, topics: DataFrame, corpus: Dat
     return out.join(conf, KEY, "left").select(*KEY, *columns, "conf_margin_prob", "conf_margin_score")
 
 
-def quantile_edges(df: DataFrame, value: str, bins: int) -> list[float]:
-    """Distinct linear quantiles of ``value``: at most ``bins`` + 1 numbers."""
-    row = df.agg(F.percentile(value, F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("e")).first()
-    return sorted({float(x) for x in row["e"]}) if row["e"] and row["e"][0] is not None else []
+def sums_below(df: DataFrame, order: list[str], count: str) -> DataFrame:
+    """``df`` (distinct in ``order``) with ``below``: the sum of ``count`` over the rows of the same leading columns and a lesser last one.
+
+    Rows are dealt by ranges and summed within them; only one total a range and leading value comes together, so that no task holds all rows.
+    """
+    *lead, last = order
+    parts = staged(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = lambda keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy(*lead, "_part").agg(F.sum(count).alias("_n"))
+    bases = totals.select(*lead, "_part", F.coalesce(F.sum("_n").over(before(lead or [F.lit(0)], "_part")), F.lit(0)).alias("_base"))
+    inside = F.coalesce(F.sum(count).over(before([*lead, "_part"], last)), F.lit(0))
+    return parts.join(bases, [*lead, "_part"]).withColumn("below", F.col("_base") + inside).drop("_part", "_base")
+
+
+def quantile_edges(df: DataFrame, names: list[str], bins: int) -> dict[str, list[float]]:
+    """Distinct linear quantiles of every column: at most ``bins`` + 1 numbers each, exact. Values are counted first."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("v")) for n in names]))
+    counts = df.select(each.alias("x")).select("x.*").filter("v IS NOT NULL").groupBy("name", "v").agg(F.count("*").alias("n"))
+    placed = sums_below(counts, ["name", "v"], "n")
+    totals = {r["name"]: r["n"] for r in placed.groupBy("name").agg(F.sum("n").alias("n")).collect()}
+    wanted = {(name, k) for name, n in totals.items() for i in range(bins + 1) for k in (int(i * (n - 1) / bins), min(n - 1, int(i * (n - 1) / bins) + 1))}
+    if not wanted:
+        return {n: [] for n in names}
+    places = F.broadcast(df.sparkSession.createDataFrame(sorted(wanted), "name string, k long"))  # two a column and bin
+    hit = placed.join(places, "name").filter((F.col("below") <= F.col("k")) & (F.col("k") < F.col("below") + F.col("n")))
+    at = {(r["name"], r["k"]): r["v"] for r in hit.select("name", "k", "v").collect()}
+    out = {n: [] for n in names}
+    for name, n in totals.items():
+        edges = set()
+        for i in range(bins + 1):
+            place = i * (n - 1) / bins
+            low = int(place)
+            a, b = at[name, low], at[name, min(n - 1, low + 1)]
+            edges.add(a + (b - a) * (place - low))
+        out[name] = sorted(edges)
+    return out
 
 
 def upper_edge(value: Column, edges: list[float]) -> Column:
@@ -113,7 +150,7 @@ def gap_bins(df: DataFrame, gap: str = "rank_gap", max_integer: int = 15, bins:
     most = df.agg(F.max(gap)).first()[0]
     if most is None or most <= max_integer:
         return df.withColumn("gap_bin", F.col(gap).cast("int"))
-    return df.withColumn("gap_bin", upper_edge(F.col(gap), quantile_edges(df, gap, bins)).cast("int"))
+    return df.withColumn("gap_bin", upper_edge(F.col(gap), quantile_edges(df, [gap], bins)[gap]).cast("int"))
 
 
 def gap_gradient(merged: DataFrame, names: list[str], bins: int = 10, max_integer: int = 15, oof: DataFrame | None = None) -> DataFrame:
@@ -135,17 +172,12 @@ def gap_gradient(merged: DataFrame, names: list[str], bins: int = 10, max_intege
 
 def profiles(df: DataFrame, names: list[str], bins: int = 5) -> DataFrame:
     """Per covariate and bin: pairs, accuracy (column oof_correct), residual rate, mean signed verdict (column y_true). Values of few kinds are their own bins."""
-    out = None
-    for name in names:
-        some = df.filter(F.col(name).isNotNull())
-        few = some.select(name).distinct().limit(bins + 1).count()
-        if not few:
-            continue
-        label = F.col(name).cast("double") if few <= bins else upper_edge(F.col(name), quantile_edges(some, name, bins))
-        part = some.groupBy(F.round(label, 3).alias("bin")).agg(F.count("*").alias("n_pairs"), F.round(F.avg(F.col("oof_correct").cast("int")), 6).alias("oof_accuracy"), F.round(F.avg((~F.col("oof_correct")).cast("int")), 6).alias("residual_rate"), F.round(F.avg(2 * F.col("y_true").cast("int") - 1), 6).alias("mean_signed_verdict"))
-        part = part.select(F.lit(name).alias("covariate"), "bin", "n_pairs", "oof_accuracy", "residual_rate", "mean_signed_verdict")
-        out = part if out is None else out.unionByName(part)
-    return out
+    few = df.agg(*[F.count_distinct(n).alias(n) for n in names]).first().asDict() if names else {}
+    edges = quantile_edges(df, many, bins) if (many := [n for n in names if few[n] > bins]) else {}
+    kinds = [F.struct(F.lit(n).alias("covariate"), F.round(F.col(n).cast("double") if few[n] <= bins else upper_edge(F.col(n), edges[n]), 3).alias("bin"), F.col(n).isNotNull().alias("known")) for n in names]
+    rows = df.select("oof_correct", "y_true", F.explode(F.array(*kinds)).alias("x")).select("oof_correct", "y_true", "x.*").filter("known")
+    right = F.col("oof_correct").cast("int")
+    return rows.groupBy("covariate", "bin").agg(F.count("*").alias("n_pairs"), F.round(F.avg(right), 6).alias("oof_accuracy"), F.round(F.avg(1 - right), 6).alias("residual_rate"), F.round(F.avg(2 * F.col("y_true").cast("int") - 1), 6).alias("mean_signed_verdict"))
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -154,8 +186,8 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     Scores are counted first, so the running sum goes over distinct scores.
     """
     each = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label)).alias("p"), F.count_if(~F.col(label)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = each.withColumn("w", F.col("p") * (below + F.col("n") / 2.0)).agg(F.sum("w").alias("w"), F.sum("p").alias("n_positive"), F.sum("n").alias("n_negative"))
+    placed = sums_below(each, ["s"], "n")
+    out = placed.withColumn("w", F.col("p") * (F.col("below") + F.col("n") / 2.0)).agg(F.sum("w").alias("w"), F.sum("p").alias("n_positive"), F.sum("n").alias("n_negative"))
     return out.select("n_positive", "n_negative", F.round(F.when((F.col("n_positive") > 0) & (F.col("n_negative") > 0), F.col("w") / (F.col("n_positive") * F.col("n_negative"))), 6).alias("auc"))
 
 
@@ -179,9 +211,8 @@ def regression_fidelity(df: DataFrame, target: str, predicted: str) -> DataFrame
     """Spearman correlation (average ranks), mean absolute error, and R squared."""
 
     def average_rank(c: str) -> DataFrame:
-        each = df.groupBy(F.col(c).alias(c)).agg(F.count("*").alias("m"))
-        below = F.coalesce(F.sum("m").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return each.select(c, (below + (F.col("m") + 1) / 2.0).alias(f"r_{c}"))
+        placed = sums_below(df.groupBy(F.col(c).alias(c)).agg(F.count("*").alias("m")), [c], "m")
+        return placed.select(c, (F.col("below") + (F.col("m") + 1) / 2.0).alias(f"r_{c}"))
 
     ranked = df.select(target, predicted).join(average_rank(target), target).join(average_rank(predicted), predicted)
     t, p = F.col(target), F.col(predicted)
@@ -189,36 +220,43 @@ def regression_fidelity(df: DataFrame, target: str, predicted: str) -> DataFrame
     return out.select("n", F.round("c", 6).alias("spearman"), F.round("e", 6).alias("mae"), F.round(F.when(F.col("v") > 0, 1 - F.col("res") / (F.col("v") * F.col("n"))), 6).alias("r2"))
 
 
-def candidate_agreement(merged: DataFrame, names: list[str], eligible: DataFrame | None = None) -> DataFrame:
-    """Per axiom: eligible and active queries, pairs of eligible queries, coverage there, positives and negatives, and agreement. ``eligible``: query_id, axiom."""
-    long = by_axiom(merged, names)
+def candidate_agreement(merged: DataFrame, names: list[str], eligible: DataFrame | None = None, n_bootstrap: int = 2_000, seed: int = 42, min_clusters: int = 5) -> DataFrame:
+    """The agreement table with intervals (none below ``min_clusters`` queries with an evaluable pair), and per axiom: eligible and active queries,
+    coverage among the pairs of eligible queries, positives and negatives. ``eligible``: query_id, axiom."""
+    long = by_axiom(merged, names).select("query_id", "axiom", "pref")
     if eligible is not None:
-        long = long.join(eligible.select("query_id", "axiom").distinct(), ["query_id", "axiom"], "left_semi")
-    active = F.col("pref") != 0
+        long = long.join(eligible.select("query_id", "axiom", F.lit(True).alias("ok")).distinct(), ["query_id", "axiom"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    else:
+        long = long.withColumn("ok", F.lit(True))
+    active, ok = F.col("pref") != 0, F.col("ok")
     out = long.groupBy("axiom").agg(
-        F.count_distinct("query_id").alias("n_eligible_queries"), F.count_distinct(F.when(active, F.col("query_id"))).alias("n_active_queries"), F.count("*").alias("n_pairs"),
-        F.count_if(active).alias("n_active"), F.count_if(F.col("pref") > 0).alias("n_positive"), F.count_if(F.col("pref") < 0).alias("n_negative"), F.count_if(_evaluable()).alias("n_evaluable"), F.count_if(_agrees()).alias("agree"),
+        F.count_distinct(F.when(ok, F.col("query_id"))).alias("n_eligible_queries"), F.count_distinct(F.when(active, F.col("query_id"))).alias("n_active_queries"),
+        F.count_distinct("query_id").alias("n_queries"), F.count_if(ok).alias("n_ok"), F.count_if(ok & active).alias("n_ok_active"), F.count_if(F.col("pref") > 0).alias("n_positive"), F.count_if(F.col("pref") < 0).alias("n_negative"),
     )
-    return out.select("axiom", "n_eligible_queries", "n_active_queries", "n_pairs", share(F.col("n_active"), F.col("n_pairs")).alias("conditional_coverage"), "n_positive", "n_negative", "n_evaluable", share(F.col("agree"), F.col("n_evaluable")).alias("agreement"))
+    table = agreement_intervals(merged, names, n_bootstrap, seed, min_clusters)
+    return table.join(out, "axiom").select(*table.columns, "n_active_queries", "n_queries", "n_eligible_queries", share(F.col("n_ok_active"), F.col("n_ok")).alias("eligible_pair_coverage"), "n_positive", "n_negative")
 
 
-def incremental_fidelity(df: DataFrame, p_base: str, p_more: str, label: str = "y_true", n_bootstrap: int = 200, seed: int = 42) -> DataFrame:
-    """What a second model adds in accuracy and log-loss over the same pairs, with 95 % intervals over resampled queries. Queries are resampled as sums and counts."""
-    spark = df.sparkSession
-    y = F.col(label)
+def log_loss(y: Column, p: Column) -> Column:
+    q = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
+    return -F.when(y, F.log(q)).otherwise(F.log(1 - q))
+
 
-    def loss(p: str):
-        q = F.least(F.greatest(F.col(p), F.lit(1e-12)), F.lit(1 - 1e-12))
-        return -F.when(y, F.log(q)).otherwise(F.log(1 - q))
+def incremental_fidelity(df: DataFrame, p_base: str, p_more: str, label: str = "y_true", n_bootstrap: int = 2_000, seed: int = 42, macro: bool = False) -> DataFrame:
+    """What a second model adds in accuracy and log-loss over the same pairs, with 95 % intervals over resampled queries.
 
+    The mean is over pairs, or (``macro``) over the queries' means. Queries are resampled as sums and counts.
+    """
+    y = F.col(label)
     right = lambda p: ((F.col(p) >= 0.5) == y).cast("int")
-    each = df.groupBy("query_id").agg(F.count("*").alias("n"), F.sum(right(p_more) - right(p_base)).alias("accuracy"), F.sum(loss(p_base) - loss(p_more)).alias("log_loss"))
-    rows, n = numbered(each, "query_id")
-    long = rows.select("slot", "n", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.round(m, 9).alias("v")) for m in ("accuracy", "log_loss")])).alias("x")).select("slot", "n", "x.measure", "x.v")
-    boot = draws(spark, n, n_bootstrap, seed).join(long, "slot").groupBy("measure", "draw").agg((F.sum("v") / F.sum("n")).alias("r"))
-    ci = boot.groupBy("measure").agg(F.percentile("r", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    lift = long.groupBy("measure").agg(F.round(F.sum("v") / F.sum("n"), 6).alias("lift"))
-    return lift.join(ci, "measure").select("measure", "lift", F.round(F.col("q")[0], 6).alias("ci_lo"), F.round(F.col("q")[1], 6).alias("ci_hi"))
+    measures = {"accuracy": right(p_more) - right(p_base), "log_loss": log_loss(y, F.col(p_base)) - log_loss(y, F.col(p_more))}
+    total = {k: F.round(F.avg(v) if macro else F.sum(v).cast("double"), 9) for k, v in measures.items()}
+    each = staged(df.groupBy("query_id").agg((F.lit(1) if macro else F.count("*")).alias("n"), *[v.alias(k) for k, v in total.items()]), "lifts")
+    boot = resampled(each, "query_id", {k: F.sum(F.col(k) * F.col("times")) / F.sum(F.col("n") * F.col("times")) for k in measures}, n_bootstrap, seed)
+    ends = boot.agg(*[interval(F.col(k)).alias(f"q_{k}") for k in measures])
+    lift = each.agg(*[(F.sum(k) / F.sum("n")).alias(k) for k in measures])
+    rows = lift.join(ends, F.lit(True)).select(F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.round(k, 6).alias("lift"), F.round(F.col(f"q_{k}")[0], 6).alias("ci_lo"), F.round(F.col(f"q_{k}")[1], 6).alias("ci_hi")) for k in measures])).alias("x"))
+    return rows.select("x.*")
 
 
 def adequacy_evaluation(df: DataFrame, one: str, two: str, verdict: str = "model_pref", dead_band: float = 0.10) -> DataFrame:
@@ -228,16 +266,52 @@ def adequacy_evaluation(df: DataFrame, one: str, two: str, verdict: str = "model
     clear = decisive & (F.abs(gap) > dead_band)
     some = df.filter(F.col(one).isNotNull() & F.col(two).isNotNull())
     out = some.agg(F.count("*").alias("n_pairs"), F.count_if(decisive).alias("n_decisive"), F.count_if(clear).alias("n_clear"), F.count_if(clear & (F.signum(gap) == F.col(verdict))).alias("agree"))
-    return out.select("n_pairs", "n_decisive", share(F.col("n_clear"), F.col("n_decisive")).alias("discriminating_coverage"), share(F.col("agree"), F.col("n_clear")).alias("sign_agreement"))
+    area = auc(some.filter(decisive).select(gap.alias("gap"), (F.col(verdict) > 0).alias("y")), "gap", "y").select("auc")
+    return out.join(area, F.lit(True)).select("n_pairs", "n_decisive", share(F.col("n_clear"), F.col("n_decisive")).alias("discriminating_coverage"), share(F.col("agree"), F.col("n_clear")).alias("sign_agreement"), "auc")
+
 
+def residual_model(df: DataFrame, axioms: list[str], covariates_: list[str], folds: int = 5, n_bootstrap: int = 2_000, seed: int = 42) -> DataFrame:
+    """What covariates add to axioms in out-of-fold accuracy, over the same folds: a row with pairs, queries, both accuracies and the lift, by queries (with its interval) and by pairs.
 
-def residual_lift(df: DataFrame, axioms: list[str], covariates_: list[str], folds: int = 5, n_bootstrap: int = 200, seed: int = 42) -> DataFrame:
-    """What covariates add to axioms in out-of-fold accuracy and log-loss over the same folds. Covariates enter as the sign of their deviation from the mean, so that fits run on counts."""
+    Covariates are standardised by the training folds; pairs that lack one don't count. ``df`` has KEY, model_pref, the axioms and the covariates.
+    """
     from verdictlab.operators.models import joint_fit
 
-    means = df.agg(*[F.avg(c).alias(c) for c in covariates_]).first()
-    signs = {f"s_{c}": F.coalesce(F.signum(F.col(c) - F.lit(means[c])), F.lit(0.0)).cast("int") for c in covariates_}
-    rows = df.withColumns(signs)
-    base = joint_fit(rows, axioms, folds)[0].select(*KEY, "y_true", F.col("oof_prob").alias("p_base"))
-    more = joint_fit(rows, [*axioms, *signs], folds)[0].select(*KEY, F.col("oof_prob").alias("p_more"))
-    return incremental_fidelity(exact_join(base, more, KEY), "p_base", "p_more", n_bootstrap=n_bootstrap, seed=seed)
+    if not axioms:
+        raise ValueError("the axioms' columns are needed")
+    rows = staged(df.filter("model_pref <> 0").na.drop(subset=[*axioms, *covariates_]), "residual")
+    base = joint_fit(rows, axioms, folds)[0].select(*KEY, "y_true", F.col("oof_prob").alias("p_base"), F.col("oof_correct").cast("int").alias("base"))
+    more = joint_fit(rows, [*axioms, *covariates_], folds, standardise=covariates_)[0].select(*KEY, F.col("oof_prob").alias("p_more"), F.col("oof_correct").cast("int").alias("more"))
+    both = staged(exact_join(base, more, KEY), "both")
+    by_pair = both.agg(F.count("*").alias("n_pairs"), F.round(F.avg("base"), 6).alias("pair_micro_base_accuracy"), F.round(F.avg("more"), 6).alias("pair_micro_cov_accuracy"), F.round(F.avg(F.col("more") - F.col("base")), 6).alias("pair_micro_lift"))
+    queries = both.groupBy("query_id").agg(F.avg("base").alias("base"), F.avg("more").alias("more"))
+    by_query = queries.agg(F.count("*").alias("n_queries"), F.round(F.avg("base"), 6).alias("base_accuracy"), F.round(F.avg("more"), 6).alias("cov_accuracy"))
+    lift = incremental_fidelity(both, "p_base", "p_more", n_bootstrap=n_bootstrap, seed=seed, macro=True).filter("measure = 'accuracy'").select("lift", F.col("ci_lo").alias("lift_ci_lo"), F.col("ci_hi").alias("lift_ci_hi"))
+    return by_pair.join(by_query, F.lit(True)).join(lift, F.lit(True))
+
+
+def variant_profiles(predictions: dict[str, DataFrame], covariates_: DataFrame, names: list[str], bins: int = 5) -> DataFrame:
+    """``profiles`` of every variant's out-of-fold predictions (KEY, y_true, oof_correct) over the same covariates."""
+    out = None
+    for variant, df in predictions.items():
+        part = profiles(exact_join(df.select(*KEY, "y_true", "oof_correct"), covariates_.join(df.select(*KEY), KEY, "left_semi"), KEY), names, bins).select(F.lit(variant).alias("variant"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def join_candidate(base: DataFrame, candidate: DataFrame, collection: str) -> DataFrame:
+    """A collection's pairs with the columns of a candidate, pair by pair, and a group that is unique over collections."""
+    joined = exact_join(base, candidate.withColumnRenamed("qid", "query_id"), KEY)
+    return joined.withColumns({"collection": F.lit(collection), "group_id": F.concat(F.lit(f"{collection}:"), "query_id")})
+
+
+def distribution(df: DataFrame, value: str) -> DataFrame:
+    """How often each value occurs."""
+    return df.groupBy(value).agg(F.count("*").alias("n"))
+
+
+def tie_diagnostics(merged: DataFrame, vote: Column) -> DataFrame:
+    """One row: ties and decisions of the verdicts and of a vote over the same pairs, and the reasons' counts."""
+    reasons = [F.count_if(F.col("collapse_reason") == r).alias(f"n_{r}") for r in ("decisive", "model_tie", "order_disagreement")]
+    target = F.col("model_pref") == 0
+    return merged.agg(F.count_if(target).alias("target_ties"), F.count_if(~target).alias("target_decisive"), F.count_if(vote == 0).alias("vote_ties"), F.count_if(vote != 0).alias("vote_decisions"), *reasons)

@@ -7,33 +7,36 @@ formulas, as far as those are definite; PROX2 to PROX5, LB1, STMC and REG are ap
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdictlab.functions.text import tokens
-from verdictlab.sources.retrieval import collection_size, matches, query_terms, term_idf
+from verdictlab.sources.index import Index
+from verdictlab.sources.retrieval import query_terms
+from verdictlab.sources.staging import staged
 
 
-def query_side(topics: DataFrame, corpus: DataFrame) -> DataFrame:
+def query_side(topics: DataFrame, index: Index) -> DataFrame:
     """qid, terms (sorted), qtf, idf (arrays by term), phrase (the query's words with a space around)."""
-    terms = query_terms(topics)
-    n, _ = collection_size(corpus)
-    idf = term_idf(matches(corpus, terms), n).select("term", "idf")
+    terms = query_terms(topics, index.tokenize)
     # a term that no document holds is the rarest
-    never = F.log(1 + F.lit((n + 0.5) / 0.5))
-    rows = terms.join(idf, "term", "left").groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", "qtf", F.round(F.coalesce("idf", never), 9).alias("idf")))).alias("t"))
-    words = topics.select("qid", F.concat(F.lit(" "), F.array_join(tokens(F.col("query")), " "), F.lit(" ")).alias("phrase"))
+    never = F.log(1 + F.lit((index.size[0] + 0.5) / 0.5))
+    rows = terms.join(index.idf().select("term", "idf"), "term", "left").groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", "qtf", F.round(F.coalesce("idf", never), 9).alias("idf")))).alias("t"))
+    words = topics.select("qid", F.concat(F.lit(" "), F.array_join(index.tokenize(F.col("query")), " "), F.lit(" ")).alias("phrase"))
     return rows.join(words, "qid").select("qid", F.col("t.term").alias("terms"), F.col("t.qtf").alias("qtf"), F.col("t.idf").alias("idf"), "phrase")
 
 
-def document_side(pool: DataFrame, queries: DataFrame, corpus: DataFrame, windows: bool = True) -> DataFrame:
+def document_side(pool: DataFrame, queries: DataFrame, corpus: DataFrame, index: Index, windows: bool = True) -> DataFrame:
     """qid, docno, d: dl, n_unique, score, tf and first position (-1: none) by the query's terms, total, n_cov, mask, phrase_at, other, mean.
 
-    Positions come from the postings of the pool's documents, gathered once by query and document. ``windows`` off leaves other and mean null.
+    Positions come from the index's postings of the pool's documents, staged once. ``windows`` off leaves other and mean null.
     """
-    texts = corpus.join(pool.select("docno").distinct(), "docno", "left_semi")
+    wanted = pool.select("docno").distinct()
+    texts = corpus.join(wanted, "docno", "left_semi")
     terms = queries.select("qid", F.explode("terms").alias("term"))
-    found = matches(texts, terms).select("docno", "term", "tf", "first", "places")
+    found = staged(index.matches(terms).join(wanted, "docno", "left_semi").select("docno", "term", "tf", "first", "places"), "found")
     each = pool.select("qid", "docno", "score").join(terms, "qid").join(found, ["docno", "term"], "left")
     entry = F.struct("term", F.coalesce("tf", F.lit(0)).cast("long").alias("tf"), F.coalesce("first", F.lit(-1)).cast("long").alias("first"))
     docs = each.groupBy("qid", "docno").agg(F.first("score").alias("score"), F.sort_array(F.collect_list(entry)).alias("t"))
@@ -42,7 +45,7 @@ def document_side(pool: DataFrame, queries: DataFrame, corpus: DataFrame, window
         docs = docs.join(cover(found, each.select("qid", "docno", "term"), terms), ["qid", "docno"], "left")
     else:
         docs = docs.withColumns({"other": F.lit(None).cast("long"), "mean": F.lit(None).cast("double")})
-    shape = texts.select("docno", tokens(F.col("text")).alias("words")).select("docno", F.size("words").cast("long").alias("dl"), F.size(F.array_distinct("words")).cast("long").alias("n_unique"), F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("joined"))
+    shape = texts.select("docno", F.concat(F.lit(" "), F.array_join(index.tokenize(F.col("text")), " "), F.lit(" ")).alias("joined")).join(index.documents, "docno")
     docs = docs.join(shape, "docno").join(queries.select("qid", "phrase"), "qid")
     at = F.expr("locate(phrase, joined)")
     before = F.expr("substr(joined, 1, locate(phrase, joined) - 1)")
@@ -170,22 +173,22 @@ def with_margin(name: str, margin: float) -> str:
     raise ValueError(f"{name} has no margin")
 
 
-def axiom_frame(pool: DataFrame, pairs: DataFrame, topics: DataFrame, corpus: DataFrame, windows: bool = True) -> DataFrame:
+def axiom_frame(pool: DataFrame, pairs: DataFrame, topics: DataFrame, corpus: DataFrame, index: Index, windows: bool = True) -> DataFrame:
     """qid, doc_id_1, doc_id_2 with both descriptions and the query's arrays."""
-    queries = query_side(topics, corpus)
+    queries = staged(query_side(topics, index), "queries")
     used = pairs.select("qid", F.col("doc_id_1").alias("docno")).union(pairs.select("qid", F.col("doc_id_2").alias("docno"))).distinct()
-    docs = document_side(pool.join(used, ["qid", "docno"], "left_semi"), queries, corpus, windows).persist()  # read for both sides; its size follows the pool
+    docs = staged(document_side(pool.join(used, ["qid", "docno"], "left_semi"), queries, corpus, index, windows), "described")  # read for both sides; its size follows the pool
     one = docs.select("qid", F.col("docno").alias("doc_id_1"), F.col("d").alias("d1"))
     two = docs.select("qid", F.col("docno").alias("doc_id_2"), F.col("d").alias("d2"))
     return pairs.join(one, ["qid", "doc_id_1"]).join(two, ["qid", "doc_id_2"]).join(queries, "qid")
 
 
-def axiom_preferences(pool: DataFrame, pairs: DataFrame, topics: DataFrame, corpus: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """qid, doc_id_1, doc_id_2 and a column an axiom."""
-    frame = axiom_frame(pool, pairs, topics, corpus, windows=not names or bool({"PROX4", "PROX5"} & set(names)))
+def axiom_preferences(pool: DataFrame, pairs: DataFrame, topics: DataFrame, corpus: DataFrame, names: list[str] | None = None, index: Index | None = None) -> DataFrame:
+    """qid, doc_id_1, doc_id_2 and a column an axiom. The index (by default one of ``corpus``) also says how texts become terms."""
     unknown = set(names or ()) - set(AXIOMS)
     if unknown:
         raise ValueError(f"unknown axioms: {sorted(unknown)}")
+    frame = axiom_frame(pool, pairs, topics, corpus, index or Index.of(corpus), windows=not names or bool({"PROX4", "PROX5"} & set(names)))
     return frame.select("qid", "doc_id_1", "doc_id_2", *[F.expr(AXIOMS[n]).cast("int").alias(n) for n in names or AXIOMS])
 
 
@@ -204,24 +207,31 @@ def similarity(a: Column, b: Column) -> Column:
     return both / (F.size(x) + F.size(y) - both)
 
 
-def regularity(topics: DataFrame) -> DataFrame:
+Similarity = Callable[[Column, Column], Column]
+
+
+def regularity(topics: DataFrame, similar: Similarity = similarity, tokenize: Callable[[Column], Column] = tokens) -> DataFrame:
     """qid, least, most: the query's terms with the least and greatest mean similarity to its others (ties: the first by name)."""
-    t = topics.select("qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+    t = topics.select("qid", F.explode(F.array_distinct(tokenize(F.col("query")))).alias("term"))
     a, b = t.alias("a"), t.alias("b")
-    both = a.join(b, (F.col("a.qid") == F.col("b.qid")) & (F.col("a.term") != F.col("b.term"))).select(F.col("a.qid").alias("qid"), F.col("a.term").alias("term"), similarity(F.col("a.term"), F.col("b.term")).alias("s"))
+    both = a.join(b, (F.col("a.qid") == F.col("b.qid")) & (F.col("a.term") != F.col("b.term"))).select(F.col("a.qid").alias("qid"), F.col("a.term").alias("term"), similar(F.col("a.term"), F.col("b.term")).alias("s"))
     mean = both.groupBy("qid", "term").agg(F.round(F.avg("s"), 9).alias("s"))
     return mean.groupBy("qid").agg(F.min(F.struct("s", "term"))["term"].alias("least"), F.min(F.struct((-F.col("s")).alias("s"), "term"))["term"].alias("most"))
 
 
-def semantic_preferences(pool: DataFrame, pairs: DataFrame, topics: DataFrame, corpus: DataFrame) -> DataFrame:
-    """STMC1 (greater mean similarity of query terms and document terms), STMC2 (an exact match beats similar terms only), REG and ANTI_REG."""
+def semantic_preferences(pool: DataFrame, pairs: DataFrame, topics: DataFrame, corpus: DataFrame, index: Index | None = None, similar: Similarity = similarity) -> DataFrame:
+    """By a similarity of terms (any expression over two columns): STMC1 (greater mean similarity of query terms and document terms), STMC2 (an exact match beats similar terms only), REG and ANTI_REG."""
     used = pairs.select("qid", F.col("doc_id_1").alias("docno")).union(pairs.select("qid", F.col("doc_id_2").alias("docno"))).distinct()
-    terms = query_terms(topics).select("qid", "term")
-    docs = used.join(corpus, "docno").select("qid", "docno", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
-    each = docs.join(terms, "qid").select("qid", "docno", "term", "word", similarity(F.col("term"), F.col("word")).alias("s"))
+    index = index or Index.of(corpus)
+    terms = query_terms(topics, index.tokenize).select("qid", "term")
+    docs = used.join(corpus, "docno").select("qid", "docno", F.explode(F.array_distinct(index.tokenize(F.col("text")))).alias("word"))
+    # a term and a word are compared once, however many documents bring them together
+    met = staged(docs.join(terms, "qid").select("qid", "docno", "term", "word"), "met")
+    alike = staged(met.select("term", "word").distinct().withColumn("s", similar(F.col("term"), F.col("word"))), "alike")
+    each = met.join(alike, ["term", "word"])
     sims = each.groupBy("qid", "docno").agg(F.round(F.avg("s"), 9).alias("mean"), F.count_if(F.col("s") == 1).alias("exact"), F.count_if((F.col("s") >= 0.4) & (F.col("s") < 1)).alias("similar"))
-    reg = regularity(topics)
-    tf = matches(corpus, terms).select("docno", "term", "tf")
+    reg = regularity(topics, similar, index.tokenize)
+    tf = index.matches(terms).select("docno", "term", "tf")
     pick = lambda c: used.join(reg, "qid").select("qid", "docno", F.col(c).alias("term")).join(tf, ["docno", "term"]).select("qid", "docno", F.col("tf").alias(c))
     side = sims.join(pick("least"), ["qid", "docno"], "left").join(pick("most"), ["qid", "docno"], "left").select("qid", "docno", F.struct("mean", "exact", "similar", F.coalesce("least", F.lit(0)).alias("least"), F.coalesce("most", F.lit(0)).alias("most")).alias("d"))
     one = side.select("qid", F.col("docno").alias("doc_id_1"), F.col("d").alias("d1"))
@@ -232,14 +242,14 @@ def semantic_preferences(pool: DataFrame, pairs: DataFrame, topics: DataFrame, c
     return pairs.join(one, ["qid", "doc_id_1"]).join(two, ["qid", "doc_id_2"]).select("qid", "doc_id_1", "doc_id_2", sign("mean").alias("STMC1"), stmc2.alias("STMC2"), sign("least").alias("REG"), sign("most").alias("ANTI_REG"))
 
 
-def add_missing(existing: DataFrame, names: list[str], pool: DataFrame, topics: DataFrame, corpus: DataFrame) -> DataFrame:
+def add_missing(existing: DataFrame, names: list[str], pool: DataFrame, topics: DataFrame, corpus: DataFrame, index: Index | None = None) -> DataFrame:
     """``existing`` axiom preferences with the columns of ``names`` that they lack; rows and old columns stay as they are."""
     from verdictlab.operators.pairs import PAIR, exact_join
 
     lacking = [n for n in names if n not in existing.columns]
     if not lacking:
         return existing
-    new = axiom_preferences(pool, existing.select(*PAIR), topics, corpus, lacking)
+    new = axiom_preferences(pool, existing.select(*PAIR), topics, corpus, lacking, index)
     return exact_join(existing, new, list(PAIR)).select(*existing.columns, *lacking)
 
 

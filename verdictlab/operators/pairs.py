@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdictlab.functions.text import hash_score
+from verdictlab.sources.staging import staged
 
 PAIR = ("qid", "doc_id_1", "doc_id_2")
 #: What the biased mock ranker adds to the passage shown first, and the margin within which it calls a tie.
@@ -62,14 +63,21 @@ def presentations(pairs: DataFrame, order_swap: bool = True) -> DataFrame:
     return one.unionByName(pairs.select("qid", F.col("doc_id_2").alias("doc_a"), F.col("doc_id_1").alias("doc_b"))) if order_swap else one
 
 
+def with_texts(docs: DataFrame, topics: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``docs`` (qid, docno) with query and text; one that has none fails in flight."""
+    both = docs.join(topics.select("qid", "query"), "qid", "left").join(corpus.select("docno", "text"), "docno", "left")
+    lost = lambda what, *key: F.raise_error(F.concat_ws(" ", F.lit(f"no {what} for"), *key)).cast("string")
+    return both.withColumns({"query": F.coalesce("query", lost("query", "qid")), "text": F.coalesce("text", lost("text", "docno"))})
+
+
 def mock_verdicts(shown: DataFrame, topics: DataFrame, corpus: DataFrame, biased: bool = False) -> DataFrame:
     """query_id, doc_id_a, doc_id_b, verdict, prob_a, score_a, score_b by hashes of query and passage.
 
     The plain ranker doesn't mind the order; the biased one favours what is shown first and ties within a margin.
-    Each passage is hashed once a query, before the pairs are joined.
+    Each passage is hashed once a query, before the pairs are joined. A presentation without a text or query is an error.
     """
     needed = shown.select("qid", F.col("doc_a").alias("docno")).union(shown.select("qid", F.col("doc_b").alias("docno"))).distinct()
-    score = needed.join(corpus, "docno").join(topics, "qid").select("qid", "docno", hash_score(F.col("query"), F.col("text")).alias("s"))
+    score = staged(with_texts(needed, topics, corpus).select("qid", "docno", hash_score(F.col("query"), F.col("text")).alias("s")), "scores")
     a = score.select("qid", F.col("docno").alias("doc_a"), F.col("s").alias("score_a"))
     b = score.select("qid", F.col("docno").alias("doc_b"), F.col("s").alias("score_b"))
     out = shown.join(a, ["qid", "doc_a"]).join(b, ["qid", "doc_b"])

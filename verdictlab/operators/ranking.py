@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdictlab.functions.text import hash_index
+from verdictlab.sources.staging import staged
+
 
 def ranked(df: DataFrame, *order: Column) -> DataFrame:
     """qid, docno, rank from 0, score = -rank by an order within the query."""
@@ -57,9 +59,9 @@ def evaluate(run: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
 
 
 def draws(spark: SparkSession, n: int, n_bootstrap: int, seed: int = 42) -> DataFrame:
-    """draw, slot: which of ``n`` numbered units each place of each draw takes, by a seeded hash."""
+    """draw, slot, times: how often each of ``n`` numbered units is taken in each draw of ``n``, by a seeded hash. Units that a draw leaves out have no row."""
     table = spark.range(n_bootstrap).select(F.col("id").alias("draw")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))))
-    return table.select("draw", hash_index(F.lit(n), F.lit(seed), F.col("draw"), F.col("j")).alias("slot"))
+    return table.select("draw", hash_index(F.lit(n), F.lit(seed), F.col("draw"), F.col("j")).alias("slot")).groupBy("draw", "slot").agg(F.count("*").alias("times"))
 
 
 def numbered(df: DataFrame, key: str) -> tuple[DataFrame, int]:
@@ -68,17 +70,47 @@ def numbered(df: DataFrame, key: str) -> tuple[DataFrame, int]:
     return df.withColumn("slot", F.row_number().over(Window.orderBy(key)).cast("long") - 1), n
 
 
-def compare_runs(baseline: DataFrame, other: DataFrame, metrics: tuple[str, ...] = ("ndcg_10", "ap"), n_bootstrap: int = 200, seed: int = 42) -> DataFrame:
+def resampled(df: DataFrame, key: str, sums: dict[str, Column], n_bootstrap: int, seed: int) -> DataFrame:
+    """A row a draw with each of ``sums``: expressions over ``df`` (a row a query) and ``times``. All of them share one set of draws, so that one join serves all."""
+    rows, n = numbered(df, key)
+    return draws(df.sparkSession, n, n_bootstrap, seed).join(F.broadcast(rows), "slot").groupBy("draw").agg(*[v.alias(k) for k, v in sums.items()])
+
+
+def interval(value: Column) -> Column:
+    """The 2.5 % and 97.5 % points, as an array."""
+    return F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))
+
+
+#: Resamples of a comparison of runs.
+N_BOOTSTRAP = 10_000
+
+
+def compare_runs(baseline: DataFrame, other: DataFrame, metrics: tuple[str, ...] = ("ndcg_10", "ap"), n_bootstrap: int = N_BOOTSTRAP, seed: int = 42) -> DataFrame:
     """A row a metric: means, mean difference with its 95 % interval over resampled queries, wins, ties and losses. The query sets must be equal."""
     from verdictlab.operators.pairs import exact_join
 
-    spark = baseline.sparkSession
-    a = baseline.select("query_id", *[F.col(m).alias(f"{m}_a") for m in metrics])
-    b = other.select("query_id", *[F.col(m).alias(f"{m}_b") for m in metrics])
-    both = exact_join(a, b, ["query_id"])
-    rows, n = numbered(both, "query_id")
-    long = rows.select("slot", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}_a").alias("a"), F.col(f"{m}_b").alias("b")) for m in metrics])).alias("x")).select("slot", "x.metric", "x.a", "x.b").withColumn("d", F.round(F.col("b") - F.col("a"), 6))
-    boot = draws(spark, n, n_bootstrap, seed).join(long, "slot").groupBy("metric", "draw").agg(F.avg("d").alias("m"))
-    ci = boot.groupBy("metric").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    a = staged(baseline.select("query_id", *[F.col(m).alias(f"{m}_a") for m in metrics]), "baseline")
+    b = staged(other.select("query_id", *[F.col(m).alias(f"{m}_b") for m in metrics]), "other")
+    both = exact_join(a, b, ["query_id"]).withColumns({f"{m}_d": F.round(F.col(f"{m}_b") - F.col(f"{m}_a"), 6) for m in metrics})
+    boot = resampled(both, "query_id", {m: F.sum(F.col(f"{m}_d") * F.col("times")) / F.sum("times") for m in metrics}, n_bootstrap, seed)
+    ci = boot.agg(*[interval(F.col(m)).alias(m) for m in metrics])
+    long = both.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}_a").alias("a"), F.col(f"{m}_b").alias("b"), F.col(f"{m}_d").alias("d")) for m in metrics])).alias("x")).select("x.*")
     means = long.groupBy("metric").agg(F.round(F.avg("a"), 6).alias("mean_baseline"), F.round(F.avg("b"), 6).alias("mean_reranked"), F.round(F.avg("d"), 6).alias("mean_delta"), F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") == 0).alias("ties"), F.count_if(F.col("d") < 0).alias("losses"), F.count("*").alias("n_queries"))
-    return means.join(ci, "metric").select("metric", "mean_baseline", "mean_reranked", "mean_delta", F.round(F.col("q")[0], 6).alias("delta_ci_lo"), F.round(F.col("q")[1], 6).alias("delta_ci_hi"), "wins", "ties", "losses", "n_queries")
+    ends = ci.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("q")) for m in metrics])).alias("x")).select("x.*")
+    return means.join(ends, "metric").select("metric", "mean_baseline", "mean_reranked", "mean_delta", F.round(F.col("q")[0], 6).alias("delta_ci_lo"), F.round(F.col("q")[1], 6).alias("delta_ci_hi"), "wins", "ties", "losses", "n_queries")
+
+
+def comparison_matrix(runs: dict[str, DataFrame], contrasts: list[tuple[str, str, str]], n_bootstrap: int = N_BOOTSTRAP, seed: int = 42) -> DataFrame:
+    """``compare_runs`` for each contrast (name, baseline, candidate) of evaluated runs."""
+    out = None
+    for name, baseline, candidate in contrasts:
+        part = compare_runs(runs[baseline], runs[candidate], n_bootstrap=n_bootstrap, seed=seed).select(F.lit(name).alias("contrast"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def contrasts_of(variants: list[str], base: str, model: str, first_stage: str = "bm25") -> list[tuple[str, str, str]]:
+    """The model and every variant against the first stage, variants against the model, and those beyond ``base`` against it."""
+    out = [(f"{c}_vs_{first_stage}", first_stage, c) for c in (model, *variants)]
+    out += [(f"{v}_vs_{model}", model, v) for v in variants]
+    return out + [(f"{v}_vs_{base}", base, v) for v in variants if v != base]
