@@ -134,9 +134,89 @@ def test_ridge_against_numpy(spark):
 
 
 def test_lifts(spark):
-    df = feature_frame(spark).withColumn("c", F.col("X").cast("double"))
-    got = {r["measure"]: r for r in analysis.residual_lift(df.drop("X"), ["Y"], ["c"], n_bootstrap=20).collect()}
-    assert got["accuracy"]["lift"] > 0.4 and got["accuracy"]["ci_lo"] > 0 and got["log_loss"]["lift"] > 0
+    df = feature_frame(spark).withColumns({"c": F.col("X") * 100.0 + 3, "none": F.lit(7.0)})
+    r = analysis.residual_model(df, ["Y"], ["c", "none"], n_bootstrap=20).first()
+    assert r["n_pairs"] == 24 and r["n_queries"] == 6 and r["cov_accuracy"] == 1.0 and r["lift"] > 0.4 and r["lift_ci_lo"] > 0 and r["pair_micro_lift"] > 0.4
     oof = spark.createDataFrame([(f"q{i}", True, 0.6, 0.9) for i in range(4)], "query_id string, y_true boolean, a double, b double")
     rows = {r["measure"]: (r["lift"], r["ci_lo"], r["ci_hi"]) for r in analysis.incremental_fidelity(oof, "a", "b", n_bootstrap=10).collect()}
     assert rows["accuracy"] == (0.0, 0.0, 0.0) and len(set(rows["log_loss"])) == 1
+
+
+def test_fits_by_sums_equal_fits_by_counts(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(f"q{i % 9}", f"a{i}", "z", int(rng.choice([-1, 1])), int(rng.integers(-1, 2)), int(rng.integers(-1, 2))) for i in range(300)]
+    df = spark.createDataFrame(rows, "query_id string, doc_id_1 string, doc_id_2 string, model_pref int, X int, Y int")
+    by_counts = models.joint_fit(df, ["X", "Y"])[1]
+    monkeypatch.setattr(models, "MAX_PATTERNS", 3)
+    by_sums = models.joint_fit(df, ["X", "Y"])[1]
+    assert np.allclose(by_counts["full"], by_sums["full"], atol=1e-8) and by_counts["nulls"] == by_sums["nulls"]
+    assert all(np.allclose(by_counts["fits"][k], by_sums["fits"][k], atol=1e-8) for k in by_counts["fits"])
+
+
+def test_standardised_fit(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"q{i % 6}", f"a{i}", "z", int(rng.choice([-1, 1])), float(rng.normal(50, 9))) for i in range(120)]
+    df = spark.createDataFrame(rows, "query_id string, doc_id_1 string, doc_id_2 string, model_pref int, c double")
+    oof, found = models.joint_fit(df, ["c"], standardise=["c"])
+    fold = {r["doc_id_1"]: r["fold"] for r in oof.collect()}
+    for k, theta in found["fits"].items():
+        train = [r for r in rows if fold[r[1]] != k]
+        x, y = np.array([r[4] for r in train]), np.array([r[3] > 0 for r in train], float)
+        want = models.newton_logistic(((x - x.mean()) / x.std())[:, None], y, np.ones(len(y)))
+        assert np.allclose(theta, [want[0] / x.std(), want[1] - want[0] * x.mean() / x.std()], atol=1e-7)
+
+
+def test_decomposition(spark):
+    df = feature_frame(spark).withColumns({"n_presentations": F.lit(2), "position_consistent": F.lit(True)})
+    r, oof = models.decompose(df, ["X", "Y"], nonlinear=True)
+    r = r.first()
+    assert (r["n_decisive_pairs"], r["cv_accuracy"], r["oof_error_fraction"], r["cv_auc"], r["single_order_accuracy_sensitivity"]) == (24, 1.0, 0.0, 1.0, 1.0)
+    assert r["nonlinear_cv_accuracy"] == 1.0 and r["nonlinear_headroom"] == 0.0 and r["gain"] > 0.3
+    assert oof.filter("is_residual").count() == 0
+    terms = [x["term"] for x in models.coefficients(models.joint_fit(df, ["Y", "X"])[1], spark).orderBy("place").collect()]
+    assert terms == ["X", "Y", "(intercept)"]
+    both = models.paired_predictions(oof, oof).first()
+    assert both["p_base"] == both["p_more"]
+
+
+def test_folds_are_checked(spark):
+    with pytest.raises(ValueError, match="fold"):
+        models.check_folds(spark.createDataFrame([("q", 0), ("q", 1)], "query_id string, fold int"))
+    with pytest.raises(ValueError, match="fold"):
+        models.check_folds(spark.createDataFrame([("q", None)], "query_id string, fold int"))
+
+
+def test_quantiles_and_sums_over_ranges(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 40, 500).astype(float), rng.normal(0, 1, 500)
+    df = spark.createDataFrame([(float(x), float(y) if i % 9 else None) for i, (x, y) in enumerate(zip(a, b, strict=True))], "a double, b double").repartition(5)
+    got = analysis.quantile_edges(df, ["a", "b"], 7)
+    some = np.array([y for i, y in enumerate(b) if i % 9])
+    for name, values in (("a", a), ("b", some)):
+        assert np.allclose(got[name], sorted(set(np.quantile(values, np.arange(8) / 7))), atol=1e-12)
+    counts = df.groupBy("a").agg(F.count("*").alias("n"))
+    for r in analysis.sums_below(counts, ["a"], "n").collect():
+        assert r["below"] == int((a < r["a"]).sum())
+    assert analysis.quantile_edges(df.limit(0), ["a"], 3) == {"a": []}
+
+
+def test_pool_ranks_are_needed(spark):
+    pairs = spark.createDataFrame([("q", "a", "b")], "query_id string, doc_id_1 string, doc_id_2 string")
+    pool = spark.createDataFrame([("q", "a", 1)], "qid string, docno string, rank int")
+    with pytest.raises(Exception, match="not in the pool"):
+        analysis.attach_rank_gap(pairs, pool).collect()
+    assert analysis.attach_pool(pairs, pool, "rank").first()["rank_2"] is None
+
+
+def test_candidates(spark):
+    df = spark.createDataFrame([(f"q{i}", "a", "b", 1, 2, True, 0, 1, 1, (1 if i < 3 else 0), -1) for i in range(6)], MERGED)
+    eligible = spark.createDataFrame([(f"q{i}", "AX1") for i in range(4)], "query_id string, axiom string")
+    got = {r["axiom"]: r for r in analysis.candidate_agreement(df, ["AX1", "AX2"], eligible, 20).collect()}
+    r = got["AX1"]
+    assert (r["n_active_queries"], r["n_queries"], r["n_eligible_queries"], r["eligible_pair_coverage"], r["ci_lo"]) == (3, 6, 4, 0.75, None)
+    r = got["AX2"]
+    assert (r["n_eligible_queries"], r["eligible_pair_coverage"], r["n_negative"], r["ci_lo"], r["ci_hi"]) == (0, None, 6, 0.0, 0.0)
+    joined = analysis.join_candidate(df, df.select(F.col("query_id").alias("qid"), "doc_id_1", "doc_id_2", F.lit(1).alias("NEW")), "c")
+    assert {r["group_id"] for r in joined.collect()} == {f"c:q{i}" for i in range(6)}
+    with pytest.raises(ValueError, match="one to one"):
+        analysis.join_candidate(df, df.limit(2).select("query_id", "doc_id_1", "doc_id_2"), "c")

@@ -60,6 +60,14 @@ def test_comparison(spark):
         ranking.compare_runs(frame(spark, [0.1]), frame(spark, [0.1, 0.2]))
 
 
+def test_contrasts(spark):
+    runs = {"bm25": frame(spark, [0.2, 0.5]), "llm": frame(spark, [0.4, 0.5]), "a": frame(spark, [0.3, 0.7]), "b": frame(spark, [0.1, 0.9])}
+    wanted = ranking.contrasts_of(["a", "b"], "a", "llm")
+    assert [name for name, *_ in wanted] == ["llm_vs_bm25", "a_vs_bm25", "b_vs_bm25", "a_vs_llm", "b_vs_llm", "b_vs_a"]
+    got = {(r["contrast"], r["metric"]): r["mean_delta"] for r in ranking.comparison_matrix(runs, wanted, 20).collect()}
+    assert len(got) == 12 and got["b_vs_a", "ap"] == 0.0 and got["llm_vs_bm25", "ap"] == 0.1
+
+
 def stored(spark, rows):
     return spark.createDataFrame([("q", a, b, v) for a, b, v in rows], "query_id string, doc_id_a string, doc_id_b string, verdict string")
 

@@ -1,11 +1,17 @@
 import json
+import os
+from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from verdictlab.functions.markup import prepared_query, prose
 from verdictlab.operators import gates
+from verdictlab.plans.frames import Cell
 from verdictlab.sources import config, store
+from verdictlab.sources.index import Index, index_ref
+from verdictlab.sources.retrieval import checked_pool
 
 
 def row(q="q", a="x", b="y", verdict="a", at="2024-01-01T00:00:00", model="m"):
@@ -20,20 +26,57 @@ def test_store(spark, tmp_path):
     got = {(r["query_id"], r["model"]): r["verdict"] for r in store.load(spark, path).collect()}
     assert got == {("q", "m"): "a", ("p", "n"): "a"}
     assert store.load(spark, path, model="n").count() == 1
-    with pytest.raises(ValueError, match="verdicts"):
+    with pytest.raises(Exception, match="unknown verdict"):
         store.append(spark.createDataFrame([row(verdict="c")], store.SCHEMA), path)
+    # further columns are left out
+    store.append(spark.createDataFrame([(*row(q="r"), 1)], store.SCHEMA + ", more int"), path)
+    assert store.load(spark, path).count() == 3 and "more" not in store.load(spark, path).columns
     with pytest.raises(ValueError, match="missing"):
         store.append(spark.createDataFrame([row()], store.SCHEMA).drop("verdict"), path)
     with pytest.raises(ValueError, match="key"):
         store.load(spark, path, verdict="a")
 
 
+def test_rows(spark):
+    made = store.new_row(dataset="d", query_id="q", doc_id_a="x", doc_id_b="y", model="m", prompt_version="v0", verdict="tie")
+    assert len(made) == len(store.SCHEMA.split(", ")) and made[-1].endswith("+00:00") and made[7] is None
+    with pytest.raises(ValueError, match="verdict"):
+        store.new_row(dataset="d", query_id="q", doc_id_a="x", doc_id_b="y", model="m", prompt_version="v0", verdict="c")
+    stamp = store.stamped(spark.range(1)).first()["created_at"]
+    assert stamp[:13] == datetime.now(timezone.utc).isoformat()[:13] and len(stamp) == 25
+
+
 def test_protocols(tmp_path):
     path = f"{tmp_path}/protocols.json"
     store.register_protocol(path, "m", "v0", "s")
     store.register_protocol(path, "m", "v0", "s")
     with pytest.raises(ValueError, match="signature"):
         store.register_protocol(path, "m", "v0", "t")
+    # many writers wait for each other, and none is lost
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda i: store.register_protocol(path, f"m{i}", "v0", "s"), range(24)))
+    assert len(json.loads((tmp_path / "protocols.json").read_text())) == 25
+    # the lock of a writer that died is taken over, that of one at work is waited for
+    lock = tmp_path / "protocols.json.lock"
+    lock.write_text("")
+    with pytest.raises(TimeoutError):
+        store.register_protocol(path, "n", "v0", "s", patience=0.1)
+    os.utime(lock, (0, 0))
+    store.register_protocol(path, "n", "v0", "s", patience=0.1)
+    assert not lock.exists()
+
+
+def test_adequacy_store(spark, tmp_path):
+    path = f"{tmp_path}/a"
+    one = lambda d, value, at: ("q", d, "m", "v0", value, None, None, None, None, None, 1, at)
+    store.append_adequacy(spark.createDataFrame([one("x", 1.0, "1"), one("y", 2.0, "1")], store.ADEQUACY), path)
+    store.append_adequacy(spark.createDataFrame([one("x", 3.0, "2"), one("y", None, "2"), one("z", float("nan"), "2")], store.ADEQUACY), path)
+    got = {r["doc_id"]: r["adequacy"] for r in store.load_scores(spark, path, store.ADEQUACY, ["query_id", "doc_id"], "adequacy").collect()}
+    assert got == {"x": 3.0, "y": 2.0}
+    with pytest.raises(ValueError, match="missing"):
+        store.append_adequacy(spark.createDataFrame([("q",)], "query_id string"), path)
+    with pytest.raises(ValueError, match="lacks"):
+        store.load_scores(spark, path, store.ADEQUACY + ", other int", ["query_id", "doc_id"], "adequacy")
 
 
 def test_cache(spark, tmp_path):
@@ -49,6 +92,50 @@ def test_cache(spark, tmp_path):
     old = f"{tmp_path}/old"
     spark.range(2).write.parquet(old)
     assert store.cached_frame(spark, old, "z", compute(9), old_is_valid=lambda df: True).count() == 2
+    assert store.cached_frame(spark, old, "z", compute(9)).count() == 2
+    # a writer that finds its frame published by another takes that
+    race = f"{tmp_path}/race"
+
+    def late():
+        store.cached_frame(spark, race, "m", lambda: spark.range(4))
+        return spark.range(4)
+
+    assert store.cached_frame(spark, race, "m", late).count() == 4
+    assert sorted(p.name for p in tmp_path.iterdir() if p.name.startswith("race")) == ["race"]
+
+
+def test_index(spark, tmp_path):
+    corpus = spark.createDataFrame([("a", "Red red blue"), ("b", "blue"), ("c", "")], "docno string, text string")
+    found = index_ref(spark, str(tmp_path), corpus, "mark")
+    assert found.size == (3, 4 / 3) and {r["term"]: r["df"] for r in found.terms.collect()} == {"red": 1, "blue": 2}
+    r = found.postings.filter("docno = 'a' AND term = 'red'").first()
+    assert (r["tf"], r["first"], r["places"], r["dl"]) == (2, 0, [0, 1], 3)
+    # it is read again, by name too, and built anew for other tables
+    again = index_ref(spark, str(tmp_path), spark.createDataFrame([], "docno string, text string"), "mark")
+    assert again.path == found.path and again.size[0] == 3
+    assert index_ref(spark, "", corpus, "", built={"x": found.path}, name="x").size[0] == 3
+    assert index_ref(spark, str(tmp_path), corpus.limit(1), "other").path != found.path
+    with pytest.raises(FileNotFoundError):
+        index_ref(spark, "", corpus, "", name=f"{tmp_path}/none")
+    words = Index.of(corpus, lambda text: F.split(F.lower(text), "e"))
+    assert {r["term"] for r in words.terms.collect()} >= {"r", "d r", "d blu"}
+
+
+def test_stages_follow_their_inputs(spark, tmp_path, sf_dir):
+    """Stages are kept under a folder, found again by another session's cell, and computed anew where something before them changed."""
+    import shutil
+
+    for t in ("benchmark", "documents", "labels"):
+        shutil.copy(f"{sf_dir}/{t}.parquet", f"{tmp_path}/{t}.parquet")
+    cell = lambda **more: Cell(spark, str(tmp_path), cache=f"{tmp_path}/cache", **more)
+    names = lambda: sorted(p.name for p in (tmp_path / "cache").iterdir() if p.name.startswith("pairs"))
+    n = cell().pairs.count()
+    assert cell().pairs.count() == n and len(names()) == 1
+    assert cell(k=5).pairs.count() < n and len(names()) == 2
+    os.utime(tmp_path / "documents.parquet", (1, 1))
+    assert cell().pairs.count() == n and len(names()) == 3
+    with pytest.raises(Exception, match="more than 3 documents"):
+        checked_pool(cell().pool, 3).count()
 
 
 def test_guard(tmp_path):
@@ -73,19 +160,36 @@ def test_snapshots(tmp_path):
     assert store.verify_snapshot(f"{tmp_path}/s") == {"missing": ["b"], "extra": ["c"], "changed": ["a"]}
     found = store.write_manifest(f"{tmp_path}/m.json", {"k": 1}, [f"{tmp_path}/r/a"], [], ["none.lock"])
     assert found["locks"] == {"none.lock": None} and json.loads((tmp_path / "m.json").read_text()) == found
+    assert found["environment"]["python"] and found["environment"]["pyspark"]
 
 
-def test_config():
-    c = config.from_dict({"experiment": "e", "dataset": "d", "pairs": {"k": 5}, "axioms": ["TF-LNC", {"name": "TFC1", "alias": "T2", "margin": 0.2}]})
-    assert c.pairs.k == 5 and [a.column for a in c.axioms] == ["TF_LNC", "T2"]
-    for bad in ({"oops": 1}, {"pairs": {"oops": 1}}, {"axioms": ["AND", "AND"]}, {"first_stage": {"retriever": "other"}}):
+def test_restore(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    spark.range(7).coalesce(1).write.parquet(f"{tmp_path}/r/t")
+    store.snapshot(f"{tmp_path}/r", f"{tmp_path}/s")
+    assert list(store.restore_test(f"{tmp_path}/s", spark).values()) == [7]
+    (tmp_path / "s/files/more").write_text("")
+    with pytest.raises(ValueError, match="inventory"):
+        store.restore_test(f"{tmp_path}/s", spark)
+
+
+def test_config(tmp_path):
+    tree = {"experiment": "e", "dataset": {"irds_id": "d"}, "pairs": {"k": 5}, "axioms": {"lexical": ["TF-LNC", {"name": "TFC1", "alias": "T@2-x", "params": {"margin": 0.2}}]}, "rankers": [{"backend": "hf", "model": "m"}], "sources": ["a.yaml"]}
+    c = config.from_dict(tree)
+    assert c.pairs.k == 5 and [config.column_name(a) for a in c.axioms] == ["TF_LNC", "T@2_x"] and c.dataset.irds_id == "d"
+    assert [r.model for r in config.rankers_of(c)] == ["m"] and config.rankers_of(config.from_dict({"experiment": "e"}))[0].backend == "mock"
+    config.dump(c, f"{tmp_path}/out/c.yaml")
+    assert config.load(f"{tmp_path}/out/c.yaml") == c
+    for bad in ({"oops": 1}, {"pairs": {"oops": 1}}, {"axioms": {"lexical": ["AND", "AND"]}}, {"first_stage": {"retriever": "other"}}, {"pairs": {"k": "five"}}, {"dataset": {}}, {"rankers": {"backend": "hf"}}, {"seed": True}):
         with pytest.raises(ValueError):
-            config.from_dict({"experiment": "e", "dataset": "d", **bad})
+            config.from_dict({"experiment": "e", **bad})
 
 
 def test_prose():
     html = "<html><header>Top</header><nav>Menu <b>x</b></nav><p>Use <code>sorted</code> in&nbsp;Python.</p><script>var a;</script><footer>End</footer>"
     assert prose(html) == "Use sorted in Python." and prose(None) is None and prose("plain  text") == "plain text"
+    # nested and unmatched ends: each end of a hidden element closes the innermost one
+    assert prose("a<nav>b<nav>c</nav>d</nav>e</nav>f<header>g</footer>h") == "a e f h"
 
 
 def test_prepared_query(spark):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from verdictlab.operators import pairs, ranking
 from verdictlab.plans import sql as S
 from verdictlab.plans.frames import Cell
+from verdictlab.sources.staging import fresh, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -45,9 +46,9 @@ def s4(c: Cell) -> DataFrame:
 
 @query("s3_term_statistics", S.sql("SELECT term, df, round(idf, 6) AS idf FROM idf"))
 def s3(c: Cell) -> DataFrame:
-    from verdictlab.sources.retrieval import collection_size, matches, query_terms, term_idf
+    from verdictlab.sources.retrieval import query_terms
 
-    return term_idf(matches(c.corpus, query_terms(c.topics)), collection_size(c.corpus)[0]).select("term", "df", F.round("idf", 6).alias("idf"))
+    return c.index.idf().join(F.broadcast(query_terms(c.topics).select("term").distinct()), "term", "left_semi").select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("g1_pairs_top_k", S.sql("SELECT * FROM pairs"))
@@ -55,12 +56,12 @@ def g1(c: Cell) -> DataFrame:
     return pairs.sample_pairs(c.pool, "top_k_all_pairs", k=10)
 
 
-_UNIFORM = "SELECT qid, doc_id_1, doc_id_2 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY md5('42-' || qid || '-' || doc_id_1 || '-' || doc_id_2), doc_id_1, doc_id_2) AS n FROM (SELECT a.qid, least(a.docno, b.docno) AS doc_id_1, greatest(a.docno, b.docno) AS doc_id_2 FROM pool a JOIN pool b ON a.qid = b.qid AND a.rank < b.rank WHERE a.qid IN (SELECT DISTINCT qid FROM pool ORDER BY qid LIMIT 20))) WHERE n <= 50"
+_UNIFORM = "SELECT qid, doc_id_1, doc_id_2 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY md5('42-' || qid || '-' || doc_id_1 || '-' || doc_id_2), doc_id_1, doc_id_2) AS n FROM (SELECT a.qid, least(a.docno, b.docno) AS doc_id_1, greatest(a.docno, b.docno) AS doc_id_2 FROM pool a JOIN pool b ON a.qid = b.qid AND a.rank < b.rank)) WHERE n <= 50"
 
 
 @query("g1_pairs_uniform", S.sql(_UNIFORM))
 def g1_uniform(c: Cell) -> DataFrame:
-    return pairs.sample_pairs(c.pool, "uniform", per_query=50, seed=42, max_queries=20)
+    return pairs.sample_pairs(c.pool, "uniform", per_query=50, seed=42)
 
 
 _ROUND = "query_id, doc_id_a, doc_id_b, verdict, round(prob_a, 6) AS prob_a, round(score_a, 6) AS score_a, round(score_b, 6) AS score_b"
@@ -85,9 +86,10 @@ def r7(c: Cell) -> DataFrame:
     return pairs.missing_presentations(pairs.presentations(c.pairs), c.stored.filter("doc_id_a < doc_id_b AND verdict <> 'tie'"))
 
 
-@query("j19_wanted_rows", S.sql(f"SELECT {_ROUND} FROM stored WHERE (query_id, least(doc_id_a, doc_id_b), greatest(doc_id_a, doc_id_b)) IN (SELECT (qid, doc_id_1, doc_id_2) FROM pairs WHERE substr(doc_id_1, 8, 1) < '5')"))
+@query("j19_wanted_rows", S.sql(f"SELECT {_ROUND} FROM stored WHERE (query_id, least(doc_id_a, doc_id_b), greatest(doc_id_a, doc_id_b)) IN (SELECT (qid, doc_id_1, doc_id_2) FROM wanted_other)"))
 def j19(c: Cell) -> DataFrame:
-    return _rounded(pairs.wanted_rows(c.stored, c.pairs.filter("substr(doc_id_1, 8, 1) < '5'")))
+    """The stored verdicts on the pairs of another run."""
+    return _rounded(pairs.wanted_rows(c.stored, pairs.top_k_pairs(c.copeland, 6)))
 
 
 @query("a1_collapse_verdicts", S.sql("SELECT * FROM verdicts"))
@@ -148,69 +150,57 @@ def g7_copeland(c: Cell) -> DataFrame:
 def x_axioms(c: Cell) -> DataFrame:
     from verdictlab.operators.axioms import axiom_preferences
 
-    return axiom_preferences(c.pool, c.pairs, c.topics, c.corpus)
+    return axiom_preferences(c.pool, c.pairs, c.topics, c.corpus, index=c.index)
 
 
 @query("x23_semantic_axioms", S.sql(S.SEMANTIC))
 def x_semantic(c: Cell) -> DataFrame:
     from verdictlab.operators.axioms import semantic_preferences
 
-    return semantic_preferences(c.pool, c.pairs, c.topics, c.corpus)
+    return semantic_preferences(c.pool, c.pairs, c.topics, c.corpus, c.index)
 
 
 # ---- agreement
 
 
-def merged(c: Cell) -> DataFrame:
-    from verdictlab.operators import analysis
-    from verdictlab.operators.axioms import axiom_preferences
-
-    axioms = axiom_preferences(c.pool, c.pairs, c.topics, c.corpus, S.USED)
-    return analysis.attach_rank_gap(analysis.merge_pairs(c.verdicts, axioms), c.pool).persist()
-
-
 def judged(c: Cell) -> DataFrame:
     """Decisive pairs with their covariates; what BM25's order predicts stands for a model's predictions."""
     from verdictlab.operators import analysis
 
-    m = analysis.attach_rank_gap(c.verdicts, c.pool)
     right = F.signum(F.col("rank_2") - F.col("rank_1")) == F.col("model_pref")
-    rows = analysis.attach_pool(c.verdicts, c.pool, "score").join(m.select(*analysis.KEY, "rank_1", "rank_2"), analysis.KEY)
-    cov = analysis.covariates(c.verdicts.select(*analysis.KEY), c.pool, c.topics, c.corpus, c.stored)
-    return rows.filter("model_pref <> 0").select(*analysis.KEY, (F.col("model_pref") > 0).alias("y_true"), right.alias("oof_correct"), (F.col("rank_2") - F.col("rank_1")).alias("margin"), "score_1", "score_2").join(cov, analysis.KEY)
+    rows = analysis.attach_pool(c.merged, c.pool, "score")
+    return rows.filter("model_pref <> 0").select(*analysis.KEY, (F.col("model_pref") > 0).alias("y_true"), right.alias("oof_correct"), (F.col("rank_2") - F.col("rank_1")).alias("margin"), "score_1", "score_2").join(c.covariates, analysis.KEY)
 
 
 @query("j1_merged_pairs", S.sql("SELECT query_id, doc_id_1, doc_id_2, model_pref, n_presentations, position_consistent, collapse_reason, " + ", ".join(f'"{n}"' for n in S.USED) + ", CAST(rank_1 AS INTEGER) AS rank_1, CAST(rank_2 AS INTEGER) AS rank_2, CAST(rank_gap AS INTEGER) AS rank_gap FROM merged"))
 def j1(c: Cell) -> DataFrame:
-    return merged(c)
+    return c.merged
 
 
 @query("a3_agreement", S.sql("SELECT * FROM agreement"))
 def a3(c: Cell) -> DataFrame:
     from verdictlab.operators.analysis import agreement_table
 
-    return agreement_table(merged(c), S.USED)
+    return agreement_table(c.merged, S.USED)
 
 
 @query("a5_agreement_intervals", S.sql("SELECT * FROM intervals"))
 def a5(c: Cell) -> DataFrame:
     from verdictlab.operators.analysis import agreement_intervals
 
-    return agreement_intervals(merged(c), S.USED)
+    return agreement_intervals(c.merged, S.USED)
 
 
 @query("d10_covariates", S.sql("SELECT * FROM covariates"))
 def d10(c: Cell) -> DataFrame:
-    from verdictlab.operators import analysis
-
-    return analysis.covariates(c.verdicts.select(*analysis.KEY), c.pool, c.topics, c.corpus, c.stored)
+    return c.covariates
 
 
 @query("a8_gap_gradient", S.sql("SELECT * FROM gradient"))
 def a8(c: Cell) -> DataFrame:
     from verdictlab.operators.analysis import gap_gradient
 
-    return gap_gradient(merged(c), S.USED, bins=4, max_integer=3)
+    return gap_gradient(c.merged, S.USED, bins=4, max_integer=3)
 
 
 PROFILED = ["rank_gap", "d_score", "len_ratio", "query_len", "conf_margin_prob"]
@@ -220,7 +210,7 @@ PROFILED = ["rank_gap", "d_score", "len_ratio", "query_len", "conf_margin_prob"]
 def a9(c: Cell) -> DataFrame:
     from verdictlab.operators.analysis import profiles
 
-    return profiles(judged(c).persist(), PROFILED)
+    return profiles(judged(c), PROFILED)
 
 
 @query("m16_auc", S.sql("SELECT count(*) FILTER (y_true) AS n_positive, count(*) FILTER (NOT y_true) AS n_negative, round((sum(r) FILTER (y_true) - count(*) FILTER (y_true) * (count(*) FILTER (y_true) + 1) / 2) / (count(*) FILTER (y_true) * count(*) FILTER (NOT y_true)), 6) AS auc FROM (SELECT y_true, rank() OVER (ORDER BY margin) + (count(*) OVER (PARTITION BY margin) - 1) / 2 AS r FROM judged)"))
@@ -234,7 +224,7 @@ def m16(c: Cell) -> DataFrame:
 def m7(c: Cell) -> DataFrame:
     from verdictlab.operators.analysis import information
 
-    j = judged(c).persist()
+    j = staged(judged(c), "judged")
     base = j.agg(F.avg(F.col("y_true").cast("int"))).first()[0]
     return information(j.select("y_true", (1 / (1 + F.exp(-F.col("margin") / 10))).alias("p"), F.lit(base).alias("base")), "y_true", "p", "base")
 
@@ -250,7 +240,7 @@ def m8(c: Cell) -> DataFrame:
 def m15(c: Cell) -> DataFrame:
     from verdictlab.operators.analysis import regression_fidelity
 
-    return regression_fidelity(judged(c).persist(), "score_1", "score_2")
+    return regression_fidelity(judged(c), "score_1", "score_2")
 
 
 @query("g10_bm25_predictor", S.sql("SELECT query_id, count(*) AS n, round(avg(CAST(oof_correct AS INTEGER)), 6) AS accuracy FROM judged GROUP BY query_id"))
@@ -304,20 +294,26 @@ def q4(c: Cell) -> DataFrame:
 
 @query("s5_first_write", S.sql("SELECT query_id, doc_id_a, doc_id_b, prompt_version, verdict, created_at, round(prob_a, 6) AS prob_a FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id_a, doc_id_b ORDER BY created_at) AS n FROM writes) WHERE n = 1"))
 def s5(c: Cell) -> DataFrame:
-    return _writes(c, F.col("created_at"))
+    """Two writes to the store, and what a reader finds."""
+    from verdictlab.sources import store
+
+    path, rows = fresh(c.spark, "store"), _writes(c)
+    for biased in (True, False):
+        store.append(rows.filter(F.col("biased") == biased).withColumns({"dataset": F.lit("d"), "model": F.lit("mock"), "latency_ms": F.lit(None).cast("double")}), path)
+    return store.load(c.spark, path, dataset="d").select("query_id", "doc_id_a", "doc_id_b", "prompt_version", "verdict", "created_at", F.round("prob_a", 6).alias("prob_a"))
 
 
 @query("w4_last_write", S.sql("SELECT query_id, doc_id_a, doc_id_b, prompt_version, verdict, created_at, round(prob_a, 6) AS prob_a FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id_a, doc_id_b ORDER BY created_at DESC) AS n FROM writes) WHERE n = 1"))
 def w4(c: Cell) -> DataFrame:
-    return _writes(c, F.desc("created_at"))
+    from verdictlab.sources.store import keep_one
 
+    return keep_one(_writes(c), ["query_id", "doc_id_a", "doc_id_b", "prompt_version"], F.desc("created_at")).select("query_id", "doc_id_a", "doc_id_b", "prompt_version", "verdict", "created_at", F.round("prob_a", 6).alias("prob_a"))
 
-def _writes(c: Cell, order) -> DataFrame:
-    from verdictlab.sources.store import keep_one
 
-    plain = pairs.mock_verdicts(pairs.presentations(c.pairs), c.topics, c.corpus).withColumn("created_at", F.lit("2024-01-02"))
-    rows = c.stored.withColumn("created_at", F.when(F.substring("doc_id_a", 8, 1) < "5", "2024-01-01").otherwise("2024-01-03")).unionByName(plain).withColumn("prompt_version", F.lit("v0"))
-    return keep_one(rows, ["query_id", "doc_id_a", "doc_id_b", "prompt_version"], order).select("query_id", "doc_id_a", "doc_id_b", "prompt_version", "verdict", "created_at", F.round("prob_a", 6).alias("prob_a"))
+def _writes(c: Cell) -> DataFrame:
+    plain = pairs.mock_verdicts(pairs.presentations(c.pairs), c.topics, c.corpus).withColumns({"created_at": F.lit("2024-01-02"), "biased": F.lit(False)})
+    rows = c.stored.withColumns({"created_at": F.when(F.substring("doc_id_a", 8, 1) < "5", "2024-01-01").otherwise("2024-01-03"), "biased": F.lit(True)})
+    return rows.unionByName(plain).withColumn("prompt_version", F.lit("v0"))
 
 
 @query("s16_pool_documents", S.sql("SELECT DISTINCT qid, docno FROM pool WHERE rank < 20 UNION SELECT qid, doc_id_1 FROM pairs UNION SELECT qid, doc_id_2 FROM pairs"))
@@ -334,16 +330,148 @@ def s15(c: Cell) -> DataFrame:
     return one("documents").unionByName(one("conversations")).groupBy("collection").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"), F.max("n").alias("longest"))
 
 
-@query("z3_gates", S.sql("SELECT qid, docno, CASE WHEN r < 0.4 THEN 0 WHEN e < 0.65 THEN 1 ELSE 3 END AS score, r >= 0.4 AS relevant, r >= 0.4 AND e >= 0.65 AS answers, r >= 0.4 AND e >= 0.65 AS constrained, round(r, 6) AS relevance, round(CASE WHEN r >= 0.4 THEN e END, 6) AS entailment FROM gate_signals"))
-def z3(c: Cell) -> DataFrame:
+def _signals():
     from verdictlab.functions.text import hash_score
     from verdictlab.operators.axioms import similarity
-    from verdictlab.operators.gates import gated
 
-    docs = c.pool.filter("rank < 10").join(c.topics, "qid").join(c.corpus, "docno").select("qid", "query", "docno", "text")
     best = lambda constraint, words: F.coalesce(F.array_max(F.transform(words, lambda w: similarity(constraint, w))), F.lit(0.0))
-    out = gated(docs, hash_score, hash_score, best, html=False)
-    return out.select("qid", "docno", "score", "relevant", "answers", "constrained", F.round("relevance", 6).alias("relevance"), F.round("entailment", 6).alias("entailment"))
+    return hash_score, hash_score, best
+
+
+def _asked(c: Cell) -> DataFrame:
+    """The topics; every other one asks for its second word as a constraint."""
+    from verdictlab.functions.text import tokens
+
+    second = F.get(tokens(F.col("query")), F.lit(1))
+    return c.topics.select("qid", F.when((F.col("qid").cast("int") % 2 == 0) & second.isNotNull(), F.concat("query", F.lit(" lang:"), second)).otherwise(F.col("query")).alias("query"))
+
+
+_GATES = ["qid", "docno", "score", "relevant", "answers", "constrained", "relevance", "entailment", "similarity"]
+
+
+def _gates(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(x, 6).alias(x) if x in ("relevance", "entailment", "similarity") else F.col(x) for x in _GATES])
+
+
+@query("z3_gates", S.sql("SELECT * FROM gates"))
+def z3(c: Cell) -> DataFrame:
+    from verdictlab.operators.gates import gated
+
+    docs = c.pool.filter("rank < 10").join(_asked(c), "qid").join(c.corpus, "docno").select("qid", "query", "docno", "text")
+    return _gates(gated(docs, *_signals(), html=False))
+
+
+@query("z7_resumed_scores", S.sql("SELECT * FROM gates"))
+def z7(c: Cell) -> DataFrame:
+    """The gates' scores of a pool whose first half was scored by a run that stopped."""
+    from verdictlab.operators.distil import score_pool
+
+    path = fresh(c.spark, "scores")
+    args = (_asked(c), c.corpus, path, *_signals())
+    score_pool(c.pool, *args, depth=5, html=False, parts=1)
+    return _gates(score_pool(c.pool, *args, depth=10, html=False, parts=2))
+
+
+@query("z3_gates_of_pages")
+def z3_pages(c: Cell) -> DataFrame:
+    """The gates over web pages, whose prose is read first: each page is asked for its own title."""
+    from verdictlab.operators.gates import gated
+
+    pages = c.spark.read.parquet(f"{c.dir}/pages.parquet")
+    asked = F.concat(F.coalesce(F.nullif(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1), F.lit("")), "url", F.lit("")), F.lit(" lang:en"))
+    docs = pages.select(F.lit("pages").alias("qid"), asked.alias("query"), F.col("page_id").cast("string").alias("docno"), F.coalesce("html", F.lit("")).alias("text"))
+    return gated(docs, *_signals()).groupBy("score").agg(F.count("*").alias("n"))
+
+
+@query("a15_score_distribution", S.sql("SELECT score, count(*) AS n FROM gates GROUP BY score"))
+def a15(c: Cell) -> DataFrame:
+    from verdictlab.operators.analysis import distribution
+
+    return distribution(z3(c), "score")
+
+
+def _distil(c: Cell) -> DataFrame:
+    from verdictlab.operators.distil import features
+
+    score, entails, _ = _signals()
+    return features(c.pool, c.topics, c.corpus, score, entails, lambda q, passage: score(passage, q), depth=10, html=False)
+
+
+def _graded(c: Cell) -> DataFrame:
+    """Features with an adequacy of one and a half a grade, where there is a judgement."""
+    from verdictlab.operators.distil import labelled
+
+    grade = F.col("relevance") * 1.5
+    labels = c.qrels.select(F.col("query_id").alias("qid"), F.col("doc_id").alias("docno"), grade.alias("adequacy"), F.round(grade).cast("int").alias("argmax"))
+    return labelled(_distil(c), labels, "adequacy", "argmax")
+
+
+@query("z8_distil_features", S.sql("SELECT qid, docno, " + ", ".join(f"round({x}, 6) AS {x}" for x in ("bm25_score", "bm25_rank", "log_length", "query_coverage", "relevance_probability", "nli_entailment", "mrc_margin")) + " FROM distil"))
+def z8(c: Cell) -> DataFrame:
+    from verdictlab.operators.distil import BASE, SIGNALS
+
+    return _distil(c).select("qid", "docno", *[F.round(x, 6).alias(x) for x in (*BASE, *SIGNALS)])
+
+
+_DIAGNOSED = "count(*) AS n_documents, count(*) FILTER (adequacy >= 2.5) AS n_high, round(avg(CAST(relevance_probability < 0.4 AS INTEGER)) FILTER (adequacy >= 2.5), 6) AS relevance_false_negative_rate, round(avg(CAST(nli_entailment < 0.65 AS INTEGER)) FILTER (adequacy >= 2.5), 6) AS nli_false_negative_rate, " + ", ".join(f"round(avg({x}), 6) AS mean_{x}" for x in ("relevance_probability", "nli_entailment", "mrc_margin"))
+
+
+@query("a13_gate_diagnostics", S.sql(f"SELECT argmax, {_DIAGNOSED} FROM graded WHERE adequacy IS NOT NULL GROUP BY argmax UNION ALL SELECT NULL, {_DIAGNOSED} FROM graded WHERE adequacy IS NOT NULL"))
+def a13(c: Cell) -> DataFrame:
+    from verdictlab.operators.distil import gate_diagnostics
+
+    return gate_diagnostics(_graded(c))
+
+
+@query("j18_unscored_documents", S.sql("SELECT qid, docno FROM pool WHERE rank < 20 AND (qid, docno) NOT IN (SELECT (query_id, doc_id) FROM qrels)"))
+def j18(c: Cell) -> DataFrame:
+    from verdictlab.operators.distil import unscored
+
+    return unscored(c.pool.filter("rank < 20").select("qid", "docno"), c.qrels.select(F.col("query_id").alias("qid"), F.col("doc_id").alias("docno")))
+
+
+@query("m13_transfer")
+def m13(c: Cell) -> DataFrame:
+    """The fit on the documents of even ranks, applied as it is to those of odd ranks."""
+    from verdictlab.operators.distil import BASE, SIGNALS, transfer
+
+    frame = staged(_graded(c), "graded")
+    return transfer(frame.filter("bm25_rank % 2 = 0"), frame.filter("bm25_rank % 2 = 1"), BASE + SIGNALS)[0].select("qid", "docno", F.round("predicted", 6).alias("predicted"))
+
+
+@query("m14_adaptation")
+def m14(c: Cell) -> DataFrame:
+    from verdictlab.operators.distil import BASE, SIGNALS, adapted
+
+    frame = staged(_graded(c).fillna(0.0, ["adequacy"]), "graded")
+    return adapted(frame, BASE + SIGNALS, max(1, frame.select("qid").distinct().count() // 3)).select("qid", "docno", F.round("predicted", 6).alias("predicted"))
+
+
+@query("r7_collected_verdicts", S.sql(f"SELECT {_ROUND} FROM plain"))
+def r7_collected(c: Cell) -> DataFrame:
+    """All verdicts of the mock ranker, after a collection that stopped at the pairs of the five best."""
+    from verdictlab.operators.rankers import collect_verdicts
+    from verdictlab.sources.config import Ranker
+
+    path = fresh(c.spark, "verdicts")
+    collect_verdicts("d", Ranker(max_chars=10**9), pairs.top_k_pairs(c.pool, 5), c.topics, c.corpus, path)
+    return _rounded(collect_verdicts("d", Ranker(max_chars=10**9), c.pairs, c.topics, c.corpus, path))
+
+
+@query("g14_measured_cell", S.sql("SELECT * FROM intervals"))
+def g14(c: Cell) -> DataFrame:
+    """The report's agreement table over the verdicts of the cell, with its fits and gradient made beside it."""
+    from verdictlab.plans.measurement import feature_set, measured
+
+    return measured(c, c.stored, {"all": feature_set(c.merged, c.axiom_names)}, "all")["agreement"]
+
+
+@query("a23_tie_diagnostics", S.sql("SELECT count(*) FILTER (model_pref = 0) AS target_ties, count(*) FILTER (model_pref <> 0) AS target_decisive, count(*) FILTER (pred = 0) AS vote_ties, count(*) FILTER (pred <> 0) AS vote_decisions, " + ", ".join(f"count(*) FILTER (collapse_reason = '{r}') AS n_{r}" for r in ("decisive", "model_tie", "order_disagreement")) + " FROM voted"))
+def a23(c: Cell) -> DataFrame:
+    from verdictlab.operators.analysis import tie_diagnostics
+    from verdictlab.operators.axioms import majority
+
+    return tie_diagnostics(c.merged, majority(S.USED))
 
 
 def _entries(c: Cell) -> DataFrame:
@@ -375,7 +503,7 @@ def f8(c: Cell) -> DataFrame:
     return c.spark.read.parquet(f"{c.dir}/pages.parquet").select("page_id", clean_passage("html").alias("passage"))
 
 
-@query("f9_prepared_queries")
+@query("f9_prepared_queries", S.sql("SELECT qid, query || ' in Python' AS text, 'python|docs.example' AS constraints FROM topics"))
 def f9(c: Cell) -> DataFrame:
     from verdictlab.functions.markup import prepared_query
 
@@ -386,7 +514,10 @@ def f9(c: Cell) -> DataFrame:
 # ---- models and runs
 
 
-@query("m1_query_folds")
+_FOLDS = "WITH RECURSIVE sized AS (SELECT query_id, n, row_number() OVER (ORDER BY n DESC, query_id) AS i FROM (SELECT query_id, count(*) AS n FROM v GROUP BY query_id)), placed AS (SELECT CAST(0 AS BIGINT) AS i, CAST('' AS VARCHAR) AS query_id, 0 AS fold, [CAST(0 AS BIGINT) FOR _ IN range(least(5, (SELECT count(*) FROM sized)))] AS load UNION ALL SELECT s.i, s.query_id, CAST(list_position(load, list_min(load)) - 1 AS INTEGER), list_transform(load, lambda x, k: CASE WHEN k = list_position(load, list_min(load)) THEN x + n ELSE x END) FROM placed p JOIN sized s ON s.i = p.i + 1) SELECT query_id, fold FROM placed WHERE i > 0"
+
+
+@query("m1_query_folds", S.sql(f"SELECT * FROM ({_FOLDS.replace('FROM v ', 'FROM verdicts ')})"))
 def m1(c: Cell) -> DataFrame:
     from verdictlab.operators.models import assign_folds
 
@@ -397,31 +528,47 @@ def m1(c: Cell) -> DataFrame:
 def m3(c: Cell) -> DataFrame:
     from verdictlab.operators.models import joint_fit
 
-    return joint_fit(merged(c), S.USED)[0]
+    return joint_fit(c.merged, S.USED)[0]
 
 
 @query("m4_surrogate")
 def m4(c: Cell) -> DataFrame:
     from verdictlab.operators.models import surrogate
 
-    return surrogate(merged(c), S.USED)[0]
+    return surrogate(c.merged, S.USED)[0]
 
 
 @query("a12_surrogate_fidelity")
 def a12(c: Cell) -> DataFrame:
     from verdictlab.operators.models import fidelity, surrogate
 
-    return fidelity(surrogate(merged(c), S.USED)[0])
+    return fidelity(surrogate(c.merged, S.USED)[0])
 
 
 @query("a20_feature_zero")
 def a20(c: Cell) -> DataFrame:
     from verdictlab.operators.models import feature_zero_effect, surrogate
 
-    predicted, found = surrogate(merged(c), S.USED)
+    predicted, found = surrogate(c.merged, S.USED)
     return feature_zero_effect(predicted, S.USED, found["fits"])
 
 
+@query("m6_decomposition")
+def m6(c: Cell) -> DataFrame:
+    from verdictlab.operators.models import decompose
+    from verdictlab.plans.measurement import feature_set
+
+    return decompose(c.merged, feature_set(c.merged, S.USED))[0]
+
+
+@query("m10_residual_model")
+def m10(c: Cell) -> DataFrame:
+    from verdictlab.operators import analysis
+
+    names = ["d_len", "d_qcov", "score_gap", "len_ratio", "query_len"]
+    return analysis.residual_model(c.merged.join(c.covariates.select(*analysis.KEY, *names), analysis.KEY), S.USED, names)
+
+
 @query("a10_residual_clusters")
 def a10(c: Cell) -> DataFrame:
     from verdictlab.operators.models import residual_clusters
@@ -431,20 +578,17 @@ def a10(c: Cell) -> DataFrame:
 
 @query("m12_ridge")
 def m12(c: Cell) -> DataFrame:
-    from verdictlab.functions.text import tokens
-    from verdictlab.operators.models import ridge_out_of_fold
+    from verdictlab.operators.distil import BASE, distilled
 
-    grades = c.qrels.select(F.col("query_id").alias("qid"), F.col("doc_id").alias("docno"), F.col("relevance").cast("double").alias("grade"))
-    docs = c.pool.join(c.corpus.select("docno", F.log1p(F.size(tokens(F.col("text"))).cast("double")).alias("log_length")), "docno").join(grades, ["qid", "docno"], "left").withColumn("place", F.col("rank").cast("double"))
-    return ridge_out_of_fold(docs, ["score", "place", "log_length"], "grade").select("qid", "docno", "fold", F.round("predicted", 6).alias("predicted"))
+    return distilled(_graded(c), BASE).select("qid", "docno", "fold", F.round("predicted", 6).alias("predicted"))
 
 
 def _runs(c: Cell) -> dict[str, DataFrame]:
     from verdictlab.operators.axioms import majority
 
-    vote = merged(c).withColumn("model_pref", majority(S.USED))
+    vote = c.merged.withColumn("model_pref", majority(S.USED))
     runs = {"bm25": c.pool, "llm": c.copeland, "oracle": ranking.oracle_rerank(c.pool, c.qrels, 50), "vote": ranking.copeland(vote, c.pool)}
-    return {name: ranking.evaluate(run, c.qrels) for name, run in runs.items()}
+    return {name: staged(ranking.evaluate(run, c.qrels), f"metrics-{name}") for name, run in runs.items()}
 
 
 @query("g12_run_means", S.sql("SELECT run, count(*) AS n_queries, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(ap), 6) AS ap FROM run_metrics GROUP BY run"))
@@ -454,6 +598,27 @@ def g12(c: Cell) -> DataFrame:
     return run_means(_runs(c))
 
 
+_RUNS = {"bm25": "bm25_metrics", "llm": "copeland_metrics", "oracle": "oracle_metrics", "vote": "vote_metrics"}
+_CONTRASTS = ranking.contrasts_of(["oracle", "vote"], "oracle", "llm")
+
+
+@query("g12_comparison_matrix", S.sql(" UNION ALL ".join(f"(SELECT '{name}' AS contrast, * FROM ({S.comparison(_RUNS[a], _RUNS[b])}))" for name, a, b in _CONTRASTS)))
+def g12_matrix(c: Cell) -> DataFrame:
+    return ranking.comparison_matrix(_runs(c), _CONTRASTS)
+
+
+@query("g13_variant_profiles", S.sql(" UNION ALL ".join(f"(SELECT '{v}' AS variant, * FROM ({S.profile(n, source=t)}))" for v, t in (("bm25", "judged"), ("vote", "judged_vote")) for n in ("d_len", "d_qcov", "rank_gap"))))
+def g13(c: Cell) -> DataFrame:
+    """What the first stage's order and the axioms' vote get wrong, by covariate."""
+    from verdictlab.operators import analysis
+    from verdictlab.operators.axioms import majority
+
+    decisive = c.merged.filter("model_pref <> 0").withColumn("y_true", F.col("model_pref") > 0)
+    right = {"bm25": F.signum(F.col("rank_2") - F.col("rank_1")).cast("int"), "vote": majority(S.USED)}
+    made = {v: staged(decisive.select(*analysis.KEY, "y_true", (p == F.col("model_pref")).alias("oof_correct")), v) for v, p in right.items()}
+    return analysis.variant_profiles(made, c.covariates, ["d_len", "d_qcov", "rank_gap"])
+
+
 @query("a24_metric_by_run", S.sql("SELECT query_id, " + ", ".join(f"max(ndcg_10) FILTER (run = '{r}') AS {r}" for r in ("bm25", "llm", "oracle", "vote")) + " FROM run_metrics GROUP BY query_id"))
 def a24(c: Cell) -> DataFrame:
     from verdictlab.operators.reversals import by_run
@@ -465,7 +630,7 @@ def a24(c: Cell) -> DataFrame:
 def g6(c: Cell) -> DataFrame:
     from verdictlab.operators.axioms import majority
 
-    return ranking.copeland(merged(c).withColumn("model_pref", majority(S.USED)), c.pool)
+    return ranking.copeland(c.merged.withColumn("model_pref", majority(S.USED)), c.pool)
 
 
 @query("g11_reversals", S.sql("SELECT * FROM reversed"))
@@ -473,34 +638,47 @@ def g11(c: Cell) -> DataFrame:
     from verdictlab.operators.axioms import majority
     from verdictlab.operators.reversals import reversals
 
-    return reversals(merged(c).withColumn("pred", majority(S.USED)), S.USED, c.pool, c.copeland, c.qrels)
+    return reversals(c.merged.withColumn("pred", majority(S.USED)), S.USED, c.pool, c.copeland, c.qrels)
+
+
+_ELIGIBLE = "query_id IN (SELECT qid FROM kinds WHERE intent <> 'unknown')"
 
 
-@query("a11_candidate_agreement", S.sql("SELECT axiom, count(DISTINCT query_id) AS n_eligible_queries, count(DISTINCT query_id) FILTER (pref <> 0) AS n_active_queries, count(*) AS n_pairs, round(avg(CAST(pref <> 0 AS INTEGER)), 6) AS conditional_coverage, count(*) FILTER (pref > 0) AS n_positive, count(*) FILTER (pref < 0) AS n_negative, count(*) FILTER (pref <> 0 AND model_pref <> 0) AS n_evaluable, round(CASE WHEN count(*) FILTER (pref <> 0 AND model_pref <> 0) > 0 THEN count(*) FILTER (pref <> 0 AND pref = model_pref) / count(*) FILTER (pref <> 0 AND model_pref <> 0) END, 6) AS agreement FROM long WHERE query_id IN (SELECT qid FROM kinds WHERE intent <> 'unknown') GROUP BY axiom"))
+@query("a11_candidate_agreement", S.sql(f"SELECT i.* REPLACE (CASE WHEN n_evaluable_queries >= 5 THEN ci_lo END AS ci_lo, CASE WHEN n_evaluable_queries >= 5 THEN ci_hi END AS ci_hi), n_active_queries, n_queries, n_eligible_queries, eligible_pair_coverage, n_positive, n_negative FROM intervals i JOIN (SELECT axiom, count(DISTINCT query_id) FILTER (pref <> 0) AS n_active_queries, count(DISTINCT query_id) AS n_queries, count(DISTINCT query_id) FILTER ({_ELIGIBLE}) AS n_eligible_queries, round(avg(CAST(pref <> 0 AS INTEGER)) FILTER ({_ELIGIBLE}), 6) AS eligible_pair_coverage, count(*) FILTER (pref > 0) AS n_positive, count(*) FILTER (pref < 0) AS n_negative FROM long GROUP BY axiom) USING (axiom)"))
 def a11(c: Cell) -> DataFrame:
     from verdictlab.functions.intent import normal, parse_query
     from verdictlab.operators.analysis import candidate_agreement
 
-    # kept, so that the long expression of the intent isn't copied into the plans above
-    intents = c.topics.select(F.col("qid").alias("query_id"), parse_query(normal(F.col("query")))["intent"].alias("intent")).persist()
+    # staged, so that the long expression of the intent isn't copied into the plans above
+    intents = staged(c.topics.select(F.col("qid").alias("query_id"), parse_query(normal(F.col("query")))["intent"].alias("intent")), "intents")
     asked = intents.filter("intent <> 'unknown'").select("query_id", F.explode(F.array(*map(F.lit, S.USED))).alias("axiom"))
-    return candidate_agreement(merged(c), S.USED, asked)
+    return candidate_agreement(c.merged, S.USED, asked)
 
 
 @query("m23_incremental_fidelity", S.sql("SELECT measure, round(sum(v) / sum(n), 6) AS lift, any_value(ci_lo) AS ci_lo, any_value(ci_hi) AS ci_hi FROM lift_long JOIN lift_ci USING (measure) GROUP BY measure"))
 def m23(c: Cell) -> DataFrame:
     from verdictlab.operators.analysis import incremental_fidelity
 
-    j = judged(c).select("query_id", "y_true", (1 / (1 + F.exp(-(F.col("margin") - 2) / 10))).alias("p1"), (1 / (1 + F.exp(-F.col("margin") / 5))).alias("p2")).persist()
-    return incremental_fidelity(j, "p1", "p2")
+    return incremental_fidelity(_two_models(c), "p1", "p2")
+
+
+def _two_models(c: Cell) -> DataFrame:
+    return staged(judged(c).select("query_id", "y_true", (1 / (1 + F.exp(-(F.col("margin") - 2) / 10))).alias("p1"), (1 / (1 + F.exp(-F.col("margin") / 5))).alias("p2")), "two-models")
+
+
+@query("m21_macro_lift", S.sql("SELECT measure, round(sum(v) / sum(n), 6) AS lift, any_value(ci_lo) AS ci_lo, any_value(ci_hi) AS ci_hi FROM macro_long JOIN macro_ci USING (measure) GROUP BY measure"))
+def m21(c: Cell) -> DataFrame:
+    from verdictlab.operators.analysis import incremental_fidelity
+
+    return incremental_fidelity(_two_models(c), "p1", "p2", macro=True)
 
 
-@query("a14_adequacy_evaluation", S.sql("SELECT count(*) AS n_pairs, count(*) FILTER (model_pref <> 0) AS n_decisive, round(count(*) FILTER (model_pref <> 0 AND abs(one - two) > 0.1) / count(*) FILTER (model_pref <> 0), 6) AS discriminating_coverage, round(count(*) FILTER (model_pref <> 0 AND abs(one - two) > 0.1 AND sign(one - two) = model_pref) / count(*) FILTER (model_pref <> 0 AND abs(one - two) > 0.1), 6) AS sign_agreement FROM clear"))
+@query("a14_adequacy_evaluation", S.sql("SELECT count(*) AS n_pairs, count(*) FILTER (model_pref <> 0) AS n_decisive, round(count(*) FILTER (model_pref <> 0 AND abs(one - two) > 0.1) / count(*) FILTER (model_pref <> 0), 6) AS discriminating_coverage, round(count(*) FILTER (model_pref <> 0 AND abs(one - two) > 0.1 AND sign(one - two) = model_pref) / count(*) FILTER (model_pref <> 0 AND abs(one - two) > 0.1), 6) AS sign_agreement, (SELECT round((sum(r) FILTER (model_pref > 0) - count(*) FILTER (model_pref > 0) * (count(*) FILTER (model_pref > 0) + 1) / 2) / (count(*) FILTER (model_pref > 0) * count(*) FILTER (model_pref < 0)), 6) FROM (SELECT model_pref, rank() OVER (ORDER BY one - two) + (count(*) OVER (PARTITION BY one - two) - 1) / 2 AS r FROM clear WHERE model_pref <> 0)) AS auc FROM clear"))
 def a14(c: Cell) -> DataFrame:
     from verdictlab.functions.text import hash_score
     from verdictlab.operators.analysis import adequacy_evaluation
 
-    docs = c.pool.filter("rank < 10").join(c.topics, "qid").join(c.corpus, "docno").select(F.col("qid").alias("query_id"), "docno", hash_score(F.col("query"), F.col("text")).alias("s")).persist()
+    docs = c.pool.filter("rank < 10").join(c.topics, "qid").join(c.corpus, "docno").select(F.col("qid").alias("query_id"), "docno", hash_score(F.col("query"), F.col("text")).alias("s"))
     v = c.verdicts
     for side, name in (("1", "one"), ("2", "two")):
         v = v.join(docs.select("query_id", F.col("docno").alias(f"doc_id_{side}"), F.col("s").alias(name)), ["query_id", f"doc_id_{side}"])

@@ -33,8 +33,8 @@ STEPS |= {
     "verdicts": "SELECT query_id, doc_id_1, doc_id_2, CAST(CASE WHEN min(pref) = max(pref) THEN min(pref) ELSE 0 END AS INTEGER) AS model_pref, CAST(count(*) AS INTEGER) AS n_presentations, CASE WHEN count(*) > 1 THEN min(pref) = max(pref) END AS position_consistent, CASE WHEN min(pref) <> max(pref) THEN 'order_disagreement' WHEN min(pref) = 0 THEN 'model_tie' ELSE 'decisive' END AS collapse_reason FROM signed GROUP BY ALL",
     "won": "SELECT query_id AS qid, doc AS docno, sum(w) AS won FROM (SELECT query_id, doc_id_1 AS doc, model_pref AS w FROM verdicts UNION ALL SELECT query_id, doc_id_2, -model_pref FROM verdicts) GROUP BY ALL",
     "copeland": "SELECT p.qid, p.docno, CAST(row_number() OVER (PARTITION BY p.qid ORDER BY (won IS NULL), won DESC, rank) - 1 AS INTEGER) AS rank, CAST(1 - row_number() OVER (PARTITION BY p.qid ORDER BY (won IS NULL), won DESC, rank) AS DOUBLE) AS score FROM pool p LEFT JOIN won USING (qid, docno)",
-    # two grades from the labels, spread over the queries by a hash, so that queries have judgements of their own
-    "qrels": "SELECT qid AS query_id, lpad(CAST(doc_id AS VARCHAR), 8, '0') AS doc_id, CAST(max(quality + 1 - toxic) AS INTEGER) AS relevance FROM topics JOIN labels ON substr(md5(qid || '-' || lpad(CAST(doc_id AS VARCHAR), 8, '0')), 1, 1) < '8' WHERE doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL GROUP BY ALL",
+    # two grades from the labels, for the half of the pooled documents that a hash picks
+    "qrels": "SELECT qid AS query_id, docno AS doc_id, CAST(max(quality + 1 - toxic) AS INTEGER) AS relevance FROM pool JOIN labels ON docno = lpad(CAST(doc_id AS VARCHAR), 8, '0') WHERE substr(md5(qid || '-' || docno), 1, 1) < '8' AND doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL GROUP BY ALL",
 }
 
 
@@ -55,7 +55,7 @@ def slots(n: str, draws: int, seed: int = 42) -> str:
     return f"SELECT draw, CAST('0x' || substr(md5('{seed}-' || draw || '-' || j), 1, 8) AS BIGINT) % ({n}) AS slot FROM (SELECT unnest(range({draws})) AS draw), (SELECT unnest(range((SELECT {n}))) AS j)"
 
 
-def comparison(a: str, b: str, draws: int = 200) -> str:
+def comparison(a: str, b: str, draws: int = 10_000) -> str:
     return f"""SELECT metric, round(avg(a), 6) AS mean_baseline, round(avg(b), 6) AS mean_reranked, round(avg(d), 6) AS mean_delta, any_value(lo) AS delta_ci_lo, any_value(hi) AS delta_ci_hi, count(*) FILTER (d > 0) AS wins, count(*) FILTER (d = 0) AS ties, count(*) FILTER (d < 0) AS losses, count(*) AS n_queries FROM
 (SELECT row_number() OVER (PARTITION BY metric ORDER BY query_id) - 1 AS slot, metric, a, b, round(b - a, 6) AS d FROM (SELECT query_id, unnest(['ndcg_10', 'ap']) AS metric, unnest([x.ndcg_10, x.ap]) AS a, unnest([y.ndcg_10, y.ap]) AS b FROM {a} x JOIN {b} y USING (query_id))) z
 JOIN (SELECT metric, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM (SELECT metric, draw, avg(d) AS m FROM ({slots(f"(SELECT count(*) FROM {a})", draws)}) JOIN
@@ -138,7 +138,8 @@ SEMANTIC = """SELECT p.qid, p.doc_id_1, p.doc_id_2, sign(a.mean - b.mean)::INT A
 
 # ---- agreement
 
-USED = ["TFC1", "TF_LNC_R", "PROX1", "AND_", "DIV", "VERB", "QCOV"]
+#: All implemented lexical axioms take part in every agreement.
+USED = AXIOM_NAMES
 _rate = lambda a, b: f"round(CASE WHEN {b} > 0 THEN {a} / {b} END, 6)"
 STEPS |= {
     "merged": "SELECT v.*, " + ", ".join(f'"{n}"' for n in USED) + ", p.rank AS rank_1, q.rank AS rank_2, p.score AS score_1, q.score AS score_2, abs(p.rank - q.rank) AS rank_gap FROM verdicts v JOIN axioms a ON a.qid = query_id AND a.doc_id_1 = v.doc_id_1 AND a.doc_id_2 = v.doc_id_2 JOIN pool p ON p.qid = query_id AND p.docno = v.doc_id_1 JOIN pool q ON q.qid = query_id AND q.docno = v.doc_id_2",
@@ -146,7 +147,7 @@ STEPS |= {
     "by_query": "SELECT axiom, query_id, count(*) FILTER (pref <> 0 AND model_pref <> 0) AS e, count(*) FILTER (pref <> 0 AND pref = model_pref) AS a FROM long GROUP BY ALL",
     "agreement": f"SELECT axiom, count(*) AS n_pairs, round(avg(CAST(pref <> 0 AS INTEGER)), 6) AS coverage, count(*) FILTER (pref <> 0 AND model_pref <> 0) AS n_evaluable, {_rate('count(*) FILTER (pref <> 0 AND pref = model_pref)', 'count(*) FILTER (pref <> 0 AND model_pref <> 0)')} AS agreement FROM long GROUP BY axiom",
     "slots_q": "SELECT query_id, row_number() OVER (ORDER BY query_id) - 1 AS slot FROM (SELECT DISTINCT query_id FROM merged)",
-    "agreement_draws": f"SELECT axiom, draw, sum(a) / nullif(sum(e), 0) AS r FROM ({slots('(SELECT count(*) FROM slots_q)', 200)}) JOIN slots_q USING (slot) JOIN by_query USING (query_id) GROUP BY ALL",
+    "agreement_draws": f"SELECT axiom, draw, sum(a) / nullif(sum(e), 0) AS r FROM ({slots('(SELECT count(*) FROM slots_q)', 2000)}) JOIN slots_q USING (slot) JOIN by_query USING (query_id) GROUP BY ALL",
     "intervals": "SELECT g.*, n AS n_evaluable_queries, lo AS ci_lo, hi AS ci_hi FROM agreement g JOIN (SELECT axiom, count(*) FILTER (e > 0) AS n FROM by_query GROUP BY axiom) USING (axiom) LEFT JOIN (SELECT axiom, round(quantile_cont(r, 0.025), 6) AS lo, round(quantile_cont(r, 0.975), 6) AS hi FROM agreement_draws WHERE r IS NOT NULL GROUP BY axiom) USING (axiom)",
     "qset": "SELECT qid AS query_id, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS q, strpos(query, '?') > 0 OR coalesce(regexp_extract_all(lower(query), '[a-z0-9]+')[1] IN ('who', 'what', 'when', 'where', 'why', 'how', 'which', 'whom', 'whose', 'is', 'are', 'do', 'does', 'can', 'could', 'should', 'would', 'will'), false) AS question FROM topics",
     "shape": "SELECT e.qid AS query_id, e.docno, CAST(len(words) AS DOUBLE) AS l, CASE WHEN len(q) > 0 THEN len(list_intersect(q, words)) / len(q) ELSE 0 END AS c FROM ends e JOIN lists USING (docno) JOIN qset s ON s.query_id = e.qid",
@@ -162,10 +163,10 @@ STEPS |= {
 }
 
 
-def profile(name: str, bins: int = 5) -> str:
-    edge = f"(SELECT list_sort(list_distinct(list_transform(quantile_cont(CAST({name} AS DOUBLE), [{', '.join(str(i / bins) for i in range(bins + 1))}]), lambda x: x))) FROM judged)"
-    label = f"CASE WHEN (SELECT count(DISTINCT {name}) FROM judged) <= {bins} THEN CAST({name} AS DOUBLE) ELSE list_min(list_filter(list_slice({edge}, 2, 99), lambda x: x >= {name})) END"
-    return f"SELECT '{name}' AS covariate, round(b, 3) AS bin, count(*) AS n_pairs, round(avg(CAST(oof_correct AS INTEGER)), 6) AS oof_accuracy, round(avg(CAST(NOT oof_correct AS INTEGER)), 6) AS residual_rate, round(avg(2 * CAST(y_true AS INTEGER) - 1), 6) AS mean_signed_verdict FROM (SELECT *, {label} AS b FROM judged WHERE {name} IS NOT NULL) GROUP BY b"
+def profile(name: str, bins: int = 5, source: str = "judged") -> str:
+    edge = f"(SELECT list_sort(list_distinct(list_transform(quantile_cont(CAST({name} AS DOUBLE), [{', '.join(str(i / bins) for i in range(bins + 1))}]), lambda x: x))) FROM {source})"
+    label = f"CASE WHEN (SELECT count(DISTINCT {name}) FROM {source}) <= {bins} THEN CAST({name} AS DOUBLE) ELSE list_min(list_filter(list_slice({edge}, 2, 99), lambda x: x >= {name})) END"
+    return f"SELECT '{name}' AS covariate, round(b, 3) AS bin, count(*) AS n_pairs, round(avg(CAST(oof_correct AS INTEGER)), 6) AS oof_accuracy, round(avg(CAST(NOT oof_correct AS INTEGER)), 6) AS residual_rate, round(avg(2 * CAST(y_true AS INTEGER) - 1), 6) AS mean_signed_verdict FROM (SELECT *, {label} AS b FROM {source} WHERE {name} IS NOT NULL) GROUP BY b"
 
 
 def entropy(y: str, p: str) -> str:
@@ -208,13 +209,32 @@ STEPS |= {
     "run_metrics": " UNION ALL ".join(f"SELECT '{n}' AS run, * FROM {m}" for n, m in (("bm25", "bm25_metrics"), ("llm", "copeland_metrics"), ("oracle", "oracle_metrics"), ("vote", "vote_metrics"))),
     "sided": "SELECT query_id, CASE WHEN pred > 0 THEN doc_id_1 ELSE doc_id_2 END AS winner_doc, CASE WHEN pred > 0 THEN doc_id_2 ELSE doc_id_1 END AS loser_doc, " + ", ".join(f'pred * "{n}" AS "{n}"' for n in USED) + " FROM voted WHERE pred <> 0",
     "reversed": "SELECT s.*, CAST(a.rank AS INTEGER) AS bm25_winner, c.rank AS llm_winner, coalesce(e.relevance, 0) AS rel_winner, CAST(b.rank AS INTEGER) AS bm25_loser, d.rank AS llm_loser, coalesce(f.relevance, 0) AS rel_loser, CAST(" + " + ".join(f'("{n}" > 0)::INT' for n in USED) + " AS INTEGER) AS n_supporting FROM sided s JOIN pool a ON a.qid = s.query_id AND a.docno = winner_doc JOIN pool b ON b.qid = s.query_id AND b.docno = loser_doc JOIN copeland c ON c.qid = s.query_id AND c.docno = winner_doc JOIN copeland d ON d.qid = s.query_id AND d.docno = loser_doc LEFT JOIN qrels e ON e.query_id = s.query_id AND e.doc_id = winner_doc LEFT JOIN qrels f ON f.query_id = s.query_id AND f.doc_id = loser_doc WHERE a.rank > b.rank AND c.rank < d.rank AND coalesce(e.relevance, 0) > coalesce(f.relevance, 0)",
-    "gate_signals": "SELECT p.qid, p.docno, CAST(CAST('0x' || substr(sha256(query || chr(0) || text), 1, 16) AS UBIGINT) AS DOUBLE) / 18446744073709551616.0 AS r, CAST(CAST('0x' || substr(sha256(text || chr(0) || query), 1, 16) AS UBIGINT) AS DOUBLE) / 18446744073709551616.0 AS e FROM pool p JOIN topics USING (qid) JOIN corpus USING (docno) WHERE rank < 10",
+    # every other query asks for its second word as a constraint
+    "asked": "SELECT qid, query, CASE WHEN CAST(qid AS INTEGER) % 2 = 0 THEN regexp_extract_all(lower(query), '[a-z0-9]+')[2] END AS want FROM topics",
+    "gate_signals": "SELECT p.qid, p.docno, want, text, CAST(CAST('0x' || substr(sha256(query || chr(0) || text), 1, 16) AS UBIGINT) AS DOUBLE) / 18446744073709551616.0 AS r, CAST(CAST('0x' || substr(sha256(text || chr(0) || query), 1, 16) AS UBIGINT) AS DOUBLE) / 18446744073709551616.0 AS e FROM pool p JOIN asked USING (qid) JOIN corpus USING (docno) WHERE rank < 10",
+    "gate_words": "SELECT qid, docno, want, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+(?:[._+-][a-z0-9]+)*'))) AS word FROM gate_signals WHERE want IS NOT NULL AND r >= 0.4 AND e >= 0.65",
+    "gate_grams": "SELECT qid, docno, list_distinct(list_transform(range(1, len(want) + 1), lambda i: substr('#' || want || '#', i, 3))) AS g, list_distinct(list_transform(range(1, len(word) + 1), lambda i: substr('#' || word || '#', i, 3))) AS h FROM gate_words",
+    "gate_likeness": "SELECT qid, docno, max(len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h)))) AS s FROM gate_grams GROUP BY ALL",
+    "gates": "SELECT g.qid, g.docno, CASE WHEN r < 0.4 THEN 0 WHEN e < 0.65 THEN 1 WHEN want IS NOT NULL AND coalesce(s, 0) < 0.75 THEN 2 ELSE 3 END AS score, r >= 0.4 AS relevant, r >= 0.4 AND e >= 0.65 AS answers, r >= 0.4 AND e >= 0.65 AND (want IS NULL OR coalesce(s, 0) >= 0.75) AS constrained, round(r, 6) AS relevance, round(CASE WHEN r >= 0.4 THEN e END, 6) AS entailment, round(CASE WHEN r >= 0.4 AND e >= 0.65 AND want IS NOT NULL THEN coalesce(s, 0) END, 6) AS similarity FROM gate_signals g LEFT JOIN gate_likeness USING (qid, docno)",
     "logprobs": "SELECT query_id, doc_id_a, doc_id_b, ln(score_a + 0.01) AS a1, CASE WHEN verdict = 'a' THEN ln(score_a + 0.02) END AS a2, CASE WHEN verdict <> 'tie' THEN ln(score_b + 0.01) END AS b1 FROM stored",
     "answers": "SELECT query_id, doc_id_a, doc_id_b, coalesce(greatest(a1, a2), a1) AS a, b1 AS b FROM logprobs",
 }
 STEPS |= {
     "lifts": f"SELECT query_id, row_number() OVER (ORDER BY query_id) - 1 AS slot, count(*) AS n, round(CAST(sum(((p2 >= 0.5) = y_true)::INT - ((p1 >= 0.5) = y_true)::INT) AS DOUBLE), 9) AS accuracy, round(sum(-CASE WHEN y_true THEN ln(p1) ELSE ln(1 - p1) END + CASE WHEN y_true THEN ln(p2) ELSE ln(1 - p2) END), 9) AS log_loss FROM (SELECT query_id, y_true, 1 / (1 + exp(-(margin - 2) / 10)) AS p1, 1 / (1 + exp(-margin / 5)) AS p2 FROM judged) GROUP BY query_id",
     "lift_long": "SELECT slot, n, unnest(['accuracy', 'log_loss']) AS measure, unnest([accuracy, log_loss]) AS v FROM lifts",
-    "lift_ci": f"SELECT measure, round(quantile_cont(r, 0.025), 6) AS ci_lo, round(quantile_cont(r, 0.975), 6) AS ci_hi FROM (SELECT measure, draw, sum(v) / sum(n) AS r FROM ({slots('(SELECT count(*) FROM lifts)', 200)}) JOIN lift_long USING (slot) GROUP BY ALL) GROUP BY measure",
+    "lift_ci": f"SELECT measure, round(quantile_cont(r, 0.025), 6) AS ci_lo, round(quantile_cont(r, 0.975), 6) AS ci_hi FROM (SELECT measure, draw, sum(v) / sum(n) AS r FROM ({slots('(SELECT count(*) FROM lifts)', 2000)}) JOIN lift_long USING (slot) GROUP BY ALL) GROUP BY measure",
+    "macro_lifts": "SELECT query_id, row_number() OVER (ORDER BY query_id) - 1 AS slot, 1 AS n, round(avg(((p2 >= 0.5) = y_true)::INT - ((p1 >= 0.5) = y_true)::INT), 9) AS accuracy, round(avg(-CASE WHEN y_true THEN ln(p1) ELSE ln(1 - p1) END + CASE WHEN y_true THEN ln(p2) ELSE ln(1 - p2) END), 9) AS log_loss FROM (SELECT query_id, y_true, 1 / (1 + exp(-(margin - 2) / 10)) AS p1, 1 / (1 + exp(-margin / 5)) AS p2 FROM judged) GROUP BY query_id",
+    "macro_long": "SELECT slot, n, unnest(['accuracy', 'log_loss']) AS measure, unnest([accuracy, log_loss]) AS v FROM macro_lifts",
+    "macro_ci": f"SELECT measure, round(quantile_cont(r, 0.025), 6) AS ci_lo, round(quantile_cont(r, 0.975), 6) AS ci_hi FROM (SELECT measure, draw, sum(v) / sum(n) AS r FROM ({slots('(SELECT count(*) FROM macro_lifts)', 2000)}) JOIN macro_long USING (slot) GROUP BY ALL) GROUP BY measure",
     "clear": "SELECT m.model_pref, a.s AS one, b.s AS two FROM verdicts m JOIN hashes a ON a.qid = m.query_id AND a.docno = m.doc_id_1 JOIN hashes b ON b.qid = m.query_id AND b.docno = m.doc_id_2",
 }
+
+_unit = lambda a, b: f"CAST(CAST('0x' || substr(sha256({a} || chr(0) || {b}), 1, 16) AS UBIGINT) AS DOUBLE) / 18446744073709551616.0"
+_cover = "a an and are be by do does for from how in is it of on or the to was what when where which who why with".split()
+STEPS |= {
+    "distil": f"""SELECT qid, docno, score AS bm25_score, CAST(rank AS DOUBLE) AS bm25_rank, ln(1 + len(w)) AS log_length, CASE WHEN len(a) > 0 THEN len(list_intersect(a, w)) / len(a) ELSE 0 END AS query_coverage, {_unit('query', 'text')} AS relevance_probability, {_unit('text', "'This text provides an answer or explanation to the question: ' || query")} AS nli_entailment, {_unit('text', 'query')} AS mrc_margin
+ FROM (SELECT p.*, query, text, words AS w, list_distinct(list_filter(regexp_extract_all(lower(query), '[a-z0-9]+'), lambda t: t NOT IN ({_in(_cover)}))) AS a FROM pool p JOIN topics USING (qid) JOIN corpus USING (docno) JOIN lists USING (docno) WHERE rank < 10)""",
+    "graded": "SELECT d.*, CASE WHEN relevance IS NOT NULL THEN relevance * 1.5 END AS adequacy, CASE WHEN relevance IS NOT NULL THEN CAST(round(relevance * 1.5) AS INTEGER) END AS argmax FROM distil d LEFT JOIN qrels q ON q.query_id = qid AND q.doc_id = docno",
+    "wanted_other": "SELECT a.qid, least(a.docno, b.docno) AS doc_id_1, greatest(a.docno, b.docno) AS doc_id_2 FROM copeland a JOIN copeland b ON a.qid = b.qid AND a.rank < b.rank AND b.rank < 6",
+    "judged_vote": "SELECT j.* REPLACE (CAST(sign(" + _sum + ") AS INTEGER) = model_pref AS oof_correct) FROM judged j JOIN merged m USING (query_id, doc_id_1, doc_id_2)",
+}
