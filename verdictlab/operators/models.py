@@ -225,15 +225,16 @@ def surrogate(merged: DataFrame, features: list[str], folds: int = 5) -> tuple[D
 
 
 def feature_zero_effect(predicted: DataFrame, features: list[str], fits: dict[int, np.ndarray]) -> DataFrame:
-    """For each feature: pairs and queries whose preference changes when it is zero under the fits as they are."""
-    base = F.signum(F.round(probability(features, fits) - 0.5, 12))
-    out = []
-    for f in features:
-        zeroed = {k: np.where(np.arange(len(t)) == features.index(f), 0.0, t) for k, t in fits.items()}
-        changed = F.signum(F.round(probability(features, zeroed) - 0.5, 12)) != base
-        out += [F.count_if(changed).alias(f"pairs_{f}"), F.count_distinct(F.when(changed, F.col("query_id"))).alias(f"queries_{f}")]
-    wide = predicted.agg(*out)
-    return wide.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"pairs_{f}").alias("pairs"), F.col(f"queries_{f}").alias("queries")) for f in features])).alias("x")).select("x.*")
+    """For each feature: pairs and queries whose preference changes when it is zero under the fits as they are. A zeroed feature takes its term out of the fold's sum."""
+    by_fold = lambda i: F.get(F.array(*[F.lit(float(fits[k][i]) if k in fits else None).cast("double") for k in range(max(fits) + 1)]), F.col("fold"))
+    terms = [by_fold(i) * F.col(f) for i, f in enumerate(features)]
+    rows = staged(predicted.select("query_id", F.array(*terms).alias("terms"), by_fold(-1).alias("rest")), "terms")
+    rows = rows.withColumn("whole", F.col("rest") + F.aggregate("terms", F.lit(0.0), lambda a, x: a + x))
+    pref = lambda z: F.signum(F.round(1 / (1 + F.exp(-z)) - 0.5, 12))
+    long = rows.select("query_id", "whole", F.posexplode("terms").alias("i", "term")).filter(pref(F.col("whole")) != pref(F.col("whole") - F.col("term")))
+    found = long.groupBy("i").agg(F.count("*").alias("pairs"), F.count_distinct("query_id").alias("queries"))
+    names = predicted.sparkSession.createDataFrame(list(enumerate(features)), "i int, feature string")
+    return names.join(found, "i", "left").select("feature", F.coalesce("pairs", F.lit(0)).alias("pairs"), F.coalesce("queries", F.lit(0)).alias("queries"))
 
 
 def fidelity(predicted: DataFrame) -> DataFrame:
