@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from verdictlab.operators.pairs import missing_presentations, presentations, wanted_rows, with_texts
 from verdictlab.sources import store
 from verdictlab.sources.config import Ranker as Settings
-from verdictlab.sources.staging import Files, staged
+from verdictlab.sources.staging import importable, staged
 
 
 class Verdict(NamedTuple):
@@ -147,7 +147,7 @@ def collect_verdicts(dataset: str, settings: Settings, pairs: DataFrame, topics:
     ``flush`` presentations (by default the settings' ``batch_flush`` times 20), so that an interrupted collection goes on where it stopped.
     Without ``allow_new`` a missing presentation is an error. ``protocols`` binds the model and prompt version to their signature.
     """
-    spark, model = pairs.sparkSession, settings.model or "mock"
+    spark, model = importable(pairs.sparkSession), settings.model or "mock"
     if protocols is not None:
         store.register_protocol(protocols, model, settings.prompt_version, protocol_signature(settings))
     load = lambda: store.load(spark, path, dataset=dataset, model=model, prompt_version=settings.prompt_version)
@@ -192,6 +192,3 @@ def sanity_gate(ranker: PairRanker, cases: list[tuple[str, str, str]] = GATE) ->
 def passes(ranker: PairRanker, cases: list[tuple[str, str, str]] = GATE) -> bool:
     return all(ok for *_, ok in sanity_gate(ranker, cases))
 
-
-def store_exists(spark, path: str) -> bool:
-    return Files(spark, path).exists(path)

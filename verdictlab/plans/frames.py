@@ -12,7 +12,7 @@ from verdictlab.operators import analysis, pairs, ranking
 from verdictlab.operators.axioms import AXIOMS, axiom_preferences
 from verdictlab.sources import retrieval
 from verdictlab.sources.index import Index, index_ref
-from verdictlab.sources.staging import cached_frame, fingerprint, fresh, inputs_mark
+from verdictlab.sources.staging import cached_frame, fingerprint, fresh, importable, inputs_mark
 
 #: Where a session keeps its stages, by application.
 _roots: dict[str, str] = {}
@@ -34,7 +34,7 @@ class Cell:
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, biased: bool = True, depth: int = 100, k: int = 10, axioms: list[str] | None = None, cache: str | None = None):
-        self.spark, self.dir, self.biased, self.depth, self.k = spark, sf_dir, biased, depth, k
+        self.spark, self.dir, self.biased, self.depth, self.k = importable(spark), sf_dir, biased, depth, k
         self.axiom_names = list(axioms or AXIOMS)
         self.root = cache or session_root(spark)
         self.mark = fingerprint(LAYOUT, inputs_mark(spark, *(f"{sf_dir}/{t}.parquet" for t in ("benchmark", "documents"))))

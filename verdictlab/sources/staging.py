@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: The file beside a frame's parts that names what the frame was computed from.
 MARK = "_mark"
+ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package. A cluster normally gets it by ``--py-files`` or an image; in local runs the workers learn its place here."""
+    env = spark.sparkContext.environment
+    paths = [p for p in (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    return spark
+
+
 class Files:
     """The file system that a path is on."""
 
