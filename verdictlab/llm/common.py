@@ -1,65 +1,30 @@
-"""What the operators of this subpackage share: the shared folder, staging, worker set-up and small byte helpers."""
+"""What the operators of this subpackage share: staging, worker set-up and small helpers."""
 
 from __future__ import annotations
 
 import os
 import re
 import sys
-import tempfile
-import uuid
-from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdictlab.sources.staging import fresh, importable, shared_dir, staged
+
+__all__ = ["fresh", "numbered", "ready", "shared_dir", "staged", "table", "tokenizer_path", "unused"]
+
 #: An Arrow batch ends at so many rows or so many bytes; a longer text is a batch of its own, so that a worker holds a few MB beside its longest text.
 BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
-ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches (never beyond what the session asks for) and let Python workers import this package.
-
-    A cluster normally gets the package by ``--py-files`` or an image; in local runs the workers learn its place here.
-    """
+    """Bound Arrow batches (never beyond what the session asks for) and let Python workers import this package."""
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         now = int(re.sub("[^0-9-]", "", spark.conf.get(f"spark.sql.execution.arrow.{name}")) or 0)
         if not 0 < now <= most:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
-    env = spark.sparkContext.environment
-    paths = [p for p in (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
-    return spark
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a session on one machine has a temporary folder, and a cluster an error."""
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or (sc._jsc.sc().getCheckpointDir().get() if sc._jsc.sc().getCheckpointDir().isDefined() else None)
-    if not where:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="verdictlab-")
-        sc.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def fresh(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the session's JVM ends."""
-    where = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return where
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: the lineage ends there, and lost executors cost nothing before it."""
-    spark = df.sparkSession
-    where = fresh(spark, name)
-    df.write.parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
+    return importable(spark)
 
 
 def unused(df: DataFrame, start: str = "x_") -> str:
@@ -89,11 +54,6 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def utf8(texts: list[str | None]) -> list[bytes]:
-    """UTF-8 bytes; null is empty."""
-    return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-
-
 def tokenizer_path(name: str) -> str:
     """The place of a public vocabulary file."""
     import public_tokenizers
