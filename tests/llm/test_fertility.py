@@ -66,6 +66,47 @@ def test_bands_reject_outliers_and_keep_the_rest(spark):
     assert all(rows[80 + i]["byte_fallback"] > 0.5 for i in range(3))
 
 
+def test_verdicts_equal_brute_force(spark, sf_dir):
+    """The bands by numpy's quantiles over the distinct texts of each group, and every verdict by them."""
+    import math
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [r.asDict() for r in fertility.measure(docs, *PATHS).collect()]
+    got = {r["doc_id"]: r["kept"] for r in fertility.fertility_rules(docs, *PATHS).collect()}
+    for r in rows:
+        r["octave"] = math.floor(math.log2(r["n_tokens"])) if r["n_tokens"] else 0
+    seen, texts = set(), []
+    for r in rows:
+        if (k := (r["lang"], r["script"], r["text_key"])) not in seen:
+            seen.add(k)
+            texts.append(r)
+
+    def band(measure, floor, least, **group):
+        values = sorted(math.floor(r[measure] * 10_000 + 0.5) / 10_000 for r in texts if r[measure] is not None and all(r[k] == v for k, v in group.items()))
+        if len(values) < max(1, least):
+            return None
+        down = max(0, math.floor(25 - 300 * math.sqrt(0.1875 / len(values)))) / 100
+        low, mid, high = np.quantile(values, [down, 0.5, 1 - down])
+        width = 3 * (high - low)
+        if measure == "byte_fallback":
+            return 0.0, max(high + width, mid + 0.1)
+        return min(low - width, mid * (1 - floor)), max(high + width, mid * (1 + floor))
+
+    for r in rows:
+        kept = not r["base_failed"]
+        for m in ("chars_per_token", "byte_fallback", "token_entropy"):
+            if r[m] is None:
+                continue
+            octave = {"octave": r["octave"]} if m == "token_entropy" else {}
+            own = band(m, 0, 50, lang=r["lang"], script=r["script"], **octave)
+            low, high = own or band(m, 0.4, 50, script=r["script"], **octave) or band(m, 0.4, 1, **octave)
+            if own is None and m == "byte_fallback":
+                high = min(high, 0.5)
+            kept = kept and low - 5e-5 <= r[m] <= high + 5e-5
+        assert got[r["doc_id"]] == kept, r
+    assert 0 < sum(got.values()) < len(got)
+
+
 def test_copies_do_not_squeeze_a_band(spark):
     text = " ".join(f"word{i}" for i in range(100))
     other = " ".join(f"another{i} thing{i * 3}" for i in range(60))

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
@@ -200,14 +200,15 @@ def histogram(measured: DataFrame) -> DataFrame:
 
 
 def bands(hist: DataFrame, *by: str, floor: float = 0.0, least: int = MIN_DOCS) -> DataFrame:
-    """The ends of every measure's band (a column of structs), for each group with ``least`` distinct texts or more. Groups are rows of the grid, whatever their texts."""
+    """The ends of every measure's band (a column of structs), for each group with ``least`` distinct texts or more.
+
+    The quantiles are exact: a group's counts by steps of the grid are added up before and after the shuffle, and take no more room than the grid has steps.
+    """
     keys = [*by, "octave", "measure"]
-    counts = hist.groupBy(*keys, "v").agg(F.sum("n").alias("n"))
-    so_far, whole = Window.partitionBy(*keys).orderBy("v"), Window.partitionBy(*keys)
-    counts = counts.select(*keys, "v", F.sum("n").over(so_far).alias("upto"), F.sum("n").over(whole).alias("total")).filter(F.col("total") >= least)
-    down = F.greatest(F.lit(0.0), F.floor(25 - 100 * SURE * F.sqrt(0.1875 / F.col("total"))) / 100)
-    at = lambda level: F.min(F.when(F.col("upto") >= F.greatest(F.lit(1.0), F.ceil(F.round(level * F.col("total"), 6))), F.col("v") / GRID))
-    out = counts.groupBy(*keys).agg(at(down).alias("low"), at(F.lit(0.5)).alias("mid"), at(1 - down).alias("high"))
+    levels = F.percentile(F.col("v") / GRID, F.array(*[F.lit(k / 100) for k in range(101)]), F.col("n"))
+    out = hist.groupBy(*keys).agg(F.sum("n").alias("total"), levels.alias("q")).filter(F.col("total") >= least)
+    down = F.greatest(F.lit(0), F.floor(25 - 100 * SURE * F.sqrt(0.1875 / F.col("total")))).cast("int")
+    out = out.select(*keys, F.get("q", down).alias("low"), F.get("q", F.lit(50)).alias("mid"), F.get("q", 100 - down).alias("high"))
     width = REACH * (F.col("high") - F.col("low"))
     fallback = F.col("measure") == "byte_fallback"
     low = F.when(fallback, 0.0).otherwise(F.least(F.col("low") - width, F.col("mid") * (1 - floor)))
