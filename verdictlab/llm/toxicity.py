@@ -27,7 +27,7 @@ from .common import ready
 
 #: At most so many examples of each label, by a hash of their ids: the bound of the sample that the classifier is fitted on.
 MAX_EXAMPLES = 2500
-NEIGHBOURS, BLOCK = 25, 64
+NEIGHBOURS, BLOCK = 25, 32
 #: A term counts 1 + chi-squared / CHI times its TF-IDF, with the chi-squared of its going with label 1 among the examples (with Yates' correction).
 CHI = 5.0
 #: So many of the commonest terms are kept as a matrix, and so many texts are looked up together.
@@ -65,32 +65,42 @@ class Words:
 class Reader:
     """Texts' counts over a vocabulary; what a word gives is kept (and emptied when full)."""
 
-    def __init__(self, vocabulary: list[str], limit: int = 300_000):
+    def __init__(self, vocabulary: list[str], limit: int = 200_000):
         self.vocabulary, self.limit = {t: i for i, t in enumerate(vocabulary)}, limit
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: The number of a word's only term, -1 for none, and below for a word of several: their place in ``several``.
+        self.known: dict[str, int] = {}
+        self.several: list[list[int]] = []
+
+    def _number(self, word: str) -> int:
+        ids = [self.vocabulary[t] for t in terms_of_word(word) if t in self.vocabulary]
+        if len(ids) > 1:
+            self.several.append(ids)
+            return -1 - len(self.several)
+        return ids[0] if ids else -1
 
     def counts(self, texts: list[str]) -> list[Vector]:
         """(terms in order, counts) of every text."""
-        found, known, vocabulary = Words(texts), self.known, self.vocabulary
-        if len(known) > self.limit:
-            known.clear()
-        ids = []
-        for w in found.words:
-            got = known.get(w)
-            if got is None:
-                got = known[w] = tuple(vocabulary[t] for t in terms_of_word(w) if t in vocabulary)
-            ids.append(got)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for got in ids for i in got), np.int64, int(sizes.sum()))
-        starts, each = np.cumsum(sizes) - sizes, sizes[found.word]
-        ends = np.cumsum(each)
-        term = flat[np.repeat(starts[found.word] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
-        n = max(1, len(vocabulary))
-        key, at = np.unique(np.repeat(found.text, each) * n + term, return_inverse=True)
-        counts = np.bincount(at, np.repeat(found.count, each), len(key)).astype(np.int32)
+        if len(self.known) > self.limit:
+            self.known, self.several = {}, []
+        found, known = Words(texts), self.known
+        codes = list(map(known.get, found.words))
+        if None in codes:
+            for i in [i for i, c in enumerate(codes) if c is None]:
+                codes[i] = known[found.words[i]] = self._number(found.words[i])
+        of = np.array(codes, np.int64)[found.word] if codes else np.zeros(0, np.int64)
+        n = max(1, len(self.vocabulary))
+        one, more = np.flatnonzero(of >= 0), np.flatnonzero(of < -1)
+        split = [(t, c, self.several[-2 - k]) for t, c, k in zip(found.text[more].tolist(), found.count[more].tolist(), of[more].tolist(), strict=True)]
+        key = np.concatenate([found.text[one] * n + of[one], np.array([t * n + i for t, _, ids in split for i in ids], np.int64)])
+        count = np.concatenate([found.count[one], np.array([c for _, c, ids in split for _ in ids], np.int64)])
+        order = np.argsort(key, kind="stable")
+        key, count = key[order], count[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        count = np.add.reduceat(count, first) if len(first) else count
+        key = key[first]
         cuts = np.searchsorted(key, np.arange(len(texts) + 1) * n)
-        term = (key % n).astype(np.int32)
-        return [(term[a:b], counts[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        term, count = (key % n).astype(np.int32), count.astype(np.int32)
+        return [(term[a:b], count[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
 def weighed(ids: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> Vector:
@@ -110,29 +120,55 @@ class Index:
 
     FIRST = 3
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
+    def __init__(self, vectors: list[Vector], n_terms: int, block: int = BLOCK):
         ids = np.concatenate([v[0] for v in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32)
         weights = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
-        self.visited = 0
-        self.__setstate__((ids, weights, np.cumsum([0, *[len(v[0]) for v in vectors]]), n_terms, block))
+        ends = np.cumsum([0, *[len(v[0]) for v in vectors]])
+        self.n_terms, self.block = n_terms, block
+        order = self._alike(ids, weights, ends)
+        if len(order):
+            at = np.concatenate([np.arange(ends[d], ends[d + 1]) for d in order])
+            ids, weights, ends = ids[at], weights[at], np.cumsum([0, *np.diff(ends)[order]])
+        self.__setstate__((ids, weights, ends, n_terms, block, order))
+
+    def _common(self, ids: np.ndarray, weights: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(column of each of the commonest terms, -1 of the others; the examples' weights of the common terms)."""
+        docs = np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends))
+        common = np.argsort(-np.bincount(ids, minlength=self.n_terms), kind="stable")[:DENSE]
+        column = np.full(self.n_terms, -1, np.int32)
+        column[common] = np.arange(len(common))
+        at = column[ids]
+        matrix = np.zeros((len(ends) - 1, len(common)), np.float32)
+        matrix[docs[at >= 0], at[at >= 0]] = weights[at >= 0]
+        return column, matrix
+
+    def _alike(self, ids: np.ndarray, weights: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The examples in an order that puts like ones into one block: by the nearest of some centres, and how near it is. Any order gives the same neighbours."""
+        n = len(ends) - 1
+        k = n // (2 * self.block)
+        if k < 2:
+            return np.arange(n)
+        matrix = self._common(ids, weights, ends)[1]
+        centres = matrix[np.arange(k) * n // k]
+        for _ in range(6):
+            near = matrix @ (centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)).T
+            of = near.argmax(axis=1)
+            centres = np.stack([matrix[of == c].sum(axis=0) if (of == c).any() else centres[c] for c in range(k)])
+        return np.lexsort((np.arange(n), -near[np.arange(n), of], of))
 
     def __getstate__(self) -> tuple:
-        return self.ids, self.weights, self.ends, self.n_terms, self.block
+        return self.ids, self.weights, self.ends, self.n_terms, self.block, self.order
 
     def __setstate__(self, state: tuple) -> None:
-        self.ids, self.weights, self.ends, self.n_terms, self.block = state
+        self.ids, self.weights, self.ends, self.n_terms, self.block, self.order = state
         self.n, self.visited = len(self.ends) - 1, 0
+        self.place = np.argsort(self.order, kind="stable")  # where an example is
         self.blocks = max(1, -(-self.n // self.block))
-        docs = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.ends))
-        common = np.argsort(-np.bincount(self.ids, minlength=self.n_terms), kind="stable")[:DENSE]
-        self.column = np.full(self.n_terms, -1, np.int32)
-        self.column[common] = np.arange(len(common))
-        at = self.column[self.ids]
-        self.matrix = np.zeros((self.n, len(common)), np.float32)
-        self.matrix[docs[at >= 0], at[at >= 0]] = self.weights[at >= 0]
+        self.column, self.matrix = self._common(self.ids, self.weights, self.ends)
         self.starts = np.arange(self.blocks) * self.block
-        self.most = np.maximum.reduceat(self.matrix, self.starts, axis=0).T if self.n else np.zeros((len(common), 1), np.float32)
-        rare = np.flatnonzero(at < 0)
+        self.most = np.maximum.reduceat(self.matrix, self.starts, axis=0).T if self.n else np.zeros((self.matrix.shape[1], 1), np.float32)
+        docs = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.ends))
+        rare = np.flatnonzero(self.column[self.ids] < 0)
         rare = rare[np.argsort(self.ids[rare], kind="stable")]
         self.post_docs, self.post_weights = docs[rare], self.weights[rare]
         self.post_ends = np.searchsorted(self.ids[rare], np.arange(self.n_terms + 1))
@@ -173,7 +209,7 @@ class Index:
                 score[rows, span] = common[rows] @ self.matrix[span].T + rare[rows, span]
             for i, d in enumerate(without[: len(texts)]):
                 if d >= 0:
-                    score[i, d] = -1
+                    score[i, self.place[d]] = -1
             done |= left
             kth = -np.partition(-score, k - 1, axis=1)[:, k - 1] if self.n >= k else np.zeros(len(texts), np.float32)
             left = bound >= np.maximum(kth, 0)[:, None] - SLACK
@@ -183,7 +219,7 @@ class Index:
             whole[ids] = weights
             x = np.round([float(whole[self.ids[a:b]] @ self.weights[a:b]) for a, b in zip(self.ends[near].tolist(), self.ends[near + 1].tolist(), strict=True)], 9)
             whole[ids] = 0
-            near, x = near[x > 0], x[x > 0]
+            near, x = self.order[near[x > 0]], x[x > 0]
             order = np.lexsort((near, -x))[:k]
             found.append((near[order], x[order]))
         return found
