@@ -134,6 +134,9 @@ def test_stages_follow_their_inputs(spark, tmp_path, sf_dir):
     assert cell(k=5).pairs.count() < n and len(names()) == 2
     os.utime(tmp_path / "documents.parquet", (1, 1))
     assert cell().pairs.count() == n and len(names()) == 3
+    assert cell(only_kept=True).pairs.count() == n
+    with pytest.raises(FileNotFoundError):
+        cell(only_kept=True).verdicts.count()
     with pytest.raises(Exception, match="more than 3 documents"):
         checked_pool(cell().pool, 3).count()
 
@@ -219,3 +222,27 @@ def test_labels(spark):
     rows = [(0, [("0", -1.0), (" 3", -1.0), ("x", 0.0)]), (1, [("x", 0.0)])]
     got = {r["id"]: r["v"] for r in spark.createDataFrame(rows, kind).select("id", gates.adequacy(F.col("e")).alias("v")).collect()}
     assert (got[0]["adequacy"], got[0]["argmax"], got[0]["n_label_logprobs"]) == (1.5, 0, 2) and got[1]["adequacy"] is None and got[1]["argmax"] == -1
+
+
+def test_adapters(spark):
+    import numpy as np
+
+    from verdictlab.operators import adapters
+
+    df = spark.createDataFrame([([0.5], [1.0, 3.0, 2.0], [1.0, 0.0], [[0.0, 2.0], [3.0, 3.0]])], "one array<double>, three array<double>, v array<double>, vs array<array<double>>")
+    r = df.select(adapters.relevance_of(F.col("one")), adapters.entailment_of(F.col("three"), 1), adapters.similarity_of(F.col("v"), F.col("vs")), adapters.similarity_of(F.col("v"), F.slice("vs", 1, 0))).first()
+    assert r[0] == pytest.approx(1 / (1 + np.exp(-0.5))) and r[1] == pytest.approx(np.exp(3) / np.exp([1, 3, 2]).sum()) and r[2] == pytest.approx(np.sqrt(0.5)) and r[3] == 0
+    with pytest.raises(Exception, match="one logit"):
+        df.select(adapters.relevance_of(F.col("three"))).collect()
+    rng = np.random.default_rng(0)
+    for n, most in ((1, 30), (5, 2), (40, 3), (40, 30)):
+        starts, ends = rng.normal(size=(2, n + 2))
+        context = np.arange(2, n + 2)
+        want = max(starts[i] + ends[j] for i in context for j in context if i <= j < i + most) - starts[0] - ends[0]
+        row = spark.createDataFrame([(starts.tolist(), ends.tolist(), context.tolist())], "s array<double>, e array<double>, c array<int>")
+        assert row.select(adapters.margin_of(F.col("s"), F.col("e"), F.col("c"), most)).first()[0] == pytest.approx(want)
+        assert adapters.answer_margin(starts, ends, context, most) == pytest.approx(want)
+    empty = spark.createDataFrame([([1.0], [1.0], [])], "s array<double>, e array<double>, c array<int>")
+    assert empty.select(adapters.margin_of(F.col("s"), F.col("e"), F.col("c"))).first()[0] == float("-inf") == adapters.answer_margin(np.ones(1), np.ones(1), np.zeros(0, int))
+    score = adapters.scorer(lambda: lambda a, b: [len(x) / len(y) for x, y in zip(a, b, strict=True)])
+    assert spark.createDataFrame([("ab", "abcd")], "a string, b string").select(score("a", "b")).first()[0] == 0.5

@@ -70,6 +70,12 @@ def with_texts(docs: DataFrame, topics: DataFrame, corpus: DataFrame) -> DataFra
     return both.withColumns({"query": F.coalesce("query", lost("query", "qid")), "text": F.coalesce("text", lost("text", "docno"))})
 
 
+def pool_documents(pool: DataFrame, pairs: DataFrame, topics: DataFrame, corpus: DataFrame, depth: int) -> DataFrame:
+    """qid, docno, query, text of the documents above ``depth`` and of those in a pair, each once; one without a text is an error."""
+    sides = [pairs.select("qid", F.col(f"doc_id_{i}").alias("docno")) for i in (1, 2)]
+    return with_texts(pool.filter(F.col("rank") < depth).select("qid", "docno").union(sides[0]).union(sides[1]).distinct(), topics, corpus)
+
+
 def mock_verdicts(shown: DataFrame, topics: DataFrame, corpus: DataFrame, biased: bool = False) -> DataFrame:
     """query_id, doc_id_a, doc_id_b, verdict, prob_a, score_a, score_b by hashes of query and passage.
 

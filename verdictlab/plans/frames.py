@@ -31,17 +31,18 @@ class Cell:
     """One collection with one ranker. Every stage is computed once from the stages before it and kept under ``cache`` (by default as long as the session).
 
     A stage's mark names its configuration, the stages that it came from, and the input files with their sizes and times; a stage under another mark is computed anew.
+    With ``only_kept`` nothing is: an analysis that finds a stage missing fails.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, biased: bool = True, depth: int = 100, k: int = 10, axioms: list[str] | None = None, cache: str | None = None):
+    def __init__(self, spark: SparkSession, sf_dir: str, biased: bool = True, depth: int = 100, k: int = 10, axioms: list[str] | None = None, cache: str | None = None, only_kept: bool = False):
         self.spark, self.dir, self.biased, self.depth, self.k = importable(spark), sf_dir, biased, depth, k
         self.axiom_names = list(axioms or AXIOMS)
-        self.root = cache or session_root(spark)
+        self.root, self.only_kept = cache or session_root(spark), only_kept
         self.mark = fingerprint(LAYOUT, inputs_mark(spark, *(f"{sf_dir}/{t}.parquet" for t in ("benchmark", "documents"))))
 
     def _stage(self, name: str, compute: Callable[[], DataFrame], *config: object) -> DataFrame:
         mark = fingerprint(self.mark, name, *config)
-        return cached_frame(self.spark, f"{self.root}/{name}-{mark[:16]}", mark, compute)
+        return cached_frame(self.spark, f"{self.root}/{name}-{mark[:16]}", mark, compute, only_kept=self.only_kept)
 
     @cached_property
     def topics(self) -> DataFrame:

@@ -316,10 +316,9 @@ def _writes(c: Cell) -> DataFrame:
     return rows.unionByName(plain).withColumn("prompt_version", F.lit("v0"))
 
 
-@query("s16_pool_documents", S.sql("SELECT DISTINCT qid, docno FROM pool WHERE rank < 20 UNION SELECT qid, doc_id_1 FROM pairs UNION SELECT qid, doc_id_2 FROM pairs"))
+@query("s16_pool_documents", S.sql("SELECT qid, docno, md5(query) AS query, md5(text) AS text FROM (SELECT DISTINCT qid, docno FROM pool WHERE rank < 20 UNION SELECT qid, doc_id_1 FROM pairs UNION SELECT qid, doc_id_2 FROM pairs) JOIN topics USING (qid) JOIN corpus USING (docno)"))
 def s16(c: Cell) -> DataFrame:
-    sides = c.pairs.select("qid", F.col("doc_id_1").alias("docno")).union(c.pairs.select("qid", F.col("doc_id_2").alias("docno")))
-    return c.pool.filter("rank < 20").select("qid", "docno").union(sides).distinct()
+    return pairs.pool_documents(c.pool, c.pairs, c.topics, c.corpus, 20).withColumns({x: F.md5(x) for x in ("query", "text")})
 
 
 @query("s15_pooled_collections", f"SELECT collection, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens, max(n) AS longest FROM (SELECT 'documents' AS collection, len(regexp_extract_all(lower(coalesce(text, '')), '{S.W}')) AS n FROM documents UNION ALL SELECT 'conversations', len(regexp_extract_all(lower(coalesce(text, '')), '{S.W}')) FROM conversations) GROUP BY collection")

@@ -102,11 +102,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
-def cached_frame(spark: SparkSession, path: str, mark: str, compute: Callable[[], DataFrame], refresh: bool = False, old_is_valid: Callable[[DataFrame], bool] | None = None) -> DataFrame:
+def cached_frame(spark: SparkSession, path: str, mark: str, compute: Callable[[], DataFrame], refresh: bool = False, old_is_valid: Callable[[DataFrame], bool] | None = None, only_kept: bool = False) -> DataFrame:
     """The frame at ``path`` if it was computed under ``mark``, else computed and written. A frame without a mark is taken if ``old_is_valid`` says so.
 
     A new frame is written beside the old one with its mark, then takes its place by a rename: readers find a whole frame or none,
-    and of two writers of one mark the later takes what the earlier has published.
+    and of two writers of one mark the later takes what the earlier has published. With ``only_kept`` nothing is computed: a frame that isn't there is an error.
     """
     files = Files(spark, path)
     if not refresh and files.exists(path):
@@ -116,6 +116,8 @@ def cached_frame(spark: SparkSession, path: str, mark: str, compute: Callable[[]
         elif old_is_valid is not None and old_is_valid(spark.read.parquet(path)):
             files.write(f"{path}/{MARK}", mark)
             return spark.read.parquet(path)
+    if only_kept:
+        raise FileNotFoundError(f"no frame at {path} under this mark")
     tag = uuid.uuid4().hex
     new, old = f"{path}.new-{tag}", f"{path}.old-{tag}"
     compute().write.parquet(new)
