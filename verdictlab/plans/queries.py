@@ -275,18 +275,34 @@ def f5(c: Cell) -> DataFrame:
     return c.corpus.select("docno", F.size(s).alias("n_sentences"), F.md5(F.array_join(s, "|")).alias("digest"))
 
 
-@query("x7_answer_axioms")
+#: What is put behind a passage, by a hash of query and document: @ stands for the query's last word but one, * for all its words. Without them these texts answer nothing.
+ADDED = ("@ is a very small thing.", "@ is found here.", "@ means nothing new today.", "There are 12 @ and ten more.", "It costs $5 for @. They say @ takes 3 hours.", "* differ while others are the same.", "Click here. Contact us at www.x.org 1. again", "")
+
+
+def _answering(c: Cell) -> DataFrame:
+    """The documents of pairs with a sentence that may answer."""
+    from verdictlab.functions.text import tokens
+
+    used = c.pairs.select("qid", F.col("doc_id_1").alias("docno")).union(c.pairs.select("qid", F.col("doc_id_2").alias("docno"))).distinct()
+    docs = pairs.with_texts(used, c.topics, c.corpus)
+    words = tokens(F.col("query"))
+    pick = F.get(F.array(*map(F.lit, ADDED)), F.floor(F.conv(F.substring(F.md5(F.concat_ws("-", "docno", "qid")), 1, 1), 16, 10).cast("int") / 2).cast("int"))
+    added = F.replace(F.replace(pick, F.lit("@"), F.coalesce(F.try_element_at(words, F.lit(-2)), F.lit(""))), F.lit("*"), F.array_join(words, " "))
+    return staged(docs.select("qid", "docno", "query", F.concat("text", F.lit("\n"), added).alias("text")), "answering")
+
+
+@query("x7_answer_axioms", S.sql(S.answer_preferences(), **S.answers(ADDED)))
 def x7(c: Cell) -> DataFrame:
-    from verdictlab.operators.answers import answer_preferences
+    from verdictlab.operators.answers import answer_preferences, evidence_of
 
-    return answer_preferences(c.pairs, c.topics, c.corpus)
+    return answer_preferences(c.pairs, c.topics, found=evidence_of(_answering(c)))
 
 
-@query("q4_answer_evidence")
+@query("q4_answer_evidence", S.sql("SELECT qid, docno, cov, definition, numeric, comparison, boilerplate FROM answer_evidence", **S.answers(ADDED)))
 def q4(c: Cell) -> DataFrame:
-    from verdictlab.operators.answers import answer_evidence
+    from verdictlab.operators.answers import evidence_of
 
-    return answer_evidence(c.pairs, c.topics, c.corpus)
+    return evidence_of(_answering(c))
 
 
 # ---- store, gates, decoding

@@ -195,6 +195,48 @@ STEPS |= {
 }
 
 
+# ---- answers
+
+_edge = "[^\\p{L}\\p{N}_]"
+
+
+def _boilerplate(text: str, ss: str) -> str:
+    return f"CAST(2 * ({' + '.join(f'CAST(contains(lower({text}), {chr(39)}{c}{chr(39)}) AS INTEGER)' for c in _i.BOILERPLATE)}) + least(len(regexp_extract_all(lower({text}), 'http://|https://|www\\.')), 2) + least(len(regexp_extract_all({text}, '{_i.LIST_ITEM}')), 2) + least(len({ss}) - len(list_distinct(list_transform({ss}, lambda s: array_to_string(regexp_extract_all({_low}, '{A}'), ' ')))), 2) + CASE WHEN len({ss}) > 0 AND len(list_filter({ss}, lambda s: regexp_matches({_low}, '{_verb}'))) = 0 THEN 1 ELSE 0 END AS INTEGER)"
+
+
+def answers(added: tuple[str, ...]) -> dict[str, str]:
+    """Steps: the evidence of the documents of pairs, a row a sentence where sentences matter."""
+    pick = "([" + ", ".join(f"'{a}'" for a in added) + "])[CAST('0x' || substr(md5(docno || '-' || qid), 1, 1) AS INTEGER) // 2 + 1]"
+    compared = "^difference between (.+?) and (.+?)(?: is)?$"
+    number = f"regexp_matches(w, '^[0-9]+$') OR w IN ({_in(_i.NUMBER_WORDS)})"
+    blocked = _in(_i.NO_DEFINITION)
+    return {
+        "answering": f"SELECT qid, docno, query, text || chr(10) || replace(replace({pick}, '@', coalesce(regexp_extract_all(lower(query), '[a-z0-9]+')[-2], '')), '*', array_to_string(regexp_extract_all(lower(query), '[a-z0-9]+'), ' ')) AS text FROM ends JOIN topics USING (qid) JOIN corpus USING (docno)",
+        "cut_up": "SELECT *, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '[\\r\\n]+'), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: s <> '') AS ss FROM answering",
+        "frame": f"SELECT i.*, {_terms(f'regexp_extract(l, {chr(39)}{compared}{chr(39)}, 1)')} AS lefts, {_terms(f'regexp_extract(l, {chr(39)}{compared}{chr(39)}, 2)')} AS rights, CASE WHEN intent = 'unknown' THEN {_terms('lower(query)')} ELSE string_split(anchors_, ' ') END AS looked FROM (SELECT qid, intent, array_to_string(anchors, ' ') AS anchors_, anchors, numeric_type, numeric_unit FROM intents) i JOIN lower_q USING (qid)",
+        "sentences": f"SELECT qid, docno, n, s, regexp_extract_all({_low}, '{A}') AS w, coalesce(lead(s) OVER (PARTITION BY qid, docno ORDER BY n), '') AS after FROM (SELECT qid, docno, unnest(ss) AS s, unnest(range(len(ss))) AS n FROM cut_up)",
+        # patterns of their own for every anchor are slow: only for sentences that hold the anchor and a word that could define it
+        "anchored": f"SELECT * FROM (SELECT *, unnest(anchors) AS a FROM sentences JOIN frame USING (qid) WHERE intent = 'definition') WHERE list_contains(w, a) AND regexp_matches({_low}, '[:-]|means|refers|stands|is|are')",
+        "defined": f"""SELECT qid, docno, n, bool_or(regexp_matches({_low}, '(?:^|{_edge})' || a || '(?:\\s*[:-]|\\s+means(?:$|{_edge})|\\s+refers\\s+to(?:$|{_edge})|\\s+stands\\s+for(?:$|{_edge}))')
+ OR len(list_filter(regexp_extract_all({_low}, '(?:^|{_edge})' || a || '\\s+(?:is|are)\\s+([\\p{{L}}\\p{{N}}_]*)', 1), lambda x: x NOT IN ({blocked}))) > 0) AS says,
+ any_value(len(list_filter(list_distinct(w), lambda x: NOT list_contains(anchors, x) AND x NOT IN ({_in(_i.STOP + _i.DEFINITION_CUES)})))) AS fresh FROM anchored GROUP BY ALL""",
+        "definitions": "SELECT qid, docno, max(CASE WHEN NOT says THEN 0 WHEN fresh >= 2 THEN 2 ELSE 1 END) AS definition FROM defined GROUP BY ALL",
+        "units": "SELECT qid, CASE WHEN numeric_unit LIKE '%s' THEN regexp_replace(numeric_unit, 's$', '') ELSE numeric_unit || 's' END AS other FROM frame",
+        "bound": f"SELECT DISTINCT x.qid, x.docno, x.n FROM (SELECT qid, docno, n, unnest(w) AS w, unnest(range(len(w))) AS i FROM sentences) x JOIN (SELECT qid, docno, n, unnest(w) AS u, unnest(range(len(w))) AS j FROM sentences) y USING (qid, docno, n) JOIN frame f USING (qid) JOIN units USING (qid) WHERE ({number}) AND (u = numeric_unit OR u = other) AND abs(i - j) <= {_i.COUNT_WINDOW}",
+        "numbers": f"SELECT s.qid, s.docno, least(count(*), 2) AS numeric FROM sentences s JOIN frame f USING (qid) LEFT JOIN bound b ON b.qid = s.qid AND b.docno = s.docno AND b.n = s.n WHERE intent = 'numeric' AND len(list_intersect(anchors, w)) > 0 AND CASE numeric_type WHEN 'count' THEN b.n IS NOT NULL WHEN 'money' THEN regexp_matches({_low}, '{_i.MONEY}') WHEN 'duration' THEN regexp_matches({_low}, '{_i.DURATION}') ELSE regexp_matches({_low}, '{_i.AGE}') END GROUP BY ALL",
+        "windows": f"SELECT qid, docno, trim(s || ' ' || after) AS s, regexp_extract_all(lower(s || ' ' || after), '{A}') AS w, lefts, rights FROM sentences JOIN frame USING (qid) WHERE intent = 'comparison'",
+        "contrasts": f"SELECT qid, docno, max(CASE WHEN regexp_matches({_low}, '{_verb}') THEN 2 ELSE 1 END) AS comparison FROM windows WHERE len(lefts) > 0 AND len(rights) > 0 AND len(list_intersect(lefts, w)) = len(lefts) AND len(list_intersect(rights, w)) = len(rights) AND regexp_matches({_low}, '{_i.CONTRAST}') GROUP BY ALL",
+        "answer_evidence": f"SELECT qid, docno, CASE WHEN len(looked) > 0 THEN len(list_intersect(looked, regexp_extract_all(lower(text), '{A}'))) / len(looked) ELSE 0 END AS cov, CAST(coalesce(definition, 0) AS INTEGER) AS definition, CAST(coalesce(numeric, 0) AS INTEGER) AS numeric, CAST(coalesce(comparison, 0) AS INTEGER) AS comparison, {_boilerplate('text', 'ss')} AS boilerplate FROM cut_up JOIN frame USING (qid) LEFT JOIN definitions USING (qid, docno) LEFT JOIN numbers USING (qid, docno) LEFT JOIN contrasts USING (qid, docno)",
+        "asks": f"SELECT qid, intent, NOT regexp_matches(l, '{_i.LIST_REQUEST}') AND len({_terms('l')}) > 0 AND NOT (regexp_matches(l, '^who is .+$') AND len(regexp_extract_all(regexp_extract(l, '^who is (.+)$', 1), '{A}')) BETWEEN 1 AND 4 AND len(list_intersect(regexp_extract_all(regexp_extract(l, '^who is (.+)$', 1), '{A}'), [{_in(_i.ROLES)}])) = 0) AS cbp FROM frame JOIN lower_q USING (qid)",
+        "answered": f"SELECT p.qid, doc_id_1, doc_id_2, k.intent, cbp, x.*, y.definition AS d2, y.numeric AS n2, y.comparison AS c2, y.boilerplate AS b2, least(x.cov, y.cov) >= {_i.MIN_COVERAGE} AND abs(x.cov - y.cov) <= {_i.MAX_COVERAGE_GAP} AS near FROM pairs p JOIN (SELECT qid AS q1, docno AS e1, * EXCLUDE (qid, docno) FROM answer_evidence) x ON q1 = p.qid AND e1 = doc_id_1 JOIN answer_evidence y ON y.qid = p.qid AND y.docno = doc_id_2 JOIN asks k ON k.qid = p.qid",
+    }
+
+
+def answer_preferences() -> str:
+    sign = lambda intent, a, b: f"CASE WHEN intent = '{intent}' AND near THEN CAST(sign({a} - {b}) AS INTEGER) ELSE 0 END"
+    return f'SELECT qid, doc_id_1, doc_id_2, {sign("definition", "definition", "d2")} AS "DEFANS", {sign("numeric", "numeric", "n2")} AS "NUMANS", {sign("comparison", "comparison", "c2")} AS "COMPARE", CASE WHEN cbp AND near AND greatest(boilerplate, b2) >= {_i.MARGIN} AND abs(boilerplate - b2) >= {_i.MARGIN} THEN CAST(sign(b2 - boilerplate) AS INTEGER) ELSE 0 END AS "CBP" FROM answered'
+
+
 # ---- the rest
 
 _sum = " + ".join(f'"{n}"' for n in USED)

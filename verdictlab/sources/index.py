@@ -2,26 +2,50 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdictlab.functions.text import tokens
-from verdictlab.sources.staging import Files, cached_frame, fingerprint, fresh
+from verdictlab.sources.staging import Files, cached_frame, fingerprint, fresh, importable, spread
 
 #: Changes with what an index holds.
-LAYOUT = "index-2"
+LAYOUT = "index-3"
 #: Queries' terms up to so many rows are sent to all executors; more are joined by term.
 SENT_TERMS = 500_000
 
 
+POSTINGS = "docno string, term string, dl long, tf long, first long, places array<int>"
+
+
+def postings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of documents (docno, words). Each is made where its document is, by one sort of a batch's words, so that no posting is shuffled."""
+    for b in batches:
+        words = b.column(1)
+        ends = words.offsets.to_numpy()
+        sizes = np.diff(ends)
+        flat = words.flatten().dictionary_encode()
+        doc = np.repeat(np.arange(b.num_rows), sizes)
+        pos = np.arange(len(doc), dtype=np.int32) - np.repeat(ends[:-1] - ends[0], sizes)
+        key = doc * max(1, len(flat.dictionary)) + flat.indices.to_numpy()
+        order = np.argsort(key, kind="stable")
+        key, pos = key[order], pos[order].astype(np.int32)
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        of, term = key[starts] // max(1, len(flat.dictionary)), key[starts] % max(1, len(flat.dictionary))
+        places = pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)).astype(np.int32)), pa.array(pos))
+        columns = [b.column(0).take(pa.array(of)), flat.dictionary.take(pa.array(term)), pa.array(sizes[of].astype(np.int64)), pa.array(np.diff(np.append(starts, len(key)))), pa.array(pos[starts].astype(np.int64)), places]
+        yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in POSTINGS.split(", ")])
+
+
 class Index:
     """Tables of a collection (docno, text) under a folder.
 
     ``postings``: docno, term, tf, first (position), places (positions), dl; ``documents``: docno, dl, n_unique; ``terms``: term, df; ``stats``: n, mean.
-    Postings are spread by document and term and sorted by term within files, so that a frequent term is no single partition and rare ones are found by
+    Postings stay with their documents and are sorted by term within files, so that a frequent term is no single partition and rare ones are found by
     the files' statistics. Queries' terms come to the postings, not the other way round.
     """
 
@@ -34,13 +58,11 @@ class Index:
 
     def build(self, corpus: DataFrame, mark: str) -> Index:
         """Write the tables that aren't there under ``mark``."""
+        importable(self.spark)
         table = lambda name, compute: cached_frame(self.spark, f"{self.path}/{name}", fingerprint(LAYOUT, name, mark), compute)
-        words = corpus.select("docno", self.tokenize(F.col("text")).alias("words"))
+        words = spread(corpus.select("docno", "text")).select("docno", self.tokenize(F.col("text")).alias("words"))
         table("documents", lambda: words.select("docno", F.size("words").cast("long").alias("dl"), F.size(F.array_distinct("words")).cast("long").alias("n_unique")))
-        each = words.select("docno", F.size("words").cast("long").alias("dl"), F.posexplode("words").alias("pos", "term"))
-        found = each.groupBy("docno", "term").agg(F.max("dl").alias("dl"), F.sort_array(F.collect_list("pos")).alias("places"))
-        rows = found.select("docno", "term", "dl", F.size("places").cast("long").alias("tf"), F.col("places")[0].cast("long").alias("first"), "places")
-        table("postings", lambda: rows.sortWithinPartitions("term", "docno"))
+        table("postings", lambda: words.mapInArrow(postings_of, POSTINGS).sortWithinPartitions("term", "docno"))
         table("terms", lambda: self.postings.groupBy("term").agg(F.count("*").alias("df")))
         table("stats", lambda: self.documents.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).coalesce(1))
         return self

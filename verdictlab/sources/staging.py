@@ -102,6 +102,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+#: Tables of fewer bytes are dealt out before heavy work.
+SMALL = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out over all cores if it is small: such a table often has one row group, which one task would read and work on alone."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL else df
+
+
 def cached_frame(spark: SparkSession, path: str, mark: str, compute: Callable[[], DataFrame], refresh: bool = False, old_is_valid: Callable[[DataFrame], bool] | None = None, only_kept: bool = False) -> DataFrame:
     """The frame at ``path`` if it was computed under ``mark``, else computed and written. A frame without a mark is taken if ``old_is_valid`` says so.
 
