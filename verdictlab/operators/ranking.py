@@ -87,11 +87,12 @@ N_BOOTSTRAP = 10_000
 
 def compare_runs(baseline: DataFrame, other: DataFrame, metrics: tuple[str, ...] = ("ndcg_10", "ap"), n_bootstrap: int = N_BOOTSTRAP, seed: int = 42) -> DataFrame:
     """A row a metric: means, mean difference with its 95 % interval over resampled queries, wins, ties and losses. The query sets must be equal."""
-    from verdictlab.operators.pairs import exact_join
-
-    a = staged(baseline.select("query_id", *[F.col(m).alias(f"{m}_a") for m in metrics]), "baseline")
-    b = staged(other.select("query_id", *[F.col(m).alias(f"{m}_b") for m in metrics]), "other")
-    both = exact_join(a, b, ["query_id"]).withColumns({f"{m}_d": F.round(F.col(f"{m}_b") - F.col(f"{m}_a"), 6) for m in metrics})
+    a = baseline.select("query_id", F.lit(1).alias("_a"), *[F.col(m).alias(f"{m}_a") for m in metrics])
+    b = other.select("query_id", F.lit(1).alias("_b"), *[F.col(m).alias(f"{m}_b") for m in metrics])
+    both = staged(a.join(b, "query_id", "full").withColumns({f"{m}_d": F.round(F.col(f"{m}_b") - F.col(f"{m}_a"), 6) for m in metrics}), "both")
+    seen = both.agg(F.count("*").alias("n"), F.count_distinct("query_id").alias("queries"), F.count("_a").alias("a"), F.count("_b").alias("b")).first()
+    if len(set(seen)) > 1:
+        raise ValueError(f"the runs' queries don't match one to one: {seen['n']} rows, {seen['queries']} queries, {seen['a']} and {seen['b']} of them")
     boot = resampled(both, "query_id", {m: F.sum(F.col(f"{m}_d") * F.col("times")) / F.sum("times") for m in metrics}, n_bootstrap, seed)
     ci = boot.agg(*[interval(F.col(m)).alias(m) for m in metrics])
     long = both.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}_a").alias("a"), F.col(f"{m}_b").alias("b"), F.col(f"{m}_d").alias("d")) for m in metrics])).alias("x")).select("x.*")

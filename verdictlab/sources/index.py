@@ -14,7 +14,7 @@ from verdictlab.functions.text import tokens
 from verdictlab.sources.staging import Files, cached_frame, fingerprint, fresh, importable, spread
 
 #: Changes with what an index holds.
-LAYOUT = "index-3"
+LAYOUT = "index-4"
 #: Queries' terms up to so many rows are sent to all executors; more are joined by term.
 SENT_TERMS = 500_000
 
@@ -23,7 +23,10 @@ POSTINGS = "docno string, term string, dl long, tf long, first long, places arra
 
 
 def postings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The postings of documents (docno, words). Each is made where its document is, by one sort of a batch's words, so that no posting is shuffled."""
+    """The postings of documents (docno, words), and for each document a row without a term, with its length and (as tf) its number of distinct terms.
+
+    Each is made where its document is, by one sort of a batch's words, so that no posting is shuffled.
+    """
     for b in batches:
         words = b.column(1)
         ends = words.offsets.to_numpy()
@@ -37,14 +40,18 @@ def postings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
         of, term = key[starts] // max(1, len(flat.dictionary)), key[starts] % max(1, len(flat.dictionary))
         places = pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)).astype(np.int32)), pa.array(pos))
+        names = [c.split()[0] for c in POSTINGS.split(", ")]
         columns = [b.column(0).take(pa.array(of)), flat.dictionary.take(pa.array(term)), pa.array(sizes[of].astype(np.int64)), pa.array(np.diff(np.append(starts, len(key)))), pa.array(pos[starts].astype(np.int64)), places]
-        yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in POSTINGS.split(", ")])
+        yield pa.RecordBatch.from_arrays(columns, names)
+        distinct = np.bincount(of, minlength=b.num_rows).astype(np.int64)
+        nulls = [pa.nulls(b.num_rows, t) for t in (pa.string(), pa.int64(), pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([b.column(0), nulls[0], pa.array(sizes.astype(np.int64)), pa.array(distinct), nulls[1], nulls[2]], names)
 
 
 class Index:
     """Tables of a collection (docno, text) under a folder.
 
-    ``postings``: docno, term, tf, first (position), places (positions), dl; ``documents``: docno, dl, n_unique; ``terms``: term, df; ``stats``: n, mean.
+    ``postings``: docno, term, tf, first (position), places (positions), dl; ``documents``: docno, dl, n_unique (rows of the same files); ``terms``: term, df; ``stats``: n, mean.
     Postings stay with their documents and are sorted by term within files, so that a frequent term is no single partition and rare ones are found by
     the files' statistics. Queries' terms come to the postings, not the other way round.
     """
@@ -61,7 +68,6 @@ class Index:
         importable(self.spark)
         table = lambda name, compute: cached_frame(self.spark, f"{self.path}/{name}", fingerprint(LAYOUT, name, mark), compute)
         words = spread(corpus.select("docno", "text")).select("docno", self.tokenize(F.col("text")).alias("words"))
-        table("documents", lambda: words.select("docno", F.size("words").cast("long").alias("dl"), F.size(F.array_distinct("words")).cast("long").alias("n_unique")))
         table("postings", lambda: words.mapInArrow(postings_of, POSTINGS).sortWithinPartitions("term", "docno"))
         table("terms", lambda: self.postings.groupBy("term").agg(F.count("*").alias("df")))
         table("stats", lambda: self.documents.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).coalesce(1))
@@ -78,11 +84,11 @@ class Index:
 
     @cached_property
     def postings(self) -> DataFrame:
-        return self._table("postings")
+        return self._table("postings").filter("term IS NOT NULL")
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self._table("documents")
+        return self._table("postings").filter("term IS NULL").select("docno", "dl", F.col("tf").alias("n_unique"))
 
     @cached_property
     def terms(self) -> DataFrame:

@@ -44,10 +44,10 @@ def bm25_scores(index: Index, topics_: DataFrame) -> DataFrame:
     _, mean = index.size
     terms = query_terms(topics_, index.tokenize)
     weight = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
-    weighted = terms.join(index.idf(), "term")
-    # a row a query and term: sent to the postings, which stay where they are, while they are few
-    if weighted.limit(SENT_TERMS + 1).count() <= SENT_TERMS:
-        weighted = F.broadcast(weighted)
+    # a row a query and term: sent to the terms and then to the postings, which stay where they are, while they are few
+    few = terms.limit(SENT_TERMS + 1).count() <= SENT_TERMS
+    weighted = index.idf().join(F.broadcast(terms) if few else terms, "term")
+    weighted = F.broadcast(weighted) if few else weighted
     return index.postings.select("docno", "term", "tf", "dl").join(weighted, "term").groupBy("qid", "docno").agg(F.round(F.sum(weight), 6).alias("score"))
 
 
