@@ -83,3 +83,23 @@ def test_dates():
     assert archives.warc_date("20010203040506") == "2001-02-03T04:05:06Z"
     assert archives.warc_date("2001") == "2001-01-01T00:00:00Z"
     assert archives.warc_date("none") == "1970-01-01T00:00:00Z"
+
+
+def test_files_end_by_bytes_and_records(monkeypatch):
+    monkeypatch.setattr(archives, "FILE_BYTES", 100)
+    monkeypatch.setattr(archives, "FILE_RECORDS", 4)
+    roll, sizes = archives._Roll(b"\n"), []
+    for n in (40, 40, 40, 500, 1, 1, 1, 1, 1):
+        if roll.full(n):
+            sizes.append(len(roll.close().column(0)[0].as_py()))
+        roll.add(b"x" * n)
+    sizes.append(len(roll.close().column(0)[0].as_py()))
+    # two of 40 bytes, one, the long one alone, four short ones, the last
+    assert sizes == [81, 40, 500, 7, 1]
+
+
+def test_payloads_that_very_many_pages_share(spark):
+    pages = spark.range(3000).selectExpr("id + 10 AS page_id", "'http://h' AS url", "IF(id % 3 = 0, 'same', concat('p', id)) AS html").repartition(3)
+    rows = archives.archived(pages)
+    same = rows.filter("payload_bytes = 4 AND (record_type = 'revisit' OR page_id = 10)")
+    assert same.filter("record_type = 'revisit' AND refers_to = 10").count() == 999 and rows.filter("record_type = 'response'").count() == 2001
