@@ -17,6 +17,8 @@ from verdictlab.sources.staging import Files, staged
 
 #: Words that don't count for coverage.
 STOP = ("a", "an", "and", "are", "be", "by", "do", "does", "for", "from", "how", "in", "is", "it", "of", "on", "or", "the", "to", "was", "what", "when", "where", "which", "who", "why", "with")
+#: Fixed value: what an NLI model is asked about a passage, before the query.
+HYPOTHESIS = "This text provides an answer or explanation to the question: "
 BASE = ["bm25_score", "bm25_rank", "log_length", "query_coverage"]
 SIGNALS = ["relevance_probability", "nli_entailment", "mrc_margin"]
 Score = Callable[[Column, Column], Column]
@@ -80,7 +82,7 @@ def features(pool: DataFrame, topics: DataFrame, corpus: DataFrame, relevance: S
     rows = with_texts(docs.select("qid", "docno"), topics, corpus)
     q, passage = prepared_query(F.col("query"))["text"], clean_passage(F.col("text")) if html else F.col("text")
     rows = rows.select("qid", "docno", q.alias("q"), passage.alias("passage")).withColumn("words", tokens(F.col("passage")))
-    asked = F.concat(F.lit("This text provides an answer or explanation to the question: "), "q")
+    asked = F.concat(F.lit(HYPOTHESIS), "q")
     rows = rows.select("qid", "docno", F.log1p(F.size("words").cast("double")).alias("log_length"), content_coverage(F.col("q"), F.col("words")).alias("query_coverage"), relevance(F.col("q"), F.col("passage")).alias("relevance_probability"), entailment(F.col("passage"), asked).alias("nli_entailment"), margin(F.col("q"), F.col("passage")).alias("mrc_margin"))
     return exact_join(docs, rows, ["qid", "docno"]).select("qid", "docno", *BASE, *SIGNALS)
 
