@@ -529,10 +529,7 @@ def f9(c: Cell) -> DataFrame:
 # ---- models and runs
 
 
-_FOLDS = "WITH RECURSIVE sized AS (SELECT query_id, n, row_number() OVER (ORDER BY n DESC, query_id) AS i FROM (SELECT query_id, count(*) AS n FROM v GROUP BY query_id)), placed AS (SELECT CAST(0 AS BIGINT) AS i, CAST('' AS VARCHAR) AS query_id, 0 AS fold, [CAST(0 AS BIGINT) FOR _ IN range(least(5, (SELECT count(*) FROM sized)))] AS load UNION ALL SELECT s.i, s.query_id, CAST(list_position(load, list_min(load)) - 1 AS INTEGER), list_transform(load, lambda x, k: CASE WHEN k = list_position(load, list_min(load)) THEN x + n ELSE x END) FROM placed p JOIN sized s ON s.i = p.i + 1) SELECT query_id, fold FROM placed WHERE i > 0"
-
-
-@query("m1_query_folds", S.sql(f"SELECT * FROM ({_FOLDS.replace('FROM v ', 'FROM verdicts ')})"))
+@query("m1_query_folds", S.sql(f"SELECT * FROM ({S.folds('verdicts')})"))
 def m1(c: Cell) -> DataFrame:
     from verdictlab.operators.models import assign_folds
 
@@ -568,6 +565,43 @@ def a20(c: Cell) -> DataFrame:
     return feature_zero_effect(predicted, S.USED, found["fits"])
 
 
+@query("m3_two_axioms", S.sql("SELECT query_id, doc_id_1, doc_id_2, fold, t AS y_true, round(p, 6) AS oof_prob, ok AS oof_correct, round(q, 6) AS oof_null_prob, null_ok AS oof_null_correct, vote_ok AS vote_correct FROM joint_right"))
+def m3_two(c: Cell) -> DataFrame:
+    """The fit of two axioms, which SQL can follow step by step."""
+    from verdictlab.operators.models import joint_fit
+
+    return joint_fit(c.merged, list(S.FIT))[0].withColumns({x: F.round(x, 6) for x in ("oof_prob", "oof_null_prob")})
+
+
+@query("m4_two_axioms", S.sql(f'SELECT query_id, doc_id_1, doc_id_2, fold, model_pref AS target_pref, x1 AS "{S.FIT[0]}", x2 AS "{S.FIT[1]}", round(p, 6) AS surrogate_prob, pref AS surrogate_pref, CASE WHEN model_pref <> 0 THEN pref = model_pref END AS correct_on_decisive FROM surrogates'))
+def m4_two(c: Cell) -> DataFrame:
+    from verdictlab.operators.models import surrogate
+
+    return surrogate(c.merged, list(S.FIT))[0].withColumn("surrogate_prob", F.round("surrogate_prob", 6))
+
+
+@query("a12_fidelity_of_two", S.sql(f"SELECT CAST(sum(pairs) AS BIGINT) AS n_pairs, count(*) AS n_queries, CAST(sum(n) AS BIGINT) AS n_decisive, round(sum(good) / sum(n), 6) AS accuracy, round(avg(macro), 6) AS query_macro_accuracy, round(sum(loss) / sum(n), 6) AS log_loss, CAST(sum(ties) AS BIGINT) AS n_ties, CAST(sum(own) AS BIGINT) AS n_surrogate_ties, CAST(sum(forced) AS BIGINT) AS n_forced, {S.area('p', 'y = 1', '(SELECT * FROM surrogates WHERE model_pref <> 0)')} AS auc FROM surrogate_queries"))
+def a12_two(c: Cell) -> DataFrame:
+    from verdictlab.operators.models import fidelity, surrogate
+
+    return fidelity(surrogate(c.merged, list(S.FIT))[0])
+
+
+@query("a20_zero_of_two", S.sql(" UNION ALL ".join(f"SELECT '{f}' AS feature, count(*) FILTER (without_{i} <> pref) AS pairs, count(DISTINCT query_id) FILTER (without_{i} <> pref) AS queries FROM surrogates" for i, f in enumerate(S.FIT, 1))))
+def a20_two(c: Cell) -> DataFrame:
+    from verdictlab.operators.models import feature_zero_effect, surrogate
+
+    predicted, found = surrogate(c.merged, list(S.FIT))
+    return feature_zero_effect(predicted, list(S.FIT), found["fits"])
+
+
+@query("m6_decomposition_of_two", S.sql(f"SELECT n_decisive_pairs, base_rate, cv_null_accuracy, majority_vote_accuracy, cv_accuracy, cv_auc, round(x, 6) AS null_log_loss, round(z, 6) AS model_log_loss, round(x - z, 6) AS gain, round(1 - z / x, 6) AS pseudo_r2, round(CASE WHEN consistency <= 0.5 THEN 0.5 ELSE 0.5 * (1 + sqrt(2 * consistency - 1)) END, 6) AS single_order_accuracy_sensitivity, round(1 - cv_accuracy, 6) AS oof_error_fraction, round(cv_accuracy - cv_null_accuracy, 6) AS accuracy_gain_over_base FROM (SELECT count(*) AS n_decisive_pairs, round(greatest(avg(y), 1 - avg(y)), 6) AS base_rate, round(avg(CAST(null_ok AS INTEGER)), 6) AS cv_null_accuracy, round(avg(CAST(vote_ok AS INTEGER)), 6) AS majority_vote_accuracy, round(avg(CAST(ok AS INTEGER)), 6) AS cv_accuracy, {S.area('p', 't', 'joint_oof')} AS cv_auc, {S.entropy('t', 'q')} AS x, {S.entropy('t', 'p')} AS z, (SELECT avg(CAST(position_consistent AS INTEGER)) FILTER (n_presentations >= 2) FROM merged) AS consistency FROM joint_right)"))
+def m6_two(c: Cell) -> DataFrame:
+    from verdictlab.operators.models import decompose
+
+    return decompose(c.merged, list(S.FIT))[0]
+
+
 @query("m6_decomposition")
 def m6(c: Cell) -> DataFrame:
     from verdictlab.operators.models import decompose

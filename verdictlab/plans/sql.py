@@ -280,3 +280,53 @@ STEPS |= {
     "wanted_other": "SELECT a.qid, least(a.docno, b.docno) AS doc_id_1, greatest(a.docno, b.docno) AS doc_id_2 FROM copeland a JOIN copeland b ON a.qid = b.qid AND a.rank < b.rank AND b.rank < 6",
     "judged_vote": "SELECT j.* REPLACE (CAST(sign(" + _sum + ") AS INTEGER) = model_pref AS oof_correct) FROM judged j JOIN merged m USING (query_id, doc_id_1, doc_id_2)",
 }
+
+
+# ---- fits of two axioms, by Newton's steps written out
+
+FIT = ("DIV", "TFC1")
+
+
+def folds(source: str) -> str:
+    """query_id, fold: queries by size, each to the fold with the fewest rows so far."""
+    return f"WITH RECURSIVE sized AS (SELECT query_id, n, row_number() OVER (ORDER BY n DESC, query_id) AS i FROM (SELECT query_id, count(*) AS n FROM {source} GROUP BY query_id)), placed AS (SELECT CAST(0 AS BIGINT) AS i, CAST('' AS VARCHAR) AS query_id, 0 AS fold, [CAST(0 AS BIGINT) FOR _ IN range(least(5, (SELECT count(*) FROM sized)))] AS load UNION ALL SELECT s.i, s.query_id, CAST(list_position(load, list_min(load)) - 1 AS INTEGER), list_transform(load, lambda x, k: CASE WHEN k = list_position(load, list_min(load)) THEN x + n ELSE x END) FROM placed p JOIN sized s ON s.i = p.i + 1) SELECT query_id, fold FROM placed WHERE i > 0"
+
+
+def newton(name: str, rows: str, steps: int = 9) -> dict[str, str]:
+    """Steps up to ``name``_fit (k, a, b, c): the logistic fit of y on x1 and x2, with a pull of one on both, over the rows outside each fold."""
+    out = {f"{name}_m": f"SELECT fold, x1, x2, y, count(*) AS n FROM {rows} GROUP BY ALL", f"{name}_k": f"SELECT DISTINCT fold AS k FROM {name}_m", f"{name}_t0": f"SELECT k, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c FROM {name}_k"}
+    for i in range(steps):
+        sums = ", ".join(f"sum(n * p * (1 - p) * {x}){pull} AS {h}" for h, x, pull in (("h11", "x1 * x1", " + 1"), ("h12", "x1 * x2", ""), ("h13", "x1", ""), ("h22", "x2 * x2", " + 1"), ("h23", "x2", ""), ("h33", "1", "")))
+        grads = "sum(n * (p - y) * x1) + any_value(a) AS g1, sum(n * (p - y) * x2) + any_value(b) AS g2, sum(n * (p - y)) AS g3"
+        solved = (
+            "a - (g1 * (h22 * h33 - h23 * h23) - h12 * (g2 * h33 - h23 * g3) + h13 * (g2 * h23 - h22 * g3)) / d AS a, "
+            "b - (h11 * (g2 * h33 - h23 * g3) - g1 * (h12 * h33 - h23 * h13) + h13 * (h12 * g3 - g2 * h13)) / d AS b, "
+            "c - (h11 * (h22 * g3 - g2 * h23) - h12 * (h12 * g3 - g2 * h13) + g1 * (h12 * h23 - h22 * h13)) / d AS c"
+        )
+        inner = f"SELECT k, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, {grads}, {sums} FROM (SELECT t.*, m.*, 1 / (1 + exp(-(a * x1 + b * x2 + c))) AS p FROM {name}_t{i} t JOIN {name}_m m ON m.fold <> t.k) GROUP BY k"
+        out[f"{name}_t{i + 1}"] = f"SELECT k, {solved} FROM (SELECT *, h11 * (h22 * h33 - h23 * h23) - h12 * (h12 * h33 - h23 * h13) + h13 * (h12 * h23 - h22 * h13) AS d FROM ({inner}))"
+    return out | {f"{name}_fit": f"SELECT * FROM {name}_t{steps}"}
+
+
+_x = f'"{FIT[0]}" AS x1, "{FIT[1]}" AS x2'
+STEPS |= {
+    "decisive": "SELECT * FROM merged WHERE model_pref <> 0",
+    "folds_decisive": folds("decisive"),
+    "joint_rows": f"SELECT query_id, doc_id_1, doc_id_2, fold, {_x}, CAST(model_pref > 0 AS INTEGER) AS y FROM decisive JOIN folds_decisive USING (query_id)",
+    **newton("joint", "joint_rows"),
+    "joint_null": "SELECT k, sum(y) / count(*) AS q FROM joint_k JOIN joint_rows ON fold <> k GROUP BY k",
+    "joint_oof": "SELECT r.*, y = 1 AS t, 1 / (1 + exp(-(a * x1 + b * x2 + c))) AS p, q FROM joint_rows r JOIN joint_fit f ON f.k = fold JOIN joint_null z ON z.k = fold",
+    "joint_right": "SELECT *, (p >= 0.5) = t AS ok, (q >= 0.5) = t AS null_ok, (CASE WHEN x1 + x2 = 0 THEN q >= 0.5 ELSE x1 + x2 > 0 END) = t AS vote_ok FROM joint_oof",
+    "folds_all": folds("merged"),
+    "all_rows": f"SELECT query_id, doc_id_1, doc_id_2, fold, model_pref, {_x}, CAST(model_pref > 0 AS INTEGER) AS y FROM merged JOIN folds_all USING (query_id)",
+    "tried_rows": "SELECT * FROM all_rows WHERE model_pref <> 0",
+    **newton("tried", "tried_rows"),
+    "surrogate_of": "SELECT r.*, a, b, c, 1 / (1 + exp(-(a * x1 + b * x2 + c))) AS p FROM all_rows r JOIN tried_fit ON k = fold",
+    "surrogates": "SELECT *, CAST(sign(round(p - 0.5, 12)) AS INTEGER) AS pref, CAST(sign(round(1 / (1 + exp(-(b * x2 + c))) - 0.5, 12)) AS INTEGER) AS without_1, CAST(sign(round(1 / (1 + exp(-(a * x1 + c))) - 0.5, 12)) AS INTEGER) AS without_2 FROM surrogate_of",
+    "surrogate_queries": f"SELECT query_id, count(*) AS pairs, avg(CAST(pref = model_pref AS INTEGER)) FILTER (model_pref <> 0) AS macro, count(*) FILTER (model_pref <> 0 AND pref = model_pref) AS good, count(*) FILTER (model_pref <> 0) AS n, sum(-CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END) FILTER (model_pref <> 0) AS loss, count(*) FILTER (model_pref = 0) AS ties, count(*) FILTER (pref = 0) AS own, count(*) FILTER (model_pref = 0 AND pref <> 0) AS forced FROM surrogates GROUP BY query_id",
+}
+
+
+def area(score: str, positive: str, source: str) -> str:
+    """The area under the ROC curve by ranks."""
+    return f"(SELECT round((sum(r) FILTER (t) - count(*) FILTER (t) * (count(*) FILTER (t) + 1) / 2) / (count(*) FILTER (t) * count(*) FILTER (NOT t)), 6) FROM (SELECT {positive} AS t, rank() OVER (ORDER BY {score}) + (count(*) OVER (PARTITION BY {score}) - 1) / 2 AS r FROM {source}))"
