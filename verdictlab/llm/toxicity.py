@@ -27,7 +27,7 @@ from .common import ready
 
 #: At most so many examples of each label, by a hash of their ids: the bound of the sample that the classifier is fitted on.
 MAX_EXAMPLES = 2500
-NEIGHBOURS, BLOCK = 25, 32
+NEIGHBOURS, BLOCK = 25, 64
 #: A term counts 1 + chi-squared / CHI times its TF-IDF, with the chi-squared of its going with label 1 among the examples (with Yates' correction).
 CHI = 5.0
 #: So many of the commonest terms are kept as a matrix, and so many texts are looked up together.
@@ -63,12 +63,13 @@ class Words:
 
 
 class Reader:
-    """Texts' counts over a vocabulary; what a word gives is kept (and emptied when full)."""
+    """Texts' counts over a vocabulary; what a word gives is kept, until a full table makes way for a new one and its words are taken over as they come again."""
 
-    def __init__(self, vocabulary: list[str], limit: int = 200_000):
+    def __init__(self, vocabulary: list[str], limit: int = 300_000):
         self.vocabulary, self.limit = {t: i for i, t in enumerate(vocabulary)}, limit
         #: The number of a word's only term, -1 for none, and below for a word of several: their place in ``several``.
         self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}
         self.several: list[list[int]] = []
 
     def _number(self, word: str) -> int:
@@ -80,13 +81,16 @@ class Reader:
 
     def counts(self, texts: list[str]) -> list[Vector]:
         """(terms in order, counts) of every text."""
+        if len(self.several) > self.limit:
+            self.known, self.older, self.several = {}, {}, []
         if len(self.known) > self.limit:
-            self.known, self.several = {}, []
-        found, known = Words(texts), self.known
+            self.known, self.older = {}, self.known
+        found, known, older = Words(texts), self.known, self.older
         codes = list(map(known.get, found.words))
         if None in codes:
             for i in [i for i, c in enumerate(codes) if c is None]:
-                codes[i] = known[found.words[i]] = self._number(found.words[i])
+                code = older.get(found.words[i])
+                codes[i] = known[found.words[i]] = self._number(found.words[i]) if code is None else code
         of = np.array(codes, np.int64)[found.word] if codes else np.zeros(0, np.int64)
         n = max(1, len(self.vocabulary))
         one, more = np.flatnonzero(of >= 0), np.flatnonzero(of < -1)
@@ -199,25 +203,40 @@ class Index:
         bound = common @ self.most + np.maximum.reduceat(rare, self.starts, axis=1)
         score = np.full(rare.shape, -1, np.float32)
         left = np.zeros(bound.shape, bool)
-        np.put_along_axis(left, np.argsort(-bound, axis=1, kind="stable")[:, : self.FIRST], True, axis=1)
+        top = np.argsort(-bound, axis=1, kind="stable")[:, : self.FIRST]
+        np.put_along_axis(left, top, True, axis=1)
         done = ~(bound > 0)
-        for _ in range(2):
+        floor = np.zeros(len(texts), np.float32)
+        for first in (True, False):
             left &= ~done
             self.visited += int(left.sum())
             for b in np.flatnonzero(left.any(axis=0)).tolist():
                 rows, span = np.flatnonzero(left[:, b]), slice(b * self.block, (b + 1) * self.block)
-                score[rows, span] = common[rows] @ self.matrix[span].T + rare[rows, span]
+                if 2 * len(rows) > len(texts):  # all at once costs less than to pick them out
+                    score[rows, span] = (common @ self.matrix[span].T + rare[:, span])[rows]
+                else:
+                    score[rows, span] = common[rows] @ self.matrix[span].T + rare[rows, span]
             for i, d in enumerate(without[: len(texts)]):
                 if d >= 0:
                     score[i, self.place[d]] = -1
             done |= left
-            kth = -np.partition(-score, k - 1, axis=1)[:, k - 1] if self.n >= k else np.zeros(len(texts), np.float32)
-            left = bound >= np.maximum(kth, 0)[:, None] - SLACK
+            if first:  # what the last neighbour has at least
+                at = (top[:, :, None] * self.block + np.arange(self.block)).reshape(len(texts), -1)
+                seen = np.where(at < self.n, np.take_along_axis(score, np.minimum(at, self.n - 1), axis=1), -1)
+                if seen.shape[1] >= k:
+                    floor = np.maximum(-np.partition(-seen, k - 1, axis=1)[:, k - 1], 0)
+                left = bound >= floor[:, None] - SLACK
         found, whole = [], np.zeros(self.n_terms)
         for i, (ids, weights) in enumerate(texts):
-            near = np.flatnonzero((score[i] > 0) & (score[i] >= kth[i] - SLACK))
+            near = np.flatnonzero((score[i] > 0) & (score[i] >= floor[i] - SLACK))
+            if len(near) > k:
+                mine = score[i, near]
+                near = near[mine >= -np.partition(-mine, k - 1)[k - 1] - SLACK]
+            many = self.ends[near + 1] - self.ends[near]
+            stops = np.cumsum(many)
+            here = np.arange(many.sum()) + np.repeat(self.ends[near] - (stops - many), many)
             whole[ids] = weights
-            x = np.round([float(whole[self.ids[a:b]] @ self.weights[a:b]) for a, b in zip(self.ends[near].tolist(), self.ends[near + 1].tolist(), strict=True)], 9)
+            x = np.round(np.add.reduceat(whole[self.ids[here]] * self.weights[here], stops - many), 9) if len(near) else np.zeros(0)
             whole[ids] = 0
             near, x = self.order[near[x > 0]], x[x > 0]
             order = np.lexsort((near, -x))[:k]
