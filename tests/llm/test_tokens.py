@@ -29,8 +29,8 @@ def crc(ids):
 
 
 def test_encoder_equals_library(plain):
-    rng, letters = random.Random(1), "ab .,\n\t  　é漢'sll1２|\x1c\x85\xa0ABć"
-    texts = [t or "" for t in TEXTS] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 16))) for _ in range(3000)] + ["a<|endoftext|> b", "<|endoftext|>"]
+    rng, letters = random.Random(1), "ab .,,.  \n\t  　é漢'sll1２|\x1c\x85\xa0ABć"
+    texts = [t or "" for t in TEXTS] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 16))) for _ in range(3000)] + ["a<|endoftext|> b", "<|endoftext|>", ". a", ", ", ".", "a. b, c., d", "%. a", "a%, b. %., .", "a\x02. b", "３. ½, ². x", "it's. a, b'll, c", "a. . b, , c"]
     for t, raw in zip(texts, encoder(PATH).encode(texts), strict=True):
         assert np.frombuffer(raw, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t[:80])
 

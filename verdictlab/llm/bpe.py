@@ -28,6 +28,8 @@ _SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _STAND_IN = {b: b if b in _SHOWN else 0x100 + sum(x not in _SHOWN for x in range(b)) for b in range(256)}
 #: Letters of the Latin blocks; a pre-token of letters ends before any other character but a letter.
 _LETTERS = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+")
+#: What is put before a stop or comma that stands between a letter or digit and a space: a character that texts with it do without.
+_MARK, _ENDS = "\x02", (".", ",")
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
@@ -38,7 +40,7 @@ class Encoder:
     ``limit`` bounds the entries of each dictionary; a full one makes way, and its words are taken over or found anew when they come again.
     """
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 300_000):
         cpu_threads_off()
         from tokenizers import Tokenizer
 
@@ -98,6 +100,10 @@ class Encoder:
             return out
         for i in [i for i, got in enumerate(out) if got is None]:
             c = words[i]
+            got = older.get(c)
+            if got is not None:
+                out[i] = tail[c] = got
+                continue
             m = _LETTERS.match(c)
             n = m.end() if m else 0
             if not n or n < len(c) and c[n].isalpha():  # none, or letters beyond the Latin blocks
@@ -121,17 +127,34 @@ class Encoder:
     def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(the ids of all texts one after another, where each text's begin, with the end of the last).
 
-        A text is cut at its spaces. The chunks of all texts are numbered, each distinct one is looked up once, and the ids are gathered by numbers.
+        A text is cut at its spaces, and before a stop or comma that a letter or digit and a space enclose. The chunks of all texts are numbered,
+        each distinct one is looked up once, and the ids are gathered by numbers.
         """
-        slow = {i: self._slow(t) for i, t in enumerate(texts) if _LED.search(t) or any(s in t for s in self.special)}
-        plain = ["" if i in slow else t for i, t in enumerate(texts)] if slow else texts
-        cut = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
-        of = cut.flatten().dictionary_encode()
-        codes, ends = of.indices.to_numpy().copy(), cut.offsets.to_numpy()
-        ids = self._known(of.dictionary.to_pylist())
+        slow = {i: self._slow(t) for i, t in enumerate(texts) if _LED.search(t) or _MARK in t or any(s in t for s in self.special)}
+        while True:
+            plain = pa.array(["" if i in slow else t for i, t in enumerate(texts)] if slow else texts, pa.large_string())
+            for end in _ENDS:
+                plain = pc.replace_substring(plain, f"{end} ", f" {_MARK}{end} ")
+            cut = pc.split_pattern(plain, " ")
+            of = cut.flatten().dictionary_encode()
+            codes, ends = of.indices.to_numpy().copy(), cut.offsets.to_numpy()
+            words = of.dictionary.to_pylist()
+            marks = [words.index(_MARK + end) for end in _ENDS if _MARK + end in words]
+            at = np.flatnonzero(np.isin(codes, marks)) if marks else np.zeros(0, np.int64)
+            # behind other characters than letters and digits a stop is part of what they make
+            fine = pc.match_substring_regex(of.dictionary, r"[\pL\pN]$").to_numpy(zero_copy_only=False)
+            odd = at[~fine[codes[at - 1]]] if len(at) else at
+            first = odd[np.isin(odd - 1, ends[:-1])] if len(odd) else odd  # a stop that begins a text has nothing before it
+            odd = odd[~(np.isin(odd, first) & np.array([words[c] == "" for c in codes[odd - 1]], bool))] if len(odd) else odd
+            if not len(odd):
+                break
+            slow |= {i: self._slow(texts[i]) for i in np.unique(np.searchsorted(ends, odd, "right") - 1).tolist()}
+        ids = self._known(words)
+        for k in marks:
+            ids[k] = self._part(words[k][1:])
         # what begins a text has no space before it
         n = len(ids)
-        ids += [slow[i] if i in slow else b"".join(map(self._part, _PARTS.findall(t.partition(" ")[0]))) for i, t in enumerate(texts)]
+        ids += [slow[i] if i in slow else b"".join(map(self._part, _PARTS.findall(words[c]))) for i, c in enumerate(codes[ends[:-1]].tolist())]
         codes[ends[:-1]] = np.arange(n, n + len(texts))
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         table, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
