@@ -40,7 +40,7 @@ class Encoder:
     ``limit`` bounds the entries of each dictionary; a full one makes way, and its words are taken over or found anew when they come again.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 220_000):
         cpu_threads_off()
         from tokenizers import Tokenizer
 
@@ -166,6 +166,11 @@ class Encoder:
         at += np.arange(len(at), dtype=kind)
         return table[at], np.concatenate(([0], stops))[ends]
 
+    def encode_ended(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """``encode_flat`` with the id ``end`` behind every text."""
+        flat, ends = self.encode_flat(texts)
+        return np.insert(flat, ends[1:], np.uint32(end)), ends + np.arange(len(ends))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         flat, ends = self.encode_flat(texts)
         raw = memoryview(flat).cast("B") if len(flat) else b""

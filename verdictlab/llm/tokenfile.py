@@ -106,18 +106,23 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([END_ID], "<u4").tobytes()
         doc_ids, counts, held, n = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([segment(doc_ids, counts, np.frombuffer(b"".join(held), "<u4"), enc.vocab_size, part, before)], pa.binary())], ["segment"])
+            return pa.RecordBatch.from_arrays([pa.array([segment(doc_ids, counts, np.concatenate(held), enc.vocab_size, part, before)], pa.binary())], ["segment"])
 
         for b in batches:
-            for d, raw in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
-                doc_ids.append(d)
-                held += (raw, end)
-                counts.append(len(raw) // 4 + 1)
-                n += counts[-1]
+            ids, ends = enc.encode_ended(b.column(1).to_pylist(), END_ID)
+            whose, start = b.column(0).to_pylist(), 0
+            while start < len(whose):
+                # the document with which the segment has enough
+                stop = min(len(whose), int(np.searchsorted(ends, ends[start] + SEGMENT_IDS - n, "left")))
+                stop = max(stop, start + 1)
+                doc_ids += whose[start:stop]
+                counts += np.diff(ends[start : stop + 1]).tolist()
+                held.append(ids[ends[start] : ends[stop]])
+                n += int(ends[stop] - ends[start])
+                start = stop
                 if n >= SEGMENT_IDS:
                     yield flush()
                     before += n
