@@ -206,19 +206,19 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
-        end, seen = np.array([END_ID], "<u4").tobytes(), np.zeros(capacity + 1, np.int64)
+        seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
             rows = []
-            for d, raw in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
-                raw += end
-                n = len(raw) // 4
+            ids, ends = enc.encode_ended(b.column(1).to_pylist(), END_ID)
+            raw, ends = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B"), ends.tolist()
+            for d, at, stop in zip(b.column(0).to_pylist(), ends[:-1], ends[1:], strict=True):
+                n, start = stop - at, 0
                 first = n % capacity or capacity
-                start = 0
-                for piece, stop in enumerate(range(first, n + 1, capacity)):
-                    length = stop - start
-                    rows.append((d, piece, start, length, zlib.crc32(raw[4 * start : 4 * stop]), part, int(seen[length])))
+                for piece, upto in enumerate(range(first, n + 1, capacity)):
+                    length = upto - start
+                    rows.append((d, piece, start, length, zlib.crc32(raw[4 * (at + start) : 4 * (at + upto)]), part, int(seen[length])))
                     seen[length] += 1
-                    start = stop
+                    start = upto
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "ordinal"])
 
