@@ -106,10 +106,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 SMALL = 256 << 20
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, small: int = SMALL) -> DataFrame:
     """``df``, dealt out over all cores if it is small: such a table often has one row group, which one task would read and work on alone."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < small else df
 
 
 def cached_frame(spark: SparkSession, path: str, mark: str, compute: Callable[[], DataFrame], refresh: bool = False, old_is_valid: Callable[[DataFrame], bool] | None = None, only_kept: bool = False) -> DataFrame:
