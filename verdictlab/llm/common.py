@@ -10,9 +10,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictlab.sources.staging import fresh, importable, shared_dir, staged
+from verdictlab.sources.staging import fresh, importable, shared_dir, spread, staged
 
-__all__ = ["fresh", "numbered", "ready", "shared_dir", "staged", "table", "tokenizer_path", "unused"]
+__all__ = ["fresh", "numbered", "ready", "shared_dir", "spread", "staged", "table", "tokenizer_path", "unused"]
 
 #: An Arrow batch ends at so many rows or so many bytes; a longer text is a batch of its own, so that a worker holds a few MB beside its longest text.
 BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import archives, mixing
-from .common import table, tokenizer_path
+from .common import spread, table, tokenizer_path
 from .fertility import fertility_rules
 from .packing import best_fit_packing
 from .pii import personal_data
@@ -20,8 +20,16 @@ from .toxicity import toxicity
 BYTE_BPE, FALLBACK_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
+#: A table of fewer bytes is often one row group, which one task would read and work on alone; it is dealt out first.
+ONE_GROUP = 32 << 20
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), ONE_GROUP)
+
+
 def op1_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility_rules(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), tokenizer_path(FALLBACK_BPE))
+    return fertility_rules(documents(spark, sf_dir), tokenizer_path(BYTE_BPE), tokenizer_path(FALLBACK_BPE))
 
 
 def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,19 +53,19 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(documents(spark, sf_dir))
 
 
 def op8_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_media(table(spark, sf_dir, "documents"))
+    return text_media(documents(spark, sf_dir))
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal_data(table(spark, sf_dir, "documents"))
+    return personal_data(documents(spark, sf_dir))
 
 
 def op10_nearest_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
